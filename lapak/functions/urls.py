@@ -6,6 +6,7 @@ import html
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from lapak.functions.text import or_blank, strip
 
@@ -32,7 +33,7 @@ MEDIA_FOLDERS = (
 _SPLIT = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_unescape(values: pd.Series) -> pd.Series:
     """The full HTML entity table, Arrow batch by batch; Spark has no built-in for it."""
     return values.map(html.unescape, na_action="ignore")

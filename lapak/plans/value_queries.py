@@ -474,11 +474,11 @@ def _(t):
     SELECT id, CASE WHEN price IS NULL THEN 'Harga tidak dicantumkan' ELSE concat('Rp', chr(160),
         replace(format('{:,}', price), ',', '.')) END AS price,
       CASE WHEN mins < 1 THEN 'Baru saja' WHEN mins < 60 THEN concat(mins, ' menit lalu') WHEN mins < 1440
-        THEN concat(mins // 60, ' jam lalu') WHEN mins < 10080 THEN concat(mins // 1440, ' hari lalu')
-        ELSE concat(day(at), ' ', (['Jan','Feb','Mar','Apr','Mei','Jun','Jul','Agu','Sep','Okt','Nov','Des'])[month(at)],
-             CASE WHEN year(at) <> 2001 THEN concat(' ', year(at)) ELSE '' END) END AS listed
-    FROM (SELECT id, price, coalesce(posted_at, first_fetched_at) AS at, greatest(0, epoch_ms(TIMESTAMP '2001-08-02 00:30:00')
-          - epoch_ms(coalesce(posted_at, first_fetched_at))) // 60000 AS mins FROM v_listings) x""")
+        THEN concat(CAST(floor(mins / 60) AS BIGINT), ' jam lalu') WHEN mins < 10080 THEN concat(CAST(floor(mins / 1440) AS BIGINT), ' hari lalu')
+        ELSE concat(day(listed_at), ' ', list_extract(['Jan','Feb','Mar','Apr','Mei','Jun','Jul','Agu','Sep','Okt','Nov','Des'], month(listed_at)),
+             CASE WHEN year(listed_at) <> 2001 THEN concat(' ', year(listed_at)) ELSE '' END) END AS listed
+    FROM (SELECT id, price, coalesce(posted_at, first_fetched_at) AS listed_at, CAST(floor(greatest(0, epoch_ms(TIMESTAMP '2001-08-02 00:30:00')
+          - epoch_ms(coalesce(posted_at, first_fetched_at))) / 60000) AS BIGINT) AS mins FROM v_listings) x""")
 def _(t):
     now = F.lit("2001-08-02 00:30:00").cast("timestamp_ntz")
     return t.listings.select("id", values.format_rupiah(F.col("price")).alias("price"),
@@ -596,7 +596,7 @@ def _(t):
 
 
 @query("x12_parse_card", """
-    SELECT id, status = 'sold' AS fresh, coalesce(concat('Rp ', price), 'Gratis') AS price, replace(title, '  ', ' ') AS title,
+    SELECT id, status = 'sold' AS fresh, CASE WHEN price IS NULL THEN 'Gratis' ELSE concat('Rp ', price) END AS price, replace(title, '  ', ' ') AS title,
            'Kota A Jawa Barat' AS location FROM v_listings""")
 def _(t):
     shown = F.concat_ws("\n", F.when(F.col("status") == "sold", F.lit(" Baru Terdaftar ")),
