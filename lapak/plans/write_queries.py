@@ -689,6 +689,7 @@ def _(t):
     return queue.recover_stale(t.queue, AS_OF).select("id", "status", "available_at", "leased_at", "error")
 
 
+READY_AT = "2024-01-31 00:00:00"
 _NEWEST = """SELECT * FROM {src} WHERE status = 'pending'
     QUALIFY row_number() OVER (PARTITION BY candidate_key ORDER BY enqueued_at DESC, id DESC) = 1"""
 
@@ -707,10 +708,11 @@ def _(t):
 
 
 @query("o7_ready_batch", f"""
-    SELECT id, attempts, enqueued_at FROM ({_NEWEST.format(src=f'({_RECOVERED}) r')}) x WHERE available_at <= TIMESTAMP '{AS_OF}'
+    SELECT id, attempts, enqueued_at FROM ({_NEWEST.format(src=f'({_RECOVERED.replace(AS_OF, READY_AT)}) r')}) x
+    WHERE available_at <= TIMESTAMP '{READY_AT}'
     ORDER BY CASE WHEN attempts = 0 THEN 0 ELSE 1 END, enqueued_at, id LIMIT 50""")
 def _(t):
-    return queue.ready_batch(t.queue, AS_OF, 50).select("id", "attempts", "enqueued_at")
+    return queue.ready_batch(t.queue, READY_AT, 50).select("id", "attempts", "enqueued_at")
 
 
 @query("o8_ready_or_wait", f"""
