@@ -148,7 +148,8 @@ def id_scan(rows: DataFrame, after_id: str = "", limit: int = 25, key: str = "id
 
 
 def pack_batches(rows: DataFrame, order: list[Column], size: int, item: Column) -> DataFrame:
-    """Fixed-size batches in a global order; a batch holds at most ``size`` rows, so collecting it is bounded."""
+    """Fixed-size batches of text items in a global order; a batch holds at most ``size`` rows, so collecting it is
+    bounded."""
     placed = assign_rank(rows, order, "_rank").select(
         F.floor(F.col("_rank") / size).alias("batch"), "_rank", item.alias("_item"))
     grouped = placed.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("_rank", "_item"))).alias("_all"))

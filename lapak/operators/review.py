@@ -24,8 +24,9 @@ def pack_review_batches(rows: DataFrame, order: list[Column], size: int = 5) ->
         or_blank(F.col("platform")).alias("platform"), or_blank(F.col("external_id")).alias("externalId"),
         or_blank(F.col("title")).alias("title"), or_blank(F.col("description")).alias("description"),
         F.col("source_facts").alias("sourceFacts"))
-    packed = pack_batches(rows, order, size, item)
-    return packed.select("batch", F.size("items").alias("n_items"), F.to_json("items").alias("request"))
+    packed = pack_batches(rows, order, size, F.to_json(item))
+    request = F.concat(F.lit("["), F.array_join("items", ","), F.lit("]"))
+    return packed.select("batch", F.size("items").alias("n_items"), request.alias("request"))
 
 
 def is_group_item() -> Column:

@@ -34,13 +34,11 @@ def summary_source(logs: DataFrame) -> DataFrame:
 
     The choice is one EXISTS test inside the plan; no second job decides it.
     """
-    scheduler, orchestrator = _split(logs)
-    columns = ["log_time", "logged_at", "file_name", "line", "connectors", "storage"]
-    direct = orchestrator.select(*columns)
-    fallback = scheduler.select(
-        "log_time", "logged_at", "file_name", "line", F.col("summary.connectors").alias("connectors"),
-        F.col("summary.storage").alias("storage"))
-    return direct.union(fallback.filter(~orchestrator.select("source").exists()))
+    any_orchestrator = logs.filter(F.col("source") == "orchestrator").select("source").exists()
+    direct = F.col("source") == "orchestrator"
+    chosen = logs.filter(direct | ((F.col("source") == "scheduler") & ~any_orchestrator))
+    pick = lambda name: F.when(direct, F.col(name)).otherwise(F.col(f"summary.{name}")).alias(name)
+    return chosen.select("log_time", "logged_at", "file_name", "line", pick("connectors"), pick("storage"))
 
 
 def connector_records(logs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("feed_queries", "value_queries", "write_queries", "flow_queries")
+MODULES = ("feed_queries", "value_queries", "write_queries", "flow_queries", "payload_queries")
 
 
 def load() -> None:
