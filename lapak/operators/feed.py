@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lapak.functions.once import computed, let
 from lapak.functions.text import escape_like, web_trim
 from lapak.functions.values import effective_at, iso_millis, parse_iso, to_millis
 from lapak.operators.ordering import assign_rank
@@ -190,11 +191,11 @@ def audit_feed_requests(requests: DataFrame) -> DataFrame:
 def parse_feed_params(urls: DataFrame, column: str = "url") -> DataFrame:
     """P10: filters, order and search text of feed URLs; unsupported and repeated values are dropped."""
     query = F.regexp_extract(F.col(column), r"^[^?#]*\?([^#]*)", 1)
-    pairs = F.filter(F.split(query, "&"), lambda p: p != "")
     decode = lambda t: F.coalesce(F.try_url_decode(t), t)
-    values = lambda key: F.transform(
-        F.filter(pairs, lambda p: decode(F.regexp_extract(p, "^([^=]*)", 1)) == key),
-        lambda p: decode(F.regexp_extract(p, "^[^=]*=?(.*)$", 1)))
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(
+        decode(F.regexp_extract(p, "^([^=]*)", 1)).alias("k"), decode(F.regexp_extract(p, "^[^=]*=?(.*)$", 1)).alias("v")))
+    rows = computed(urls, _pairs=pairs)
+    values = lambda key: F.transform(F.filter("_pairs", lambda p: p["k"] == key), lambda p: p["v"])
     first = lambda key: F.try_element_at(values(key), F.lit(1))
 
     def known(key, allowed):
@@ -210,8 +211,8 @@ def parse_feed_params(urls: DataFrame, column: str = "url") -> DataFrame:
                       F.regexp_extract(text, "([0-9]+)", 1).cast("bigint"))
 
     search = F.left(web_trim(F.coalesce(first("q"), F.lit(""))), F.lit(TEXT_BOUND))
-    return urls.select(
-        "*", known("platform", PLATFORMS).alias("platforms"), known("status", STATUSES).alias("statuses"),
+    return rows.select(
+        *urls.columns, known("platform", PLATFORMS).alias("platforms"), known("status", STATUSES).alias("statuses"),
         free("location").alias("locations"), free("condition").alias("conditions"),
         price("minPrice").alias("min_price"), price("maxPrice").alias("max_price"),
         F.coalesce(F.when(first("sort").isin(*FEED_SORTS), first("sort")), F.lit("newest")).alias("sort"),
@@ -326,10 +327,14 @@ def decode_cursor_column(c: Column) -> Column:
     shaped = c.rlike("^[A-Za-z0-9_-]+$") & (F.length(c) <= 512)
     body = F.from_json(F.when(shaped, F.try_to_binary(padded, F.lit("base64")).cast("string")),
                        "v int, s string, r int, k bigint, t string, i string")
-    ok = ((body["v"] == 3) & body["s"].isin(*FEED_SORTS) & body["r"].between(0, 2) & body["k"].isNotNull()
-          & parse_iso(body["t"]).isNotNull() & F.length(body["i"]).between(1, 128))
-    return F.when(ok, F.struct(body["s"].alias("sort"), body["r"].alias("status_rank"), body["k"].alias("sort_value"),
-                               parse_iso(body["t"]).alias("effective_at"), body["i"].alias("id")))
+
+    def checked(b: Column) -> Column:
+        ok = ((b["v"] == 3) & b["s"].isin(*FEED_SORTS) & b["r"].between(0, 2) & b["k"].isNotNull()
+              & parse_iso(b["t"]).isNotNull() & F.length(b["i"]).between(1, 128))
+        return F.when(ok, F.struct(b["s"].alias("sort"), b["r"].alias("status_rank"), b["k"].alias("sort_value"),
+                                   parse_iso(b["t"]).alias("effective_at"), b["i"].alias("id")))
+
+    return let(body, checked)
 
 
 def feed_page(filtered: DataFrame, sort: str = "newest", limit: int = 24, cursor: Cursor | None = None) -> DataFrame:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lapak.functions.once import computed
 from lapak.functions.text import or_blank
 from lapak.functions.urls import reddit_image_url, is_reddit_image
 from lapak.functions.values import record_id
 
 
+MAX_PAGE = 1000
+
+
 def images_with_owner(images: DataFrame, listings: DataFrame) -> DataFrame:
     """J8."""
     owners = listings.select(F.col("id").alias("listing_id"), "platform", "external_id", "first_fetched_at")
@@ -63,53 +67,48 @@ def media_summary(downloads: DataFrame, images: DataFrame, stored: DataFrame) ->
 
 def listing_page_images(listings: DataFrame, images: DataFrame, after_id: str = "", limit: int = 25) -> DataFrame:
     """A bounded page of listings with their images; the page is broadcast to the image scan."""
-    page = listings.filter(F.col("id") > after_id).orderBy("id").limit(limit).select(
+    page = listings.filter(F.col("id") > after_id).orderBy("id").limit(min(limit, MAX_PAGE)).select(
         F.col("id").alias("listing_id"), F.col("source_url").alias("listing_url"), "title")
     theirs = images.select("listing_id", "source_url", "position").join(
         F.broadcast(page.select("listing_id")), "listing_id", "left_semi")
     return page.join(theirs, "listing_id", "left")
 
 
-def distinct_gallery(urls: DataFrame, key: str = "listing_id", order: str = "position", url: str = "source_url"):
-    """Canonical image URLs per key in first-seen order: key, order, url. Distinct before anything is collected."""
-    canonical = urls.withColumn("_u", reddit_image_url(F.col(url), unescaped=True))
-    usable = canonical.filter((F.col("_u") != "") & is_reddit_image(F.col("_u")))
-    return usable.groupBy(key, F.col("_u").alias("url")).agg(F.min(order).alias("place"))
-
-
 def canonicalize_gallery(listings: DataFrame, images: DataFrame, fetched: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(class per listing, rewritten image rows) of the Reddit gallery repair.
 
-    Stored canonical URLs win; fetched ones only help listings without any. A listing is unchanged when its stored
-    URLs already are the wanted ones in order, recovered when it had none, else changed; missing has nothing at all.
-    Positions are compared row by row, so no array of a whole gallery is built.
+    Stored canonical URLs are kept; fetched ones only help listings without any stored image. A gallery is unchanged
+    when every stored URL is already canonical and distinct, which counts decide, so no gallery is built as an array.
+    Repeated captures combine per (listing, URL) before anything is ranked.
     """
     base = listings.filter(F.col("platform") == "reddit").select(F.col("id").alias("listing_id"), "title")
-    own = images.select("listing_id", "position", "source_url").filter(or_blank(F.col("source_url")) != "")
-    stored = distinct_gallery(own)
-    has_stored = stored.select("listing_id").distinct()
-    helped = distinct_gallery(fetched).join(has_stored, "listing_id", "left_anti")
-    order = Window.partitionBy("listing_id").orderBy("place")
-    wanted = stored.unionByName(helped).join(base, "listing_id").select(
-        "listing_id", "title", "url", (F.row_number().over(order) - 1).alias("position"))
-    existing = own.join(base.select("listing_id"), "listing_id").select(
-        "listing_id", F.col("source_url").alias("old_url"),
-        (F.row_number().over(Window.partitionBy("listing_id").orderBy("position")) - 1).alias("position"))
-    sides = wanted.join(existing, ["listing_id", "position"], "full_outer").groupBy("listing_id").agg(
-        F.count("url").alias("n_new"), F.count("old_url").alias("n_old"),
-        F.count_if(~F.col("url").eqNullSafe(F.col("old_url"))).alias("n_diff"))
+    columns = ["listing_id", "position", "source_url"]
+    both = images.select(F.lit(True).alias("stored"), *columns).unionByName(
+        fetched.select(F.lit(False).alias("stored"), *columns)).filter(or_blank(F.col("source_url")) != "")
+    canonical = computed(both, _u=reddit_image_url(F.col("source_url"), unescaped=True))
+    url = F.when((F.col("_u") != "") & is_reddit_image(F.col("_u")), F.col("_u"))
+    per_url = canonical.withColumn("url", url).groupBy("listing_id", "stored", "url").agg(
+        F.min("position").alias("place"), F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("url") == F.col("source_url")).alias("same")).join(
+        base.select("listing_id"), "listing_id", "left_semi")
+    own, usable = F.col("stored"), F.col("url").isNotNull()
+    sides = per_url.groupBy("listing_id").agg(
+        F.sum(F.when(own, F.col("n"))).alias("n_own"), F.sum(F.when(own, F.col("same"))).alias("n_same"),
+        F.count_if(own & usable).alias("n_kept"), F.count_if(~own & usable).alias("n_help"))
     kind = (
-        F.when(F.coalesce("n_new", F.lit(0)) == 0, F.lit("missing"))
-        .when(F.col("n_diff") == 0, F.lit("unchanged"))
-        .when(F.col("n_old") == 0, F.lit("recovered"))
+        F.when(F.col("n_own").isNull() & (F.coalesce("n_help", F.lit(0)) > 0), F.lit("recovered"))
+        .when(F.coalesce("n_kept", F.lit(0)) == 0, F.lit("missing"))
+        .when((F.col("n_own") == F.col("n_same")) & (F.col("n_own") == F.col("n_kept")), F.lit("unchanged"))
         .otherwise(F.lit("changed"))
     )
-    classes = base.select("listing_id").join(sides, "listing_id", "left").select("listing_id", kind.alias("kind"))
-    rewritten = wanted.join(
-        classes.filter(F.col("kind").isin("changed", "recovered")).select("listing_id"), "listing_id", "left_semi")
-    return classes, rewritten.select(
+    classes = base.join(sides, "listing_id", "left").select("listing_id", "title", kind.alias("kind"))
+    wanted = per_url.filter(usable).join(classes.filter(F.col("kind").isin("changed", "recovered")), "listing_id").filter(
+        own | (F.col("kind") == "recovered"))
+    order = Window.partitionBy("listing_id").orderBy("place")
+    rewritten = wanted.withColumn("position", F.row_number().over(order) - 1).select(
         "listing_id", F.col("url").alias("source_url"), "position",
         F.concat("title", F.lit(" image "), (F.col("position") + 1).cast("string")).alias("alt_text"))
+    return classes.select("listing_id", "kind"), rewritten
 
 
 def additional_image_rows(pending: DataFrame, details: DataFrame, images: DataFrame) -> DataFrame:

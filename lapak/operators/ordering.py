@@ -93,8 +93,10 @@ def dedupe_first(rows: DataFrame, key, seq: str, keep_blank: bool = False) -> Da
     """The earliest row per key. Rows with a blank key are dropped, or all kept with ``keep_blank``."""
     k = key if isinstance(key, Column) else F.col(key)
     blank = F.coalesce(k, F.lit("")) == ""
-    chosen = _nth(rows.filter(~blank), key, F.col(seq).asc())
-    return chosen.unionByName(rows.filter(blank)) if keep_blank else chosen
+    if not keep_blank:
+        return _nth(rows.filter(~blank), key, F.col(seq).asc())
+    # A blank row forms a group of its own, so blanks neither merge nor gather in one task.
+    return _nth(rows, [k, F.when(blank, F.col(seq))], F.col(seq).asc())
 
 
 def _nth(rows: DataFrame, key, order: Column) -> DataFrame:

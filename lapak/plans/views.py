@@ -227,8 +227,14 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, str(sf_dir).rstrip("/")
 
+    _schemas: dict[str, object] = {}
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A driver table. Its schema is read from the file once per process, which saves a job per scan."""
+        path = f"{self.sf_dir}/{name}.parquet"
+        if path not in Tables._schemas:
+            Tables._schemas[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(Tables._schemas[path]).parquet(path)
 
     @cached_property
     def listings(self) -> DataFrame:

@@ -556,8 +556,7 @@ SQL_VIEWS["v_gallery"] = f"""
         WHERE url IS NOT NULL GROUP BY 1, 2
         UNION ALL
         SELECT l.id, concat('https://i.redd.it/f', l.id, '.jpg'), 0 FROM v_listings l WHERE l.brand IS NOT NULL
-          AND NOT EXISTS (SELECT 1 FROM (SELECT listing_id, {_CANON} AS url FROM v_images) b
-                          WHERE b.listing_id = l.id AND b.url IS NOT NULL)) c
+          AND NOT EXISTS (SELECT 1 FROM v_images b WHERE b.listing_id = l.id)) c
     WHERE listing_id IN (SELECT id FROM v_listings WHERE platform = 'reddit')"""
 _GALLERY_CLASS = """
     SELECT l.id AS listing_id, CASE WHEN n.urls IS NULL THEN 'missing' WHEN n.urls = o.urls THEN 'unchanged'

@@ -17,8 +17,9 @@ def parse_run_log_lines(lines: DataFrame, since=None) -> DataFrame:
     """
     variant = F.try_parse_json("value")
     is_object = F.coalesce(F.schema_of_variant(variant).startswith("OBJECT"), F.lit(False))
+    # The generator parses a line once, however many fields are used later.
     rows = lines.filter(is_object).select(
-        "file_name", "line", F.from_json("value", RUN_LOG).alias("_r")).select("file_name", "line", "_r.*")
+        "file_name", "line", F.inline(F.array(F.from_json("value", RUN_LOG))))
     raw = F.coalesce(F.nullif("logged_at", F.lit("")), F.nullif("finished_at", F.lit("")), F.lit(""))
     rows = rows.withColumn("log_time", raw).withColumn("logged_time", parse_iso(raw))
     if since is not None:
