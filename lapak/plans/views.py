@@ -423,7 +423,9 @@ class Tables:
         text = F.to_json(F.struct("source", "status", "ok", "job_id", "logged_at", "finished_at", "storage", "connectors"))
         broken = (F.col("event_type") == "click") & (F.col("amount") < 12)
         value = F.when(broken & (F.col("amount") < 10), F.left(text, F.lit(25))).when(broken, F.lit("[1, 2]")).otherwise(text)
-        return rows.select(value.alias("value"), F.lit("events.jsonl").alias("file_name"), "line")
+        from lapak.functions.once import computed
+
+        return computed(rows, value=value).select("value", F.lit("events.jsonl").alias("file_name"), "line")
 
     @cached_property
     def run_log(self) -> DataFrame:
