@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lapak.functions.once import computed
 from lapak.functions.text import blank_to_null, lenient_integer, or_blank, strip
 from lapak.functions.values import listing_identity, parse_iso, record_id
 from lapak.schemas import CONTRACT_COLUMNS
@@ -31,7 +32,12 @@ def validate_contract(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _checked(rows: DataFrame) -> DataFrame:
-    text = {c: blank_to_null(F.col(c)) for c in CONTRACT_COLUMNS if c not in ("location_texts", "images")}
+    times = ("posted_at", "first_fetched_at", "last_fetched_at")
+    parsed = {"_" + c: blank_to_null(F.col(c)) for c in CONTRACT_COLUMNS if c not in ("location_texts", "images")}
+    parsed.update({"_at_" + c: parse_iso(F.col(c)) for c in times}, _number=lenient_integer(F.col("price")))
+    # Parsing happens once; rules and cleaned values below only look at its results.
+    once = computed(rows, **parsed)
+    text = {c: F.col("_" + c) for c in CONTRACT_COLUMNS if c not in ("location_texts", "images")}
     platform, status = F.upper(text["platform"]), F.upper(text["status"])
     errors = [
         F.when(~F.coalesce(platform.isin(*WIRE_PLATFORMS), F.lit(False)), F.lit(PLATFORM_ERROR)),
@@ -40,28 +46,25 @@ def _checked(rows: DataFrame) -> DataFrame:
     for column, wire in (("source_url", "sourceUrl"), ("title", "title"), ("description", "description"),
                          ("first_fetched_at", "firstFetchedAt"), ("last_fetched_at", "lastFetchedAt")):
         errors.append(F.when(text[column].isNull(), F.lit(f"{wire} is required")))
-    times = {}
-    for column, wire in (("posted_at", "postedAt"), ("first_fetched_at", "firstFetchedAt"),
-                         ("last_fetched_at", "lastFetchedAt")):
-        times[column] = parse_iso(F.col(column))
-        errors.append(F.when((or_blank(F.col(column)) != "") & times[column].isNull(),
+    for column, wire in zip(times, ("postedAt", "firstFetchedAt", "lastFetchedAt")):
+        errors.append(F.when((or_blank(F.col(column)) != "") & F.col("_at_" + column).isNull(),
                              F.lit(f"{wire} must be an ISO datetime string or null")))
-    price = lenient_integer(F.col("price"))
+    price = F.col("_number")
     errors.append(F.when(F.col("price").isNotNull() & price.isNull(), F.lit("price must be an integer or null")))
     errors.append(F.when(price < 0, F.lit("price must be zero or greater")))
     image_errors = F.filter(F.transform("images", _image_error), lambda e: e.isNotNull())
     all_errors = F.concat(F.array_compact(F.array(*errors)),
                           F.coalesce(image_errors, F.array().cast("array<string>")))
     clean = {
-        **{c: text[c] for c in text}, "platform": platform, "status": status, **times, "price": price.cast("bigint"),
+        **text, "platform": platform, "status": status, **{c: F.col("_at_" + c) for c in times}, "price": price,
         "location_texts": F.coalesce(
             F.filter(F.transform("location_texts", strip), lambda v: v != ""), F.array().cast("array<string>")),
         "images": F.coalesce(
             F.transform(F.filter("images", lambda i: i.isNotNull()), _clean_image),
             F.array().cast("array<struct<source_url:string,position:int,alt_text:string>>")),
     }
-    return rows.withColumn("_errors", all_errors).withColumn(
-        "_c", F.struct(*[clean[c].alias(c) for c in CONTRACT_COLUMNS]))
+    whole = F.struct(*[clean[c].alias(c) for c in CONTRACT_COLUMNS])
+    return computed(once, _errors=all_errors, _c=whole).drop(*parsed)
 
 
 def _image_error(image: Column, index: Column) -> Column:

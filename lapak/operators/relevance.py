@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from lapak.functions.once import computed
 from lapak.functions.text import BLOCKED_KEYWORDS, POSITIVE_KEYWORDS, matched_keywords, or_blank
 from lapak.operators.ordering import dedupe_first
 
@@ -11,10 +12,9 @@ from lapak.operators.ordering import dedupe_first
 def classify_cards(cards: DataFrame, positive=POSITIVE_KEYWORDS, blocked=BLOCKED_KEYWORDS) -> DataFrame:
     """Outcome per card: a blocked keyword wins over a positive one; neither means skipped."""
     text = F.concat_ws(" ", or_blank(F.col("raw_text")), or_blank(F.col("image_alt")))
-    rows = cards.withColumn("_text", text).withColumns({
-        "blocked_hits": matched_keywords(F.col("_text"), blocked),
-        "positive_hits": matched_keywords(F.col("_text"), positive),
-    }).drop("_text")
+    # Lowering and matching a whole text happens once, whatever is asked of the result.
+    rows = computed(computed(cards, _text=F.lower(text)), blocked_hits=matched_keywords(F.col("_text"), blocked),
+                    positive_hits=matched_keywords(F.col("_text"), positive)).drop("_text")
     outcome = (
         F.when(F.size("blocked_hits") > 0, F.lit("blocked"))
         .when(F.size("positive_hits") > 0, F.lit("matched"))
@@ -35,14 +35,26 @@ def select_first(rows: DataFrame, key: str, seq: str, limit: int) -> DataFrame:
     return rows.withColumn("place", place).filter(F.col("place") <= limit)
 
 
-def keyword_hits(classified: DataFrame, column: str, outcome: str, limit: int = 20) -> DataFrame:
-    """First ``limit`` distinct keywords per target, by first card and place in the keyword list."""
-    hits = classified.filter(F.col("outcome") == outcome).select(
-        "target_id", "seq", F.posexplode(column).alias("_pos", "keyword"))
-    firsts = hits.groupBy("target_id", "keyword").agg(F.min(F.struct("seq", "_pos")).alias("_at"))
-    # Keywords come from a fixed list, so the list per target is bounded by it.
-    return firsts.groupBy("target_id").agg(F.slice(F.transform(
-        F.sort_array(F.collect_list(F.struct("_at", "keyword"))), lambda x: x["keyword"]), 1, limit).alias("keywords"))
+def target_metrics(classified: DataFrame, hit_limit: int = 20) -> DataFrame:
+    """Counts per outcome and the first distinct keywords per target, from one pass over the texts.
+
+    Every card gives one counting entry and one entry per keyword of its outcome. They combine per (target, outcome,
+    keyword) before the shuffle; keywords come from a fixed list, so what is collected per target is bounded by it.
+    """
+    hits = F.when(F.col("outcome") == "blocked", F.col("blocked_hits")).when(
+        F.col("outcome") == "matched", F.col("positive_hits")).otherwise(F.array().cast("array<string>"))
+    entries = F.concat(F.array(F.lit(None).cast("string")), hits)
+    each = classified.select("target_id", "seq", "outcome", F.posexplode(entries).alias("pos", "keyword"))
+    combined = each.groupBy("target_id", "outcome", "keyword").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("seq", "pos")).alias("at"))
+    card = F.col("keyword").isNull()
+    zero = F.lit(0).cast("bigint")
+    count = lambda o: F.coalesce(F.sum(F.when(card & (F.col("outcome") == o), F.col("n"))), zero).alias(o)
+    words = lambda o: F.slice(F.transform(F.sort_array(F.collect_list(
+        F.when(~card & (F.col("outcome") == o), F.struct("at", "keyword")))), lambda x: x["keyword"]), 1, hit_limit)
+    return combined.groupBy("target_id").agg(
+        F.sum(F.when(card, F.col("n"))).alias("candidates"), count("matched"), count("skipped"), count("blocked"),
+        words("matched").alias("matched_keywords"), words("blocked").alias("blocked_keywords"))
 
 
 def relevance_filter(cards: DataFrame, positive=POSITIVE_KEYWORDS, blocked=BLOCKED_KEYWORDS,
@@ -50,15 +62,7 @@ def relevance_filter(cards: DataFrame, positive=POSITIVE_KEYWORDS, blocked=BLOCK
     """(selected cards with their place, metrics per target). Cards carry target_id and arrival number seq."""
     classified = classify_cards(cards, positive, blocked)
     selected = select_first(classified.filter(F.col("outcome") == "matched"), "target_id", "seq", limit)
-    counts = classified.groupBy("target_id").agg(
-        F.count(F.lit(1)).alias("candidates"),
-        *[F.count_if(F.col("outcome") == o).alias(o) for o in ("matched", "skipped", "blocked")])
-    metrics = counts.join(
-        keyword_hits(classified, "positive_hits", "matched").withColumnRenamed("keywords", "matched_keywords"),
-        "target_id", "left").join(
-        keyword_hits(classified, "blocked_hits", "blocked").withColumnRenamed("keywords", "blocked_keywords"),
-        "target_id", "left")
-    return selected, metrics
+    return selected, target_metrics(classified)
 
 
 def calibration(selected: DataFrame, metrics: DataFrame, samples: int = 5) -> DataFrame:

@@ -57,23 +57,43 @@ def status_counts(logs: DataFrame) -> DataFrame:
     return runs.union(parts).groupBy("connector", "status").agg(F.count(F.lit(1)).alias("count"))
 
 
+def run_totals(logs: DataFrame) -> DataFrame:
+    """One row with everything the run report counts, from one pass over the log.
+
+    Each figure is counted for orchestrator records and for scheduler summaries side by side; the first set is taken
+    when there is any orchestrator record.
+    """
+    zero = F.lit(0).cast("bigint")
+    scheduler, orchestrator = F.col("source") == "scheduler", F.col("source") == "orchestrator"
+    sides = {"o": (orchestrator, "connectors", "storage"), "s": (scheduler, "summary.connectors", "summary.storage")}
+    counts = [F.count_if(orchestrator).alias("_any"), F.count_if(scheduler & (F.col("status") == "success")).alias("runs_ok"),
+              F.count_if(scheduler & _is_bad(F.col("status"), F.col("ok"))).alias("_bad_runs")]
+    for side, (test, connectors, storage) in sides.items():
+        matching = lambda rule: F.sum(F.when(test, F.coalesce(F.size(F.filter(F.col(connectors), rule)), F.lit(0))))  # noqa: E731, B023
+        counts += [F.sum(F.when(test, F.coalesce(F.col(f"{storage}.summary.{c}"), zero))).alias(f"{side}_{c}")
+                   for c in STORAGE_COUNTERS]
+        counts += [matching(lambda c: c["status"] == "success").alias(f"{side}_parts_ok"),
+                   matching(lambda c: c.isNotNull() & _is_bad(c["status"], c["ok"])).alias(f"{side}_bad")]
+    pick = lambda name: F.coalesce(F.when(F.col("_any") > 0, F.col(f"o_{name}")).otherwise(F.col(f"s_{name}")), zero)
+    return logs.agg(*counts).select(
+        *[pick(c).alias(c) for c in STORAGE_COUNTERS], "runs_ok", pick("parts_ok").alias("parts_ok"),
+        (F.col("_bad_runs") + pick("bad")).alias("degraded_events"))
+
+
+def _is_bad(status, ok):
+    return F.coalesce(status.isin(*DEGRADED), F.lit(False)) | F.coalesce(~ok, F.lit(False))
+
+
 def storage_totals(logs: DataFrame) -> DataFrame:
     """A10: one row with the sums of the seven write counters."""
-    zero = F.lit(0).cast("bigint")
-    return summary_source(logs).agg(*[
-        F.coalesce(F.sum(F.coalesce(F.col(f"storage.summary.{c}"), zero)), zero).alias(c) for c in STORAGE_COUNTERS])
+    return run_totals(logs).select(*STORAGE_COUNTERS)
 
 
 def yield_summary(logs: DataFrame) -> DataFrame:
     """Writes per successful run; the denominator falls back to connector runs, then to one."""
-    scheduler, _ = _split(logs)
-    success = F.count_if(F.col("status") == "success")
-    runs = scheduler.agg(success.alias("n"))
-    parts = connector_records(logs).agg(success.alias("n"))
-    totals = storage_totals(logs).select("*", runs.scalar().alias("_runs"), parts.scalar().alias("_parts"))
-    denominator = F.coalesce(F.nullif("_runs", F.lit(0)), F.nullif("_parts", F.lit(0)), F.lit(1))
+    denominator = F.coalesce(F.nullif("runs_ok", F.lit(0)), F.nullif("parts_ok", F.lit(0)), F.lit(1))
     share = F.when(F.col("requested") > 0, F.bround(F.col("inserted") / F.col("requested"), 4)).otherwise(F.lit(0.0))
-    return totals.select(
+    return run_totals(logs).select(
         F.col("requested").alias("requested_listings"), F.col("inserted").alias("new_listings_inserted"),
         F.col("updated").alias("existing_listings_updated"), F.col("duplicates").alias("duplicate_inputs"),
         (F.col("inserted") + F.col("updated")).alias("useful_writes"),
@@ -88,12 +108,12 @@ def latest_connector_status(logs: DataFrame) -> DataFrame:
 
 def degraded_events(logs: DataFrame) -> DataFrame:
     """Scheduler and connector records in a bad state; scheduler records count as earlier (``part``)."""
-    bad = or_blank(F.col("status")).isin(*DEGRADED) | (F.col("ok") == F.lit(False))
+    bad = _is_bad(F.col("status"), F.col("ok"))
     scheduler, _ = _split(logs)
-    runs = scheduler.filter(F.coalesce(bad, F.lit(False))).select(
+    runs = scheduler.filter(bad).select(
         F.lit(0).alias("part"), "log_time", "file_name", "line", F.lit(0).alias("place"),
         F.coalesce("job_id", "source").alias("name"), "status")
-    parts = connector_records(logs).filter(F.coalesce(bad, F.lit(False))).select(
+    parts = connector_records(logs).filter(bad).select(
         F.lit(1).alias("part"), "log_time", "file_name", "line", "place", F.col("connector").alias("name"), "status")
     return runs.union(parts)
 
@@ -114,9 +134,11 @@ def readiness(logs: DataFrame, required=REQUIRED_CONNECTORS) -> DataFrame:
     state = latest.agg(
         (F.count_if(wanted) == len(required)).alias("all_connectors_observed"),
         (F.count_if(wanted & healthy) == len(required)).alias("latest_connectors_ready"))
-    written = storage_totals(logs).select((F.col("inserted") + F.col("updated") > 0).alias("w"))
-    bad = degraded_events(logs).agg(F.count(F.lit(1)).alias("n"))
-    rows = state.select("*", written.scalar().alias("has_storage_writes"), bad.scalar().alias("degraded_events"))
+    totals = run_totals(logs).select(F.struct(
+        (F.col("inserted") + F.col("updated") > 0).alias("written"), "degraded_events").alias("t")).scalar()
+    rows = state.withColumn("_t", totals).select(
+        "all_connectors_observed", "latest_connectors_ready", F.col("_t.written").alias("has_storage_writes"),
+        F.col("_t.degraded_events").alias("degraded_events"))
     return rows.withColumn("ready", F.col("all_connectors_observed") & F.col("latest_connectors_ready")
                            & F.col("has_storage_writes") & (F.col("degraded_events") == 0))
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lapak.functions import once
 from lapak.operators import contract, media, moderation, ordering, queue, reconcile, sets, upsert
 from lapak.plans.registry import query
 from lapak.plans.views import AS_OF, LISTING_AS_OF, SQL_VIEWS, norm_sql
-from lapak.schemas import REJECTION
+from lapak.schemas import CONTRACT_COLUMNS, REJECTION
 
 # Raw connector rows with planted defects, one per listing.
 SQL_VIEWS["v_contract"] = """
@@ -32,7 +33,7 @@ def contract_rows(t):
     first = image.format(url="CASE WHEN seq % 47 = 0 THEN ' ' ELSE concat(' ', source_url) END", pos="CAST(NULL AS STRING)",
                          alt="'  '")
     second = image.format(url="'https://a.example/2.jpg'", pos="CASE WHEN seq % 53 = 0 THEN 'x' ELSE '7' END", alt="title")
-    return t.listings.selectExpr(
+    return once.computed(t.listings, **dict(_named(
         "seq", "CASE WHEN seq % 23 = 0 THEN 'EBAY' ELSE concat(' ', platform) END AS platform",
         "CASE WHEN seq % 31 = 0 THEN ' ' ELSE source_url END AS source_url",
         "CASE WHEN brand IS NULL THEN '' ELSE external_id END AS external_id", "title", "description", "category", "brand",
@@ -44,7 +45,13 @@ def contract_rows(t):
         "CASE WHEN seq % 59 = 0 THEN NULL ELSE concat(date_format(first_fetched_at + INTERVAL '7' HOUR, "
         "\"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\"), '+07:00') END AS first_fetched_at",
         "date_format(last_fetched_at, 'yyyy-MM-dd HH:mm:ss') AS last_fetched_at",
-        f"array({first}, {second}) AS images")
+        f"array({first}, {second}) AS images"))).select("seq", *CONTRACT_COLUMNS)
+
+
+def _named(*expressions):
+    for text in expressions:
+        name = text.rsplit(" ", 1)[-1]
+        yield name, F.expr(text.removesuffix(f" AS {name}"))
 
 
 @query("n5_contract_valid", f"""
