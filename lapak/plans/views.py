@@ -10,6 +10,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from lapak.sources.tables import spread_scan
+
 AS_OF = "2024-01-20 00:00:00"
 LISTING_AS_OF = "2001-08-05 00:00:00"
 MEDIA_ORIGIN = "https://media.example.com"
@@ -221,6 +223,10 @@ def pad(column: str) -> str:
     return f"lpad(CAST({column} AS STRING), 12, '0')"
 
 
+# The big tables and the key their rows are spread by when they lie in one file.
+_SPREAD = {"orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id", "documents": "doc_id", "pages": "page_id"}
+
+
 class Tables:
     """Lazily built DataFrames over one data directory."""
 
@@ -234,7 +240,8 @@ class Tables:
         path = f"{self.sf_dir}/{name}.parquet"
         if path not in Tables._schemas:
             Tables._schemas[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(Tables._schemas[path]).parquet(path)
+        rows = self.spark.read.schema(Tables._schemas[path]).parquet(path)
+        return spread_scan(rows, _SPREAD[name]) if name in _SPREAD else rows
 
     @cached_property
     def listings(self) -> DataFrame:
