@@ -65,7 +65,7 @@ def format_listed_at(at: Column, now: Column) -> Column:
 
 def to_millis(c: Column) -> Column:
     """Cut to milliseconds, the precision of stored times and cursors."""
-    return F.date_trunc("MILLISECOND", c)
+    return F.date_trunc("MILLISECOND", c).cast("timestamp_ntz")
 
 
 def iso_millis(c: Column) -> Column:

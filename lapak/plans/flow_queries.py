@@ -279,7 +279,8 @@ _CHOSEN = """SELECT target_id, item_id, title, seq, row_number() OVER (PARTITION
 
 @query("p12_relevance_selected", f"SELECT target_id, item_id, place FROM ({_CHOSEN}) x")
 def _(t):
-    return relevance.relevance_filter(cards(t), _POSITIVE, _BLOCKED, 4)[0].select("target_id", "item_id", "place")
+    return relevance.relevance_filter(cards(t), _POSITIVE, _BLOCKED, 4)[0].select(
+        "target_id", "item_id", F.col("place").cast("bigint").alias("place"))
 
 
 @query("p12_relevance_metrics", _METRICS)

@@ -123,7 +123,8 @@ _POST_ROWS = """SELECT group_id, post_id, source_url AS permalink, description A
 def _(t):
     posts = extract_json.extract_group_posts(story_payloads(t), group_targets(t), 3)
     return posts.select("group_id", "post_id", "permalink", "message", "published_timestamp", "used_attached_story",
-                        F.size("images").alias("n_images"), F.col("commerce.formatted_price").alias("formatted_price"), "place")
+                        F.size("images").alias("n_images"), F.col("commerce.formatted_price").alias("formatted_price"),
+                        F.col("place").cast("bigint").alias("place"))
 
 
 @query("x3_merge_group_records", f"SELECT * EXCLUDE (place) FROM ({_POST_ROWS}) x")
@@ -177,7 +178,8 @@ def profile_payloads(t):
         PARTITION BY page_id ORDER BY taken_at DESC, seq DESC, shortcode) AS place FROM v_profile""")
 def _(t):
     return extract_json.extract_profile_posts(profile_payloads(t)).select(
-        "page_id", "shortcode", "caption", "taken_at", F.size("children").alias("n_children"), "place")
+        "page_id", "shortcode", "caption", "taken_at", F.size("children").alias("n_children"),
+        F.col("place").cast("bigint").alias("place"))
 
 
 @query("x5_merge_posts", """

@@ -589,7 +589,7 @@ def _(t):
     FROM v_gallery g JOIN v_listings l ON l.id = g.listing_id JOIN ({_GALLERY_CLASS}) k ON k.listing_id = g.listing_id
     WHERE k.kind IN ('changed', 'recovered')""")
 def _(t):
-    return media.canonicalize_gallery(t.listings, t.images, fetched(t))[1]
+    return media.canonicalize_gallery(t.listings, t.images, fetched(t))[1].withColumn("position", F.col("position").cast("bigint"))
 
 
 @query("n18_additional_images", """
