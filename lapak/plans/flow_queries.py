@@ -109,7 +109,7 @@ SQL_VIEWS["v_answers"] = """
            CASE WHEN seq % 31 = 0 THEN external_id WHEN seq % 37 = 0 THEN ' ' ELSE concat(' ', title) END AS title,
            CASE WHEN seq % 41 = 0 THEN '999999999999' ELSE CAST(price AS VARCHAR) END AS price, location_texts, condition_text,
            CASE WHEN seq % 5 = 0 THEN 'gone' ELSE 'sold' END AS status, category, brand
-    FROM v_listings WHERE seq % 193 <> 0"""
+    FROM v_listings WHERE brand IS NOT NULL OR price IS NOT NULL"""
 
 
 def items(t):
@@ -123,7 +123,7 @@ def items(t):
 
 
 def answers(t):
-    return t.listings.filter("seq % 193 <> 0").selectExpr(
+    return t.listings.filter("brand is not null or price is not null").selectExpr(
         "seq div 5 AS batch",
         "CASE WHEN seq % 197 = 0 THEN 'other' WHEN seq % 211 = 0 THEN 'same' ELSE external_id END AS external_id",
         "seq % 29 <> 0 AS is_listing",

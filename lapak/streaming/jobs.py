@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lapak.functions.values import unseen_count
 from lapak.operators.facets import feed_version
+from lapak.operators.ordering import SEGMENT, segment_of
 from lapak.operators.upsert import clear_rejections, replace_images, upsert_listings, upsert_rejections
 from lapak.schemas import IMAGE, LISTING, REJECTION
 from lapak.session import scratch_path
@@ -67,20 +68,27 @@ def upsert_stream(stream: DataFrame, base: str, split: Callable[[DataFrame], tup
     return query
 
 
-def feed_revision(history: DataFrame, acknowledgements: DataFrame | None = None) -> DataFrame:
+def feed_revision(history: DataFrame, acknowledgements: DataFrame | None = None, segment_size: int = SEGMENT) -> DataFrame:
     """Unseen count at every observed version.
 
-    ``history``: seq, revision, total_count, one row per poll and hence small; ``acknowledgements``: seq of the polls
-    a reader confirmed. The first poll counts as confirmed.
+    ``history``: seq, revision, total_count, one row per poll; ``acknowledgements``: seq of the polls a reader
+    confirmed. The first poll counts as confirmed. The confirmed version is carried inside segments of arrival numbers
+    and, through one summary row per segment, across them, so no task sees the whole history.
     """
     rows = history.withColumn("_ack", F.lit(False))
     if acknowledgements is not None:
         marks = acknowledgements.select("seq", F.lit(True).alias("_mark")).distinct()
         rows = history.join(marks, "seq", "left").withColumn("_ack", F.coalesce("_mark", F.lit(False))).drop("_mark")
-    order = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    base = F.struct("revision", "total_count")
-    confirmed = F.coalesce(F.last(F.when(F.col("_ack"), base), ignorenulls=True).over(order), F.first(base).over(order))
-    return rows.withColumn("_base", confirmed).select(
+    rows = rows.withColumn("_seg", segment_of("seq", segment_size)).withColumn("_b", F.struct("revision", "total_count"))
+    inside = Window.partitionBy("_seg").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    near = F.last(F.when(F.col("_ack"), F.col("_b")), ignorenulls=True).over(inside)
+    segments = rows.groupBy("_seg").agg(
+        F.max_by("_b", F.when(F.col("_ack"), F.col("seq"))).alias("_last"), F.min_by("_b", "seq").alias("_first"))
+    before = Window.orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("_seg").rowsBetween(Window.unboundedPreceding, 0)
+    carried = segments.select("_seg", F.coalesce(
+        F.last("_last", ignorenulls=True).over(before), F.first("_first").over(whole)).alias("_far"))
+    return rows.withColumn("_near", near).join(carried, "_seg").withColumn("_base", F.coalesce("_near", "_far")).select(
         "seq", "revision", "total_count",
         unseen_count(F.col("_base.revision"), F.col("_base.total_count"), F.col("revision"), F.col("total_count"))
         .alias("unseen"))

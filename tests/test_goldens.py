@@ -162,8 +162,9 @@ def test_unseen_counts(spark):
     polls = [(1, "a", 20), (2, "b", 23), (3, "c", 22), (4, "d", 30), (5, "e", 31)]
     history = spark.createDataFrame(polls, "seq bigint, revision string, total_count bigint")
     confirmed = spark.createDataFrame([(3,)], "seq bigint")
-    unseen = [r["unseen"] for r in feed_revision(history, confirmed).orderBy("seq").collect()]
-    assert unseen == [0, 3, 0, 8, 9]
+    for size in (1, 2, 100):
+        unseen = [r["unseen"] for r in feed_revision(history, confirmed, size).orderBy("seq").collect()]
+        assert unseen == [0, 3, 0, 8, 9]
 
 
 def test_buckets(spark):
