@@ -350,16 +350,17 @@ def feed_page(filtered: DataFrame, sort: str = "newest", limit: int = 24, cursor
 def read_page(page: DataFrame, listings: DataFrame, moderation: DataFrame | None = None) -> DataFrame:
     """Full rows of a page in page order; a key without a row is an error.
 
-    The page has at most 51 rows, so it is broadcast and the wide table is only filtered, never shuffled.
+    A page comes from a limit, whose size estimate makes Spark broadcast it by itself, so the wide table is only
+    filtered and never shuffled; a larger set of keys would be joined by size like any other.
     """
-    rows = listings.join(F.broadcast(page.select("id")), "id", "left_semi")
+    rows = listings.join(page.select("id"), "id", "left_semi")
     joined = page.join(rows, "id", "left")
     checked = joined.withColumn("source_url", F.when(
         F.col("source_url").isNull(), F.raise_error(F.lit("ranked listing disappeared before it was read"))
     ).otherwise(F.col("source_url")))
     if moderation is not None:
         marks = moderation.select(F.col("listing_id").alias("id"), "seller_name_override")
-        marks = marks.join(F.broadcast(page.select("id")), "id", "left_semi")
+        marks = marks.join(page.select("id"), "id", "left_semi")
         checked = checked.join(marks, "id", "left")
     return checked
 

@@ -19,12 +19,15 @@ AMBIGUOUS_CONDITIONS = ("bekas", "like new", "mulus", "normal", "second", "used"
 COVERAGE_TARGET = 0.80
 
 
-def scan_listings(listings: DataFrame, images: DataFrame) -> DataFrame:
-    """SRC1: listings with their image count. The report order (platform, first fetch descending, id) is left to the
-    writer, since sorting a full table only pays when it is written sorted."""
+def scan_listings(listings: DataFrame, images: DataFrame, ordered: bool = False) -> DataFrame:
+    """SRC1: listings with their image count; ``ordered`` sorts by platform, newest first fetch and id.
+
+    The order is off by default, since sorting a full table only pays when it is written sorted.
+    """
     counts = images.groupBy(F.col("listing_id").alias("id")).agg(F.count(F.lit(1)).alias("image_count"))
-    return listings.join(counts, "id", "left").withColumn(
+    rows = listings.join(counts, "id", "left").withColumn(
         "image_count", F.coalesce("image_count", F.lit(0).cast("bigint")))
+    return rows.orderBy("platform", F.col("first_fetched_at").desc(), "id") if ordered else rows
 
 
 def _missing(column: str) -> Column:

@@ -72,8 +72,8 @@ def ready_batch_or_wait(queue: DataFrame, as_of, size: int, max_wait: float, lea
 
 
 def lease(queue: DataFrame, batch: DataFrame, as_of) -> DataFrame:
-    """Mark the rows of a ready batch (at most 50, hence broadcast) as leased."""
-    taken = F.broadcast(batch.select("id", F.lit(True).alias("_taken")))
+    """Mark the rows of a ready batch as leased."""
+    taken = batch.select("id", F.lit(True).alias("_taken"))
     rows = queue.join(taken, "id", "left")
     hit = F.coalesce("_taken", F.lit(False)) & (F.col("status") == "pending")
     return rows.withColumns({

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from lapak.functions.text import normalize_listing_content, normalize_seller_name
 from lapak.functions.values import effective_seller
-from lapak.schemas import FACEBOOK_PLATFORMS
+from lapak.schemas import FACEBOOK_PLATFORMS, PLATFORMS
 
 
 def with_moderation(listings: DataFrame, moderation: DataFrame, controls: DataFrame) -> DataFrame:
     """Moderation by listing id and the platform switch.
 
-    ``controls`` holds one row per platform, which the platform enumeration bounds, so it is broadcast.
+    Only rows of known platforms count, one each, so the broadcast side has at most four rows.
     """
-    switches = controls.select("platform", "public_visible").dropDuplicates(["platform"])
+    switches = controls.select("platform", "public_visible").filter(
+        F.col("platform").isin(*PLATFORMS)).dropDuplicates(["platform"])
     marks = moderation.select(F.col("listing_id").alias("id"), "hidden", "seller_name_override")
     return listings.join(F.broadcast(switches), "platform", "left").join(marks, "id", "left")
 

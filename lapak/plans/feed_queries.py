@@ -24,6 +24,18 @@ def _(t):
     return t.visible.select("id", "platform", "seller_name_override")
 
 
+@query("p1_visible_without_seller_rule", f"""
+    SELECT l.id FROM v_listings l LEFT JOIN v_moderation m ON m.listing_id = l.id
+    WHERE NOT coalesce(m.hidden, FALSE) AND l.platform <> 'instagram'
+      AND NOT EXISTS (SELECT 1 FROM v_blocks b WHERE b.platform = l.platform AND b.field = 'title'
+                      AND b.normalized_value = {norm_sql('l.title')})
+      AND NOT EXISTS (SELECT 1 FROM v_blocks b WHERE b.platform = l.platform AND b.field = 'description'
+                      AND b.normalized_value = {norm_sql('l.description')})""")
+def _(t):
+    controls = t.controls.withColumn("public_visible", F.col("platform") != "instagram")
+    return visibility.visible_listings(t.listings, t.moderation, controls, t.blocks, t.flags, check_sellers=False).select("id")
+
+
 @query("j1_listing_moderation_controls", """
     SELECT l.id, m.hidden, m.seller_name_override, c.public_visible
     FROM v_listings l LEFT JOIN v_moderation m ON m.listing_id = l.id LEFT JOIN v_controls c ON c.platform = l.platform""")
