@@ -350,17 +350,21 @@ def feed_page(filtered: DataFrame, sort: str = "newest", limit: int = 24, cursor
 def read_page(page: DataFrame, listings: DataFrame, moderation: DataFrame | None = None) -> DataFrame:
     """Full rows of a page in page order; a key without a row is an error.
 
-    A page comes from a limit, whose size estimate makes Spark broadcast it by itself, so the wide table is only
-    filtered and never shuffled; a larger set of keys would be joined by size like any other.
+    The at most 51 keys pass through the driver, so the ranking behind them runs once, and they reach the wide scans
+    as a pushed-down IN filter; nothing wide is shuffled.
     """
-    rows = listings.join(page.select("id"), "id", "left_semi")
+    keys = page.take(MAX_PAGE + 2)
+    if len(keys) > MAX_PAGE + 1:
+        raise ValueError("a page has at most 51 rows")
+    ids = [k["id"] for k in keys]
+    page = page.sparkSession.createDataFrame(keys, page.schema)
+    rows = listings.filter(F.col("id").isin(ids))
     joined = page.join(rows, "id", "left")
     checked = joined.withColumn("source_url", F.when(
         F.col("source_url").isNull(), F.raise_error(F.lit("ranked listing disappeared before it was read"))
     ).otherwise(F.col("source_url")))
     if moderation is not None:
-        marks = moderation.select(F.col("listing_id").alias("id"), "seller_name_override")
-        marks = marks.join(page.select("id"), "id", "left_semi")
+        marks = moderation.select(F.col("listing_id").alias("id"), "seller_name_override").filter(F.col("id").isin(ids))
         checked = checked.join(marks, "id", "left")
     return checked
 
