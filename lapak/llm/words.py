@@ -12,7 +12,7 @@ import xxhash
 from lapak.llm.batches import worker_cache
 
 TOKENIZER = "word_bpe_49k.json"
-TABLE_WORDS = 500_000
+TABLE_WORDS = 700_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -23,19 +23,19 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def word_lists(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+def word_lists(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of each text: codes of all words in order, the distinct words, words per text.
 
-    A null text has no word.
+    A null text has no word. ``lower`` folds ASCII letters.
     """
     data = pc.fill_null(texts, "").cast(pa.large_string())
-    lists = pc.ascii_split_whitespace(data)
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(data) if lower else data)
     flat = lists.flatten()
     full = pc.greater(pc.binary_length(flat), 0)
     mask = full.to_numpy(zero_copy_only=False)
     counts = np.diff(np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))[lists.offsets.to_numpy()])
     coded = flat.filter(full).dictionary_encode()
-    return coded.indices.to_numpy(), coded.dictionary.cast(pa.large_binary()).to_pylist(), counts
+    return coded.indices.to_numpy(), coded.dictionary, counts
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,7 +53,7 @@ def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     A text with fewer words, but at least one, has one shingle of all its words; one without words has none.
     """
     codes, distinct, counts = word_lists(texts)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))[codes]
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.to_pylist()), np.uint64, len(distinct))[codes]
     starts = np.concatenate(([0], np.cumsum(counts)))[:-1]
     made = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
     owner = np.repeat(np.arange(len(counts)), made)
@@ -72,8 +72,9 @@ class WordIds:
     """Token ids of texts, word by word.
 
     The tokenizer drops white space and no token spans it, so the ids of a text are the ids of its words one after
-    another. Each distinct word is encoded once; a full stop or comma behind an ASCII letter is always a token of its
-    own and is split off before, so that fewer words are distinct. Both rules are tested against whole texts.
+    another. A full stop or comma behind an ASCII letter is always a token of its own and is split off, and case is
+    folded as the tokenizer does, so fewer words are distinct; each is encoded once. A word of letters only is one
+    unit of the tokenizer's byte-pair model and goes to it directly. The rules are tested against whole texts.
     """
 
     def __init__(self, path: str):
@@ -81,59 +82,87 @@ class WordIds:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self._encode(" \x00 ")
-        self.tail = {m: self._encode(m) for m in (".", ",")}
+        self.mark = self._encode([" \x00 "])[0]
+        # The byte-level alphabet: printable bytes stand for themselves, the others follow from code point 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        self.alphabet = {b: chr(256 + k) for k, b in enumerate(others)}
         self.clear()
 
-    def _encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
     def clear(self) -> None:
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Ids of new words. Many are joined by a mark that is a token of its own, which is faster than one by one."""
-        cores: dict[bytes, np.ndarray | None] = {}
-        for w in words:
-            cores[self._core(w)[0]] = None
-        plain = [c for c in cores if c and c not in self.known and b"\x00" not in c and b"<|" not in c]
-        for at in range(0, len(plain), 1000):
-            part = plain[at:at + 1000]
-            ids = np.array(self._encode(" \x00 ".join(c.decode() for c in part)), np.uint32)
-            cuts = np.flatnonzero(ids == self.mark[0])
-            if len(self.mark) == 1 and len(cuts) == len(part) - 1:
-                for c, found in zip(part, np.split(ids, cuts)):
-                    self.known[c] = found[1:] if c is not part[0] else found
-        for w in words:
-            core, tail = self._core(w)
-            if core not in self.known:
-                self.known[core] = np.array(self._encode(core.decode()), np.uint32)
-            if tail:
-                self.known[w] = np.concatenate((self.known[core], np.array(self.tail[tail], np.uint32)))
-
-    @staticmethod
-    def _core(word: bytes) -> tuple[bytes, str]:
-        if len(word) > 1 and word[-1] in b".," and (97 <= word[-2] <= 122 or 65 <= word[-2] <= 90):
-            return word[:-1], chr(word[-1])
-        return word, ""
+        """Forget all words. The first two places of the pool are the split-off full stop and comma."""
+        self.place: dict[str, int] = {}
+        self.pool = np.array([self._encode([m])[0][0] for m in ".,"], np.uint32)
+        self.begin, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _unit(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word)]
+
+    def _learn(self, words: list[str]) -> None:
+        found: list[list[int]] = [[]] * len(words)
+        letters, mixed, alone = [], [], []
+        for at, w in enumerate(words):
+            if w.isalpha():
+                if w.isascii():
+                    found[at] = self._unit(w.lower())
+                else:
+                    letters.append(at)
+            else:
+                (alone if "\x00" in w or "<|" in w else mixed).append(at)
+        for k in range(0, len(letters), 1000):
+            part = letters[k:k + 1000]
+            normal = self.tokenizer.normalizer.normalize_str(" ".join(words[at] for at in part)).split(" ")
+            if len(normal) != len(part):
+                alone += part
+                continue
+            for at, w in zip(part, normal):
+                if w.isalpha():
+                    found[at] = self._unit(w.encode().decode("latin-1").translate(self.alphabet))
+                else:
+                    alone.append(at)
+        # The others are joined by a mark that is always a token of its own, which is faster than one by one.
+        for k in range(0, len(mixed), 100):
+            part = mixed[k:k + 100]
+            ids = self._encode([" \x00 ".join(words[at] for at in part)])[0]
+            cuts = [-1, *[i for i, x in enumerate(ids) if x == self.mark[0]], len(ids)]
+            if len(self.mark) != 1 or len(cuts) != len(part) + 1:
+                alone += part
+                continue
+            for at, a, b in zip(part, cuts, cuts[1:]):
+                found[at] = ids[a + 1:b]
+        for at, ids in zip(alone, self._encode([words[at] for at in alone])):
+            found[at] = ids
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        self.place.update(zip(words, range(len(self.begin), len(self.begin) + len(words))))
+        self.begin = np.concatenate((self.begin, len(self.pool) + np.cumsum(size) - size))
+        self.length = np.concatenate((self.length, size))
+        self.pool = np.concatenate((self.pool, np.fromiter((i for ids in found for i in ids), np.uint32, int(size.sum()))))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) in order and the number of ids per text; null counts as an empty text."""
-        codes, distinct, counts = word_lists(texts)
-        if len(self.known) > TABLE_WORDS:
+        special = pc.any(pc.match_substring(pc.fill_null(texts, ""), "<|")).as_py()
+        codes, distinct, counts = word_lists(texts, lower=not special)
+        ends = np.where(pc.match_substring_regex(distinct, "[A-Za-z][.]$").to_numpy(zero_copy_only=False), 0,
+                        np.where(pc.match_substring_regex(distinct, "[A-Za-z],$").to_numpy(zero_copy_only=False), 1, -1))
+        tailed = pa.array(ends >= 0)
+        bare = pc.utf8_slice_codeunits(distinct, 0, -1)
+        cores = pc.if_else(tailed, bare, distinct).dictionary_encode()
+        names = cores.dictionary.to_pylist()
+        if len(self.place) > TABLE_WORDS:
             self.clear()
-        new = [w for w in distinct if w not in self.known]
-        if new:
-            self._learn(new)
-        parts = [self.known[w] for w in distinct]
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        pool = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        begin = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-        size = lengths[codes]
+        self._learn([w for w in names if w not in self.place])
+        row = np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))[cores.indices.to_numpy()]
+        begin, core_size = self.begin[row], self.length[row]
+        size = (core_size + (ends >= 0))[codes]
         total = np.concatenate(([0], np.cumsum(size)))
         at = np.repeat(begin[codes] - total[:-1], size) + np.arange(total[-1])
-        per_text = np.diff(total[np.concatenate(([0], np.cumsum(counts)))])
-        return pool[at], per_text
+        tail = ends[codes]
+        with_tail = tail >= 0
+        at[total[1:][with_tail] - 1] = tail[with_tail]
+        return self.pool[at], np.diff(total[np.concatenate(([0], np.cumsum(counts)))])
 
 
 def word_ids(name: str) -> WordIds:
