@@ -28,9 +28,8 @@ def word_lists(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Arr
 
     A null text has no word. ``lower`` folds ASCII letters.
     """
-    data = pc.fill_null(texts, "").cast(pa.large_string())
-    if data.offset:  # Arrow's ascii_lower reads a slice from its wrong end
-        data = data.take(pa.array(np.arange(len(data))))
+    # A copy that starts at offset 0: Arrow's ascii_lower spoils slices.
+    data = pc.fill_null(texts, "").cast(pa.large_string()).take(pa.array(np.arange(len(texts))))
     lists = pc.ascii_split_whitespace(pc.ascii_lower(data) if lower else data)
     flat = lists.flatten()
     full = pc.greater(pc.binary_length(flat), 0)
