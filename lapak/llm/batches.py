@@ -16,12 +16,13 @@ from lapak.session import checkpoint_dir
 MAX_BYTES = 4 << 20
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = MAX_BYTES) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose ``column`` holds at most ``max_bytes``, or one longer row."""
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = MAX_BYTES, max_rows: int = 1 << 20
+           ) -> Iterator[pa.RecordBatch]:
+    """Runs of at most ``max_rows`` rows whose ``column`` holds at most ``max_bytes``, or one longer row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = held = 0
     for at, size in enumerate(sizes):
-        if at > start and held + size > max_bytes:
+        if at > start and (held + size > max_bytes or at - start >= max_rows):
             yield batch.slice(start, at - start)
             start, held = at, 0
         held += size
