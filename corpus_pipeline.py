@@ -6,18 +6,39 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapak.llm import packing
+from lapak.llm import lines, near, packing, private, quality
 from lapak.session import checkpoint_dir
 
 ORACLE_SQL = None  # spans, near duplicates and packing are beyond SQL; tests compare with a brute-force version
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
+    return quality.keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without later copies of repeated runs of lines."""
+    return lines.deduplicated(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return near.keep_one(docs)
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return private.mask(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 ids for what is left."""
     return packing.pack(docs)
 
 
-STAGES = [("best_fit_packing", best_fit_packing)]
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup),
+          ("private_data", private_data), ("best_fit_packing", best_fit_packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

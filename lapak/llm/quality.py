@@ -39,13 +39,14 @@ def _only(text: Column, kept: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{kept}]+", ""))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """Base counts and histograms of each document; everything stays inside its row.
+def features(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """Base counts and histograms of each document; everything stays inside its row. ``whole`` adds the row as _doc.
 
     A window of eight words is known by a 64-bit hash; positions are compared only in documents where a hash repeats.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = computed(docs.select("doc_id", "lang", text.alias("_text")),
+    given = [F.struct(*docs.columns).alias("_doc")] if whole else []
+    rows = computed(docs.select("doc_id", "lang", text.alias("_text"), *given),
                     _words=F.array_remove(F.split("_text", f"{SPACE}+"), ""),
                     _lines=F.filter(F.split("_text", "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0))
     windows = F.transform(F.sequence(F.lit(1), F.size("_words") - WIDTH + 1),
@@ -78,8 +79,8 @@ def features(docs: DataFrame) -> DataFrame:
         hits = F.when(F.col("lang") == lang, counts).otherwise(hits)
     rows = computed(rows, n_repeat_words=F.coalesce(covered, F.lit(0).cast("long")), _hits=hits)
     return rows.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars",
-        F.array(F.col("n_chars") - named, "_upper", "_digit", "_mark", "_other", "n_symbols", space).alias("chars"),
+        *(["_doc"] if whole else []), "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "n_repeat_words", "n_chars", F.array(F.col("n_chars") - named, "_upper", "_digit", "_mark", "_other", "n_symbols", space).alias("chars"),
         F.concat("_hits", F.array(F.col("n_words") - F.aggregate("_hits", F.lit(0).cast("long"), lambda a, x: a + x))
                  ).alias("words"))
 
@@ -98,14 +99,8 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    char_distance, word_distance (six decimals; null where not compared).
-
-    A null text has no words and fails the base rules. A document of a language without reference is judged by the base
-    rules alone. Repeated rows are judged each by itself; an empty table gives no rows.
-    """
-    found = written(features(docs).withColumn("base_failed", base_failed()), "quality")
+def _judged(docs: DataFrame, whole: bool) -> DataFrame:
+    found = written(features(docs, whole).withColumn("base_failed", base_failed()), "quality")
     sums = [F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(7)]
     sums += [F.sum(F.get("words", F.lit(i))).alias(f"w{i}") for i in range(max(map(len, COMMON_WORDS.values())) + 1)]
     good = found.filter(F.col("lang").isin(*COMMON_WORDS) & ~F.col("base_failed"))
@@ -121,8 +116,24 @@ def judge(docs: DataFrame) -> DataFrame:
         "word_distance": F.round(F.when(long_enough, js_distance(F.col("words"), F.col("_words"))), 6)})
     far = (F.coalesce(F.col("char_distance") > MAX_CHAR_DISTANCE, F.lit(False))
            | F.coalesce(F.col("word_distance") > MAX_WORD_DISTANCE, F.lit(False)))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                       (~F.col("base_failed") & ~far).alias("kept"), "char_distance", "word_distance")
+    return rows.withColumn("kept", ~F.col("base_failed") & ~far)
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
+    char_distance, word_distance (six decimals; null where not compared).
+
+    A null text has no words and fails the base rules. A document of a language without reference is judged by the base
+    rules alone. Repeated rows are judged each by itself; an empty table gives no rows.
+    """
+    return _judged(docs, False).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "char_distance", "word_distance")
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The documents that ``judge`` keeps, with all their columns."""
+    return _judged(docs, True).filter("kept").select("_doc.*")
 
 
 @query("op5_quality_rules")
