@@ -1,7 +1,7 @@
 """Removal of repeated byte strings: suffixes that may repeat are range-partitioned, sorted and compared.
 
-A string of SPAN bytes that occurs twice shows the same minimal 24-byte piece at the same place in both (the leftmost
-one with the least hash). So only suffixes that start at such anchors, about one in fourteen, need to be known:
+A string of SPAN bytes that occurs twice shows the same minimal PIECE bytes at the same place in both (the leftmost
+ones with the least hash). So only suffixes that start at such anchors, about one in fifteen, need to be known:
 
 1. The anchors of all texts are grouped by the hash of their piece; pieces seen in one document only are dropped.
 2. The suffixes left, with the bytes before them that a string of SPAN bytes can reach, go to buckets by splitters of
@@ -28,12 +28,14 @@ from lapak.llm.registry import query, table
 from lapak.llm.words import mix
 
 SPAN = 50
-PIECE = 24
+PIECE = 20
 REACH = SPAN - PIECE
 WIDTH = REACH + SPAN
 SAMPLE = 20_000
 CHUNK = 1 << 18
 FLUSH = 8 << 20
+PART = 1 << 14
+KEY = 6  # bytes of a piece hash that travel; equal ones by chance are told apart by the bytes themselves
 LOW = np.uint64((1 << 20) - 1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 PACKED = "bucket int, kind int, a binary, b binary, c binary, d binary, e binary"
@@ -73,8 +75,6 @@ def rolling(data: np.ndarray, width: int) -> np.ndarray:
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions and piece hashes of the anchors of all windows of SPAN bytes inside the texts that end at ``ends``."""
     found, hashes = [], []
-    starts = np.concatenate(([0], ends))[:-1]
-    limit = np.repeat(ends, ends - starts) - SPAN  # last window start of the text of each byte
     for begin in range(0, len(data) - SPAN + 1, CHUNK):
         part = data[begin:begin + CHUNK + SPAN - 1]
         piece = rolling(part, PIECE)
@@ -84,7 +84,10 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             step = min(width, REACH + 1 - width)
             key = np.minimum(key[:-step], key[step:])
             width += step
-        inside = np.arange(begin, begin + len(key)) <= limit[begin:begin + len(key)]
+        # Windows must end inside the text in which they start.
+        texts = ends[np.searchsorted(ends, begin, "right"):np.searchsorted(ends, begin + len(key)) + 1]
+        sizes = np.diff(np.minimum(np.concatenate(([begin], texts)), begin + len(key)))
+        inside = np.arange(begin, begin + len(key)) <= np.repeat(texts, sizes) - SPAN
         at = (key[inside] & LOW).astype(np.int64)
         if len(at):
             at = at[np.concatenate(([True], at[1:] != at[:-1]))]
@@ -97,15 +100,20 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at[fresh], piece[fresh]
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of equal weight side by side: the many zero bytes of small numbers then vanish in compression."""
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+def _planes(x: np.ndarray, size: int | None = None) -> bytes:
+    """The low ``size`` bytes of numbers, bytes of equal weight side by side: zero bytes then vanish in compression."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize)[:, :size].T.tobytes()
 
 
-def _unplane(raw: list[bytes], kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.concatenate([np.zeros(0, kind)] + [
-        np.ascontiguousarray(np.frombuffer(r, np.uint8).reshape(size, -1).T).view(kind).ravel() for r in raw])
+def _unplane(raw: list[bytes], kind: str, size: int | None = None) -> np.ndarray:
+    size = size or np.dtype(kind).itemsize
+    out = np.zeros((sum(map(len, raw)) // size, np.dtype(kind).itemsize), np.uint8)
+    at = 0
+    for r in raw:
+        n = len(r) // size
+        out[at:at + n, :size] = np.frombuffer(r, np.uint8).reshape(size, n).T
+        at += n
+    return out.view(kind).ravel()
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -152,9 +160,10 @@ def _map_pieces(buckets: int):
             # Of a piece seen in several documents here, one row tells the other tasks.
             send = ~known
             send[start[several]] = True
-            where = (mix(piece[send]) % np.uint64(buckets)).astype(np.int64)
-            for b, (p, d, a, k) in _spread(where, [piece[send], doc[send], at[send], known[send]]):
-                rows.append((b, 0, p.tobytes(), _planes(d), _planes(a.astype(np.uint32)), np.packbits(k).tobytes(), b""))
+            code = mix(piece[send])
+            where = (code % np.uint64(buckets)).astype(np.int64)
+            for b, (p, d, a, k) in _spread(where, [code >> np.uint64(16), doc[send], at[send], known[send]]):
+                rows.append((b, 0, _planes(p, KEY), _planes(d), _planes(a.astype(np.uint32)), np.packbits(k).tobytes(), b""))
             return _batch(rows)
 
         for whole in batches:
@@ -195,9 +204,9 @@ def _reduce_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             else:
                 held.append(cells)
     if held:
-        piece = np.frombuffer(b"".join(c[0] for c in held), np.uint64)
+        piece = _unplane([c[0] for c in held], "<u8", KEY)
         doc, at = _unplane([c[1] for c in held], "<i8"), _unplane([c[2] for c in held], "<u4")
-        known = np.concatenate([np.unpackbits(np.frombuffer(c[3], np.uint8))[:len(c[0]) // 8] for c in held]).astype(bool)
+        known = np.concatenate([np.unpackbits(np.frombuffer(c[3], np.uint8))[:len(c[0]) // KEY] for c in held]).astype(bool)
         order = np.lexsort((doc, piece))
         piece, doc, at, known = piece[order], doc[order], at[order], known[order]
         start = _runs(piece)
@@ -248,18 +257,19 @@ def _map_contexts(splitters: np.ndarray):
                 fresh = np.concatenate(([True], (row[1:] != row[:-1]) | (at[1:] != at[:-1])))
                 fresh &= at + PIECE <= (ends - begin)[row]  # another text of the same id may be shorter
                 row, at = row[fresh], at[fresh]
-                left, right = np.minimum(at, REACH), np.minimum(ends[row] - begin[row] - at, SPAN)
+                doc, text_hash = (some.column(c).to_numpy() for c in ("doc_id", "text_hash"))
                 spread = np.arange(-REACH, SPAN)
-                index = np.clip((begin[row] + at)[:, None] + spread, 0, len(data) - 1)
-                inside = (spread >= -left[:, None]) & (spread < right[:, None])
-                context = np.where(inside, data[index], 0).astype(np.uint8)
-                doc = some.column("doc_id").to_numpy().astype(np.int64)[row]
-                held.append((doc, some.column("text_hash").to_numpy()[row], at, left.astype(np.uint8),
-                             right.astype(np.uint8), context))
-                size += context.size
-                if size >= FLUSH:
-                    yield flush()
-                    held, size = [], 0
+                for first in range(0, len(row), PART):
+                    r, p = row[first:first + PART], at[first:first + PART]
+                    left, right = np.minimum(p, REACH), np.minimum(ends[r] - begin[r] - p, SPAN)
+                    index = np.clip((begin[r] + p)[:, None] + spread, 0, len(data) - 1)
+                    inside = (spread >= -left[:, None]) & (spread < right[:, None])
+                    context = np.where(inside, data[index], 0).astype(np.uint8)
+                    held.append((doc[r], text_hash[r], p, left.astype(np.uint8), right.astype(np.uint8), context))
+                    size += context.size
+                    if size >= FLUSH:
+                        yield flush()
+                        held, size = [], 0
         if held:
             yield flush()
 
@@ -286,38 +296,34 @@ def _reduce_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     at = _unplane([c[2] for c in held], "<u4").astype(np.int64)
     left, right = np.frombuffer(b"".join(c[3] for c in held), np.uint8).reshape(-1, 2).T.astype(np.int64)
     context = np.frombuffer(b"".join(c[4] for c in held), np.uint8).reshape(-1, WIDTH)
-    suffix = np.ascontiguousarray(context[:, REACH:]).view(f"V{SPAN}").ravel()
     order = np.argsort(np.ascontiguousarray(context[:, REACH:]).view(f"S{SPAN}").ravel(), kind="quicksort")
-    del suffix
     doc, text_hash, at, left, right, context = (x[order] for x in (doc, text_hash, at, left, right, context))
     piece = context[:, REACH:REACH + PIECE]
     start = np.flatnonzero(np.concatenate(([True], (piece[1:] != piece[:-1]).any(1))))
     length = np.diff(np.append(start, len(piece)))
-    low, high = np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)
-    cuts = np.concatenate((np.arange(0, len(start), 20_000), [len(start)]))
+    several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
+    group = np.repeat(np.arange(len(start), dtype=np.uint64), length)[np.repeat(several, length)]
+    rows = np.flatnonzero(np.repeat(several, length))
+    # Whole groups, about PART suffixes at a time.
+    cuts = np.unique(np.append(np.searchsorted(group, group[::PART]), len(rows))) if len(rows) else []
     for a, b in zip(cuts, cuts[1:]):
-        rows = np.repeat(low[a:b] != high[a:b], length[a:b]).nonzero()[0] + start[a]
-        if not len(rows):
-            continue
-        group = np.searchsorted(start, rows, "right").astype(np.uint64)
-        windows = rolling(context[rows], SPAN)  # column k starts REACH - k bytes before the anchor
-        before = REACH - np.arange(REACH + 1)
-        valid = (before <= left[rows][:, None]) & (SPAN - before <= right[rows][:, None])
-        r, k = np.nonzero(valid)
-        code, owner = mix(windows[r, k] + group[r] * BASE) ^ k.astype(np.uint64), doc[rows][r]
-        by = np.lexsort((owner, code))
-        first = _runs(code[by])
-        least = np.repeat(owner[by][first], np.diff(np.append(first, len(by))))
-        hit = np.zeros(len(by), bool)
-        hit[by] = owner[by] > least
-        r, k = r[hit], k[hit]
-        if not len(r):
-            continue
+        here = rows[a:b]
+        windows = rolling(context[here], SPAN)  # column k starts REACH - k bytes before the anchor
+        hit = np.zeros(windows.shape, bool)
+        for k in range(REACH + 1):
+            before = REACH - k
+            valid = np.flatnonzero((before <= left[here]) & (SPAN - before <= right[here]))
+            code, owner = mix(windows[valid, k] + group[a:b][valid] * BASE), doc[here][valid]
+            by = np.lexsort((owner, code))
+            first = _runs(code[by])
+            least = np.repeat(owner[by][first], np.diff(np.append(first, len(by))))
+            hit[valid[by], k] = owner[by] > least
         # Neighbouring windows of one anchor are one stretch.
-        opens = np.concatenate(([True], (r[1:] != r[:-1]) | (k[1:] != k[:-1] + 1)))
-        closes = np.append(opens[1:], True)
-        row = rows[r[opens]]
-        yield out(doc[row], text_hash[row], at[row] - before[k[opens]], at[row] - before[k[closes]] + SPAN)
+        edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        row, opens = np.nonzero(edge == 1)
+        closes = np.nonzero(edge == -1)[1] - 1
+        row = here[row]
+        yield out(doc[row], text_hash[row], at[row] - REACH + opens, at[row] - REACH + closes + SPAN)
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
