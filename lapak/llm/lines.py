@@ -23,7 +23,9 @@ BLANK = " \t\n\x0b\x0c\r"
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_own", F.xxhash64("_text"))
+    """doc_id, _text, _own (hash of the text) and the whole row as _doc, so that its other names cannot clash."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"), F.struct(*docs.columns).alias("_doc"))
+    return rows.withColumn("_own", F.xxhash64("_text"))
 
 
 def line_ids(docs: DataFrame) -> DataFrame:
@@ -71,16 +73,16 @@ def repeated_starts(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """The documents, all columns kept, with ``text`` without later copies of repeated runs, and _n_lines, _n_removed,
-    _n_runs and _longest_run. Lines are parted by line feeds; blank ones go and stay with the line above them.
+    """The documents as structs _doc, with _left, their text without later copies of repeated runs, and _n_lines,
+    _n_removed, _n_runs and _longest_run. Lines are parted by line feeds; blank ones go and stay with the line above.
 
     A null text stays null. Rows equal in id and text count as one document and get the same result. A document may be
     left with an empty text. An empty table gives no rows.
     """
     starts = repeated_starts(docs, min_lines).groupBy("doc_id", "own").agg(F.sort_array(F.collect_list("at")).alias("_at"))
-    starts = starts.select(F.col("doc_id").alias("_doc"), F.col("own").alias("_hash"), "_at")
+    starts = starts.select(F.col("doc_id").alias("_id"), F.col("own").alias("_hash"), "_at")
     rows = _texts(docs).join(starts.hint("shuffle_hash"), (F.col("_own") == F.col("_hash")) & F.col("doc_id").eqNullSafe(
-        F.col("_doc")), "left")
+        F.col("_id")), "left")
     gap = lambda s, i, step: F.abs(F.get("_at", i + step) - s)
     far = lambda distance: F.coalesce(distance > min_lines, F.lit(True))
     word = F.length(F.btrim(F.substring_index(F.element_at("_units", 1), "\n", 1), F.lit(BLANK))) > 0
@@ -97,18 +99,19 @@ def without_repeats(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), last), piece)), "\n")
     sizes = F.zip_with("_close", "_open", lambda e, s: e - s)
     rows = computed(
-        rows, text=F.when(F.col("_at").isNull(), F.col("text")).otherwise(kept),
+        rows, _left=F.when(F.col("_at").isNull(), F.col("_doc.text")).otherwise(kept),
         _n_lines=(F.size("_units") - F.when(word, 0).otherwise(1)).cast("long"),
         _n_removed=F.coalesce(F.aggregate(sizes, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"),
         _n_runs=F.when(F.col("_at").isNull(), 0).otherwise(last).cast("long"),
         _longest_run=F.coalesce(F.array_max(sizes), F.lit(0)).cast("long"))
-    return rows.select(*docs.columns, "_n_lines", "_n_removed", "_n_runs", "_longest_run")
+    return rows.select("_doc", "_left", "_n_lines", "_n_removed", "_n_runs", "_longest_run")
 
 
 def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """The documents with shortened texts and their own columns only; n_chars follows the text."""
-    found = without_repeats(docs, min_lines).select(*docs.columns)
-    return found.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else found
+    new = {"text": F.col("_left"), "n_chars": F.length("_left").cast("long")}
+    found = without_repeats(docs, min_lines)
+    return found.select(*[new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])
 
 
 SQL = r"""
@@ -145,5 +148,5 @@ FROM left_over l LEFT JOIN runs r ON r.doc_id = l.doc_id
 @query("op7_line_dedup", SQL)
 def _(spark, sf_dir):
     found = without_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"),
-                        F.col("_n_runs").alias("n_runs"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return found.select("_doc.doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"),
+                        F.col("_n_runs").alias("n_runs"), F.sha2(F.coalesce("_left", F.lit("")), 256).alias("kept_sha256"))

@@ -244,10 +244,11 @@ def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     group = F.when(F.col("class_id").isNull(), F.col("md5"))
     chosen = classes.distinct().withColumn("_group", group).withColumn("_n", F.row_number().over(order)).filter(
         "_n = 1").select(F.col("doc_id").alias("_id"), F.col("md5").alias("_md5"))
-    keyed = docs.withColumn("_own", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    kept = keyed.join(chosen, (F.col("_own") == F.col("_md5")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    once = Window.partitionBy("_own", "doc_id").orderBy(F.lit(0))
-    return kept.withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n", "_own")
+    keyed = docs.select(F.struct(*docs.columns).alias("_doc")).select(
+        "_doc", F.col("_doc.doc_id").alias("_key"), F.unhex(F.md5(F.coalesce("_doc.text", F.lit("")))).alias("_own"))
+    kept = keyed.join(chosen, (F.col("_own") == F.col("_md5")) & F.col("_key").eqNullSafe(F.col("_id")), "left_semi")
+    once = Window.partitionBy("_own", "_key").orderBy(F.lit(0))
+    return kept.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select("_doc.*")
 
 
 @query("op3_minhash_near_dedup")

@@ -394,7 +394,8 @@ def decode_batch(v: Vocabulary, ids: pa.Array) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy())))
     joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), pa.scalar(b"", pa.large_binary()))
     text = pc.replace_substring(joined, SPACE.encode(), b" ")
-    return pc.binary_slice(text, 1).cast(pa.string())
+    # The leading space stands for the start of the text.
+    return pc.replace_substring_regex(text, "^ ", "", max_replacements=1).cast(pa.string())
 
 
 def digests(encoded: DataFrame, model: str = MODEL) -> DataFrame:
