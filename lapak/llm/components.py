@@ -13,18 +13,15 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes the least root among the neighbours and then the root of that root, so long chains shrink fast.
     The roots of a round are written, so lineage stays short and nothing is lost with an executor.
     """
-    edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    roots = both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
-    before = None
+    edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = written(edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))),
+                   "links")
+    roots = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "roots")
     while True:
         near = both.join(roots, both["b"] == roots["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        stepped = roots.join(near, roots["node"] == near["a"], "left").select(
-            "node", F.least("root", F.coalesce("near", "root")).alias("root"))
+        stepped = written(roots.join(near, roots["node"] == near["a"]).select(
+            "node", F.least("root", "near").alias("root"), (F.col("near") < F.col("root")).alias("moved")), "steps")
+        if stepped.filter("moved").isEmpty():
+            return roots
         above = stepped.select(F.col("node").alias("up"), F.col("root").alias("top"))
         roots = written(stepped.join(above, stepped["root"] == above["up"]).select("node", F.col("top").alias("root")), "roots")
-        # Roots only fall, so an equal sum means that none has changed.
-        total = roots.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
-        if total == before:
-            return roots
-        before = total

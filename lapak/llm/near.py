@@ -6,10 +6,10 @@ first; a shingle stops as soon as its next arrival is later than all slots. Two
 probability Jaccard similarity of the texts. Eight slots make a band, and texts that share a band are candidates.
 
 Candidates are verified by the exact probability Jaccard similarity. In a band bucket only links to one member are
-verified at a time; what falls into one component needs no further comparison. Rounds go on, with other members, while
-they merge components. The rest, pairs of different components that share a bucket, is then verified outright, except
-where the triangle inequality of 1 - similarity already rules a link out. So no candidate link between different
-components is left open, and no bucket is expanded into all its pairs.
+verified at a time; what falls into one component needs no further comparison. While more pairs of different components
+share a bucket than a few per member, and links are found, rounds go on with other members. The pairs left are then
+verified outright, except where the triangle inequality of 1 - similarity already rules a link out. So no candidate link
+between different components is left open, and no bucket is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ SLOTS = BANDS * ROWS
 SLICE_BYTES = 1 << 19
 SLICE_ROWS = 400
 CELLS = 1 << 14
+OPEN_PER_MEMBER = 4
 
 
 def weighted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,15 +159,30 @@ def _stars(members: DataFrame, turn: int) -> DataFrame:
         F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
-def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """Roots after the components that ``links`` connect have become one."""
-    named = links
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Roots (node, root) after the components that ``links`` connect have become one; nodes without a row are alone."""
+    if roots is None:
+        return components(links)
     for side in ("a", "b"):
-        name = roots.select(F.col("node").alias(side), F.col("root").alias(f"_{side}"))
-        named = named.join(name, side)
-    joined = components(named.filter("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
-    up = joined.select(F.col("node").alias("root"), F.col("root").alias("_top"))
-    return roots.join(up, "root", "left").select("node", F.coalesce("_top", "root").alias("root"))
+        links = _rooted(links, side, roots, f"_{side}")
+    joined = components(links.filter("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    up = joined.select(F.col("node").alias("_from"), F.col("root").alias("_top"))
+    moved = roots.join(up, roots["root"] == up["_from"], "left").select("node", F.coalesce("_top", "root").alias("root"))
+    fresh = joined.join(roots.select("node"), "node", "left_anti")
+    return written(moved.unionByName(fresh), "roots")
+
+
+def _rooted(rows: DataFrame, node: str, roots: DataFrame, out: str) -> DataFrame:
+    named = roots.select(F.col("node").alias("_of"), F.col("root").alias("_root_of"))
+    return rows.join(named, F.col(node) == F.col("_of"), "left").withColumn(out, F.coalesce("_root_of", node)).drop(
+        "_of", "_root_of")
+
+
+def _open_count(placed: DataFrame) -> int:
+    """Number of pairs of different components in all buckets, from counts."""
+    sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    keys = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    return int(keys.agg(F.sum((F.col("n").cast("decimal(38,0)") * F.col("n") - F.col("same")) / 2)).first()[0] or 0)
 
 
 def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -182,31 +198,30 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     distinct = signed.groupBy("md5").agg(F.min("doc_id").alias("text_id"), F.first("bands").alias("bands"))
     nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()), "texts")
     bands = nodes.select("node", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("node").alias("_low"), F.max("node").alias("_high")).filter("_low < _high")
-    members = written(bands.join(shared, "key").select("key", "node"), "members")
-    candidates = members.select("node").distinct()
-    wanted = nodes.select("node", "md5").join(candidates, "node")
+    shared = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("_high")).filter("low < _high")
+    members = written(bands.join(shared, "key").select("key", "node", "low"), "members")
+    wanted = nodes.select("node", "md5").join(members.select("node").distinct(), "node")
     found = rows.select("md5", "text").join(wanted, "md5")
     texts = written(found.groupBy("node").agg(F.first("text").alias("text")), "candidates")
 
-    roots = written(candidates.withColumn("root", F.col("node")), "roots")
-    known = None
-    turn = 0
+    pairs = members.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    known = written(_verified(pairs, texts), "checked")
+    links = known.filter(F.col("similarity") >= similar).select("a", "b")
+    roots, turn, total = _merged(None, links), 0, members.count()
     while True:
-        placed = members.join(roots, "node")
-        pairs = _stars(placed, turn)
-        if known is not None:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        placed = written(_rooted(members, "node", roots, "root"), "placed")
+        if _open_count(placed) <= OPEN_PER_MEMBER * total or links.isEmpty():
+            break
+        turn += 1
+        pairs = _stars(placed, turn).join(known, ["a", "b"], "left_anti")
         checked = written(_verified(pairs, texts), "checked")
-        known = checked if known is None else known.unionByName(checked)
+        known = known.unionByName(checked)
         links = checked.filter(F.col("similarity") >= similar).select("a", "b")
-        turn += 1
-        if links.isEmpty():
-            break
-        roots = written(_merged(roots, links), "roots")
-    rest = _open_pairs(members, roots, known, similar)
-    links = _verified(rest, texts).filter(F.col("similarity") >= similar).select("a", "b")
-    roots = written(_merged(roots, links), "roots")
+        roots = _merged(roots, links)
+    rest = written(_verified(_open_pairs(placed, known, similar), texts), "rest")
+    links = rest.filter(F.col("similarity") >= similar).select("a", "b")
+    if not links.isEmpty():
+        roots = _merged(roots, links)
 
     rooted = nodes.select("node", "md5", "text_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("text_id").alias("class_id"))
@@ -214,26 +229,22 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return rows.select("doc_id", "md5").join(classes, "md5").select("doc_id", "md5", "text_id", "class_id")
 
 
-def _open_pairs(members: DataFrame, roots: DataFrame, known: DataFrame, similar: float) -> DataFrame:
+def _open_pairs(placed: DataFrame, known: DataFrame, similar: float) -> DataFrame:
     """Pairs of different components that share a bucket, are not verified yet and may be similar.
 
-    For a member c with known similarities to both, |s(a, c) - s(b, c)| > 1 - similar rules out a link.
+    For a member c with known similarities to both, |s(a, c) - s(b, c)| > 1 - similar rules out a link; c is the least
+    member of the bucket.
     """
-    placed = members.join(roots, "node")
     mixed = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high")
-    held = placed.join(mixed.select("key"), "key")
-    order = F.xxhash64("node", F.lit(0))
-    centre = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node")).alias("c")).select(
-        "key", F.col("c.node").alias("c"))
-    held = held.join(centre, "key").withColumns({"_x": F.least("c", "node"), "_y": F.greatest("c", "node")})
-    known = known.select(F.col("a").alias("_x"), F.col("b").alias("_y"), "similarity")
-    held = written(held.join(known, ["_x", "_y"], "left").select("key", "node", "root", "similarity"), "open")
-    left = held.select("key", F.col("node").alias("a"), F.col("root").alias("_a"), F.col("similarity").alias("_s"))
-    right = held.select("key", F.col("node").alias("b"), F.col("root").alias("_b"), F.col("similarity").alias("_t"))
+    near = known.select(F.col("a").alias("low"), F.col("b").alias("node"), "similarity")
+    held = placed.join(mixed.select("key"), "key").join(near, ["low", "node"], "left").select(
+        "key", "node", "root", F.when(F.col("node") == F.col("low"), 1.0).otherwise(F.col("similarity")).alias("s"))
+    held = written(held, "open")
+    left = held.select("key", F.col("node").alias("a"), F.col("root").alias("_a"), F.col("s").alias("_s"))
+    right = held.select("key", F.col("node").alias("b"), F.col("root").alias("_b"), F.col("s").alias("_t"))
     apart = F.coalesce(F.abs(F.col("_s") - F.col("_t")) > 1 - similar + 1e-9, F.lit(False))
     pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("_a") != F.col("_b")) & ~apart)
-    done = known.select(F.col("_x").alias("a"), F.col("_y").alias("b"))
-    return pairs.select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
+    return pairs.select("a", "b").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

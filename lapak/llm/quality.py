@@ -92,7 +92,8 @@ def js_distance(counts: Column, reference: Column) -> Column:
     part = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
     terms = F.zip_with(share(counts), share(reference), lambda p, q: let(
         (p + q) / 2, lambda m: (part(p, m) + part(q, m)) / 2))
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
+    total_of = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
+    return let(total_of, lambda s: F.sqrt(F.when(s < 0, 0.0).otherwise(s)))
 
 
 def base_failed() -> Column:

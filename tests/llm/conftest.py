@@ -24,7 +24,7 @@ def odd_rows() -> list[tuple]:
         (1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "one two three four"), (6, twin), (7, twin), (8, twin + " extra"),
         (8, twin + " extra"), (9, "intro\n" + shared), (10, shared + "\noutro"), (10, "other text of the same id"),
         (None, twin), (None, shared), (11, long_text(5, 4000)), (12, "x" * 3000), (13, "a b " * 300),
-        (14, "write me@example.com or +1 (523) 555-1055 from 10.0.0.1 4111 1111 1111 1111"), (15, "é中🙂 ñ " * 40),
+        (14, "write me@example.com or +1 (523) 555-1055 from 10.0.0.1, 4111 1111 1111 1111"), (15, "é中🙂 ñ " * 40),
         (16, "line\nline\nline\nline\nline"),
     ]
     return [(i, t, "en", "s", None if t is None else len(t), 1, 2, "m", 3, "x", "d", "t", [1]) for i, t in texts]
