@@ -258,17 +258,17 @@ def candidate_key(platform: Column, external_id: Column, source_url: Column) ->
 
 def evidence_fingerprint(platform: Column, source_url: Column, external_id: Column, title: Column,
                          description: Column, seller_name: Column, source_facts: Column) -> Column:
-    """F8: hash of what a reviewer would look at. Images and posting time do not count.
+    """F8: hash of the JSON text, keys sorted, of what a reviewer would look at. Images and posting time do not count.
 
     ``source_facts`` is a map; its entries are sorted so that equal maps give equal hashes. Group posts count by
     identity only, so edits never send them back to review.
     """
     name = F.upper(F.coalesce(F.nullif(platform, F.lit("")), F.lit("UNKNOWN")))
-    identity = [canonical_url(source_url).alias("sourceUrl"), or_blank(external_id).alias("externalId"),
-                name.alias("platform")]
+    url, external, named = (canonical_url(source_url).alias("sourceUrl"), or_blank(external_id).alias("externalId"),
+                            name.alias("platform"))
     facts = F.map_from_entries(F.array_sort(F.map_entries(source_facts)))
     keep_nulls = {"ignoreNullFields": "false"}
-    group = F.to_json(F.struct(*identity, F.lit("facebook_group").alias("sourceType")), keep_nulls)
+    group = F.to_json(F.struct(external, named, F.lit("facebook_group").alias("sourceType"), url), keep_nulls)
     full = F.to_json(F.struct(
         description.alias("description"), or_blank(external_id).alias("externalId"), name.alias("platform"),
         seller_name.alias("sellerName"), facts.alias("sourceFacts"), canonical_url(source_url).alias("sourceUrl"),

@@ -13,9 +13,6 @@ from lapak.functions.values import MIN_PUBLIC_PRICE, PLACEHOLDER_PRICES, effecti
 from lapak.schemas import COLLECTIONS
 
 
-MAX_FACETS = 1000
-
-
 def cover_order() -> Column:
     """Largest struct wins: unsold before sold, then newest, then largest id."""
     return F.struct((F.col("status") != "sold").alias("unsold"), effective_at().alias("at"), F.col("id").alias("id"))
@@ -45,19 +42,13 @@ def category_covers(visible: DataFrame) -> DataFrame:
 def top_categories(visible: DataFrame, images: DataFrame, limit: int = 50) -> DataFrame:
     """Statistics with the position-0 image of the cover, before cleaning.
 
-    The limit comes before the image join. Its few rows pass through the driver, so the pass over the listings runs
-    once, and the cover ids reach the image scan as a pushed-down IN filter.
+    The limit comes before the image join, so few rows meet the position-0 images.
     """
-    if limit > MAX_FACETS:
-        raise ValueError(f"a facet list has at most {MAX_FACETS} rows")
-    ranked = category_stats(visible).orderBy(F.col("count").desc(), "value").limit(limit)
-    rows = ranked.collect()
-    top = visible.sparkSession.createDataFrame(rows, ranked.schema)
+    top = category_stats(visible).orderBy(F.col("count").desc(), "value").limit(limit)
     first = images.filter(F.col("position") == 0).select(
         F.col("listing_id").alias("cover_id"), F.col("source_url").alias("_source"), F.col("cached_url").alias("_cached"),
         F.col("alt_text").alias("cover_alt_text"))
-    wanted = first.filter(F.col("cover_id").isin([r["cover_id"] for r in rows]))
-    return top.join(wanted, "cover_id", "left").select(
+    return top.join(first, "cover_id", "left").select(
         "value", "count", "min_price", F.coalesce("_cached", "_source").alias("cover_image_url"),
         F.col("_cached").isNotNull().alias("cover_image_cached"), "cover_platform", "cover_alt_text")
 

@@ -188,6 +188,9 @@ def audit_feed_requests(requests: DataFrame) -> DataFrame:
     return requests.withColumn("errors", F.array_compact(F.array(*errors)))
 
 
+MAX_WHOLE = (1 << 53) - 1  # largest whole number a double tells from its neighbours
+
+
 def parse_feed_params(urls: DataFrame, column: str = "url") -> DataFrame:
     """P10: filters, order and search text of feed URLs; unsupported and repeated values are dropped."""
     query = F.regexp_extract(F.col(column), r"^[^?#]*\?([^#]*)", 1)
@@ -207,8 +210,10 @@ def parse_feed_params(urls: DataFrame, column: str = "url") -> DataFrame:
 
     def price(key):
         text = web_trim(first(key))
-        return F.when(text.rlike(r"^\+?[0-9]+(?:\.0*)?$") & (F.length(text) <= 16),
-                      F.regexp_extract(text, "([0-9]+)", 1).cast("bigint"))
+        decimal = F.when(text.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), text.cast("double"))
+        number = F.when(text.rlike("^0[xX][0-9a-fA-F]+$"), F.conv(F.substring(text, 3, 1 << 30), 16, 10).cast("double"))
+        value = F.coalesce(decimal, number)
+        return F.when((value == F.floor(value)) & value.between(0, MAX_WHOLE), value.cast("bigint"))
 
     search = F.left(web_trim(F.coalesce(first("q"), F.lit(""))), F.lit(TEXT_BOUND))
     return rows.select(

@@ -10,9 +10,6 @@ from lapak.functions.urls import reddit_image_url, is_reddit_image
 from lapak.functions.values import record_id
 
 
-MAX_PAGE = 1000
-
-
 def images_with_owner(images: DataFrame, listings: DataFrame) -> DataFrame:
     """J8."""
     owners = listings.select(F.col("id").alias("listing_id"), "platform", "external_id", "first_fetched_at")
@@ -66,11 +63,11 @@ def media_summary(downloads: DataFrame, images: DataFrame, stored: DataFrame) ->
 
 
 def listing_page_images(listings: DataFrame, images: DataFrame, after_id: str = "", limit: int = 25) -> DataFrame:
-    """A bounded page of listings with their images; the page is broadcast to the image scan."""
-    page = listings.filter(F.col("id") > after_id).orderBy("id").limit(min(limit, MAX_PAGE)).select(
+    """A page of ``limit`` listings with their images."""
+    page = listings.filter(F.col("id") > after_id).orderBy("id").limit(limit).select(
         F.col("id").alias("listing_id"), F.col("source_url").alias("listing_url"), "title")
     theirs = images.select("listing_id", "source_url", "position").join(
-        F.broadcast(page.select("listing_id")), "listing_id", "left_semi")
+        page.select("listing_id"), "listing_id", "left_semi")
     return page.join(theirs, "listing_id", "left")
 
 

@@ -162,10 +162,12 @@ def failure_streaks(runs: DataFrame, backoff=(300, 900, 1800), cadence_seconds:
     """Length of the failure streak at every run and the delay until the next one.
 
     A streak counts degraded runs since the last run in any other state; the delay grows along ``backoff`` and stays
-    at its last step. Jobs are split into segments, so a job with very many runs is no bottleneck.
+    at its last step; without steps it is always the cadence. Jobs are split into segments, so a job with very many runs is no bottleneck.
     """
     bad = F.col("status") == "degraded"
     counted = running_since_reset(runs, key, seq, reset=~bad, counted=bad, out="streak")
+    if not backoff:
+        return counted.withColumn("delay_seconds", F.lit(cadence_seconds))
     steps = F.array(*[F.lit(int(s)) for s in backoff])
     delay = F.when(F.col("streak") > 0, F.element_at(steps, F.least(F.col("streak"), F.lit(len(backoff))).cast("int")))
     return counted.withColumn("delay_seconds", F.coalesce(delay, F.lit(cadence_seconds)))

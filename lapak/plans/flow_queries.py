@@ -239,7 +239,7 @@ def _(t):
 # Relevance ---------------------------------------------------------------------------------------------------------
 
 SQL_VIEWS["v_cards"] = """
-    SELECT doc_id AS seq, source AS target_id, CAST(doc_id AS VARCHAR) AS item_id, left(text, 40) AS title,
+    SELECT doc_id AS seq, source AS target_id, CAST(doc_id AS VARCHAR) AS item_id, text AS title,
            lower(concat(text, ' ', coalesce(lang, ''))) AS body FROM documents"""
 _POSITIVE = ("le", "ram", "la", "the", "und")
 _BLOCKED = ("que ", "http", "sch", "gpu")
@@ -261,7 +261,7 @@ SQL_VIEWS["v_judged"] = f"""
 def cards(t):
     return t.table("documents").select(
         F.col("doc_id").alias("seq"), F.col("source").alias("target_id"), F.col("doc_id").cast("string").alias("item_id"),
-        F.left("text", F.lit(40)).alias("title"), F.col("text").alias("raw_text"), F.col("lang").alias("image_alt"))
+        F.col("text").alias("title"), F.col("text").alias("raw_text"), F.col("lang").alias("image_alt"))
 
 
 _HIT_LIST = """SELECT target_id, list(word ORDER BY seq, place) AS words FROM (
@@ -405,7 +405,7 @@ def _(t):
     SELECT status, count(*) AS count, '***' AS api_token FROM events e JOIN (SELECT event_id, CASE event_type WHEN 'error' THEN 'failed'
         WHEN 'click' THEN 'no_new_data' ELSE 'success' END AS status FROM events) s ON s.event_id = e.event_id GROUP BY 1""")
 def _(t):
-    from lapak.sources.runlogs import append_run_log, scan_run_logs
+    from lapak.sources.runlogs import append_run_log
 
     path = scratch_path(t.spark, "runlog")
     rows = t.table("events").selectExpr(
@@ -418,6 +418,24 @@ def _(t):
     return raw.groupBy("status", "api_token").agg(F.count(F.lit(1)).alias("count"))
 
 
+@query("snk8_run_log_round_trip", """
+    SELECT status, log_time, count(*) AS count FROM (
+        SELECT CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'no_new_data' ELSE 'success' END AS status,
+               CASE WHEN event_type IN ('error', 'click') THEN '2024-01-02T00:00:00Z' ELSE '2024-01-01T00:00:00Z' END AS log_time
+        FROM events) x GROUP BY 1, 2""")
+def _(t):
+    from lapak.sources.runlogs import append_run_log, scan_run_logs
+
+    path = scratch_path(t.spark, "runlog")
+    rows = t.table("events").selectExpr(
+        "'orchestrator' AS source",
+        "CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'no_new_data' ELSE 'success' END AS status",
+        "concat('t', props) AS api_token")
+    for at, test in (("2024-01-01T00:00:00Z", "status = 'success'"), ("2024-01-02T00:00:00Z", "status <> 'success'")):
+        append_run_log(rows.filter(test), path, at)
+    return scan_run_logs(t.spark, path).groupBy("status", "log_time").agg(F.count(F.lit(1)).alias("count"))
+
+
 @query("x19_connector_records", """
     SELECT line, connector, connector_status AS status, ok, validated FROM v_runlog WHERE source = 'orchestrator'""")
 def _(t):

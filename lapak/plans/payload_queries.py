@@ -248,7 +248,7 @@ def _(t):
 def _(t):
     flairs = t.listings.select(F.col("source_url").alias("url"), F.when(
         F.col("status") == "sold", F.lit("SOLD OUT")).otherwise(F.lit("WTS: Computers")).alias("flair"))
-    posts = extract_text.parse_atom(atom_payloads(t), 1_000_000).join(flairs, "url")
+    posts = extract_text.parse_atom(atom_payloads(t), None).join(flairs, "url")
     return normalize.normalize_reddit(posts, fetched_at()).select(
         "external_id", "source_url", "title", "status", "posted_at", "seller_name")
 

@@ -363,8 +363,8 @@ def _(t):
 
 @query("f8_evidence_fingerprint", f"""
     SELECT id, concat('v2:', sha256(CASE WHEN platform = 'facebook_group' THEN
-        concat('{{"sourceUrl":"', {canonical_sql('source_url')}, '","externalId":"', external_id, '","platform":"',
-               upper(platform), '","sourceType":"facebook_group"}}')
+        concat('{{"externalId":"', external_id, '","platform":"', upper(platform), '","sourceType":"facebook_group","sourceUrl":"',
+               {canonical_sql('source_url')}, '"}}')
         ELSE concat('{{"description":"', replace(description, chr(10), '\\n'), '","externalId":"', external_id, '","platform":"',
             upper(platform), '","sellerName":', CASE WHEN seller_name IS NULL THEN 'null' ELSE concat('"', seller_name, '"') END,
             ',"sourceFacts":{{"kind":"', status, '"}},"sourceUrl":"', {canonical_sql('source_url')}, '","title":"', title, '"}}') END))

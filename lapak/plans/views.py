@@ -10,7 +10,6 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from lapak.sources.tables import spread_scan
 
 AS_OF = "2024-01-20 00:00:00"
 LISTING_AS_OF = "2001-08-05 00:00:00"
@@ -186,7 +185,7 @@ SQL_VIEWS: dict[str, str] = {
                     WHEN 'BUILDING' THEN 'signup' ELSE 'purchase' END AS fingerprint,
                TIMESTAMP '2023-12-01 00:00:00' AS first_seen_at, TIMESTAMP '2023-12-31 00:00:00' AS last_seen_at,
                CAST(c_nationkey + 1 AS BIGINT) AS seen_count
-        FROM customer WHERE c_acctbal > 2000""",
+        FROM customer""",
     "v_versions": """
         SELECT concat(candidate_key, '/', fingerprint) AS id, candidate_key, 'FACEBOOK' AS platform,
                'job-9' AS source_id, fingerprint, '{}' AS payload_json, status, 2 AS attempts,
@@ -197,7 +196,7 @@ SQL_VIEWS: dict[str, str] = {
         FROM (SELECT concat('FACEBOOK:', CAST(c_custkey AS VARCHAR)) AS candidate_key, fingerprint,
                      CASE (c_nationkey + shift) % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'leased' ELSE 'done' END AS status
               FROM customer, (VALUES ('view', 0), ('click', 1), ('error', 2)) AS k(fingerprint, shift)
-              WHERE c_acctbal > 2000)""",
+             )""",
     "v_runlog": """
         SELECT 'events.jsonl' AS file_name, event_id AS line,
                CASE event_type WHEN 'purchase' THEN 'scheduler' ELSE 'orchestrator' END AS source,
@@ -223,9 +222,6 @@ def pad(column: str) -> str:
     return f"lpad(CAST({column} AS STRING), 12, '0')"
 
 
-# The big tables and the key their rows are spread by when they lie in one file.
-_SPREAD = {"orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id", "documents": "doc_id", "pages": "page_id"}
-
 
 class Tables:
     """Lazily built DataFrames over one data directory."""
@@ -240,8 +236,7 @@ class Tables:
         path = f"{self.sf_dir}/{name}.parquet"
         if path not in Tables._schemas:
             Tables._schemas[path] = self.spark.read.parquet(path).schema
-        rows = self.spark.read.schema(Tables._schemas[path]).parquet(path)
-        return spread_scan(rows, _SPREAD[name]) if name in _SPREAD else rows
+        return self.spark.read.schema(Tables._schemas[path]).parquet(path)
 
     @cached_property
     def listings(self) -> DataFrame:
@@ -384,7 +379,7 @@ class Tables:
 
     @cached_property
     def state(self) -> DataFrame:
-        return self.table("customer").filter("c_acctbal > 2000").selectExpr(
+        return self.table("customer").selectExpr(
             "concat('FACEBOOK:', CAST(c_custkey AS STRING)) AS candidate_key", "'FACEBOOK' AS platform",
             "'job-9' AS source_id",
             "CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'view' WHEN 'MACHINERY' THEN 'click' WHEN 'FURNITURE' THEN 'error' "
@@ -395,7 +390,7 @@ class Tables:
     @cached_property
     def versions(self) -> DataFrame:
         kinds = "explode(array(struct('view' AS f, 0 AS s), struct('click' AS f, 1 AS s), struct('error' AS f, 2 AS s)))"
-        rows = self.table("customer").filter("c_acctbal > 2000").selectExpr(
+        rows = self.table("customer").selectExpr(
             "concat('FACEBOOK:', CAST(c_custkey AS STRING)) AS candidate_key", "c_nationkey", f"{kinds} AS k").selectExpr(
             "candidate_key", "k.f AS fingerprint",
             "CASE (c_nationkey + k.s) % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'leased' ELSE 'done' END AS status")

@@ -29,10 +29,12 @@ def build_session(app: str = "lapak", master: str | None = None, shuffle_partiti
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; only where none is named, a folder of our own."""
+    """The cluster's shared checkpoint folder. Only a session whose tasks share one machine may do without a name."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return named or context.getCheckpointDir()
 

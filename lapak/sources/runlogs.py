@@ -29,8 +29,11 @@ def parse_run_log_lines(lines: DataFrame, since=None) -> DataFrame:
 
 
 def scan_run_logs(spark: SparkSession, path: str, since=None) -> DataFrame:
-    """SRC2: all JSONL files of a folder. Lines are numbered by block and offset, which follows the file order."""
-    text = spark.read.text(f"{path}/*.jsonl").select(
+    """SRC2: all JSON-lines files (.json, .jsonl) of a folder, those of ``append_run_log`` included.
+
+    Lines are numbered by block and offset, which follows the file order.
+    """
+    text = spark.read.option("pathGlobFilter", "*.json*").text(path).select(
         "value", F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_offset"))
     # Offsets grow within a file block; the block start puts the blocks of a file in order.

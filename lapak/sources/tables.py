@@ -13,26 +13,9 @@ def scan_jdbc(spark: SparkSession, url: str, table: str, key: str, lower: int, u
         numPartitions=str(partitions), **options).load()
 
 
-SPREAD_BYTES = 1 << 20
-
-
-def spread_scan(rows: DataFrame, key: str) -> DataFrame:
-    """Hash a table by its key when it is stored in fewer pieces than there are cores.
-
-    One large file is one task for everything up to the next shuffle. Tables with enough splits, as any big one has,
-    pass unchanged, and so do tiny ones. Hashing by the key also serves later joins and windows on it.
-    """
-    spark = rows.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < SPREAD_BYTES or rows.rdd.getNumPartitions() >= cores:
-        return rows
-    return rows.repartition(cores, key)
-
-
-def write_listings(listings: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """SNK9: one JSON object per line, nulls written."""
-    listings.write.mode(mode).option("ignoreNullFields", "false").json(path)
+def write_listings(listings: DataFrame, path: str, mode: str = "overwrite", format: str = "json") -> None:
+    """SNK9: one JSON object per line, nulls written; other formats of Spark by name."""
+    listings.write.mode(mode).format(format).option("ignoreNullFields", "false").save(path)
 
 
 def write_reports(quality: DataFrame, review: DataFrame, path: str, report_date: str) -> list[str]:
