@@ -1,7 +1,7 @@
 """Extraction from platform JSON.
 
-Per text, a small Python walk turns one payload into flat candidate records inside the tasks. Everything across
-payloads (first wins, merge, order, limits) is Spark.
+Where a field lies in a payload is stated in tables of paths, which one reader applies to the objects of a text inside
+the tasks. It yields texts; types, clean-up and everything across payloads (first wins, merge, order, limits) are Spark.
 """
 
 from __future__ import annotations
@@ -15,69 +15,97 @@ from lapak.functions.text import or_blank
 from lapak.functions.urls import group_permalink, html_unescape, is_reddit_image, reddit_image_url
 from lapak.operators.relevance import select_first
 from lapak.schemas import CARD, COMMERCE_FIELDS, GROUP_RECORD, PROFILE_RECORD
-from lapak.sources.payloads import clean, identifier, only_bool, parsed, parsed_all, path, walk, whole_number
-
-TIMELINES = ("polaris_ordered_timeline_connection", "edge_owner_to_timeline_media")
+from lapak.sources.payloads import at, first_text, parsed, parsed_all, record, walk
+
+# Where the platforms put each field. Later paths stand in for earlier ones.
+CARD_EDGES = "marketplace_search.feed_units.edges.*.node"
+CARD_FIELDS = {
+    "item_id": ("id",), "title": ("marketplace_listing_title", "custom_title"),
+    "price": ("listing_price.formatted_amount",), "price_amount": ("listing_price.amount",),
+    "location": ("location.reverse_geocode.city_page.display_name",), "image_url": ("primary_listing_photo.image.uri",),
+    "seller_name": ("marketplace_listing_seller.name", "marketplace_listing_seller.display_name"),
+    "is_live": ("is_live",), "is_sold": ("is_sold",), "is_pending": ("is_pending",), "is_hidden": ("is_hidden",),
+}
+JUST_LISTED = "if_gk_just_listed_tag_on_search_feed"
 STORY_MARKS = (
     "message", "actors", "target_group", "attachments", "attached_story", "comet_sections", "permalink_url", "wwwURL",
 )
+MESSAGE = ("message", "message.text", "message.text.text")
+PHOTO = tuple(f"{holder}.{key}" for holder in ("image", "viewer_image", "photo_image") for key in ("uri", "url"))
+COMMERCE = {
+    "product_id": ("id", "product_item.id"), "formatted_price": ("formatted_price", "formatted_price.text"),
+    "location_text": ("location_text", "location_text.text"), "seller_id": ("marketplace_listing_seller.id",),
+    "seller_name": ("marketplace_listing_seller.name",),
+}
+LINKS = ("permalink_url", "url", "wwwURL")
+TIMES = ("creation_time", "publish_time")
+TIMELINES = tuple(f"{name}.edges.*.node" for name in (
+    "polaris_ordered_timeline_connection", "edge_owner_to_timeline_media"))
+PICTURE = ("display_uri", "display_url", "thumbnail_src", "image_versions2.candidates.*.url")
+POST_FIELDS = {
+    "shortcode": ("code", "shortcode"), "pk": ("pk", "id"), "taken_at": ("taken_at", "taken_at_timestamp"),
+    "caption": ("caption.text", "edge_media_to_caption.edges.0.node.text"), "display_url": PICTURE,
+    "thumbnail_src": ("thumbnail_src",), "media_count": ("carousel_media_count",), "media_type": ("media_type",),
+    "product_type": ("product_type",),
+}
+CHILDREN = ("carousel_media.*", "edge_sidecar_to_children.edges.*.node")
+
+
+def _typed(name: str, kind: T.DataType) -> Column:
+    """Column of a field from its text: whole numbers and booleans are read, nothing else is."""
+    text = F.col(name)
+    if isinstance(kind, (T.LongType, T.IntegerType)):
+        return F.when(text.rlike(r"^[+-]?[0-9]+(?:\.[0-9]+)?$"), text.try_cast("decimal(38,6)").cast(kind)).alias(name)
+    if isinstance(kind, T.BooleanType):
+        return F.when(text == "True", True).when(text == "False", False).alias(name)
+    return (or_blank(text) if isinstance(kind, T.StringType) else text).alias(name)
 
 
 def _emit(payloads: DataFrame, reader, schema: T.StructType, columns=("page_id", "script_index", "text")) -> DataFrame:
-    """Run ``reader(text) -> records`` over each payload; records keep their place inside the payload."""
+    """Run ``reader(text) -> records of texts`` over each payload; records keep their place inside the payload."""
     keys = [c for c in columns if c != "text"]
-    out = T.StructType([f for f in payloads.schema.fields if f.name in keys]
-                       + [T.StructField("place", T.IntegerType())] + schema.fields)
-    names = [f.name for f in out.fields]
+    scalar = (T.LongType, T.IntegerType, T.BooleanType)
+    raw = T.StructType(
+        [f for f in payloads.schema.fields if f.name in keys] + [T.StructField("place", T.IntegerType())]
+        + [T.StructField(f.name, T.StringType() if isinstance(f.dataType, scalar) else f.dataType) for f in schema.fields])
+    names = [f.name for f in raw.fields]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for values in frame[list(columns)].itertuples(index=False, name=None):
                 given = dict(zip(columns, values))
-                for place, record in enumerate(reader(given["text"])):
-                    rows.append((*[given[k] for k in keys], place, *[record.get(f.name) for f in schema.fields]))
+                for place, found in enumerate(reader(given["text"])):
+                    rows.append((*[given[k] for k in keys], place, *[found.get(f.name) for f in schema.fields]))
             yield pd.DataFrame(rows, columns=names, dtype=object)
 
-    return payloads.select(*columns).mapInPandas(run, out)
+    return payloads.select(*columns).mapInPandas(run, raw).select(
+        *keys, "place", *[_typed(f.name, f.dataType) for f in schema.fields])
 
 
 # Marketplace -------------------------------------------------------------------------------------------------------
 
 def _cards(text: str):
     for found in walk(parsed(text)):
-        edges = path(found.get("marketplace_search"), "feed_units", "edges")
-        for edge in edges if isinstance(edges, list) else []:
-            node = path(edge, "node")
-            if isinstance(node, dict):
-                inner = node.get("listing")
-                card = _card(inner if isinstance(inner, dict) else node)
-                if card:
-                    yield card
-
-
-def _card(item: dict):
-    item_id = clean(item.get("id"))
-    title = clean(item.get("marketplace_listing_title") or item.get("custom_title"))
-    if not item_id or not title:
-        return None
-    price = clean(path(item, "listing_price", "formatted_amount"))
-    city = clean(path(item, "location", "reverse_geocode", "city_page", "display_name"))
-    seller = item.get("marketplace_listing_seller")
-    return {
-        "item_id": item_id, "url": f"https://www.facebook.com/marketplace/item/{item_id}/", "title": title,
-        "price": price, "price_amount": whole_number(path(item, "listing_price", "amount")), "location": city,
-        "image_url": clean(path(item, "primary_listing_photo", "image", "uri")), "image_alt": title,
-        "raw_text": "\n".join(t for t in (price, title, city) if t),
-        "seller_name": clean(path(seller, "name") or path(seller, "display_name")),
-        "is_newly_listed": bool(item.get("if_gk_just_listed_tag_on_search_feed")),
-        **{f"is_{flag}": only_bool(item.get(f"is_{flag}")) for flag in ("live", "sold", "pending", "hidden")},
-    }
+        for node in at(found, CARD_EDGES):
+            inner = [x for x in at(node, "listing") if isinstance(x, dict)]
+            card = record((inner or [node])[0], CARD_FIELDS)
+            if card["item_id"] and card["title"]:
+                listed = any(map(bool, at((inner or [node])[0], JUST_LISTED)))
+                yield {**card, "is_newly_listed": str(listed)}
+
+
+def _complete_cards(found: DataFrame) -> DataFrame:
+    """Columns of a card that follow from the others."""
+    lines = F.array("price", "title", "location")
+    return found.withColumns({
+        "url": F.concat(F.lit("https://www.facebook.com/marketplace/item/"), "item_id", F.lit("/")),
+        "image_alt": F.col("title"), "raw_text": F.array_join(F.filter(lines, lambda x: x != ""), "\n")})
 
 
 def extract_marketplace(payloads: DataFrame, limit: int | None = None) -> DataFrame:
     """Search cards of each page, first card per item id, at most ``limit`` per page."""
-    found = _emit(payloads, _cards, CARD)
+    found = _complete_cards(_emit(payloads, _cards, CARD))
     order = Window.partitionBy("page_id", "item_id").orderBy("script_index", "place")
     first = found.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
     if limit is None:
@@ -88,106 +116,59 @@ def extract_marketplace(payloads: DataFrame, limit: int | None = None) -> DataFr
 
 # Group posts -------------------------------------------------------------------------------------------------------
 
-def _own(story):
-    return walk(story, skip=("attached_story",))
-
-
-def _text(value) -> str:
-    """Text of a string or of the innermost "text" member of an object."""
-    if not isinstance(value, (str, dict)):
-        return ""
-    while isinstance(value, dict):
-        value = value.get("text")
-    return clean(value)
-
-
-def _message(story) -> str:
-    direct = story.get("message")
-    return next((t for t in map(_text, [direct, *(v.get("message") for v in _own(story))]) if t), "")
-
-
-def _actor(story) -> dict:
-    for found in _own(story):
-        actors = found.get("actors")
-        for actor in actors if isinstance(actors, list) else []:
-            if isinstance(actor, dict) and (actor.get("id") or actor.get("name")):
-                return actor
-    return {}
-
-
-def _photo_uri(photo) -> str:
-    for key in ("image", "viewer_image", "photo_image"):
-        uri = clean(path(photo, key, "uri") or path(photo, key, "url"))
-        if uri.startswith("https://"):
-            return uri
-    for found in walk(photo):
-        uri = clean(found.get("uri"))
-        if uri.startswith("https://") and "fbcdn" in uri.split("/", 3)[2].lower():
-            return uri
-    return ""
-
-
-def _photos(story) -> list:
-    seen: dict[str, str] = {}
-    for found in _own(story):
-        attached = found.get("attachments")
-        for photo in walk(attached) if isinstance(attached, (list, dict)) else ():
-            if photo.get("__typename") == "Photo":
-                uri = _photo_uri(photo)
-                if uri:
-                    seen.setdefault(uri, clean(photo.get("accessibility_caption")))
-    return [{"url": u, "alt": a} for u, a in seen.items()]
-
-
-def _commerce(story) -> dict:
-    for found in _own(story):
-        if found.get("__typename") == "GroupCommerceProductItem":
-            seller = found.get("marketplace_listing_seller")
-            return {
-                "product_id": identifier(found.get("id") or path(found, "product_item", "id")),
-                "formatted_price": _text(found.get("formatted_price")),
-                "location_text": _text(found.get("location_text")),
-                "seller_id": identifier(path(seller, "id")), "seller_name": clean(path(seller, "name")),
-            }
-    return {}
-
-
-def _permalink(story) -> str:
-    keys = ("permalink_url", "url", "wwwURL")
-    for holder, needs in [(story, ("/groups/",)), *((v, ("/groups/", "/posts/")) for v in _own(story))]:
-        for key in keys:
-            value = clean(holder.get(key))
-            if value.startswith("https://") and all(part in value for part in needs):
-                return value
-    return ""
-
-
-def _published(story) -> int:
-    for holder in [story, *_own(story)]:
-        for key in ("creation_time", "publish_time"):
-            at = whole_number(holder.get(key))
-            if at:
-                return at
-    return 0
+def _own(story) -> list[dict]:
+    """Objects of a story without those of the story attached to it."""
+    return list(walk(story, skip=("attached_story",)))
+
+
+def _over(objects: list[dict], *paths: str, **options) -> str:
+    """The first usable text of any of the objects."""
+    return next(filter(None, (first_text(o, paths, **options) for o in objects)), "")
+
+
+def _pictures(objects: list[dict]) -> list[dict]:
+    """Photos attached to the objects, each URL once."""
+    shown: dict[str, str] = {}
+    for photo in (p for o in objects for a in at(o, "attachments") for p in walk(a) if p.get("__typename") == "Photo"):
+        url = first_text(photo, PHOTO, (str,), lambda u: u.startswith("https://")) or _over(
+            list(walk(photo)), "uri", kinds=(str,), test=lambda u: u.startswith("https://") and "fbcdn" in u.split("/")[2].lower())
+        if url:
+            shown.setdefault(url, first_text(photo, ("accessibility_caption",)) or "")
+    return [{"url": u, "alt": a} for u, a in shown.items()]
+
+
+def _person(objects: list[dict]) -> dict:
+    actors = (a for o in objects for a in at(o, "actors.*") if isinstance(a, dict))
+    return next((a for a in actors if a.get("id") or a.get("name")), {})
+
+
+def _product(objects: list[dict]) -> dict:
+    products = (o for o in objects if o.get("__typename") == "GroupCommerceProductItem")
+    return next(({k: v or "" for k, v in record(o, COMMERCE).items()} for o in products), {})
 
 
 def _stories(text: str):
-    for payload in parsed_all(text):
-        for story in _own(payload):
-            post, group = identifier(story.get("post_id")), identifier(path(story, "target_group", "id"))
-            if not post or not group or not any(mark in story for mark in STORY_MARKS):
-                continue
-            inner = next((v["attached_story"] for v in walk(story) if isinstance(v.get("attached_story"), dict)), {})
-            message, images, actor = _message(story), _photos(story), _actor(story)
-            fallback = (not message and _message(inner), not images and _photos(inner))
-            actor = actor or _actor(inner)
-            yield {
-                "post_id": post, "group_id": group, "permalink": _permalink(story), "message": message or fallback[0] or "",
-                "seller_id": identifier(actor.get("id")), "seller_name": clean(actor.get("name")),
-                "published_timestamp": _published(story), "images": images or fallback[1] or [],
-                "commerce": {f: {**_commerce(inner), **_commerce(story)}.get(f) for f in COMMERCE_FIELDS},
-                "used_attached_story": any(bool(f) for f in fallback),
-            }
+    in_group = lambda u: u.startswith("https://") and "/groups/" in u
+    of_post = lambda u: in_group(u) and "/posts/" in u
+    for story in (s for payload in parsed_all(text) for s in _own(payload)):
+        post, group = (first_text(story, (p,)) for p in ("post_id", "target_group.id"))
+        if not post or not group or not any(mark in story for mark in STORY_MARKS):
+            continue
+        own = _own(story)
+        attached = (v["attached_story"] for v in walk(story) if isinstance(v.get("attached_story"), dict))
+        inner = _own(next(attached, {}))
+        message, pictures = _over(own, *MESSAGE, kinds=(str,)), _pictures(own)
+        borrowed = (_over(inner, *MESSAGE, kinds=(str,)) if not message else "", _pictures(inner) if not pictures else [])
+        person = _person(own) or _person(inner)
+        yield {
+            "post_id": post, "group_id": group,
+            "permalink": first_text(story, LINKS, (str,), in_group) or _over(own, *LINKS, kinds=(str,), test=of_post),
+            "message": message or borrowed[0], "images": pictures or borrowed[1],
+            "seller_id": first_text(person, ("id",)), "seller_name": first_text(person, ("name",)),
+            "published_timestamp": _over([story, *own], *TIMES, test=lambda x: x.isdigit() and int(x) > 0) or "0",
+            "commerce": {f: {**_product(inner), **_product(own)}.get(f) for f in COMMERCE_FIELDS},
+            "used_attached_story": str(any(map(bool, borrowed))),
+        }
 
 
 def group_records(payloads: DataFrame) -> DataFrame:
@@ -243,68 +224,22 @@ def extract_group_posts(payloads: DataFrame, targets: DataFrame, limit: int = 3)
 
 # Profile posts -----------------------------------------------------------------------------------------------------
 
-def _image_url(node) -> str:
-    for key in ("display_uri", "display_url", "thumbnail_src"):
-        if isinstance(node.get(key), str) and node[key]:
-            return node[key]
-    candidates = path(node.get("image_versions2"), "candidates")
-    for candidate in candidates if isinstance(candidates, list) else []:
-        url = path(candidate, "url")
-        if isinstance(url, str) and url:
-            return url
-    return ""
-
-
-def _caption(node) -> str:
-    if isinstance(node.get("caption"), dict):
-        return clean(node["caption"].get("text"))
-    edges = path(node.get("edge_media_to_caption"), "edges")
-    first = edges[0] if isinstance(edges, list) and edges else None
-    return clean(path(first, "node", "text"))
-
-
-def _children(node) -> list:
-    carousel = node.get("carousel_media")
-    if isinstance(carousel, list):
-        urls = [_image_url(c) for c in carousel if isinstance(c, dict)]
-        if any(urls):
-            return [u for u in urls if u]
-    edges = path(node.get("edge_sidecar_to_children"), "edges")
-    nodes = [path(e, "node") for e in edges] if isinstance(edges, list) else []
-    return [u for u in (_image_url(n) for n in nodes if isinstance(n, dict)) if u]
-
-
-def _post(node) -> dict | None:
-    shortcode = str(node.get("code") or node.get("shortcode") or "")
-    if not shortcode:
+def _post(node: dict) -> dict | None:
+    post = record(node, POST_FIELDS)
+    if not post["shortcode"]:
         return None
-    thumbnail = node.get("thumbnail_src")
-    return {
-        "shortcode": shortcode, "pk": str(node.get("pk") or node.get("id") or ""),
-        "taken_at": whole_number(node.get("taken_at") or node.get("taken_at_timestamp")) or 0,
-        "caption": _caption(node), "display_url": _image_url(node),
-        "thumbnail_src": thumbnail if isinstance(thumbnail, str) else "", "children": _children(node),
-        "media_count": whole_number(node.get("carousel_media_count")), "media_type": whole_number(node.get("media_type")),
-        "product_type": clean(node.get("product_type")),
-    }
+    shown = ([first_text(child, PICTURE, (str,)) for child in at(node, path)] for path in CHILDREN)
+    return {**post, "taken_at": post["taken_at"] or "0",
+            "children": next((urls for urls in ([u for u in s if u] for s in shown) if urls), [])}
 
 
 def _timeline_posts(text: str):
-    for found in walk(parsed(text)):
-        for key in TIMELINES:
-            edges = path(found.get(key), "edges")
-            for edge in edges if isinstance(edges, list) else []:
-                node = path(edge, "node")
-                post = _post(node) if isinstance(node, dict) else None
-                if post:
-                    yield post
+    nodes = (n for found in walk(parsed(text)) for path in TIMELINES for n in at(found, path) if isinstance(n, dict))
+    yield from filter(None, map(_post, nodes))
 
 
 def _all_posts(text: str):
-    for node in walk(parsed(text)):
-        post = _post(node)
-        if post:
-            yield post
+    yield from filter(None, map(_post, walk(parsed(text))))
 
 
 def merge_posts(records: DataFrame, keys=("shortcode",), seq: str = "seq") -> DataFrame:
@@ -352,31 +287,21 @@ _URLS = T.StructType([T.StructField("url", T.StringType())])
 
 
 def _gallery(text: str):
+    """Image URLs of a post: gallery media in gallery order, previews, then the link of the post itself."""
     payload = parsed(text)
     while isinstance(payload, list) and payload:
         payload = payload[0]
-    children = path(payload, "data", "children")
-    datas = [path(c, "data") for c in children] if isinstance(children, list) else []
-    post = next((d for d in datas if isinstance(d, dict) and d.get("id")), None)
-    if post is None:
-        return
-    metadata = post.get("media_metadata") if isinstance(post.get("media_metadata"), dict) else {}
-    items = path(post.get("gallery_data"), "items")
-    ids = [str(i["media_id"]) for i in items if isinstance(i, dict) and i.get("media_id")] if isinstance(items, list) else []
-    for media_id in ids or list(metadata):
-        media = metadata.get(media_id)
-        if not isinstance(media, dict) or (media.get("status") or "valid") != "valid":
-            continue
-        if media.get("m") and not str(media["m"]).startswith("image/"):
-            continue
-        source = [path(media.get("s"), k) for k in ("u", "gif")]
-        previews = [p for p in media.get("p") if isinstance(p, dict)] if isinstance(media.get("p"), list) else []
-        largest = max(previews, key=lambda p: int(p.get("x") or 0) * int(p.get("y") or 0), default={})
-        yield from ({"url": u} for u in (*source, largest.get("u")) if isinstance(u, str))
-    images = path(post.get("preview"), "images")
-    for image in images if isinstance(images, list) else []:
-        yield {"url": clean(path(image, "source", "url"))}
-    yield from ({"url": post[k]} for k in ("url_overridden_by_dest", "url") if isinstance(post.get(k), str))
+    post = next((d for d in at(payload, "data.children.*.data") if isinstance(d, dict) and d.get("id")), {})
+    media = next((m for m in at(post, "media_metadata") if isinstance(m, dict)), {})
+    named = [str(i) for i in at(post, "gallery_data.items.*.media_id") if i]
+    for item in (media.get(name) for name in named or media):
+        if first_text(item, ("status",)) in (None, "valid") and (first_text(item, ("m",)) or "image/").startswith("image/"):
+            sizes = [p for p in at(item, "p.*") if isinstance(p, dict)]
+            area = lambda p: float(first_text(p, ("x",)) or 0) * float(first_text(p, ("y",)) or 0)
+            urls = [*at(item, "s.u"), *at(item, "s.gif"), *at(max(sizes, key=area, default={}), "u")]
+            yield from ({"url": u} for u in urls if isinstance(u, str))
+    links = [*at(post, "preview.images.*.source.url"), *at(post, "url_overridden_by_dest"), *at(post, "url")]
+    yield from ({"url": u} for u in links if isinstance(u, str))
 
 
 def gallery_images(payloads: DataFrame) -> DataFrame:
