@@ -553,7 +553,40 @@ def _(t):
     return t.listings.select("id", normalize.marketplace_status(sold, ~sold, raw).alias("status"))
 
 
-@query("x8_html_to_text")
+# The entities of the pages; ampersands last, as they may reveal no further entity within one pass.
+_ENTITIES = (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
+def _unescaped_sql(text: str) -> str:
+    for entity, sign in _ENTITIES:
+        text = f"replace({text}, '{entity}', '{sign}')"
+    return text
+
+
+_PIECES_SQL, _HREF_SQL = (p.replace("'", "''") for p in (extract_text.HTML_PIECES, extract_text.HREF))
+
+
+@query("x8_html_to_text", rf"""
+    WITH pieces AS (
+        SELECT page_id, unnest(regexp_extract_all(html, '{_PIECES_SQL}')) AS p,
+               generate_subscripts(regexp_extract_all(html, '{_PIECES_SQL}'), 1) AS k FROM pages
+    ), texts AS (
+        SELECT page_id, k, CASE
+            WHEN p NOT LIKE '<%' THEN CASE WHEN regexp_full_match(p, '\s*') THEN '' ELSE p END
+            WHEN regexp_matches(p, '(?i)^<(?:script|style)\b') THEN trim(regexp_replace(p, '(?is)^<[^>]*>|</[a-z]+\s*>$', '', 'g'))
+            WHEN regexp_matches(p, '(?i)^<(?:br|p|div|li|tr)[\s/>]') THEN chr(10)
+            WHEN regexp_matches(p, '{_HREF_SQL}') THEN concat(' ', regexp_extract(p, '{_HREF_SQL}', 1),
+                regexp_extract(p, '{_HREF_SQL}', 2), regexp_extract(p, '{_HREF_SQL}', 3), ' ')
+            WHEN p = '<' THEN p ELSE '' END AS t FROM pieces
+    ), joined AS (
+        SELECT page_id, string_agg(t, '' ORDER BY k) AS t FROM texts GROUP BY 1
+    ), flat AS (
+        SELECT page_id, regexp_replace(regexp_replace({_unescaped_sql(_unescaped_sql('t'))}, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g') AS t
+        FROM joined
+    ), body AS (
+        SELECT page_id, regexp_replace(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS b FROM flat
+    )
+    SELECT page_id, length(b)::INTEGER AS n, md5(b) AS digest FROM body""")
 def _(t):
     return t.table("pages").select("page_id", extract_text.html_to_text(F.col("html")).alias("body")).select(
         "page_id", F.length("body").alias("n"), F.md5("body").alias("digest"))
