@@ -29,17 +29,22 @@ def write_reports(quality: DataFrame, review: DataFrame, path: str, report_date:
     return paths
 
 
-_POINTER = T.StructType([T.StructField("version", T.LongType()), T.StructField("batch_id", T.LongType())])
+_POINTER = "version bigint, batch_id bigint, query_id string"
 
 
-def read_pointer(spark: SparkSession, base: str) -> tuple[int, int]:
-    """Current snapshot version and the last applied batch; (-1, -1) before the first one."""
+def read_pointer(spark: SparkSession, base: str, query_id: str = "") -> tuple[int, int]:
+    """Current snapshot version and the last batch that ``query_id`` applied; -1 where there is none.
+
+    Batch numbers start again when a stream gets a new checkpoint, and with it a new query id, so a number says nothing
+    about another query's batches.
+    """
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/pointer")
     if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
         return -1, -1
+    own = F.when(F.coalesce("query_id", F.lit("")) == query_id, F.col("batch_id"))
     last = spark.read.schema(_POINTER).json(f"{base}/pointer").agg(
-        F.max(F.struct("version", "batch_id")).alias("p")).first()["p"]
-    return (last["version"], last["batch_id"]) if last else (-1, -1)
+        F.coalesce(F.max("version"), F.lit(-1)).alias("version"), F.coalesce(F.max(own), F.lit(-1)).alias("batch_id")).first()
+    return last["version"], last["batch_id"]
 
 
 def read_snapshot(spark: SparkSession, base: str, table: str, schema: T.StructType) -> DataFrame:
@@ -49,16 +54,16 @@ def read_snapshot(spark: SparkSession, base: str, table: str, schema: T.StructTy
     return spark.read.schema(schema).parquet(f"{base}/{table}/version={version}")
 
 
-def commit_snapshot(spark: SparkSession, base: str, tables: dict[str, DataFrame], batch_id: int) -> int:
+def commit_snapshot(spark: SparkSession, base: str, tables: dict[str, DataFrame], batch_id: int, query_id: str = "") -> int:
     """Write all tables of the next version, then move the pointer in one step.
 
     Readers see all tables of a batch or none. A batch that was already applied is skipped, so a replay after a lost
     driver changes nothing.
     """
-    version, done = read_pointer(spark, base)
+    version, done = read_pointer(spark, base, query_id)
     if batch_id <= done:
         return version
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{base}/{name}/version={version + 1}")
-    spark.createDataFrame([(version + 1, batch_id)], _POINTER).coalesce(1).write.mode("append").json(f"{base}/pointer")
+    spark.createDataFrame([(version + 1, batch_id, query_id)], _POINTER).coalesce(1).write.mode("append").json(f"{base}/pointer")
     return version + 1

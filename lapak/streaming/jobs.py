@@ -26,30 +26,32 @@ def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFr
 
 
 def apply_batch(spark: SparkSession, base: str, accepted: DataFrame, images: DataFrame, rejected: DataFrame, as_of,
-                batch_id: int) -> None:
+                batch_id: int, query_id: str = "") -> None:
     """T5 body: rejections, listings, images and the clearing of rejections become one snapshot version.
 
     ``accepted``: listing columns and seq; ``images``: source_url of the listing as listing_url, image columns and seq;
     ``rejected``: rejection columns and seq. The inputs of a micro-batch are read several times, so they are kept
     until the version is written.
     """
-    _, done = read_pointer(spark, base)
+    _, done = read_pointer(spark, base, query_id)
     if batch_id <= done:
         return
     kept = [df.persist() for df in (accepted, images, rejected)]
-    accepted, images, rejected = kept
-    listings = read_snapshot(spark, base, "listings", LISTING)
-    current_images = read_snapshot(spark, base, "images", IMAGE)
-    ledger = read_snapshot(spark, base, "rejections", REJECTION)
-    after, _ = upsert_listings(listings, accepted, as_of)
-    touched = after.join(accepted.select("source_url").distinct(), "source_url", "left_semi").select(
-        F.col("id").alias("listing_id"), F.col("source_url").alias("listing_url"))
-    owned = images.join(touched, "listing_url").drop("listing_url")
-    next_images, _ = replace_images(current_images, owned, touched)
-    next_ledger = clear_rejections(upsert_rejections(ledger, rejected, as_of), accepted)
-    commit_snapshot(spark, base, {"listings": after, "images": next_images, "rejections": next_ledger}, batch_id)
-    for df in kept:
-        df.unpersist()
+    try:
+        accepted, images, rejected = kept
+        listings = read_snapshot(spark, base, "listings", LISTING)
+        current_images = read_snapshot(spark, base, "images", IMAGE)
+        ledger = read_snapshot(spark, base, "rejections", REJECTION)
+        after, _ = upsert_listings(listings, accepted, as_of)
+        touched = after.join(accepted.select("source_url").distinct(), "source_url", "left_semi").select(
+            F.col("id").alias("listing_id"), F.col("source_url").alias("listing_url"))
+        owned = images.join(touched, "listing_url").drop("listing_url")
+        next_images, _ = replace_images(current_images, owned, touched)
+        next_ledger = clear_rejections(upsert_rejections(ledger, rejected, as_of), accepted)
+        commit_snapshot(spark, base, {"listings": after, "images": next_images, "rejections": next_ledger}, batch_id, query_id)
+    finally:
+        for df in kept:
+            df.unpersist()
 
 
 def upsert_stream(stream: DataFrame, base: str, split: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]],
@@ -60,7 +62,8 @@ def upsert_stream(stream: DataFrame, base: str, split: Callable[[DataFrame], tup
     snapshots; where a table format with MERGE is at hand, ``merge_into_table`` rewrites only touched files.
     """
     def body(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(batch.sparkSession, base, *split(batch), as_of, batch_id)
+        own = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+        apply_batch(batch.sparkSession, base, *split(batch), as_of, batch_id, own)
 
     query = stream.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()

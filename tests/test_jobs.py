@@ -209,6 +209,9 @@ def test_upsert_twice_changes_nothing(spark, tmp_path):
     first = read()
     jobs.apply_batch(spark, base, rows, gallery, dropped, "2024-02-01", 0)  # replay of the batch
     assert read() == first and tables.read_pointer(spark, base) == (0, 0)
+    # After a checkpoint reset numbers start again under a new query: the batch counts.
+    jobs.apply_batch(spark, base, rows, gallery, dropped, "2024-02-01", 0, "second")
+    assert tables.read_pointer(spark, base) == (1, 0) and tables.read_pointer(spark, base, "second") == (1, 0)
     jobs.apply_batch(spark, base, rows, gallery, dropped, "2024-02-01", 1)  # same rows again
     again = read()
     assert len(again[0]) == 20 and len(again[1]) == 1 and "b.jpg" in again[1][0]
