@@ -137,6 +137,59 @@ def keep_good(docs: DataFrame) -> DataFrame:
     return _judged(docs, True).filter("kept").select("_doc.*")
 
 
-@query("op5_quality_rules")
+def _sql() -> str:
+    """The same rules in SQL, histograms as rows."""
+    words = ", ".join(f"('{lang}', {i + 1}, '{w}')" for lang, every in COMMON_WORDS.items() for i, w in enumerate(every))
+    space, only = r"[\x20\t\n\x0B\x0C\r]", lambda kept: f"length(regexp_replace(text, '[^{kept}]', '', 'g'))"
+    return rf"""
+WITH common(lang, bin, w) AS (VALUES {words}), doc AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '{space}+'), lambda x: x <> '') AS ws
+  FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + {WIDTH - 1}], ' ') AS t
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WIDTH - 2})) AS i FROM doc)
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + d) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS c FROM win),
+    range({WIDTH}) AS r(d) WHERE c > 1 GROUP BY doc_id
+), line AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM doc)
+  WHERE regexp_matches(line, '[^\x20\t\n\x0B\x0C\r]') GROUP BY doc_id
+), base AS (
+  SELECT d.doc_id, lang, text, ws, length(text) AS n_chars, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+    {only('#*$%&|<>')} AS n_symbols, coalesce(line.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+    len(ws) < {MIN_WORDS} OR 100 * coalesce(covered.n, 0) > {MAX_REPEAT_PERCENT} * len(ws) AS base_failed
+  FROM doc d LEFT JOIN covered USING (doc_id) LEFT JOIN line USING (doc_id)
+), split AS (
+  SELECT *, n_chars - word_chars AS space, {only('A-Z')} AS upper, {only('0-9')} AS digit,
+    {only(".,;:!?''" + '"' + "()-")} AS mark, length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) AS other FROM base
+), hist AS (
+  SELECT doc_id, lang, base_failed, 'c' AS kind, bin, c FROM (SELECT *, unnest(range(7)) AS bin, unnest([
+    n_chars - (upper + digit + mark + other + n_symbols + space), upper, digit, mark, other, n_symbols, space]) AS c FROM split)
+  UNION ALL SELECT doc_id, lang, base_failed, 'w', bin, coalesce(c, 0) FROM (SELECT * FROM base JOIN common USING (lang))
+    LEFT JOIN (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(ws) AS w FROM doc) GROUP BY 1, 2) USING (doc_id, w)
+  UNION ALL SELECT doc_id, lang, base_failed, 'w', 0, n_words - coalesce(c, 0) FROM base LEFT JOIN (
+    SELECT doc_id, count(*) AS c FROM (SELECT doc_id, lang, unnest(ws) AS w FROM doc) JOIN common USING (lang, w) GROUP BY 1)
+    USING (doc_id) WHERE lang IN (SELECT lang FROM common)
+), reference AS (
+  SELECT lang, kind, bin, sum(c) AS r FROM hist WHERE NOT base_failed AND lang IN (SELECT lang FROM common) GROUP BY ALL
+), shares AS (
+  SELECT doc_id, kind, c / sum(c) OVER (PARTITION BY doc_id, kind) AS p, r / sum(r) OVER (PARTITION BY doc_id, kind) AS q
+  FROM hist JOIN reference USING (lang, kind, bin)
+), distance AS (
+  SELECT doc_id, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END
+    + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS d FROM shares GROUP BY doc_id, kind
+), far AS (
+  SELECT b.*, CASE WHEN n_words >= {GUARD_WORDS} AND n_chars >= {GUARD_CHARS} THEN round(c.d, 6) END AS char_distance,
+    CASE WHEN n_words >= {GUARD_WORDS} AND n_chars >= {GUARD_CHARS} THEN round(w.d, 6) END AS word_distance
+  FROM base b LEFT JOIN distance c ON c.doc_id = b.doc_id AND c.kind = 'c'
+  LEFT JOIN distance w ON w.doc_id = b.doc_id AND w.kind = 'w'
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(char_distance > {MAX_CHAR_DISTANCE}, FALSE) AND NOT coalesce(word_distance > {MAX_WORD_DISTANCE}, FALSE)
+    AS kept, char_distance, word_distance FROM far"""
+
+
+@query("op5_quality_rules", _sql())
 def _(spark, sf_dir):
     return judge(table(spark, sf_dir, "documents"))
