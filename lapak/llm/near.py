@@ -6,8 +6,8 @@ first; a shingle stops as soon as its next arrival is later than all slots. Two
 probability Jaccard similarity of the texts. Eight slots make a band, and texts that share a band are candidates.
 
 Candidates are verified by the exact probability Jaccard similarity. In a band bucket only links to one member are
-verified at a time; what falls into one component needs no further comparison. While more pairs of different components
-share a bucket than a few per member, and links are found, rounds go on with other members. The pairs left are then
+verified at first; what falls into one component needs no further comparison. While more pairs of different components
+share a bucket than a few per member, and links are found, rounds go on with random small groups of each bucket. The pairs left are then
 verified outright, except where the triangle inequality of 1 - similarity already rules a link out. So no candidate link
 between different components is left open, and no bucket is expanded into all its pairs.
 """
@@ -34,6 +34,7 @@ SLICE_BYTES = 1 << 19
 SLICE_ROWS = 400
 CELLS = 1 << 14
 OPEN_PER_MEMBER = 4
+STAR = 8
 
 
 def weighted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,11 +152,14 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _stars(members: DataFrame, turn: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components: one member of each bucket, another one each turn, with the rest."""
+    """Candidate pairs (a, b) of different components: every bucket is dealt into groups of about STAR members, anew each
+    turn, and one member of each group meets the others. So a member meets another one in each of its buckets."""
     order = F.xxhash64("node", F.lit(turn))
-    centre = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "root")).alias("c")).select(
-        "key", F.col("c.node").alias("a"), F.col("c.root").alias("_root"))
-    return members.join(centre, "key").filter(F.col("root") != F.col("_root")).select(
+    dealt = members.withColumn("_group", F.pmod(order, F.ceil(F.col("size") / STAR)))
+    centre = dealt.groupBy("key", "_group").agg(
+        F.min(F.struct(order.alias("o"), "node", "root")).alias("c"), F.max("root").alias("_high"), F.min("root").alias("_low")
+    ).filter("_low < _high").select("key", "_group", F.col("c.node").alias("a"), F.col("c.root").alias("_root"))
+    return dealt.join(centre, ["key", "_group"]).filter(F.col("root") != F.col("_root")).select(
         F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
@@ -198,8 +202,8 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     distinct = signed.groupBy("md5").agg(F.min("doc_id").alias("text_id"), F.first("bands").alias("bands"))
     nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()), "texts")
     bands = nodes.select("node", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("_high")).filter("low < _high")
-    members = written(bands.join(shared, "key").select("key", "node", "low"), "members")
+    shared = bands.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = written(bands.join(shared, "key").select("key", "node", "low", "size"), "members")
     wanted = nodes.select("node", "md5").join(members.select("node").distinct(), "node")
     found = rows.select("md5", "text").join(wanted, "md5")
     texts = written(found.groupBy("node").agg(F.first("text").alias("text")), "candidates")
