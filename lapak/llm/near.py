@@ -7,9 +7,10 @@ probability Jaccard similarity of the texts. Eight slots make a band, and texts
 
 Candidates are verified by the exact probability Jaccard similarity. In a band bucket only links to one member are
 verified at first; what falls into one component needs no further comparison. While more pairs of different components
-share a bucket than a few per member, and links are found, rounds go on with random small groups of each bucket. The pairs left are then
-verified outright, except where the triangle inequality of 1 - similarity already rules a link out. So no candidate link
-between different components is left open, and no bucket is expanded into all its pairs.
+share a bucket than a few per member, and a fair share of the tested ones are links, rounds go on with random small
+groups of each bucket. For what is left, buckets are compared in blocks by their slots inside the tasks, and pairs that
+come within three standard errors of the threshold are verified. So every two texts that share a bucket either are in one
+component, or were verified, or are unlike by their slots; no bucket is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ SLICE_ROWS = 400
 CELLS = 1 << 14
 OPEN_PER_MEMBER = 4
 STAR = 8
+FEW_LINKS = 0.02
+BLOCK = 128
+# Three standard errors of the estimate from the slots, below which a pair is taken for unlike.
+MARGIN = 3 * (SIMILAR * (1 - SIMILAR) / SLOTS) ** 0.5
 
 
 def weighted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,20 +115,21 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """md5 of each text and its band hashes; a text without words has none."""
+    """md5 of each text, its band hashes (none without words), and one byte of each slot."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES, SLICE_ROWS):
                 signature, some = signatures(batch.column("text"))
                 bands = band_hashes(signature)
                 offsets = np.concatenate(([0], np.cumsum(some * BANDS))).astype(np.int32)
+                sketch = (mix(signature) & np.uint64(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("md5"),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[some].ravel()))],
-                    ["doc_id", "md5", "bands"])
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[some].ravel())),
+                     pa.array([row.tobytes() for row in sketch], pa.binary())], ["doc_id", "md5", "bands", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "md5", "text").mapInArrow(run, f"doc_id {kind}, md5 binary, bands array<long>")
+    return docs.select("doc_id", "md5", "text").mapInArrow(run, f"doc_id {kind}, md5 binary, bands array<long>, sketch binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -199,7 +205,8 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("md5", F.unhex(F.md5("text")))
     signed = _signed(rows)
-    distinct = signed.groupBy("md5").agg(F.min("doc_id").alias("text_id"), F.first("bands").alias("bands"))
+    distinct = signed.groupBy("md5").agg(F.min("doc_id").alias("text_id"), F.first("bands").alias("bands"),
+                                         F.first("sketch").alias("sketch"))
     nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()), "texts")
     bands = nodes.select("node", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -214,7 +221,7 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     roots, turn, total = _merged(None, links), 0, members.count()
     while True:
         placed = written(_rooted(members, "node", roots, "root"), "placed")
-        if _open_count(placed) <= OPEN_PER_MEMBER * total or links.isEmpty():
+        if _open_count(placed) <= OPEN_PER_MEMBER * total or links.count() < FEW_LINKS * known.count():
             break
         turn += 1
         pairs = _stars(placed, turn).join(known, ["a", "b"], "left_anti")
@@ -222,7 +229,7 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         known = known.unionByName(checked)
         links = checked.filter(F.col("similarity") >= similar).select("a", "b")
         roots = _merged(roots, links)
-    rest = written(_verified(_open_pairs(placed, known, similar), texts), "rest")
+    rest = written(_verified(_open_pairs(placed, nodes, known, similar), texts), "rest")
     links = rest.filter(F.col("similarity") >= similar).select("a", "b")
     if not links.isEmpty():
         roots = _merged(roots, links)
@@ -233,22 +240,50 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return rows.select("doc_id", "md5").join(classes, "md5").select("doc_id", "md5", "text_id", "class_id")
 
 
-def _open_pairs(placed: DataFrame, known: DataFrame, similar: float) -> DataFrame:
-    """Pairs of different components that share a bucket, are not verified yet and may be similar.
+def _open_pairs(placed: DataFrame, nodes: DataFrame, known: DataFrame, similar: float) -> DataFrame:
+    """Pairs of different components that share a bucket, are not verified yet and look similar by their slots.
 
-    For a member c with known similarities to both, |s(a, c) - s(b, c)| > 1 - similar rules out a link; c is the least
-    member of the bucket.
+    Buckets are dealt into blocks, and every two blocks of a bucket meet in a task of bounded size, which compares the
+    slots and passes on only pairs within the margin. So pairs are compared, but not made into rows.
     """
     mixed = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high")
-    near = known.select(F.col("a").alias("low"), F.col("b").alias("node"), "similarity")
-    held = placed.join(mixed.select("key"), "key").join(near, ["low", "node"], "left").select(
-        "key", "node", "root", F.when(F.col("node") == F.col("low"), 1.0).otherwise(F.col("similarity")).alias("s"))
-    held = written(held, "open")
-    left = held.select("key", F.col("node").alias("a"), F.col("root").alias("_a"), F.col("s").alias("_s"))
-    right = held.select("key", F.col("node").alias("b"), F.col("root").alias("_b"), F.col("s").alias("_t"))
-    apart = F.coalesce(F.abs(F.col("_s") - F.col("_t")) > 1 - similar + 1e-9, F.lit(False))
-    pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("_a") != F.col("_b")) & ~apart)
-    return pairs.select("a", "b").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    held = placed.join(mixed.select("key"), "key").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
+        "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root")
+    shown = dealt.join(nodes.select("node", "sketch"), "node")
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = similar - MARGIN
+
+    def compare(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        own, node, root, sketch = zip(*rows)
+        own, node, root = np.array(own), np.array(node), np.array(root)
+        bits = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(rows), SLOTS)
+        found_a, found_b = [], []
+        for i in range(len(rows) - 1):
+            near = np.flatnonzero((bits[i + 1:] == bits[i]).mean(1) >= least) + i + 1
+            near = near[root[near] != root[i]]
+            found_a.append(np.minimum(node[near], node[i]))
+            found_b.append(np.maximum(node[near], node[i]))
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(found_a + none), np.concatenate(found_b + none)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+        for batch in batches:
+            for key, low, high, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, low, high) != group:
+                    if len(rows) > 1:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in compare(rows)], ["a", "b"])
+                    group, rows = (key, low, high), []
+                rows.append(row)
+        if len(rows) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in compare(rows)], ["a", "b"])
+
+    order = ["key", "low", "high"]
+    pairs = shown.select(*order, "own", "node", "root", "sketch").repartition(parts, *order).sortWithinPartitions(
+        *order).mapInArrow(run, "a long, b long")
+    return pairs.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
