@@ -19,7 +19,10 @@ MAX_BYTES = 4 << 20
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = MAX_BYTES, max_rows: int = 1 << 20
            ) -> Iterator[pa.RecordBatch]:
     """Runs of at most ``max_rows`` rows whose ``column`` holds at most ``max_bytes``, or one longer row."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    cells = batch.column(column)
+    listed = pa.types.is_list(cells.type)  # of numbers of at most eight bytes
+    lengths = pc.multiply(pc.list_value_length(cells), 8) if listed else pc.binary_length(cells)
+    sizes = pc.fill_null(lengths, 0).to_pylist()
     start = held = 0
     for at, size in enumerate(sizes):
         if at > start and (held + size > max_bytes or at - start >= max_rows):

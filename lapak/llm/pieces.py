@@ -281,14 +281,15 @@ def _scanned(chunks: DataFrame, model: str) -> DataFrame:
     """key, chunk, ids, score: the ids of each chunk; the score of the text stands at its first chunk."""
     def per_chunk(work, extra, out):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            v = vocabulary(model)
-            for batch in batches:
-                if len(v.place) > TABLE_WORDS:
-                    v.clear()
-                columns = [batch.column(c).to_pylist() for c in ("text", "ahead", *extra)]
-                made = [work(v, *row) for row in zip(*columns)]
-                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("chunk"), pa.array(
-                    made, pa.list_(pa.int64()))], ["key", "chunk", out])
+            v, kind = vocabulary(model), pa.int32() if out == "ids" else pa.int64()
+            for whole in batches:
+                for batch in slices(whole, "text", 1 << 19):
+                    if len(v.place) > TABLE_WORDS:
+                        v.clear()
+                    columns = [batch.column(c).to_pylist() for c in ("text", "ahead", *extra)]
+                    made = [np.array(work(v, *row), kind.to_pandas_dtype()) for row in zip(*columns)]
+                    yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("chunk"), pa.array(
+                        made, pa.list_(kind))], ["key", "chunk", out])
 
         return run
 
@@ -316,7 +317,7 @@ def _scanned(chunks: DataFrame, model: str) -> DataFrame:
     maps = known.mapInArrow(per_chunk(trace, ("entry",), "m"), "key binary, chunk int, m array<long>")
     left = maps.groupBy("key").applyInPandas(scan("m", "exit", exits), "key binary, chunk int, exit int")
     return known.join(left, ["key", "chunk"]).mapInArrow(
-        per_chunk(chunk_ids, ("entry", "exit"), "ids"), "key binary, chunk int, ids array<long>")
+        per_chunk(chunk_ids, ("entry", "exit"), "ids"), "key binary, chunk int, ids array<int>")
 
 
 def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
@@ -360,12 +361,13 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
         heads = {i for b, i in v.byte.items() if b & 0xC0 != 0x80}
         for i in heads:
             value[i] = v.unknown_score
-        for batch in batches:
-            ids = batch.column("ids")
-            flat = ids.flatten().to_numpy()
-            sums = np.concatenate(([0], np.cumsum(value[flat])))
-            cut_ = np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy())))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), ids, pa.array(np.diff(sums[cut_]))], ["key", "ids", "score"])
+        for whole in batches:
+            for batch in slices(whole, "ids"):
+                ids = batch.column("ids")
+                sums = np.concatenate(([0], np.cumsum(value[ids.flatten().to_numpy()])))
+                cut_ = np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy())))
+                yield pa.RecordBatch.from_arrays([batch.column("key"), ids, pa.array(np.diff(sums[cut_]))],
+                                                 ["key", "ids", "score"])
 
     short = rows.filter(F.length("text") <= chunk).mapInArrow(whole, f"doc_id {kind}, ids array<int>, score long")
     giant = rows.filter(F.length("text") > chunk).withColumn("key", F.unhex(F.md5("text")))
@@ -373,7 +375,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
     chunks = once.mapInArrow(cut, "key binary, chunk int, text string, ahead string").repartition("key", "chunk")
     found = _scanned(written(chunks, "chunks"), model)
     ordered = F.sort_array(F.collect_list(F.struct("chunk", "ids")))
-    texts = found.groupBy("key").agg(F.flatten(F.transform(ordered, lambda c: c["ids"])).cast("array<int>").alias("ids"))
+    texts = found.groupBy("key").agg(F.flatten(F.transform(ordered, lambda c: c["ids"])).alias("ids"))
     scored = texts.mapInArrow(total, "key binary, ids array<int>, score long")
     return short.unionByName(giant.select("doc_id", "key").join(scored, "key").select("doc_id", "ids", "score"))
 
@@ -382,8 +384,9 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """The rows of ``encode`` with the text of their ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        for batch in batches:
-            yield batch.append_column("text", decode_batch(v, batch.column("ids")))
+        for whole in batches:
+            for batch in slices(whole, "ids"):
+                yield batch.append_column("text", decode_batch(v, batch.column("ids")))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{schema}, text string")
@@ -402,16 +405,17 @@ def digests(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, score, ids_crc32 and decoded_sha256 of encoded documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        for batch in batches:
-            ids = batch.column("ids")
-            flat, size = ids.flatten().to_numpy().astype("<u4"), ids.value_lengths().to_numpy()
-            at = np.concatenate(([0], np.cumsum(size)))
-            decoded = decode_batch(v, ids).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), batch.column("score"),
-                 pa.array([zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:])], pa.int64()),
-                 pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string())],
-                ["doc_id", "n_tokens", "score", "ids_crc32", "decoded_sha256"])
+        for whole in batches:
+            for batch in slices(whole, "ids"):
+                ids = batch.column("ids")
+                flat, size = ids.flatten().to_numpy().astype("<u4"), ids.value_lengths().to_numpy()
+                at = np.concatenate(([0], np.cumsum(size)))
+                decoded = decode_batch(v, ids).cast(pa.binary()).to_pylist()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(size, pa.int64()), batch.column("score"),
+                     pa.array([zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:])], pa.int64()),
+                     pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string())],
+                    ["doc_id", "n_tokens", "score", "ids_crc32", "decoded_sha256"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.mapInArrow(run, f"doc_id {kind}, n_tokens long, score long, ids_crc32 long, decoded_sha256 string")
