@@ -111,6 +111,21 @@ def test_line_runs(spark, odd_docs, min_lines):
     assert {(r.doc_id, r.text): r._left for r in found} == expected
 
 
+def test_long_lines_count_by_their_words(spark):
+    """One or two repeated lines go if they have enough words, as three lines do; shorter ones stay."""
+    long, half, other = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("l", 50), ("h", 25), ("o", 25)))
+    docs = spark.createDataFrame([
+        (1, f"{long}\n\nx\n{half}\n{other}\nend"), (2, f"a\n{long}\nb\n{half}\nc"), (3, f"{half}\n{other}\nx\nd"),
+        (4, f"{long}\n{long} more\n{half}\n{other}\n{half}\n{other}"), (4, f"{long}\n{long} more\n{half}\n{other}\n{half}\n{other}"),
+        (5, f"p\nq\nr\ns"), (6, f"p\nq\nr\nt\n{long}"), (None, long)], "doc_id long, text string")
+    found = {r.doc_id: (r._left, r._n_removed, r._n_runs) for r in lines.without_repeats(docs, 3, 50).select(
+        "_doc.doc_id", "_left", "_n_removed", "_n_runs").collect()}
+    assert found == {
+        None: (long, 0, 0), 1: (f"x\n{half}\n{other}\nend", 1, 1), 2: (f"a\nb\n{half}\nc", 1, 1), 3: ("x\nd", 2, 1),
+        4: (f"{long} more", 5, 2), 5: ("p\nq\nr\ns", 0, 0), 6: ("t", 4, 2)}
+    assert lines.without_repeats(docs, 4, 3).filter("_doc.doc_id = 6").first()._left == "t"
+
+
 def test_line_dedup_keeps_columns(odd_docs, no_docs):
     found = lines.deduplicated(odd_docs)
     assert found.columns == odd_docs.columns and found.count() == odd_docs.count()
