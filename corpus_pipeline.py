@@ -13,8 +13,8 @@ ORACLE_SQL = None  # spans, near duplicates and packing are beyond SQL; tests co
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
-    return quality.keep_good(docs)
+    """Documents that pass the quality rules; short ones are judged on their characters too."""
+    return quality.keep_good(docs, short=True)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 The reference of a language is summed over all its documents that pass the base rules. A document is compared by the
 Jensen-Shannon distance (base 2, 0 to 1) of its character classes and of its common words; short documents, whose
-histograms say little, are not compared.
+histograms say little, are not compared. Characters are many more than words: with ``short`` every document that passes
+the base rules is compared by them, and the guard holds for words only.
 """
 
 from __future__ import annotations
@@ -100,7 +101,7 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def _judged(docs: DataFrame, whole: bool) -> DataFrame:
+def _judged(docs: DataFrame, whole: bool, short: bool = False) -> DataFrame:
     found = written(features(docs, whole).withColumn("base_failed", base_failed()), "quality")
     sums = [F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(7)]
     sums += [F.sum(F.get("words", F.lit(i))).alias(f"w{i}") for i in range(max(map(len, COMMON_WORDS.values())) + 1)]
@@ -112,34 +113,37 @@ def _judged(docs: DataFrame, whole: bool) -> DataFrame:
     # At most one row per language of COMMON_WORDS.
     rows = found.join(F.broadcast(reference), F.col("lang") == F.col("_lang"), "left")
     long_enough = (F.col("n_words") >= GUARD_WORDS) & (F.col("n_chars") >= GUARD_CHARS)
+    on_chars = ~F.col("base_failed") | long_enough if short else long_enough
     rows = rows.withColumns({
-        "char_distance": F.round(F.when(long_enough, js_distance(F.col("chars"), F.col("_chars"))), 6),
+        "char_distance": F.round(F.when(on_chars, js_distance(F.col("chars"), F.col("_chars"))), 6),
         "word_distance": F.round(F.when(long_enough, js_distance(F.col("words"), F.col("_words"))), 6)})
     far = (F.coalesce(F.col("char_distance") > MAX_CHAR_DISTANCE, F.lit(False))
            | F.coalesce(F.col("word_distance") > MAX_WORD_DISTANCE, F.lit(False)))
     return rows.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, short: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     char_distance, word_distance (six decimals; null where not compared).
 
     A null text has no words and fails the base rules. A document of a language without reference is judged by the base
     rules alone. Repeated rows are judged each by itself; an empty table gives no rows.
     """
-    return _judged(docs, False).select(
+    return _judged(docs, False, short).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "char_distance", "word_distance")
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, short: bool = False) -> DataFrame:
     """The documents that ``judge`` keeps, with all their columns."""
-    return _judged(docs, True).filter("kept").select("_doc.*")
+    return _judged(docs, True, short).filter("kept").select("_doc.*")
 
 
-def _sql() -> str:
+def _sql(short: bool = False) -> str:
     """The same rules in SQL, histograms as rows."""
     words = ", ".join(f"('{lang}', {i + 1}, '{w}')" for lang, every in COMMON_WORDS.items() for i, w in enumerate(every))
+    guard = f"n_words >= {GUARD_WORDS} AND n_chars >= {GUARD_CHARS}"
+    on_chars = f"NOT base_failed OR {guard}" if short else guard
     space, only = r"[\x20\t\n\x0B\x0C\r]", lambda kept: f"length(regexp_replace(text, '[^{kept}]', '', 'g'))"
     return rf"""
 WITH common(lang, bin, w) AS (VALUES {words}), doc AS (
@@ -179,8 +183,8 @@ WITH common(lang, bin, w) AS (VALUES {words}), doc AS (
   SELECT doc_id, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END
     + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS d FROM shares GROUP BY doc_id, kind
 ), far AS (
-  SELECT b.*, CASE WHEN n_words >= {GUARD_WORDS} AND n_chars >= {GUARD_CHARS} THEN round(c.d, 6) END AS char_distance,
-    CASE WHEN n_words >= {GUARD_WORDS} AND n_chars >= {GUARD_CHARS} THEN round(w.d, 6) END AS word_distance
+  SELECT b.*, CASE WHEN {on_chars} THEN round(c.d, 6) END AS char_distance,
+    CASE WHEN {guard} THEN round(w.d, 6) END AS word_distance
   FROM base b LEFT JOIN distance c ON c.doc_id = b.doc_id AND c.kind = 'c'
   LEFT JOIN distance w ON w.doc_id = b.doc_id AND w.kind = 'w'
 )
@@ -193,3 +197,8 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 @query("op5_quality_rules", _sql())
 def _(spark, sf_dir):
     return judge(table(spark, sf_dir, "documents"))
+
+
+@query("op5_quality_rules_short", _sql(short=True))
+def _(spark, sf_dir):
+    return judge(table(spark, sf_dir, "documents"), short=True)

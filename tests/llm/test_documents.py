@@ -76,6 +76,18 @@ def test_quality_rejects_symbol_noise_and_keeps_prose(spark):
     assert [r.doc_id for r in quality.judge(docs).filter("not kept").collect()] == [30]
 
 
+def test_short_symbol_noise_is_judged_on_its_characters(spark, data):
+    """Texts below the length guard: junk goes, clean ones stay; longer ones are judged as before."""
+    rng = random.Random(1)
+    words = "the of and to in a is that house river stone bridge walked along".split()
+    prose = [" ".join(rng.choice(words) for _ in range(n)) + "." for n in [200] * 30 + [20, 25, 40, 70]]
+    junk = [" ".join(f"{rng.choice(words)}{rng.choice(['***', '%%%', '&&&', '$$$'])}{k}" for k in range(n)) for n in (25, 60)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*prose, *junk])], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in quality.judge(docs, short=True).filter("not kept").collect()) == [34, 35]
+    stage = dict(corpus_pipeline.STAGES)["quality_rules"]
+    assert sorted(r.doc_id for r in stage(spark, docs, data).collect()) == list(range(34))
+
+
 def without_runs(rows, k):
     """Text left of each (doc_id, text), by brute force; earlier means smaller id, hash of the text, place."""
     first, units = {}, {}
