@@ -9,7 +9,7 @@ Candidates are verified by the exact probability Jaccard similarity. In a band b
 verified at first; what falls into one component needs no further comparison. While more pairs of different components
 share a bucket than a few per member, and a fair share of the tested ones are links, rounds go on with random small
 groups of each bucket. For what is left, buckets are compared in blocks by their slots inside the tasks, and pairs that
-come within three standard errors of the threshold are verified. So every two texts that share a bucket either are in one
+come within six standard errors of the threshold are verified: a link falls out with less than 1e-9. So every two texts that share a bucket either are in one
 component, or were verified, or are unlike by their slots; no bucket is expanded into all its pairs.
 """
 
@@ -38,8 +38,8 @@ OPEN_PER_MEMBER = 4
 STAR = 8
 FEW_LINKS = 0.02
 BLOCK = 128
-# Three standard errors of the estimate from the slots, below which a pair is taken for unlike.
-MARGIN = 3 * (SIMILAR * (1 - SIMILAR) / SLOTS) ** 0.5
+# Six standard errors of the estimate from the slots, below which a pair is taken for unlike.
+MARGIN = 6 * (SIMILAR * (1 - SIMILAR) / SLOTS) ** 0.5
 
 
 def weighted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,14 +255,15 @@ def _open_pairs(placed: DataFrame, nodes: DataFrame, known: DataFrame, similar:
     parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     least = similar - MARGIN
 
-    def compare(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    def compare(rows: list[tuple], one: bool) -> tuple[np.ndarray, np.ndarray]:
+        """``one``: a block meets itself; otherwise only pairs across the two blocks are new."""
         own, node, root, sketch = zip(*rows)
         own, node, root = np.array(own), np.array(node), np.array(root)
         bits = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(rows), SLOTS)
         found_a, found_b = [], []
         for i in range(len(rows) - 1):
             near = np.flatnonzero((bits[i + 1:] == bits[i]).mean(1) >= least) + i + 1
-            near = near[root[near] != root[i]]
+            near = near[(root[near] != root[i]) & (one | (own[near] != own[i]))]
             found_a.append(np.minimum(node[near], node[i]))
             found_b.append(np.maximum(node[near], node[i]))
         none = [np.zeros(0, np.int64)]
@@ -274,11 +275,11 @@ def _open_pairs(placed: DataFrame, nodes: DataFrame, known: DataFrame, similar:
             for key, low, high, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if (key, low, high) != group:
                     if len(rows) > 1:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in compare(rows)], ["a", "b"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in compare(rows, group[1] == group[2])], ["a", "b"])
                     group, rows = (key, low, high), []
                 rows.append(row)
         if len(rows) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in compare(rows)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in compare(rows, group[1] == group[2])], ["a", "b"])
 
     order = ["key", "low", "high"]
     pairs = shown.select(*order, "own", "node", "root", "sketch").repartition(parts, *order).sortWithinPartitions(

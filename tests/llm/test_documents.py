@@ -211,6 +211,21 @@ def test_near_chains_and_large_groups(spark):
     assert Counter((r.doc_id, r.class_id) for r in near.near_classes(frame).collect()) == classes(docs)
 
 
+def test_open_pairs_lose_no_link_by_chance(spark):
+    """Every pair of a bucket of several blocks within six standard errors (0.106) of 0.8 by its slots is proposed."""
+    rng = np.random.default_rng(3)
+    base, n = rng.integers(0, 256, near.SLOTS), 3 * near.BLOCK
+    sketch = np.array([np.where(rng.random(near.SLOTS) < rng.uniform(0, 0.3), rng.integers(0, 256, near.SLOTS), base)
+                       for _ in range(n)], np.uint8)
+    nodes = spark.createDataFrame([(i, sketch[i].tobytes()) for i in range(n)], "node long, sketch binary")
+    placed = spark.createDataFrame([(7, i, i, n) for i in range(n)], "key long, node long, root long, size long")
+    known = spark.createDataFrame([], "a long, b long")
+    found = {tuple(r) for r in near._open_pairs(placed, nodes, known, 0.8).select("a", "b").collect()}
+    share = (sketch[:, None] == sketch[None]).mean(2)
+    pairs = lambda least: {(i, j) for i in range(n) for j in range(i + 1, n) if share[i, j] >= least}
+    assert pairs(0.6945) <= found <= pairs(0.6935) and pairs(0.75) < found
+
+
 def test_keep_one(odd_docs):
     kept = near.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
