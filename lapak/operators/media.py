@@ -16,9 +16,9 @@ def images_with_owner(images: DataFrame, listings: DataFrame) -> DataFrame:
     return images.join(owners, "listing_id")
 
 
-def pending_media(images: DataFrame, listings: DataFrame, as_of, after_id: str = "", limit: int = 25,
+def pending_media(images: DataFrame, listings: DataFrame, as_of, after_id: str = "", limit: int | None = 25,
                   hours: int = 24) -> DataFrame:
-    """Uncached images in id order; Marketplace images only while their listing is fresh."""
+    """Uncached images in id order; Marketplace images only while their listing is fresh. No limit means all."""
     oldest = F.timestamp_add("HOUR", F.lit(-hours), F.lit(as_of).cast("timestamp_ntz"))
     todo = images.filter(F.col("cached_url").isNull() & (F.col("id") > after_id)).select("id", "listing_id", "source_url")
     owners = listings.filter(
@@ -26,8 +26,8 @@ def pending_media(images: DataFrame, listings: DataFrame, as_of, after_id: str =
         | ((F.col("platform") == "facebook") & (F.col("first_fetched_at") >= oldest))
     ).select(F.col("id").alias("listing_id"), "platform")
     media_platform = F.when(F.col("platform") == "facebook_group", F.lit("facebook_groups")).otherwise(F.col("platform"))
-    return todo.join(owners, "listing_id").select("id", "source_url", media_platform.alias("media_platform")).orderBy(
-        "id").limit(limit)
+    found = todo.join(owners, "listing_id").select("id", "source_url", media_platform.alias("media_platform")).orderBy("id")
+    return found if limit is None else found.limit(limit)
 
 
 def single_cover_groups(listings: DataFrame, images: DataFrame, since, after_id: str = "", limit: int = 50) -> DataFrame:

@@ -514,7 +514,7 @@ def _(t):
       AND l.first_fetched_at >= TIMESTAMP '1999-01-01 00:00:00' - INTERVAL 24 HOUR ORDER BY i.id LIMIT 1000000""")
 def _(t):
     only = t.listings.filter("platform = 'facebook'")
-    return media.pending_media(t.images, only, "1999-01-01 00:00:00", "", 1_000_000).select("id")
+    return media.pending_media(t.images, only, "1999-01-01 00:00:00", "", None).select("id")
 
 
 @query("a14_single_cover_groups", """

@@ -8,8 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from lapak.operators import (
-    changes, contract, extract_json, extract_text, feed, moderation, normalize, ordering, queue, reconcile, runs, upsert,
+    changes, contract, extract_json, extract_text, feed, media, moderation, normalize, ordering, queue, reconcile, runs,
+    upsert,
 )
+from lapak.plans import load
+from lapak.plans.registry import QUERIES
 from lapak.schemas import CANDIDATE_STATE, IMAGE, LISTING, QUEUE, REJECTION
 from lapak.sources import images as image_source, runlogs, tables
 from lapak.streaming import jobs, stateful
@@ -391,3 +394,13 @@ def test_reports_replace_only_their_day(spark, tmp_path):
         paths = tables.write_reports(frame, frame, str(tmp_path), day)
     counts = {str(r["report_date"]): r["count"] for r in spark.read.json(paths[0]).groupBy("report_date").count().collect()}
     assert counts == {"2024-01-01": 5, "2024-01-02": 5}
+
+
+def test_rolling_window_has_no_cap(spark):
+    rows = listings(spark)
+    images = rows.select(F.col("id"), F.col("id").alias("listing_id"), "source_url", F.lit(None).cast("string").alias("cached_url"))
+    assert media.pending_media(images, rows, T0, limit=None).count() == 60
+    assert media.pending_media(images, rows, T0).count() == 25
+    load()
+    found = QUERIES["t10_rolling_window"](spark, "/root/testdata/sf0.001")
+    assert "Limit" not in found._jdf.queryExecution().optimizedPlan().toString()
