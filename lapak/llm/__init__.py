@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("packing", "token_file", "quality", "private", "fingerprints", "repeats", "near", "lines", "pieces", "preferences", "periods", "credentials")
+MODULES: tuple[str, ...] = ("packing", "token_file", "quality", "private", "fingerprints", "repeats", "near", "lines", "pieces", "preferences", "periods", "credentials", "prefixes")
 
 
 def load() -> None:
