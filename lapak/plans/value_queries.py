@@ -563,7 +563,9 @@ def _unescaped_sql(text: str) -> str:
     return text
 
 
-_PIECES_SQL, _HREF_SQL = (p.replace("'", "''") for p in (extract_text.HTML_PIECES, extract_text.HREF))
+_HTML_SQL = (r"(?is)<script\b[^>]*>(?:.*?</script\s*>|.*)|<style\b[^>]*>(?:.*?</style\s*>|.*)|<!--(?:.*?-->|.*)|"
+             r"</?[a-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[a-z/!?][^>]*(?:>|\z)|[^<]+|<")
+_PIECES_SQL, _HREF_SQL = (p.replace("'", "''") for p in (_HTML_SQL, extract_text.HREF))
 
 
 @query("x8_html_to_text", rf"""
@@ -573,11 +575,12 @@ _PIECES_SQL, _HREF_SQL = (p.replace("'", "''") for p in (extract_text.HTML_PIECE
     ), texts AS (
         SELECT page_id, k, CASE
             WHEN p NOT LIKE '<%' THEN CASE WHEN regexp_full_match(p, '\s*') THEN '' ELSE p END
+            WHEN p NOT LIKE '%>' THEN CASE WHEN p = '<' THEN p ELSE '' END
+            WHEN regexp_matches(p, '(?i)^<(?:script|style)\b') AND NOT regexp_matches(p, '(?i)</(?:script|style)\s*>$') THEN ''
             WHEN regexp_matches(p, '(?i)^<(?:script|style)\b') THEN trim(regexp_replace(p, '(?is)^<[^>]*>|</[a-z]+\s*>$', '', 'g'))
             WHEN regexp_matches(p, '(?i)^<(?:br|p|div|li|tr)[\s/>]') THEN chr(10)
             WHEN regexp_matches(p, '{_HREF_SQL}') THEN concat(' ', regexp_extract(p, '{_HREF_SQL}', 1),
-                regexp_extract(p, '{_HREF_SQL}', 2), regexp_extract(p, '{_HREF_SQL}', 3), ' ')
-            WHEN p = '<' THEN p ELSE '' END AS t FROM pieces
+                regexp_extract(p, '{_HREF_SQL}', 2), regexp_extract(p, '{_HREF_SQL}', 3), ' ') ELSE '' END AS t FROM pieces
     ), joined AS (
         SELECT page_id, string_agg(t, '' ORDER BY k) AS t FROM texts GROUP BY 1
     ), flat AS (

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Row, functions as F
 
 from lapak.functions import text, urls, values
-from lapak.operators import dto, facets, feed
+from lapak.operators import dto, extract_text, facets, feed
 from lapak.schemas import IMAGE, LISTING, MODERATION
 from lapak.streaming.jobs import feed_revision
 
@@ -209,3 +209,27 @@ def test_python_spaces_and_locations(spark):
 def test_reddit_image_entities(spark):
     source = "https://preview.redd.it/a.jpg?width=1&amp;s=2)."
     assert spark.range(1).select(urls.reddit_image_url(F.lit(source))).first()[0] == "https://i.redd.it/a.jpg"
+
+
+@pytest.mark.parametrize("part, times, body", [
+    ("if a <b then ", 800_000, "if a"), ("<b ", 3_400_000, ""), ("<script>", 1_300_000, ""), ("<style>x", 1_300_000, ""),
+    ("<!--", 2_600_000, ""), ("<a href=\"", 1_200_000, ""), ("<b '", 2_600_000, ""), ("</", 5_200_000, ""), ("<p>x</p>", 400_000, None),
+    ("🙂a", 2_500_000, None), ("< ", 1_000_000, None), ("<", 10_400_000, None), ("&amp;", 1_000_000, None)])
+def test_html_to_text_is_linear(spark, part, times, body):
+    """Ten megabytes of what is never closed, quoted, nested or escaped, in one text."""
+    rows = spark.range(1).select(extract_text.html_to_text(F.expr(f"repeat('{part.replace(chr(39), chr(92) + chr(39))}', {times})")).alias("body"))
+    found = rows.select(F.length("body").alias("n"), F.left("body", F.lit(20)).alias("head")).first()
+    if body is not None:
+        assert (found.n, found.head) == (len(body), body)
+    else:
+        assert found.n > 0
+
+
+@pytest.mark.parametrize("html, body", [
+    ("a <b title=\"x>y\">c</b> d", "a c d"), ("a <b title=\"x>y d", "a y d"), ("a < b <p>c", "a < b \nc"),
+    ("<script>if (a<b) {}</script>x", "if (a<b) {}x"), ("x<script>var a = 1;", "x"), ("x<!-- <p>y</p> -->z", "xz"), ("x<!-- <p>y</p>", "x"),
+    ("see <a class='k' href='https://e.example/1?a=1&amp;b=2'>it</a>", "see https://e.example/1?a=1&b=2 it"), ("1 <<< 2", "1 <<< 2"),
+    ("&amp;lt;b&amp;gt; caf&eacute;", "<b> café"), (None, None), ("", "")])
+def test_html_to_text_pieces(spark, html, body):
+    frame = spark.createDataFrame([(html,)], "html string")
+    assert frame.select(extract_text.html_to_text(F.col("html")).alias("b")).first().b == body
