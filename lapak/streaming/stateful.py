@@ -1,13 +1,19 @@
-"""Keyed state: change detection (T1) and the negative lookup cache."""
+"""Keyed state: change detection with its queue (T1) and the negative lookup cache."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from lapak.functions.values import record_id
+from lapak.operators.changes import SUPERSEDED as SUPERSEDED_BY
+from lapak.schemas import QUEUE
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -16,90 +22,230 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-CHANGES = ("candidate_key string, seq bigint, fingerprint string, change string, seen_count bigint, "
-           "first_seen_at timestamp, last_seen_at timestamp")
+QUEUE_EVENTS = ("candidate_key string, seq bigint, fingerprint string, effect string, queued string, observed_at timestamp, "
+                "platform string, source_id string, payload_json string, seen_count bigint, first_seen_at timestamp")
+SIGHT, SUPERSEDED = "sight", "superseded"
+CHANGES = ("new", "changed", "unchanged")
+EVENT_COLUMNS = tuple(c.split()[0] for c in QUEUE_EVENTS.split(", "))
+CHUNK = 10_000
+
+
+def _in_order(parts: list[tuple[np.ndarray, ...]]) -> Iterator[tuple]:
+    """Rows of the narrow columns of all frames, by the first column."""
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    order = np.argsort(columns[0], kind="stable")
+    return zip(*(c[order] for c in columns))
+
+
+def _frames(rows: Iterator[tuple], columns: tuple[str, ...]) -> Iterator[pd.DataFrame]:
+    """Frames of a few thousand rows."""
+    while chunk := list(islice(rows, CHUNK)):
+        yield pd.DataFrame(chunk, columns=list(columns))
 
 
 class ChangeProcessor(StatefulProcessor):
-    """State per candidate: fingerprint, first and last sight, number of sights."""
+    """State per candidate: fingerprint, sights and pending versions; the status of each version it ever had.
+
+    Frames are handled one by one: what is wide, the payload, goes out again at once as a ``sight``; only numbers and
+    fingerprints of a key's share of the micro-batch are kept to put them in arrival order.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._state = handle.getValueState(
-            "candidate", "fingerprint string, first_seen_at timestamp, last_seen_at timestamp, seen_count bigint")
+            "candidate", "fingerprint string, first_seen_at timestamp, seen_count bigint, pending array<string>")
+        self._versions = handle.getMapState("versions", "fingerprint string", "status string")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        pending, known = [], None
+        for fingerprint, status, first, count in initialState[
+                ["fingerprint", "status", "first_seen_at", "seen_count"]].itertuples(index=False):
+            if status is None or pd.isna(status):
+                known = (fingerprint, first, int(count))
+            else:
+                self._versions.updateValue((fingerprint,), (status,))
+                pending += [fingerprint] if status == "pending" else []
+        fingerprint, first, count = known or (None, None, 0)
+        self._state.update((fingerprint, None if pd.isna(first) else first, count, pending))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stored = self._state.get() if self._state.exists() else None
-        fingerprint, first, last, count = stored if stored else (None, None, None, 0)
-        # One key's share of a micro-batch, which the rate-limited source bounds; arrival order decides.
-        seen = pd.concat(list(rows)).sort_values("seq")
-        previous = seen["fingerprint"].shift()
-        previous.iloc[0] = fingerprint
-        change = (seen["fingerprint"] == previous).map({True: "unchanged", False: "changed"})
-        if stored is None:
-            change.iloc[0] = "new"
-            first = seen["observed_at"].iloc[0]
-        counts = range(count + 1, count + len(seen) + 1)
-        last = seen["observed_at"].iloc[-1]
-        self._state.update((seen["fingerprint"].iloc[-1], first, last, count + len(seen)))
-        yield pd.DataFrame({
-            "candidate_key": key[0], "seq": seen["seq"].to_numpy(), "fingerprint": seen["fingerprint"].to_numpy(),
-            "change": change.to_numpy(), "seen_count": list(counts), "first_seen_at": first,
-            "last_seen_at": seen["observed_at"].to_numpy(),
-        })
+        parts = []
+        for frame in rows:
+            parts.append((frame["seq"].to_numpy(np.int64), frame["fingerprint"].to_numpy(object),
+                          frame["status"].to_numpy(object), frame["observed_at"].to_numpy("datetime64[us]")))
+            seen = frame[frame["status"].isna()].drop(columns="status")
+            yield seen.assign(effect=SIGHT, queued=None, seen_count=None, first_seen_at=None)[list(EVENT_COLUMNS)]
+        yield from _frames(self._effects(key[0], parts), EVENT_COLUMNS)
+
+    def _status(self, fingerprint: str) -> str | None:
+        return self._versions.getValue((fingerprint,))[0] if self._versions.containsKey((fingerprint,)) else None
+
+    def _set(self, pending: dict, fingerprint: str, status: str) -> None:
+        self._versions.updateValue((fingerprint,), (status,))
+        if status == "pending":
+            pending[fingerprint] = None
+        else:
+            pending.pop(fingerprint, None)
+
+    def _effects(self, key: str, parts: list) -> Iterator[tuple]:
+        current, first, count, waiting = self._state.get() if self._state.exists() else (None, None, 0, [])
+        pending = dict.fromkeys(waiting or [])
+        for seq, fingerprint, status, at in _in_order(parts):
+            at = pd.Timestamp(at)
+            if isinstance(status, str):
+                self._set(pending, fingerprint, status)
+                continue
+            count += 1
+            first = at if first is None else first
+            change = "unchanged" if fingerprint == current else "new" if current is None else "changed"
+            queued, current = None, fingerprint
+            if change == "unchanged":
+                queued = "refresh" if fingerprint in pending else None
+            else:
+                for other in [p for p in pending if change == "changed" and p != fingerprint]:
+                    self._set(pending, other, "done")
+                    yield (key, seq, other, SUPERSEDED, None, at, None, None, None, None, None)
+                if self._status(fingerprint) in (None, "done"):
+                    self._set(pending, fingerprint, "pending")
+                    queued = "enter"
+            yield (key, seq, fingerprint, change, queued, at, None, None, None, count, first)
+        self._state.update((current, first, count, list(pending)))
 
     def close(self) -> None:
         pass
 
 
-def detect_changes_stream(observations: DataFrame) -> DataFrame:
-    """T1 as a stream: candidate_key, seq, fingerprint, change and the running sight counters.
+def queue_event_stream(observations: DataFrame, state: DataFrame | None = None, queue: DataFrame | None = None) -> DataFrame:
+    """T1 as a stream: what every observation does to the queue (``QUEUE_EVENTS``), see ``queue_after``.
 
-    Rows of a key are put in arrival order inside each micro-batch; bound the micro-batch at the source
-    (maxFilesPerTrigger, maxOffsetsPerTrigger).
+    ``observations``: seq, candidate_key, fingerprint, observed_at, and where at hand platform, source_id, payload_json and
+    status. A row with a status is no observation: it says that a version has been leased, done or given back as
+    pending. ``state`` and ``queue`` are what holds before the first micro-batch. Rows of a key are put in arrival
+    order inside each micro-batch; bound the micro-batch at the source (maxFilesPerTrigger, maxOffsetsPerTrigger).
     """
     use_rocksdb(observations.sparkSession)
-    rows = observations.select("candidate_key", "seq", "fingerprint", F.col("observed_at").cast("timestamp"))
+    text = lambda c: (F.col(c) if c in observations.columns else F.lit(None)).cast("string").alias(c)
+    rows = observations.select("seq", "candidate_key", "fingerprint", F.col("observed_at").cast("timestamp").alias("observed_at"),
+                               *[text(c) for c in ("platform", "source_id", "payload_json", "status")])
+    before = None
+    if state is not None or queue is not None:
+        none = rows.sparkSession.createDataFrame(
+            [], "candidate_key string, fingerprint string, status string, first_seen_at timestamp, seen_count bigint")
+        known = none if state is None else state.select(
+            "candidate_key", "fingerprint", F.lit(None).cast("string").alias("status"),
+            F.col("first_seen_at").cast("timestamp").alias("first_seen_at"), "seen_count")
+        versions = none if queue is None else queue.select(
+            "candidate_key", "fingerprint", "status", F.lit(None).cast("timestamp").alias("first_seen_at"),
+            F.lit(None).cast("bigint").alias("seen_count"))
+        before = known.unionByName(versions).groupBy("candidate_key")
     return rows.groupBy("candidate_key").transformWithStateInPandas(
-        statefulProcessor=ChangeProcessor(), outputStructType=CHANGES, outputMode="append", timeMode="none")
+        statefulProcessor=ChangeProcessor(), outputStructType=QUEUE_EVENTS, outputMode="append", timeMode="none",
+        initialState=before)
+
+
+def detect_changes_stream(observations: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Of the stream, the verdict on each observation: candidate_key, seq, fingerprint, change and sight counters."""
+    return queue_event_stream(observations, state).filter(F.col("effect").isin(*CHANGES)).select(
+        "candidate_key", "seq", "fingerprint", F.col("effect").alias("change"), "seen_count", "first_seen_at",
+        F.col("observed_at").alias("last_seen_at"))
+
+
+def queue_after(queue: DataFrame, events: DataFrame) -> DataFrame:
+    """Queue snapshot after the events of one or more micro-batches, as ``changes.next_queue`` gives it.
+
+    Two mergeable aggregations: per (candidate, version, arrival number), which brings an effect and its payload
+    together, and per version. A hot candidate is combined in its tasks first.
+    """
+    taken = F.col("queued").isNotNull()
+    zone = F.col("observed_at").cast("timestamp_ntz")
+    steps = events.groupBy("candidate_key", "fingerprint", "seq").agg(
+        F.max("queued").alias("queued"), F.max(F.when(F.col("effect") == SUPERSEDED, zone)).alias("closed"),
+        F.max(zone).alias("at"),
+        F.max(F.when(F.col("effect") == SIGHT, F.struct("platform", "source_id", "payload_json"))).alias("sight"))
+    enters = F.col("queued") == "enter"
+    per_version = steps.groupBy("candidate_key", "fingerprint").agg(
+        F.max(F.when(enters, F.col("seq"))).alias("_enter"), F.max_by("at", F.when(enters, F.col("seq"))).alias("_entered"),
+        F.max(F.when(F.col("closed").isNotNull(), F.col("seq"))).alias("_close"),
+        F.max_by("closed", F.when(F.col("closed").isNotNull(), F.col("seq"))).alias("_closed"),
+        F.max_by("sight", F.when(taken, F.col("seq"))).alias("_sight"), F.count(F.when(taken, True)).alias("_taken"))
+    rows = queue.join(per_version.filter("_enter IS NOT NULL OR _close IS NOT NULL OR _taken > 0"),
+                      ["candidate_key", "fingerprint"], "full_outer")
+    entered = F.col("_enter").isNotNull()
+    closes = F.coalesce(F.col("_close") > F.coalesce("_enter", F.lit(-1)), F.lit(False))
+    opens = entered & ~closes
+    pick = lambda c: F.when(F.col("_taken") > 0, F.col(f"_sight.{c}")).otherwise(F.col(c))
+    nothing = F.lit(None)
+    chosen = {
+        "id": F.coalesce("id", record_id(F.concat_ws(":", "candidate_key", "fingerprint"))),
+        "candidate_key": F.col("candidate_key"), "fingerprint": F.col("fingerprint"), "platform": pick("platform"),
+        "source_id": pick("source_id"), "payload_json": pick("payload_json"),
+        "status": F.when(opens, F.lit("pending")).when(closes, F.lit("done")).otherwise(F.col("status")),
+        "attempts": F.when(entered, F.lit(0)).otherwise(F.col("attempts")),
+        "enqueued_at": F.coalesce("_entered", "enqueued_at"), "available_at": F.coalesce("_entered", "available_at"),
+        "leased_at": F.when(opens | closes, nothing).otherwise(F.col("leased_at")),
+        "done_at": F.when(opens, nothing).when(closes, F.col("_closed")).otherwise(F.col("done_at")),
+        "error": F.when(opens, nothing).when(closes, F.lit(SUPERSEDED_BY)).otherwise(F.col("error")),
+    }
+    return rows.select(*[chosen[c].alias(c) for c in QUEUE.fieldNames()])
 
 
 LOOKUPS = "external_id string, asked_at timestamp, action string"
 
 
 class MissProcessor(StatefulProcessor):
-    """State per external id: time until which a failed lookup is not repeated."""
+    """State per external id: time until which a failed lookup is not repeated; a timer clears it then."""
 
     def __init__(self, retry_seconds: int):
         self._retry = pd.Timedelta(seconds=max(300, retry_seconds))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
         self._until = handle.getValueState("retry_at", "retry_at timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        until = pd.Timestamp(self._until.get()[0]) if self._until.exists() else None
-        out = []
-        for at, found in pd.concat(list(rows)).sort_values("asked_at")[["asked_at", "found"]].itertuples(index=False):
+        parts = [(f["asked_at"].to_numpy("datetime64[us]"), f["found"].to_numpy(bool)) for f in rows]
+        yield from _frames(self._actions(key[0], parts), ("external_id", "asked_at", "action"))
+
+    def _actions(self, key: str, parts: list) -> Iterator[tuple]:
+        stored = pd.Timestamp(self._until.get()[0]) if self._until.exists() else None
+        until = stored
+        for at, found in _in_order(parts):
+            at = pd.Timestamp(at)
             if until is not None and until > at:
-                out.append((key[0], at, "skip"))
-            elif found:
-                until = None
-                out.append((key[0], at, "found"))
+                yield (key, at, "skip")
             else:
-                until = at + self._retry
-                out.append((key[0], at, "miss"))
+                until = None if found else at + self._retry
+                yield (key, at, "found" if found else "miss")
+        if until == stored:
+            return
+        if stored is not None:
+            self._handle.deleteTimer(_millis(stored))
         if until is None:
             self._until.clear()
         else:
             self._until.update((until,))
-        yield pd.DataFrame(out, columns=["external_id", "asked_at", "action"])
+            self._handle.registerTimer(_millis(until))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The watermark has passed the time to retry: every later lookup is asked again, so nothing need be kept."""
+        if self._until.exists() and _millis(pd.Timestamp(self._until.get()[0])) <= expiredTimerInfo.getExpiryTimeInMs():
+            self._until.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def lookup_stream(lookups: DataFrame, retry_seconds: int = 21_600) -> DataFrame:
-    """T9 as a stream of lookups (external_id, asked_at, found): which ones to skip, and what the others gave."""
+def _millis(at: pd.Timestamp) -> int:
+    """Milliseconds of a UTC time, rounded up, so that a timer never fires early."""
+    return -(-(at - pd.Timestamp(0)) // pd.Timedelta(milliseconds=1))
+
+
+def lookup_stream(lookups: DataFrame, retry_seconds: int = 21_600, delay: str = "1 hour") -> DataFrame:
+    """T9 as a stream of lookups (external_id, asked_at, found): which ones to skip, and what the others gave.
+
+    Lookups later than ``delay`` behind the newest one are dropped. A miss leaves the state when its time is over.
+    """
     use_rocksdb(lookups.sparkSession)
-    rows = lookups.select("external_id", F.col("asked_at").cast("timestamp"), "found")
+    rows = lookups.select("external_id", F.col("asked_at").cast("timestamp").alias("asked_at"), "found").withWatermark("asked_at", delay)
     return rows.groupBy("external_id").transformWithStateInPandas(
-        statefulProcessor=MissProcessor(retry_seconds), outputStructType=LOOKUPS, outputMode="append", timeMode="none")
+        statefulProcessor=MissProcessor(retry_seconds), outputStructType=LOOKUPS, outputMode="append", timeMode="EventTime")

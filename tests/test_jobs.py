@@ -141,14 +141,103 @@ def test_stream_and_batch_detect_the_same_changes(spark, tmp_path):
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.select("seq", "change").collect()))
 
 
+def run_parts(spark, tmp_path, parts, schema, stream_of, label):
+    """Run a stream once per part, from the same checkpoint; the rows of all parts and the state folder."""
+    source, out, checkpoint = (str(tmp_path / label / x) for x in ("in", "out", "checkpoint"))
+    for rows in parts:
+        spark.createDataFrame(rows, schema).repartition(2).write.mode("append").parquet(source)
+        stream = stream_of(spark.readStream.schema(schema).parquet(source))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(
+            availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out), checkpoint
+
+
+def test_queue_stream_follows_the_model_over_three_batches(spark, tmp_path, monkeypatch):
+    """A, B, A over micro-batches, leases and retries in between, a hot key, and a queue from before the stream."""
+    monkeypatch.setattr(stateful, "CHUNK", 7)
+    rng, model, seq = random.Random(5), Model(), 0
+    schema = ("seq bigint, candidate_key string, platform string, source_id string, fingerprint string, observed_at timestamp_ntz, "
+              "payload_json string, status string")
+    start = [("K:0", "A", "pending"), ("K:0", "B", "leased"), ("K:0", "C", "done"), ("K:1", "B", "pending"), ("K:9", "A", "pending")]
+    before = T0 - dt.timedelta(days=1)
+    for key, fingerprint, status in start:
+        model.queue[key, fingerprint] = {"status": status, "attempts": 2, "at": before, "payload": "old", "done": None}
+    model.state["K:0"] = {"fp": "A", "first": before, "last": before, "n": 3}
+    queue_0 = spark.createDataFrame([(f"{k}/{f}", k, "FACEBOOK", "job", f, "old", s, 2, before, before, None, None, None)
+                                     for k, f, s in start], QUEUE)
+    state_0 = spark.createDataFrame([("K:0", "FACEBOOK", "job", "A", before, before, 3)], CANDIDATE_STATE)
+    parts, expected = [], []
+    for _ in range(3):
+        rows = []
+        for _ in range(60):
+            seq += 1
+            key, fingerprint = ("K:hot" if rng.random() < 0.34 else f"K:{rng.randrange(5)}"), rng.choice("ABC")
+            at, payload = T0 + dt.timedelta(seconds=seq), f"p{seq}"
+            known = model.queue.get((key, fingerprint))
+            if known and rng.random() < 0.2:
+                moved = {"pending": "leased", "leased": rng.choice(["done", "pending"]), "done": "done"}[known["status"]]
+                known["status"] = moved
+                rows.append((seq, key, None, None, fingerprint, at, None, moved))
+            else:
+                rows.append((seq, key, "FACEBOOK", "job", fingerprint, at, payload, None))
+                expected.append((seq, *model.observe(key, fingerprint, at, payload)))
+        rng.shuffle(rows)
+        parts.append(rows)
+    events, _ = run_parts(spark, tmp_path, parts, schema, lambda s: stateful.queue_event_stream(s, state_0, queue_0), "queue")
+    told = events.filter(F.col("effect").isin(*stateful.CHANGES)).select("seq", "effect", (F.col("queued") == "enter").alias("e"))
+    assert sorted((r.seq, r.effect, int(bool(r.e))) for r in told.collect()) == sorted(expected)
+    last = {}
+    for key, version in model.queue.items():
+        last[key] = (version["attempts"], version["at"], version["payload"])
+    got = {(r.candidate_key, r.fingerprint): (r.attempts, r.enqueued_at, r.payload_json)
+           for r in stateful.queue_after(queue_0, events).collect()}
+    assert got == last
+
+
+def test_queue_stream_equals_the_batch_queue(spark, tmp_path):
+    rng = random.Random(11)
+    schema = ("seq bigint, candidate_key string, platform string, source_id string, fingerprint string, observed_at timestamp_ntz, "
+              "payload_json string")
+    rows = [(i, f"K:{rng.randrange(7) if rng.random() < 0.7 else 0}", "FACEBOOK", f"job{i % 2}", rng.choice("ABCD"), T0 + dt.timedelta(seconds=i), f"p{i}")
+            for i in range(180)]
+    batch, state, pool = spark.createDataFrame(rows, schema), spark.createDataFrame([], CANDIDATE_STATE), spark.createDataFrame([], QUEUE)
+    events, _ = run_parts(spark, tmp_path, [rows[:60], rows[60:61], rows[61:]], schema, stateful.queue_event_stream, "equal")
+    expected = changes.next_queue(changes.classify_changes(batch, state), pool)
+    assert sorted(map(str, stateful.queue_after(pool, events).collect())) == sorted(map(str, expected.collect()))
+
+
+def lookups_by_hand(rows, retry):
+    until, out = {}, []
+    for key, at, found in sorted(rows, key=lambda r: r[1]):
+        if key in until and until[key] > at:
+            out.append((key, at, "skip"))
+        else:
+            until.pop(key, None)
+            if not found:
+                until[key] = at + dt.timedelta(seconds=retry)
+            out.append((key, at, "found" if found else "miss"))
+    return sorted(out)
+
+
 def test_lookup_stream_waits_before_asking_again(spark, tmp_path):
     at = lambda m: T0 + dt.timedelta(minutes=m)
     rows = [("a", at(0), False), ("a", at(4), True), ("a", at(6), False), ("a", at(30), True), ("a", at(31), False), ("b", at(1), True)]
     schema = "external_id string, asked_at timestamp_ntz, found boolean"
-    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    out = jobs.run_available(stateful.lookup_stream(stream, 300), "t9").orderBy("external_id", "asked_at").collect()
-    assert [r["action"] for r in out] == ["miss", "skip", "miss", "found", "miss", "found"]
+    out, _ = run_parts(spark, tmp_path, [rows], schema, lambda s: stateful.lookup_stream(s, 300), "t9")
+    assert [r["action"] for r in out.orderBy("external_id", "asked_at").collect()] == ["miss", "skip", "miss", "found", "miss", "found"]
+
+
+def test_lookup_stream_over_batches_forgets_old_misses(spark, tmp_path):
+    rng = random.Random(2)
+    rows = sorted(((rng.choice("abcdef"), T0 + dt.timedelta(minutes=i, microseconds=rng.randrange(999)), rng.random() < 0.3)
+                   for i in range(120)), key=lambda r: r[1])
+    rows.append(("z", T0 + dt.timedelta(days=3), True))  # moves the watermark behind all that was missed
+    schema = "external_id string, asked_at timestamp_ntz, found boolean"
+    parts = [rows[:40], rows[40:80], rows[80:120], rows[120:]]
+    out, checkpoint = run_parts(spark, tmp_path, parts, schema, lambda s: stateful.lookup_stream(s, 900, "10 minutes"), "misses")
+    assert sorted((r.external_id, r.asked_at, r.action) for r in out.collect()) == lookups_by_hand(rows, 900)
+    left = spark.read.format("statestore").option("stateVarName", "retry_at").load(checkpoint)
+    assert left.count() == 0
 
 
 def test_failure_streaks_with_small_segments(spark):
