@@ -65,7 +65,7 @@ def _(t):
     return changes.enqueue_summary(changes.enqueued_versions(seen, t.versions))
 
 
-@query("t2_next_queue", """
+NEXT_QUEUE_SQL = """
     WITH per_version AS (
         SELECT candidate_key, fingerprint, max(seq) FILTER (WHERE change <> 'unchanged') AS moved_seq,
                arg_max(observed_at, seq) FILTER (WHERE enqueued = 1) AS entered_at, arg_max(payload_json, seq) AS payload,
@@ -88,7 +88,10 @@ def _(t):
                 WHEN current_fp IS NOT NULL AND current_fp <> fingerprint AND (entered_at IS NOT NULL OR stored = 'pending') THEN closed_at
                 ELSE done_at END AS done_at,
            CASE WHEN entered_at IS NOT NULL OR (stored = 'pending' AND quiet > 0) THEN payload ELSE payload_json END AS payload_json
-    FROM keyed WHERE stored IS NOT NULL OR moved_seq IS NOT NULL""")
+    FROM keyed WHERE stored IS NOT NULL OR moved_seq IS NOT NULL"""
+
+
+@query("t2_next_queue", NEXT_QUEUE_SQL)
 def _(t):
     _, _, after = changes.detect_changes(t.obs, t.state, t.versions)
     return after.select("candidate_key", "fingerprint", "status", "attempts", "enqueued_at", "done_at", "payload_json")

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lapak.operators import extract_json, extract_text, normalize, reconcile
+from lapak.plans.flow_queries import NEXT_QUEUE_SQL
 from lapak.plans.registry import query
 from lapak.plans.views import SQL_VIEWS
 from lapak.session import scratch_path
@@ -341,23 +342,70 @@ def _event_stream(t):
     return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{t.sf_dir}/events*.parquet")
 
 
+def _thirds(rows, column):
+    """Conditions that cut ``rows`` into three parts by a number or time; two values reach the driver."""
+    timed = dict(rows.dtypes)[column].startswith("timestamp")
+    value = F.col(column).cast("timestamp").cast("double") if timed else F.col(column)
+    low, high = rows.agg(F.min(value), F.max(value)).first()
+    one, two = (low + (high - low) * k / 3 for k in (1, 2))
+    return [value < one, (value >= one) & (value < two), value >= two]
+
+
 @query("t1_change_stream", """
     SELECT seq, candidate_key, fingerprint, CASE WHEN prev IS NULL THEN 'new' WHEN prev = fingerprint THEN 'unchanged' ELSE 'changed' END AS change,
            row_number() OVER (PARTITION BY candidate_key ORDER BY seq) AS seen_count
     FROM (SELECT *, lag(fingerprint) OVER (PARTITION BY candidate_key ORDER BY seq) AS prev FROM v_obs) x""")
 def _(t):
-    obs = _event_stream(t).selectExpr("event_id AS seq", "concat('FACEBOOK:', CAST(user_id AS STRING)) AS candidate_key",
-                                      "event_type AS fingerprint", "ts AS observed_at")
-    return jobs.run_available(stateful.detect_changes_stream(obs), "changes").select(
+    return jobs.run_in_parts(t.obs, _thirds(t.obs, "seq"), stateful.detect_changes_stream, "changes").select(
         "seq", "candidate_key", "fingerprint", "change", "seen_count")
 
 
+@query("t1_queue_stream", NEXT_QUEUE_SQL)
+def _(t):
+    """The queue of T2, by a stream over three parts that starts from the stored state and queue."""
+    events = jobs.run_in_parts(t.obs, _thirds(t.obs, "seq"), lambda s: stateful.queue_event_stream(s, t.state, t.versions), "queue")
+    return stateful.queue_after(t.versions, events).select(
+        "candidate_key", "fingerprint", "status", "attempts", "enqueued_at", "done_at", "payload_json")
+
+
 @query("t9_lookup_stream", """
-    SELECT CAST(user_id AS VARCHAR) AS external_id, count(*) AS lookups FROM events GROUP BY 1""")
+    WITH RECURSIVE o AS (
+        SELECT CAST(user_id AS VARCHAR) AS external_id, ts AS asked_at, event_type = 'purchase' AS found,
+               row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+    r AS (
+        SELECT external_id, n, asked_at, CASE WHEN found THEN 'found' ELSE 'miss' END AS action,
+               CASE WHEN NOT found THEN asked_at + INTERVAL 6 HOUR END AS until FROM o WHERE n = 1
+        UNION ALL
+        SELECT o.external_id, o.n, o.asked_at, CASE WHEN r.until > o.asked_at THEN 'skip' WHEN o.found THEN 'found' ELSE 'miss' END,
+               CASE WHEN r.until > o.asked_at THEN r.until WHEN NOT o.found THEN o.asked_at + INTERVAL 6 HOUR END
+        FROM r JOIN o ON o.external_id = r.external_id AND o.n = r.n + 1)
+    SELECT external_id, asked_at, action FROM r""")
+def _(t):
+    lookups = t.table("events").selectExpr("CAST(user_id AS STRING) AS external_id", "ts AS asked_at", "event_type = 'purchase' AS found")
+    out = jobs.run_in_parts(lookups, _thirds(lookups, "asked_at"), stateful.lookup_stream, "lookups")
+    return out.select("external_id", F.col("asked_at").cast("timestamp_ntz").alias("asked_at"), "action")
+
+
+_CUT = "2000-01-01"
+
+
+@query("t6_revision_stream", f"""
+    WITH shown AS (SELECT l.id, l.first_fetched_at, v.id IS NOT NULL AS seen FROM v_listings l LEFT JOIN (SELECT id FROM v_visible) v ON v.id = l.id),
+    steps AS (SELECT 0 AS seq, first_fetched_at FROM shown
+              UNION ALL SELECT 1, first_fetched_at FROM shown WHERE seen
+              UNION ALL SELECT 2, first_fetched_at FROM shown WHERE seen AND first_fetched_at < TIMESTAMP '{{cut}}'),
+    totals AS (SELECT seq, count(*) AS n, max(first_fetched_at) AS latest FROM steps GROUP BY 1)
+    SELECT CAST(seq AS BIGINT) AS seq, translate(base64(unhex(sha256(concat(CAST(n AS VARCHAR), chr(0), strftime(latest,
+           '%Y-%m-%dT%H:%M:%S.%g'), 'Z')))), '+/=', '-_') AS revision, n AS total_count FROM totals""".replace("{cut}", _CUT))
 def _(t):
-    lookups = _event_stream(t).selectExpr("CAST(user_id AS STRING) AS external_id", "ts AS asked_at", "event_type = 'purchase' AS found")
-    out = jobs.run_available(stateful.lookup_stream(lookups), "lookups")
-    return out.groupBy("external_id").agg(F.count(F.lit(1)).alias("lookups"))
+    """Everything appears; then what moderation hides goes; then all that was fetched since a day, the newest with it."""
+    keys = t.listings.select(F.col("id").alias("listing_id"), "first_fetched_at")
+    seen = t.visible.select(F.col("id").alias("listing_id"), F.lit(True).alias("seen"))
+    step = lambda rows, k, shown: rows.select("listing_id", "first_fetched_at", F.lit(k).cast("bigint").alias("seq"), F.lit(shown).alias("visible"))
+    rows = step(keys, 0, True).unionByName(step(keys.join(seen, "listing_id", "left_anti"), 1, False)).unionByName(
+        step(keys.join(seen, "listing_id", "left_semi").filter(F.col("first_fetched_at") >= F.lit(_CUT).cast("timestamp_ntz")), 2, False))
+    totals = jobs.run_in_parts(rows, [F.col("seq") == k for k in range(3)], lambda s: stateful.revision_stream(s, 16), "revision")
+    return stateful.revision_after(totals, [0, 1, 2])
 
 
 @query("t7_health_stream", """

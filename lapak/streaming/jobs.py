@@ -1,13 +1,12 @@
-"""Streaming jobs: upserts (T5), revisions (T6), run-log health (T7), seen filter."""
+"""Streaming jobs: upserts (T5), unseen counts (T6), run-log health (T7), seen filter."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lapak.functions.values import unseen_count
-from lapak.operators.facets import feed_version
 from lapak.operators.ordering import SEGMENT, segment_of
 from lapak.operators.upsert import clear_rejections, replace_images, upsert_listings, upsert_rejections
 from lapak.schemas import IMAGE, LISTING, REJECTION
@@ -25,6 +24,21 @@ def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFr
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def run_in_parts(rows: DataFrame, cuts: list[Column], stream_of: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """Run a stream over ``rows`` in parts that arrive one after another, restarted from its checkpoint each time.
+
+    ``cuts`` are the conditions of the parts. The result is read as a table.
+    """
+    spark = rows.sparkSession
+    base = scratch_path(spark, label)
+    for cut in cuts:
+        rows.filter(cut).write.mode("append").parquet(f"{base}/in")
+        stream = stream_of(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
+        stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option(
+            "checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
 def apply_batch(spark: SparkSession, base: str, accepted: DataFrame, images: DataFrame, rejected: DataFrame, as_of,
                 batch_id: int, query_id: str = "") -> None:
     """T5 body: rejections, listings, images and the clearing of rejections become one snapshot version.
@@ -97,18 +111,6 @@ def feed_revision(history: DataFrame, acknowledgements: DataFrame | None = None,
         .alias("unseen"))
 
 
-def revision_stream(stream: DataFrame, visible_of: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """T6 as a stream: append the feed version of every micro-batch to a history table."""
-    def body(batch: DataFrame, batch_id: int) -> None:
-        feed_version(visible_of(batch)).select(F.lit(batch_id).cast("bigint").alias("seq"), "revision", "total_count") \
-            .write.mode("overwrite").parquet(f"{path}/seq={batch_id}")
-
-    query = stream.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start()
-    query.awaitTermination()
-    return query
-
-
 def run_log_health_stream(records: DataFrame, delay: str = "1 hour", window: str = "1 day") -> DataFrame:
     """Counts per connector and status and the latest record time, per event-time window.
 

@@ -1,4 +1,4 @@
-"""Keyed state: change detection with its queue (T1) and the negative lookup cache."""
+"""Keyed state: change detection with its queue (T1), the feed revision (T6) and the negative lookup cache."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lapak.functions.values import record_id
 from lapak.operators.changes import SUPERSEDED as SUPERSEDED_BY
+from lapak.operators.facets import revision
 from lapak.schemas import QUEUE
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -188,6 +189,85 @@ def queue_after(queue: DataFrame, events: DataFrame) -> DataFrame:
     return rows.select(*[chosen[c].alias(c) for c in QUEUE.fieldNames()])
 
 
+SHARDS = 256
+SHARD_TOTALS = "shard int, seq bigint, step bigint, visible bigint, latest timestamp"
+
+
+class VisibleProcessor(StatefulProcessor):
+    """State per shard of listings: which are visible, how many were first fetched when, their number and newest time.
+
+    A listing that becomes hidden takes back what it gave; the newest time is looked up anew only when its last listing
+    goes.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._listed = handle.getMapState("listed", "listing_id string", "at bigint")
+        self._times = handle.getMapState("times", "at bigint", "listings bigint")
+        self._totals = handle.getValueState("totals", "seq bigint, step bigint, visible bigint, latest bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seq, step, visible, latest = self._totals.get() if self._totals.exists() else (-1, 0, 0, None)
+        last: dict[str, tuple] = {}
+        for frame in rows:
+            at = frame["at"].to_numpy("datetime64[us]").astype(np.int64)
+            for number, listing, shown, time in zip(frame["seq"].tolist(), frame["listing_id"].tolist(),
+                                                    frame["visible"].tolist(), at.tolist()):
+                if listing not in last or last[listing][0] <= number:
+                    last[listing] = (number, shown, time)
+        gone = False
+        for listing, (number, shown, time) in last.items():
+            seq, name = max(seq, number), (listing,)
+            if self._listed.containsKey(name):
+                gone |= self._count(self._listed.getValue(name)[0], -1) == 0
+                self._listed.removeKey(name)
+                visible -= 1
+            if shown:
+                self._listed.updateValue(name, (time,))
+                self._count(time, 1)
+                visible += 1
+                latest = time if latest is None else max(latest, time)
+        if gone and latest is not None and not self._times.containsKey((latest,)):
+            latest = max((at for (at,) in self._times.keys()), default=None)
+        self._totals.update((seq, step + 1, visible, latest))
+        yield pd.DataFrame({"shard": [key[0]], "seq": [seq], "step": [step + 1], "visible": [visible],
+                            "latest": [None if latest is None else pd.Timestamp(latest, unit="us")]})
+
+    def _count(self, at: int, change: int) -> int:
+        left = (self._times.getValue((at,))[0] if self._times.containsKey((at,)) else 0) + change
+        if left:
+            self._times.updateValue((at,), (left,))
+        else:
+            self._times.removeKey((at,))
+        return left
+
+    def close(self) -> None:
+        pass
+
+
+def revision_stream(listings: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """Totals of the feed, kept up to date as listings become visible, change or become hidden.
+
+    ``listings``: listing_id, seq (arrival number), visible, first_fetched_at. One row per shard and micro-batch in which
+    it changed (``SHARD_TOTALS``); ``revision_after`` makes feed versions of them. A listing without a time, or one
+    whose visibility is unknown, is hidden.
+    """
+    use_rocksdb(listings.sparkSession)
+    rows = listings.select(
+        F.pmod(F.xxhash64("listing_id"), F.lit(shards)).cast("int").alias("shard"), "listing_id", "seq",
+        (F.coalesce("visible", F.lit(False)) & F.col("first_fetched_at").isNotNull()).alias("visible"),
+        F.coalesce(F.col("first_fetched_at").cast("timestamp"), F.timestamp_seconds(F.lit(0))).alias("at"))
+    return rows.groupBy("shard").transformWithStateInPandas(
+        statefulProcessor=VisibleProcessor(), outputStructType=SHARD_TOTALS, outputMode="append", timeMode="none")
+
+
+def revision_after(totals: DataFrame, marks: list[int]) -> DataFrame:
+    """Feed version after each of a few arrival numbers: seq, revision, total_count. At most one row per shard is summed."""
+    rows = totals.select("*", F.explode(F.array(*[F.lit(m).cast("bigint") for m in marks])).alias("mark")).filter(F.col("seq") <= F.col("mark"))
+    newest = rows.groupBy("mark", "shard").agg(F.max_by(F.struct("visible", "latest"), F.struct("seq", "step")).alias("t"))
+    summed = newest.groupBy("mark").agg(F.sum("t.visible").alias("total_count"), F.max("t.latest").cast("timestamp_ntz").alias("latest"))
+    return summed.select(F.col("mark").alias("seq"), revision(F.col("total_count"), F.col("latest")).alias("revision"), "total_count")
+
+
 LOOKUPS = "external_id string, asked_at timestamp, action string"
 
 
