@@ -256,6 +256,10 @@ def _hits_sql(words) -> str:
     return f"[x for x in [{', '.join(tests)}] if x IS NOT NULL]"
 
 
+_own_sql = ("trim(w) <> '' AND CASE WHEN lower(trim(w)) IN ('pc', 'gpu') THEN regexp_matches(body, concat('\\b', lower(trim(w)), '\\b')) "
+            "ELSE contains(body, lower(trim(w))) END")
+
+
 SQL_VIEWS["v_judged"] = f"""
     SELECT seq, target_id, item_id, title, good, bad, CASE WHEN len(bad) > 0 THEN 'blocked' WHEN len(good) > 0 THEN 'matched'
            ELSE 'skipped' END AS outcome FROM (SELECT *, {_hits_sql(_POSITIVE)} AS good, {_hits_sql(_BLOCKED)} AS bad FROM v_cards) x"""
@@ -305,6 +309,71 @@ def _(t):
     return report.select("target_id", "candidates", "matched", "selected", "skipped", "blocked", *joined)
 
 
+# Targets with words, limit and bypass of their own; some targets have no card, some cards no target.
+SQL_VIEWS["v_targets"] = """
+    SELECT concat('src', n_nationkey) AS target_id, [lower(left(n_name, 2)), 'PC', ' ou '] AS positive_keywords,
+           CASE WHEN n_nationkey % 4 = 0 THEN [lower(right(n_name, 3)), 'gpu', ''] END AS blocked_keywords,
+           CASE WHEN n_nationkey % 5 > 0 THEN n_nationkey % 8 END AS card_limit, n_nationkey % 6 = 5 AS bypass FROM nation WHERE n_nationkey <> 3"""
+SQL_VIEWS["v_target_judged"] = f"""
+    SELECT seq, target_id, item_id, title, coalesce(bypass, FALSE) AS bypass, greatest(1, least(100, coalesce(card_limit, 15))) AS card_limit,
+           CASE WHEN bypass THEN [] ELSE good END AS good, CASE WHEN bypass THEN [] ELSE bad END AS bad,
+           CASE WHEN bypass THEN 'bypassed' WHEN len(bad) > 0 THEN 'blocked' WHEN len(good) > 0 THEN 'matched' ELSE 'skipped' END AS outcome
+    FROM (SELECT c.*, t.bypass, t.card_limit,
+                 list_concat({_hits_sql(_POSITIVE)}, [w for w in coalesce(t.positive_keywords, []) if {_own_sql} and w not in ('le', 'la', 'ram', 'the', 'und')]) AS good,
+                 list_concat({_hits_sql(_BLOCKED)}, [w for w in coalesce(t.blocked_keywords, []) if {_own_sql} and w not in ('sch', 'gpu')]) AS bad
+          FROM v_cards c LEFT JOIN v_targets t ON t.target_id = c.target_id) x"""
+_TARGET_HITS, _TARGET_COUNTS = _HIT_LIST.replace("v_judged", "v_target_judged"), """
+    SELECT target_id, count(*) AS candidates, count(*) FILTER (WHERE outcome = 'matched') AS matched, count(*) FILTER (WHERE outcome = 'skipped')
+        AS skipped, count(*) FILTER (WHERE outcome = 'blocked') AS blocked FROM v_target_judged GROUP BY 1"""
+_TARGET_METRICS = f"""SELECT coalesce(c.target_id, t.target_id) AS target_id, coalesce(candidates, 0) AS candidates,
+        CASE WHEN t.bypass THEN least(coalesce(candidates, 0), greatest(1, least(100, coalesce(t.card_limit, 15)))) ELSE coalesce(matched, 0) END AS matched,
+        coalesce(skipped, 0) AS skipped, coalesce(blocked, 0) AS blocked, coalesce(array_to_string(g.words[:20], '|'), '') AS matched_keywords,
+        coalesce(array_to_string(b.words[:20], '|'), '') AS blocked_keywords
+    FROM ({_TARGET_COUNTS}) c FULL OUTER JOIN v_targets t ON t.target_id = c.target_id
+    LEFT JOIN ({_TARGET_HITS.format(col='good', outcome='matched')}) g ON g.target_id = c.target_id
+    LEFT JOIN ({_TARGET_HITS.format(col='bad', outcome='blocked')}) b ON b.target_id = c.target_id"""
+_TARGET_CHOSEN = """SELECT target_id, item_id, title, seq, row_number() OVER (PARTITION BY target_id ORDER BY seq) AS place, card_limit
+    FROM v_target_judged WHERE outcome IN ('matched', 'bypassed') QUALIFY place <= card_limit"""
+
+
+def targets(t):
+    name = F.lower("n_name")
+    key = F.col("n_nationkey").cast("int")
+    rows = t.table("nation").filter("n_nationkey <> 3").select(
+        F.concat(F.lit("src"), key.cast("string")).alias("target_id"),
+        F.array(F.left(name, F.lit(2)), F.lit("PC"), F.lit(" ou ")).alias("positive_keywords"),
+        F.when(key % 4 == 0, F.array(F.right(name, F.lit(3)), F.lit("gpu"), F.lit(""))).alias("blocked_keywords"),
+        F.when(key % 5 > 0, key % 8).alias("card_limit"), (key % 6 == 5).alias("bypass"))
+    return relevance.prepared_targets(rows)
+
+
+def _by_target(t):
+    return relevance.relevance_filter(cards(t), _POSITIVE, _BLOCKED, targets=targets(t))
+
+
+@query("p12_target_selected", f"SELECT target_id, item_id, place FROM ({_TARGET_CHOSEN}) x")
+def _(t):
+    return _by_target(t)[0].select("target_id", "item_id", F.col("place").cast("bigint").alias("place"))
+
+
+@query("p12_target_metrics", _TARGET_METRICS)
+def _(t):
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return _by_target(t)[1].select("target_id", "candidates", "matched", "skipped", "blocked", joined("matched_keywords"),
+                                   joined("blocked_keywords"))
+
+
+@query("a20_target_calibration", f"""
+    SELECT m.target_id, m.candidates, m.matched, coalesce(s.selected, 0) AS selected, m.skipped, m.blocked, m.matched_keywords,
+           m.blocked_keywords, coalesce(s.titles, '') AS sample_titles, coalesce(s.ids, '') AS sample_ids
+    FROM ({_TARGET_METRICS}) m LEFT JOIN (SELECT target_id, count(*) AS selected, string_agg(title, '|' ORDER BY place) FILTER (WHERE place <= 5) AS titles,
+        string_agg(item_id, '|' ORDER BY place) FILTER (WHERE place <= 5) AS ids FROM ({_TARGET_CHOSEN}) x GROUP BY 1) s ON s.target_id = m.target_id""")
+def _(t):
+    report = relevance.calibration(*_by_target(t))
+    joined = [F.array_join(c, "|").alias(c) for c in ("matched_keywords", "blocked_keywords", "sample_titles", "sample_ids")]
+    return report.select("target_id", "candidates", "matched", "selected", "skipped", "blocked", *joined)
+
+
 @query("u8_pooled_cards", f"""
     SELECT title AS identity, min(seq) AS seq FROM ({_CHOSEN}) x GROUP BY 1""")
 def _(t):

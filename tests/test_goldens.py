@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Row, functions as F
 
 from lapak.functions import text, urls, values
-from lapak.operators import dto, extract_text, facets, feed
+from lapak.operators import dto, extract_text, facets, feed, relevance
 from lapak.schemas import IMAGE, LISTING, MODERATION
 from lapak.streaming.jobs import feed_revision
 
@@ -233,3 +233,23 @@ def test_html_to_text_is_linear(spark, part, times, body):
 def test_html_to_text_pieces(spark, html, body):
     frame = spark.createDataFrame([(html,)], "html string")
     assert frame.select(extract_text.html_to_text(F.col("html")).alias("b")).first().b == body
+
+
+def test_relevance_by_target(spark):
+    cards = spark.createDataFrame([
+        (1, "a", "1", "Laptop with PC parts", None), (2, "a", "2", "a kulkas and a pc", ""), (3, "a", "3", "upcycled wood", ""),
+        (4, "a", "4", "RAM RAM", ""), (5, "b", "5", "kulkas", ""), (6, "b", "6", "anything", ""), (7, "c", "7", "only a drone", ""),
+        (8, "d", "8", "a drone", ""), (9, "d", "9", "laptop", ""), (10, "a", "10", "gpus", "ssd")],
+        "seq long, target_id string, item_id string, raw_text string, image_alt string").withColumn("title", F.col("raw_text"))
+    rows = [("a", ["Wood", " "], ["ssd"], None, None), ("b", None, None, 1, True), ("d", ["DRONE"], [], 0, False), ("e", None, None, 500, None)]
+    targets = spark.createDataFrame(rows, "target_id string, positive_keywords array<string>, blocked_keywords array<string>, card_limit int, bypass boolean")
+    selected, metrics = relevance.relevance_filter(cards, targets=relevance.prepared_targets(targets))
+    assert sorted((r.target_id, r.item_id, r.place) for r in selected.collect()) == [("a", "1", 1), ("a", "3", 2), ("a", "4", 3), ("b", "5", 1), ("d", "8", 1)]
+    found = {r.target_id: (r.candidates, r.matched, r.skipped, r.blocked, r.matched_keywords, r.blocked_keywords) for r in metrics.collect()}
+    assert found == {"a": (5, 3, 0, 2, ["pc", "laptop", "Wood", "ram"], ["kulkas", "ssd"]), "b": (2, 1, 0, 0, [], []),
+                     "c": (1, 0, 1, 0, [], []), "d": (2, 2, 0, 0, ["DRONE", "laptop"], []), "e": (0, 0, 0, 0, [], [])}
+    run = relevance.prepared_targets(targets, limit=2, bypass=True)
+    selected, metrics = relevance.relevance_filter(cards, targets=run)
+    assert {r.target_id: r.matched for r in metrics.collect()} == {"a": 2, "b": 2, "c": 0, "d": 2, "e": 0}
+    report = {r.target_id: (r.selected, r.sample_ids) for r in relevance.calibration(selected, metrics).collect()}
+    assert report == {"a": (2, ["1", "2"]), "b": (2, ["5", "6"]), "c": (0, []), "d": (2, ["8", "9"]), "e": (0, [])}
