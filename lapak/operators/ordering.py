@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lapak.session import cut_lineage
 
 SEGMENT = 1_000_000
+MAX_SEGMENTS = 1000
 
 
 def assign_rank(rows: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
@@ -31,9 +34,23 @@ def assign_rank(rows: DataFrame, order: list[Column], out: str = "rank") -> Data
     )
 
 
-def segment_of(seq: str, size: int = SEGMENT) -> Column:
-    """Split a key by arrival number: with unique numbers a segment holds at most ``size`` rows, however hot the key."""
-    return F.floor(F.col(seq) / size)
+def segmented(rows: DataFrame, seq: str, size: int = SEGMENT, out: str = "_seg") -> DataFrame:
+    """Cut all rows by arrival number into segments of about ``size`` rows each, however the numbers are spread.
+
+    The cuts are quantiles of the numbers themselves, found in one pass over that column, so sparse and bursty numbers
+    give even segments, and a key with a third of all rows becomes many bounded groups. At most ``MAX_SEGMENTS`` cuts
+    reach the driver and go into the plan; beyond, segments grow and their sorts spill.
+    """
+    place = [k / MAX_SEGMENTS for k in range(1, MAX_SEGMENTS)]
+    count, cuts = rows.agg(F.count(F.lit(1)), F.percentile_approx(F.col(seq).cast("double"), place, 10 * MAX_SEGMENTS)).first()
+    step = max(1, int(MAX_SEGMENTS * size / max(count, 1)))
+    kept = sorted(set((cuts or [])[step - 1::step]))
+    if not kept:
+        return rows.withColumn(out, F.lit(0))
+    from pyspark.ml.feature import Bucketizer
+
+    cutter = Bucketizer(splits=[-math.inf, *kept, math.inf], inputCol="_number", outputCol=out, handleInvalid="keep")
+    return cutter.transform(rows.withColumn("_number", F.col(seq).cast("double"))).drop("_number")
 
 
 def lag_by_key(rows: DataFrame, key: str, seq: str, value: str, out: str, segment_size: int = SEGMENT) -> DataFrame:
@@ -42,7 +59,7 @@ def lag_by_key(rows: DataFrame, key: str, seq: str, value: str, out: str, segmen
     Inside a segment a window gives the previous value. Only the first row of a segment needs the last value of an
     earlier one, which comes from a summary with one row per key and segment.
     """
-    keyed = rows.withColumn("_seg", segment_of(seq, segment_size))
+    keyed = segmented(rows, seq, segment_size)
     ordered = Window.partitionBy(key, "_seg").orderBy(seq)
     # Wrapping the value keeps "previous value is null" apart from "no previous row".
     near = F.lag(F.struct(F.col(value).alias("v"))).over(ordered)
@@ -64,7 +81,7 @@ def running_since_reset(rows: DataFrame, key: str, seq: str, reset: Column, coun
 
     Works on segments like ``lag_by_key``: counts inside a segment, plus the carry of the segments before it.
     """
-    base = rows.withColumn("_seg", segment_of(seq, segment_size)).withColumn("_reset", reset).withColumn(
+    base = segmented(rows, seq, segment_size).withColumn("_reset", reset).withColumn(
         "_counted", counted.cast("bigint"))
     upto = Window.partitionBy(key, "_seg").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     inside = base.withColumn("_c", F.sum("_counted").over(upto))

@@ -140,19 +140,3 @@ def update_media_cache(images: DataFrame, cached: DataFrame) -> DataFrame:
     fill = F.col("_hit").isNotNull() & F.col("cached_url").isNull()
     new = {c: F.when(fill, F.col("_" + c)).otherwise(F.col(c)) for c in CACHE_FIELDS}
     return rows.select(*[new.get(c, F.col(c)).alias(c) for c in images.columns])
-
-
-def merge_into_table(batch: DataFrame, table: str, as_of, seq: str = "seq") -> None:
-    """SNK1 for a catalog table whose format supports MERGE: only touched files are rewritten."""
-    now = F.lit(as_of).cast("timestamp_ntz")
-    fresh = dedupe_last(batch, "source_url", seq)
-    source = {c: F.col(f"s.{c}") for c in _OVERWRITTEN}
-    inserted = {c: F.col(f"s.{c}") for c in LISTING_COLUMNS if c not in ("created_at", "updated_at")}
-    (
-        fresh.alias("s").mergeInto(table, F.col(f"{table}.source_url") == F.col("s.source_url"))
-        .whenMatched().update({**source, "updated_at": now})
-        .whenNotMatched().insert({**inserted, "created_at": now, "updated_at": now})
-        .merge()
-    )
-
-

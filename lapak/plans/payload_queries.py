@@ -441,9 +441,6 @@ def _(t):
     UNION ALL SELECT 'images', count(*), CAST(sum(position) AS BIGINT) FROM v_images i JOIN v_listings l ON l.id = i.listing_id WHERE l.platform <> 'reddit'
     UNION ALL SELECT 'rejections', count(*), count(*) FROM v_listings WHERE platform = 'reddit'""")
 def _(t):
-    from lapak.schemas import IMAGE, LISTING, REJECTION
-    from lapak.sources.tables import read_snapshot
-
     base = scratch_path(t.spark, "store")
     t.listings.write.parquet(f"{base}/in")
     stream = t.spark.readStream.schema(t.listings.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
@@ -454,11 +451,8 @@ def _(t):
         gallery = owned.join(accepted.select(F.col("id").alias("listing_id"), F.col("source_url").alias("listing_url")), "listing_id").drop("listing_id")
         return accepted, gallery, dropped.withColumn("reason_code", F.lit("OTHER"))
 
-    jobs.upsert_stream(stream, base, split, _FETCHED, f"{base}/checkpoint")
-    read = lambda name, schema: read_snapshot(t.spark, base, name, schema)
-    part = lambda name, df, total: df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("rows"), total.alias("total"))
-    return part("listings", read("listings", LISTING), F.sum("price")).union(
-        part("images", read("images", IMAGE), F.sum("position"))).union(
-        part("rejections", read("rejections", REJECTION), F.sum("rejection_count")))
-
-
+    store = jobs.Store(f"{base}/tables", 16)
+    jobs.upsert_stream(stream, store, split, _FETCHED, f"{base}/checkpoint")
+    part = lambda name, table, total: table.read(t.spark).agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("rows"), total.alias("total"))
+    return part("listings", store.listings, F.sum("price")).union(part("images", store.images, F.sum("position"))).union(
+        part("rejections", store.rejections, F.sum("rejection_count")))

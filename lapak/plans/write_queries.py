@@ -9,6 +9,9 @@ from lapak.operators import contract, media, moderation, ordering, queue, reconc
 from lapak.plans.registry import query
 from lapak.plans.views import AS_OF, LISTING_AS_OF, SQL_VIEWS, norm_sql
 from lapak.schemas import CONTRACT_COLUMNS, REJECTION
+from lapak.session import scratch_path
+from lapak.sources.tables import apply_once
+from lapak.streaming import jobs
 
 # Raw connector rows with planted defects, one per listing.
 SQL_VIEWS["v_contract"] = """
@@ -140,16 +143,31 @@ def batch(t):
     return first.unionByName(again)
 
 
-@query("snk1_upsert_listings", f"""
+_UPSERTED_SQL = f"""
     SELECT coalesce(s.id, b.id) AS id, b.source_url, b.title, b.price, b.status, b.posted_at,
            coalesce(s.first_fetched_at, b.first_fetched_at) AS first_fetched_at, b.last_fetched_at,
            coalesce(s.created_at, TIMESTAMP '{LISTING_AS_OF}') AS created_at, TIMESTAMP '{LISTING_AS_OF}' AS updated_at
     FROM (SELECT * FROM v_batch QUALIFY row_number() OVER (PARTITION BY source_url ORDER BY batch_seq DESC) = 1) b
-    LEFT JOIN v_store s ON s.source_url = b.source_url""")
+    LEFT JOIN v_store s ON s.source_url = b.source_url"""
+_UPSERTED = ("id", "source_url", "title", "price", "status", "posted_at", "first_fetched_at", "last_fetched_at", "created_at", "updated_at")
+
+
+@query("snk1_upsert_listings", _UPSERTED_SQL)
 def _(t):
     after, _ = upsert.upsert_listings(store(t), batch(t), LISTING_AS_OF)
-    return after.select("id", "source_url", "title", "price", "status", "posted_at", "first_fetched_at", "last_fetched_at",
-                        "created_at", "updated_at")
+    return after.select(*_UPSERTED)
+
+
+@query("snk1_upsert_buckets", _UPSERTED_SQL)
+def _(t):
+    """The same merge into a bucketed table: what is stored is staged and put in place, then the batch."""
+    target = jobs.Store(scratch_path(t.spark, "buckets"), 16).listings
+    for name, rows in (("stored", store(t)), ("batch", batch(t))):
+        touched = target.touched(rows.select("source_url"))
+        after = rows if name == "stored" else upsert.upsert_listings(target.read(t.spark, touched), rows, LISTING_AS_OF)[0]
+        apply_once(t.spark, f"{target.path}-batches", name, lambda folder: target.stage(after, touched, folder),  # noqa: B023
+             lambda folder: target.replace(t.spark, folder))
+    return target.read(t.spark).select(*_UPSERTED)
 
 
 @query("snk1_upsert_summary", """
@@ -409,10 +427,12 @@ def _(t):
 
 
 @query("j13_seen_membership", """
-    SELECT id FROM v_listings WHERE external_id NOT IN (SELECT CAST(event_id AS VARCHAR) FROM events)""")
+    SELECT id FROM v_listings WHERE external_id NOT IN (SELECT CAST(event_id * 3 AS VARCHAR) FROM events)
+      AND source_url NOT IN (SELECT concat('https://shop.example/item/', l_partkey) FROM lineitem)""")
 def _(t):
-    ids = t.table("events").select(F.col("event_id").cast("string").alias("value"))
-    return sets.new_listings(t.listings, ids, ids.limit(0)).select("id")
+    ids = t.table("events").select((F.col("event_id") * 3).cast("string").alias("value"))
+    urls = t.table("lineitem").select(F.concat(F.lit("https://shop.example/item/"), F.col("l_partkey").cast("string")).alias("value"))
+    return sets.new_listings(t.listings, ids, urls).select("id")
 
 
 # Moderation --------------------------------------------------------------------------------------------------------
@@ -511,7 +531,7 @@ def _(t):
 
 @query("t10_rolling_window", """
     SELECT i.id FROM v_images i JOIN v_listings l ON l.id = i.listing_id WHERE l.platform = 'facebook' AND i.cached_url IS NULL
-      AND l.first_fetched_at >= TIMESTAMP '1999-01-01 00:00:00' - INTERVAL 24 HOUR ORDER BY i.id LIMIT 1000000""")
+      AND l.first_fetched_at >= TIMESTAMP '1999-01-01 00:00:00' - INTERVAL 24 HOUR""")
 def _(t):
     only = t.listings.filter("platform = 'facebook'")
     return media.pending_media(t.images, only, "1999-01-01 00:00:00", "", None).select("id")

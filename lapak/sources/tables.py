@@ -1,8 +1,11 @@
-"""Snapshot tables, reports and listing files (SNK7, SNK9, snapshot pointer)."""
+"""Bucketed tables, reports and listing files (SNK1, SNK2, SNK7, SNK9, T5)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 def scan_jdbc(spark: SparkSession, url: str, table: str, key: str, lower: int, upper: int, partitions: int,
@@ -29,41 +32,80 @@ def write_reports(quality: DataFrame, review: DataFrame, path: str, report_date:
     return paths
 
 
-_POINTER = "version bigint, batch_id bigint, query_id string"
+MARK = "bucket"
 
 
-def read_pointer(spark: SparkSession, base: str, query_id: str = "") -> tuple[int, int]:
-    """Current snapshot version and the last batch that ``query_id`` applied; -1 where there is none.
+@dataclass(frozen=True)
+class BucketedTable:
+    """A parquet table in folders by a hash of its key, of which a batch rewrites only those it touches.
 
-    Batch numbers start again when a stream gets a new checkpoint, and with it a new query id, so a number says nothing
-    about another query's batches.
+    Folders are Hive partitions, so Spark prunes the untouched ones and replaces the others by dynamic partition
+    overwrite, all at once when every task has written. Choose ``buckets`` so that a folder is some hundred megabytes.
     """
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/pointer")
-    if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
-        return -1, -1
-    own = F.when(F.coalesce("query_id", F.lit("")) == query_id, F.col("batch_id"))
-    last = spark.read.schema(_POINTER).json(f"{base}/pointer").agg(
-        F.coalesce(F.max("version"), F.lit(-1)).alias("version"), F.coalesce(F.max(own), F.lit(-1)).alias("batch_id")).first()
-    return last["version"], last["batch_id"]
-
-
-def read_snapshot(spark: SparkSession, base: str, table: str, schema: T.StructType) -> DataFrame:
-    version, _ = read_pointer(spark, base)
-    if version < 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{base}/{table}/version={version}")
-
-
-def commit_snapshot(spark: SparkSession, base: str, tables: dict[str, DataFrame], batch_id: int, query_id: str = "") -> int:
-    """Write all tables of the next version, then move the pointer in one step.
 
-    Readers see all tables of a batch or none. A batch that was already applied is skipped, so a replay after a lost
-    driver changes nothing.
+    path: str
+    schema: T.StructType
+    key: str
+    buckets: int = 64
+
+    def bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def exists(self, spark: SparkSession) -> bool:
+        place = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+    def read(self, spark: SparkSession, touched: list[int] | None = None) -> DataFrame:
+        """All rows, or those of some buckets."""
+        if not self.exists(spark):
+            return spark.createDataFrame([], self.schema)
+        layout = T.StructType([*self.schema.fields, T.StructField(MARK, T.IntegerType())])
+        rows = spark.read.schema(layout).option("basePath", self.path).parquet(self.path)
+        if touched is not None:
+            rows = rows.filter(F.col(MARK).isin(*touched)) if touched else rows.limit(0)
+        return rows.filter(F.col(self.key).isNotNull()).drop(MARK)
+
+    def touched(self, *keys: DataFrame) -> list[int]:
+        """Buckets of the keys in one-column tables. At most ``buckets`` numbers reach the driver."""
+        found = None
+        for rows in keys:
+            own = rows.select(self.bucket(F.col(rows.columns[0])).alias(MARK))
+            found = own if found is None else found.unionByName(own)
+        return sorted(r[0] for r in found.distinct().collect())
+
+    def stage(self, rows: DataFrame, touched: list[int], path: str) -> None:
+        """Write the new content of the touched buckets beside the table, each with a row without key, so that a bucket
+        that has lost all its rows is replaced too."""
+        spark = rows.sparkSession
+        none = spark.createDataFrame([(b,) for b in touched], "bucket int").select(
+            *[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields], MARK)
+        # One shuffle by bucket, so that a folder is written by one task.
+        filled = rows.select(*self.schema.fieldNames(), self.bucket(F.col(self.key)).alias(MARK)).unionByName(none)
+        filled.repartition(MARK).write.mode("overwrite").partitionBy(MARK).parquet(path)
+
+    def replace(self, spark: SparkSession, staged: str) -> None:
+        """Put staged buckets in place of the old ones. Doing it again changes nothing."""
+        layout = T.StructType([*self.schema.fields, T.StructField(MARK, T.IntegerType())])
+        rows = spark.read.schema(layout).option("basePath", staged).parquet(staged)
+        rows.repartition(MARK).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MARK).parquet(self.path)
+
+
+def apply_once(spark: SparkSession, folder: str, name: str, prepare: Callable[[str], None], apply: Callable[[str], None]) -> None:
+    """Prepare files below ``folder/name``, then apply them; repeated under the same name the same files are applied.
+
+    A job that is lost between the two, or half way through the second, is repeated from the files as they were
+    prepared, never from a table that has been changed in part. Files of earlier names go when the next ones are in
+    place.
     """
-    version, done = read_pointer(spark, base, query_id)
-    if batch_id <= done:
-        return version
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{base}/{name}/version={version + 1}")
-    spark.createDataFrame([(version + 1, batch_id, query_id)], _POINTER).coalesce(1).write.mode("append").json(f"{base}/pointer")
-    return version + 1
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    place, parent = fs_path(f"{folder}/{name}"), fs_path(folder)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    ready = fs_path(f"{folder}/{name}/_READY")
+    if not files.exists(ready):
+        files.delete(place, True)
+        prepare(f"{folder}/{name}")
+        files.create(ready, True).close()
+    apply(f"{folder}/{name}")
+    for old in files.listStatus(parent):
+        if old.getPath().getName() != name:
+            files.delete(old.getPath(), True)

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lapak.functions.values import unseen_count
-from lapak.operators.ordering import SEGMENT, segment_of
+from lapak.operators.ordering import SEGMENT, segmented
 from lapak.operators.upsert import clear_rejections, replace_images, upsert_listings, upsert_rejections
 from lapak.schemas import IMAGE, LISTING, REJECTION
 from lapak.session import scratch_path
-from lapak.sources.tables import commit_snapshot, read_pointer, read_snapshot
+from lapak.sources.tables import BucketedTable, apply_once
 
 
 def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
@@ -39,45 +40,71 @@ def run_in_parts(rows: DataFrame, cuts: list[Column], stream_of: Callable[[DataF
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def apply_batch(spark: SparkSession, base: str, accepted: DataFrame, images: DataFrame, rejected: DataFrame, as_of,
+@dataclass(frozen=True)
+class Store:
+    """Listings, images and rejections as bucketed tables below one folder."""
+
+    base: str
+    buckets: int = 64
+
+    @property
+    def listings(self) -> BucketedTable:
+        return BucketedTable(f"{self.base}/listings", LISTING, "source_url", self.buckets)
+
+    @property
+    def images(self) -> BucketedTable:
+        return BucketedTable(f"{self.base}/images", IMAGE, "listing_id", self.buckets)
+
+    @property
+    def rejections(self) -> BucketedTable:
+        return BucketedTable(f"{self.base}/rejections", REJECTION, "source_url", self.buckets)
+
+
+def apply_batch(spark: SparkSession, store: Store, accepted: DataFrame, images: DataFrame, rejected: DataFrame, as_of,
                 batch_id: int, query_id: str = "") -> None:
-    """T5 body: rejections, listings, images and the clearing of rejections become one snapshot version.
+    """T5 body, SNK1 to SNK4: merge a batch into the buckets that it touches.
 
     ``accepted``: listing columns and seq; ``images``: source_url of the listing as listing_url, image columns and seq;
-    ``rejected``: rejection columns and seq. The inputs of a micro-batch are read several times, so they are kept
-    until the version is written.
+    ``rejected``: rejection columns and seq. Only touched buckets are read and written. The inputs of a micro-batch are
+    read several times, so they are kept until the new buckets are staged. A batch is known by query and number.
     """
-    _, done = read_pointer(spark, base, query_id)
-    if batch_id <= done:
-        return
-    kept = [df.persist() for df in (accepted, images, rejected)]
-    try:
-        accepted, images, rejected = kept
-        listings = read_snapshot(spark, base, "listings", LISTING)
-        current_images = read_snapshot(spark, base, "images", IMAGE)
-        ledger = read_snapshot(spark, base, "rejections", REJECTION)
-        after, _ = upsert_listings(listings, accepted, as_of)
-        touched = after.join(accepted.select("source_url").distinct(), "source_url", "left_semi").select(
-            F.col("id").alias("listing_id"), F.col("source_url").alias("listing_url"))
-        owned = images.join(touched, "listing_url").drop("listing_url")
-        next_images, _ = replace_images(current_images, owned, touched)
-        next_ledger = clear_rejections(upsert_rejections(ledger, rejected, as_of), accepted)
-        commit_snapshot(spark, base, {"listings": after, "images": next_images, "rejections": next_ledger}, batch_id, query_id)
-    finally:
-        for df in kept:
-            df.unpersist()
-
-
-def upsert_stream(stream: DataFrame, base: str, split: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]],
+    def prepare(folder: str) -> None:
+        kept = [df.persist() for df in (accepted, images, rejected)]
+        try:
+            new, gallery, dropped = kept
+            touched = store.listings.touched(new.select("source_url"))
+            after, _ = upsert_listings(store.listings.read(spark, touched), new, as_of)
+            store.listings.stage(after, touched, f"{folder}/listings")
+            staged = spark.read.schema(LISTING).parquet(f"{folder}/listings")
+            ids = staged.join(new.select("source_url").distinct(), "source_url", "left_semi").select(
+                F.col("id").alias("listing_id"), F.col("source_url").alias("listing_url"))
+            touched = store.images.touched(ids.select("listing_id"))
+            owned = gallery.join(ids, "listing_url").drop("listing_url")
+            store.images.stage(replace_images(store.images.read(spark, touched), owned, ids)[0], touched, f"{folder}/images")
+            touched = store.rejections.touched(new.select("source_url"), dropped.select("source_url"))
+            ledger = upsert_rejections(store.rejections.read(spark, touched), dropped, as_of)
+            store.rejections.stage(clear_rejections(ledger, new), touched, f"{folder}/rejections")
+        finally:
+            for df in kept:
+                df.unpersist()
+
+    def put(folder: str) -> None:
+        store.listings.replace(spark, f"{folder}/listings")
+        store.images.replace(spark, f"{folder}/images")
+        store.rejections.replace(spark, f"{folder}/rejections")
+
+    apply_once(spark, f"{store.base}/_batches", f"{query_id}-{batch_id}", prepare, put)
+
+
+def upsert_stream(stream: DataFrame, store: Store, split: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]],
                   as_of, checkpoint: str):
-    """T5: run a stream of reviewed rows into the snapshot tables below ``base``; replays change nothing.
+    """T5: run a stream of reviewed rows into the tables of ``store``; replays change nothing.
 
-    ``split`` turns a micro-batch into accepted listings, their images and rejections. Each micro-batch writes full
-    snapshots; where a table format with MERGE is at hand, ``merge_into_table`` rewrites only touched files.
+    ``split`` turns a micro-batch into accepted listings, their images and rejections.
     """
     def body(batch: DataFrame, batch_id: int) -> None:
         own = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
-        apply_batch(batch.sparkSession, base, *split(batch), as_of, batch_id, own)
+        apply_batch(batch.sparkSession, store, *split(batch), as_of, batch_id, own)
 
     query = stream.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()
@@ -96,7 +123,7 @@ def feed_revision(history: DataFrame, acknowledgements: DataFrame | None = None,
     if acknowledgements is not None:
         marks = acknowledgements.select("seq", F.lit(True).alias("_mark")).distinct()
         rows = history.join(marks, "seq", "left").withColumn("_ack", F.coalesce("_mark", F.lit(False))).drop("_mark")
-    rows = rows.withColumn("_seg", segment_of("seq", segment_size)).withColumn("_b", F.struct("revision", "total_count"))
+    rows = segmented(rows, "seq", segment_size).withColumn("_b", F.struct("revision", "total_count"))
     inside = Window.partitionBy("_seg").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     near = F.last(F.when(F.col("_ack"), F.col("_b")), ignorenulls=True).over(inside)
     segments = rows.groupBy("_seg").agg(

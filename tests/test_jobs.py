@@ -252,6 +252,17 @@ def test_failure_streaks_with_small_segments(spark):
     assert [r["delay_seconds"] for r in delays][:4] == [300, 900, 1800, 180]
 
 
+@pytest.mark.parametrize("number", ["id * 10000000", "id", "if(id < 2900, id, id * 1000000000000)", "-id * id * id"])
+def test_hot_keys_are_cut_into_even_segments(spark, number):
+    """Sparse, dense, bursty and negative numbers: no group of a key and a segment is large, and values are the same."""
+    rows = spark.range(3000).selectExpr(f"{number} AS seq", "IF(id % 10 < 3, 'hot', concat('k', id % 50)) AS key", "id % 4 AS v").repartition(5)
+    cut = ordering.segmented(rows, "seq", 100).groupBy("key", "_seg").count()
+    assert cut.agg(F.max("count")).first()[0] <= 60 and cut.select("_seg").distinct().count() >= 15
+    whole = rows.selectExpr("seq", "lag(v) OVER (PARTITION BY key ORDER BY seq) AS p").collect()
+    parts = ordering.lag_by_key(rows, "key", "seq", "v", "p", 100).select("seq", "p").collect()
+    assert sorted(map(tuple, parts), key=str) == sorted(map(tuple, whole), key=str)
+
+
 def test_rank_survives_hot_values(spark):
     frame = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("v"))
     got = ordering.assign_rank(frame.repartition(7), [F.col("v"), F.col("id")]).collect()
@@ -294,21 +305,86 @@ def test_upsert_twice_changes_nothing(spark, tmp_path):
         if f.name not in gallery.columns and f.name not in ("id", "listing_id"):
             gallery = gallery.withColumn(f.name, F.lit(None).cast(f.dataType))
     dropped = rows.limit(0).withColumn("reason_code", F.lit("OTHER"))
-    base = str(tmp_path / "store")
-    jobs.apply_batch(spark, base, rows, gallery, dropped, "2024-02-01", 0)
-    read = lambda: (sorted(map(str, tables.read_snapshot(spark, base, "listings", LISTING).collect())),
-                    sorted(map(str, tables.read_snapshot(spark, base, "images", IMAGE).collect())))
+    store = jobs.Store(str(tmp_path / "store"), 8)
+    jobs.apply_batch(spark, store, rows, gallery, dropped, "2024-02-01", 0)
+    read = lambda: [sorted(map(str, t.read(spark).collect())) for t in (store.listings, store.images, store.rejections)]
     first = read()
-    jobs.apply_batch(spark, base, rows, gallery, dropped, "2024-02-01", 0)  # replay of the batch
-    assert read() == first and tables.read_pointer(spark, base) == (0, 0)
+    jobs.apply_batch(spark, store, rows, gallery, dropped, "2024-02-01", 0)  # replay of the batch
+    assert read() == first and len(first[0]) == 20
     # After a checkpoint reset numbers start again under a new query: the batch counts.
-    jobs.apply_batch(spark, base, rows, gallery, dropped, "2024-02-01", 0, "second")
-    assert tables.read_pointer(spark, base) == (1, 0) and tables.read_pointer(spark, base, "second") == (1, 0)
-    jobs.apply_batch(spark, base, rows, gallery, dropped, "2024-02-01", 1)  # same rows again
+    jobs.apply_batch(spark, store, rows, gallery, dropped, "2024-02-02", 0, "second")
+    assert "2, 2" in read()[0][0]
+    jobs.apply_batch(spark, store, rows, gallery, dropped, "2024-02-01", 1)  # same rows again
     again = read()
     assert len(again[0]) == 20 and len(again[1]) == 1 and "b.jpg" in again[1][0]
 
 
+def files_of(path):
+    """File names by bucket folder."""
+    found = {}
+    for file in (f for f in path.rglob("*.parquet") if "_batches" not in f.parts):
+        found.setdefault(f"{file.parent.parent.name}/{file.parent.name}", set()).add(file.name)
+    return found
+
+
+def rejected(spark, *numbers):
+    rows = [(i, "reddit", f"https://e.example/{n}", None, "t", "d", None, "OTHER") for i, n in enumerate(numbers)]
+    return spark.createDataFrame(rows, "seq bigint, platform string, source_url string, external_id string, title string, "
+                                       "description string, seller_name string, reason_code string")
+
+
+def test_a_small_batch_leaves_other_buckets_alone(spark, tmp_path):
+    rows = listings(spark, 200).withColumn("seq", F.monotonically_increasing_id())
+    owner = lambda n: F.concat(F.lit("https://e.example/"), n)
+    gallery = spark.range(200).select(owner(F.col("id")).alias("listing_url"), F.concat(F.lit("https://i.example/"), "id").alias("source_url"),
+                                      F.lit(0).alias("position"), F.lit(1).cast("bigint").alias("seq"))
+    for f in IMAGE.fields:
+        if f.name not in gallery.columns and f.name not in ("id", "listing_id"):
+            gallery = gallery.withColumn(f.name, F.lit(None).cast(f.dataType))
+    store = jobs.Store(str(tmp_path / "store"), 32)
+    jobs.apply_batch(spark, store, rows, gallery, rejected(spark, 500, 501, 502), "2024-02-01", 0)
+    before = files_of(tmp_path / "store")
+    two = rows.filter("id in ('0007', '0008')").withColumn("title", F.lit("new"))
+    jobs.apply_batch(spark, store, two, gallery.filter("listing_url like '%/7'").withColumn("source_url", F.lit("https://i.example/x")),
+                     rejected(spark, 500, 500), "2024-03-01", 1)
+    after = files_of(tmp_path / "store")
+    changed = {k for k in after if after[k] != before.get(k)}
+    assert len([k for k in changed if k.startswith("listings/")]) <= 2 and len([k for k in changed if k.startswith("images/")]) <= 2
+    assert {k.split("/")[0] for k in changed} == {"listings", "images", "rejections"}
+    found = {r.id: r for r in store.listings.read(spark).collect()}
+    assert len(found) == 200 and [i for i, r in found.items() if r.title == "new"] == ["0007", "0008"]
+    images = {r.listing_id: r.source_url for r in store.images.read(spark).collect()}
+    assert len(images) == 199 and images["0007"].endswith("/x") and "0008" not in images
+    assert {r.source_url[-3:]: r.rejection_count for r in store.rejections.read(spark).collect()} == {"500": 3, "501": 1, "502": 1}
+    # Accepting the only rejection of a bucket empties it.
+    taken = rows.limit(1).withColumn("source_url", F.lit("https://e.example/501")).withColumn("id", F.lit("new"))
+    jobs.apply_batch(spark, store, taken, gallery.limit(0), rejected(spark), "2024-03-02", 2)
+    assert {r.source_url[-3:] for r in store.rejections.read(spark).collect()} == {"500", "502"}
+
+
+@pytest.mark.parametrize("lost_at", ["stage", "replace"])
+def test_a_batch_that_is_lost_half_way_is_repeated_whole(spark, tmp_path, monkeypatch, lost_at):
+    rows = listings(spark, 30).withColumn("seq", F.monotonically_increasing_id())
+    none = spark.createDataFrame([], IMAGE).withColumn("listing_url", F.lit("")).withColumn("seq", F.lit(1)).drop("id", "listing_id")
+    store = jobs.Store(str(tmp_path / "store"), 4)
+    jobs.apply_batch(spark, store, rows.limit(0), none, rejected(spark, 900, 900, 3), "2024-02-01", 0)
+    real = getattr(tables.BucketedTable, lost_at)
+
+    def loses(self, *args):
+        if self.path.endswith("rejections"):
+            raise RuntimeError("lost")
+        return real(self, *args)
+
+    monkeypatch.setattr(tables.BucketedTable, lost_at, loses)
+    with pytest.raises(RuntimeError):
+        jobs.apply_batch(spark, store, rows, none, rejected(spark, 900), "2024-02-02", 1)
+    monkeypatch.setattr(tables.BucketedTable, lost_at, real)
+    for _ in range(2):
+        jobs.apply_batch(spark, store, rows, none, rejected(spark, 900), "2024-02-02", 1)
+        assert store.listings.read(spark).count() == 30
+        assert {r.source_url[-3:]: r.rejection_count for r in store.rejections.read(spark).collect()} == {"900": 3}
+
+
 def test_merge_errors(spark):
     rows = listings(spark, 3).withColumn("seq", F.lit(1))
     with pytest.raises(Exception, match="without source_url"):
