@@ -16,18 +16,74 @@ WIRE_PLATFORMS = ("REDDIT", "INSTAGRAM", "FACEBOOK", "FACEBOOK_GROUP")
 WIRE_STATUSES = ("AVAILABLE", "SOLD", "UNKNOWN")
 
 
+OBJECT_ERROR = "listing must be an object"
+LOCATIONS_ERROR = "locationTexts must be a string array"
+IMAGES_ERROR = "images must be an array"
+# What the JSON reader found out about types; the text columns of the contract cannot say it.
+SHAPES = ("is_object", "has_locations", "has_images")
+_WIRE = {c: "".join(w if k == 0 else w.capitalize() for k, w in enumerate(c.split("_"))) for c in CONTRACT_COLUMNS}
+_NOT_IT = "?"  # neither a number nor a time, so the rules on the text refuse it
+
+
+def contract_of_json(rows: DataFrame, column: str = "value") -> DataFrame:
+    """The contract columns of listings written as JSON text, and ``SHAPES``; other columns pass through.
+
+    The text is read as VARIANT, so types are those of the JSON: a price in quotes is no number, a missing position is
+    not a null one. Text fields take any value as text. What is no JSON, or no object, gives a row without values.
+    """
+    parsed = computed(rows, _json=F.try_parse_json(F.col(column)))
+    own = {c: F.try_variant_get("_json", f"$.{_WIRE[c]}", "variant") for c in CONTRACT_COLUMNS}
+    fields = computed(parsed, **{"_v_" + c: v for c, v in own.items()}, _kind=_kind(F.col("_json")))
+    value = {c: F.col("_v_" + c) for c in CONTRACT_COLUMNS}
+    kinds = {c: _kind(value[c]) for c in CONTRACT_COLUMNS}
+    read = {c: _as_text(value[c], kinds[c]) for c in CONTRACT_COLUMNS if c not in ("location_texts", "images")}
+    for c in ("posted_at", "first_fetched_at", "last_fetched_at"):
+        read[c] = F.when(kinds[c].isin("STRING", "VOID"), read[c]).otherwise(F.lit(_NOT_IT))
+    read["price"] = F.when(kinds["price"].isin("BIGINT", "VOID"), read["price"]).otherwise(F.lit(_NOT_IT))
+    place = F.filter(F.try_variant_get(value["location_texts"], "$", "array<variant>"), lambda v: _kind(v) == "STRING")
+    read["location_texts"] = F.transform(place, lambda v: v.cast("string"))
+    read["images"] = F.transform(F.try_variant_get(value["images"], "$", "array<variant>"), _image_of_json)
+    shapes = {"is_object": F.startswith("_kind", F.lit("OBJECT")),
+              "has_locations": (kinds["location_texts"] == "VOID") | F.startswith(kinds["location_texts"], F.lit("ARRAY")),
+              "has_images": (kinds["images"] == "VOID") | F.startswith(kinds["images"], F.lit("ARRAY"))}
+    kept = [c for c in rows.columns if c not in CONTRACT_COLUMNS and c not in SHAPES]
+    return computed(fields, **read, **shapes).select(*kept, *CONTRACT_COLUMNS, *SHAPES)
+
+
+def _kind(value: Column) -> Column:
+    """Type of a VARIANT; VOID for a missing one and for JSON's null."""
+    return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+
+
+def _as_text(value: Column, kind: Column) -> Column:
+    return F.when(kind == "BOOLEAN", F.initcap(value.cast("string"))).when(kind != "VOID", value.cast("string"))
+
+
+def _image_of_json(image: Column) -> Column:
+    field = lambda name: F.try_variant_get(image, f"$.{name}", "variant")
+    text = lambda name: _as_text(field(name), _kind(field(name)))
+    position = F.when(field("position").isNull(), F.lit(None)).when(_kind(field("position")) == "BIGINT", field(
+        "position").cast("string")).otherwise(F.lit(_NOT_IT))
+    return F.when(F.startswith(_kind(image), F.lit("OBJECT")), F.struct(
+        text("sourceUrl").alias("source_url"), position.alias("position"), text("altText").alias("alt_text")))
+
+
 def validate_contract(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, invalid). Invalid rows carry every error, joined, behind their identity.
 
-    Input columns are the contract as text plus arrays; further columns pass through to both results.
+    Input columns are the contract as text plus arrays, with ``SHAPES`` if they come from ``contract_of_json``; further
+    columns pass through to both results.
     """
     checked = _checked(rows)
-    passing = [c for c in rows.columns if c not in CONTRACT_COLUMNS]
+    passing = [c for c in rows.columns if c not in CONTRACT_COLUMNS and c not in SHAPES]
     valid = checked.filter(F.size("_errors") == 0).select(
         *passing, *[F.col(f"_c.{c}").alias(c) for c in CONTRACT_COLUMNS])
     identity = F.coalesce(F.col("_c.external_id"), F.nullif(F.col("_c.source_url"), F.lit("")), F.lit("<unknown>"))
-    invalid = checked.filter(F.size("_errors") > 0).select(
-        *passing, F.concat(identity, F.lit(": "), F.array_join("_errors", "; ")).alias("error"), "source_url")
+    said = F.array_join("_errors", "; ")
+    error = F.concat(identity, F.lit(": "), said)
+    if "is_object" in rows.columns:
+        error = F.when(F.col("is_object"), error).otherwise(said)
+    invalid = checked.filter(F.size("_errors") > 0).select(*passing, error.alias("error"), "source_url")
     return valid, invalid
 
 
@@ -53,8 +109,13 @@ def _checked(rows: DataFrame) -> DataFrame:
     errors.append(F.when(F.col("price").isNotNull() & price.isNull(), F.lit("price must be an integer or null")))
     errors.append(F.when(price < 0, F.lit("price must be zero or greater")))
     image_errors = F.filter(F.transform("images", _image_error), lambda e: e.isNotNull())
+    if set(SHAPES) <= set(rows.columns):
+        errors.append(F.when(~F.col("has_locations"), F.lit(LOCATIONS_ERROR)))
+        errors.append(F.when(~F.col("has_images"), F.lit(IMAGES_ERROR)))
     all_errors = F.concat(F.array_compact(F.array(*errors)),
                           F.coalesce(image_errors, F.array().cast("array<string>")))
+    if "is_object" in rows.columns:
+        all_errors = F.when(F.col("is_object"), all_errors).otherwise(F.array(F.lit(OBJECT_ERROR)))
     clean = {
         **text, "platform": platform, "status": status, **{c: F.col("_at_" + c) for c in times}, "price": price,
         "location_texts": F.coalesce(

@@ -89,6 +89,36 @@ def _(t):
     return invalid.select("seq", "source_url", "error")
 
 
+# The same listings as JSON lines, with values of other types planted.
+_IMAGE_AT = """concat('{"sourceUrl":"https://a.example/1.jpg"}',
+    CASE WHEN seq % 71 = 0 THEN ',"https://a.example/2.jpg"' WHEN seq % 73 = 0 THEN ',{"sourceUrl":"u","position":null}'
+         WHEN seq % 79 = 0 THEN ',{"sourceUrl":"u","position":true}' WHEN seq % 83 = 0 THEN ',{"sourceUrl":"u","position":"3"}'
+         ELSE ',{"sourceUrl":" https://a.example/2.jpg ","position":7,"altText":12}' END)"""
+_BODY = f"""concat('{{"platform":"', upper(platform), '","sourceUrl":"', source_url, '","externalId":', seq, ',"title":',
+    CASE WHEN seq % 89 = 0 THEN '12' ELSE concat('"', title, '"') END, ',"description":"d","price":',
+    CASE WHEN seq % 101 = 0 THEN 'true' WHEN seq % 103 = 0 THEN '12.0' ELSE coalesce(CAST(price AS STRING), 'null') END,
+    ',"locationTexts":', CASE WHEN seq % 61 = 0 THEN '"Kota"' ELSE '["Kota ", 5, " ", null]' END,
+    ',"status":"', upper(status), '","postedAt":', CASE WHEN seq % 97 = 0 THEN '5' ELSE 'null' END,
+    ',"firstFetchedAt":"2001-01-01T00:00:00Z","lastFetchedAt":"2001-01-02T00:00:00+01:00","images":',
+    CASE WHEN seq % 67 = 0 THEN '{{"sourceUrl":"u"}}' ELSE concat('[', {_IMAGE_AT}, ']') END, '}}')"""
+
+
+@query("n5_contract_json", """
+    SELECT seq, CASE WHEN seq % 107 = 0 THEN 'listing must be an object' WHEN e <> '' THEN concat(seq, ': ', e) ELSE concat(
+        CASE WHEN seq % 89 = 0 THEN '12' ELSE trim(title) END, '|Kota|0 https://a.example/1.jpg -|7 https://a.example/2.jpg 12') END AS said
+    FROM (SELECT seq, title, concat_ws('; ', CASE WHEN seq % 97 = 0 THEN 'postedAt must be an ISO datetime string or null' END,
+            CASE WHEN seq % 101 = 0 OR seq % 103 = 0 THEN 'price must be an integer or null' END,
+            CASE WHEN seq % 61 = 0 THEN 'locationTexts must be a string array' END, CASE WHEN seq % 67 = 0 THEN 'images must be an array'
+                 WHEN seq % 71 = 0 THEN 'images[1] must be an object' WHEN seq % 73 = 0 OR seq % 79 = 0 OR seq % 83 = 0
+                 THEN 'images[1].position must be an integer' END) AS e FROM v_listings) x""")
+def _(t):
+    body = F.expr(f"CASE WHEN seq % 214 = 0 THEN '[1, 2]' WHEN seq % 107 = 0 THEN '{{broken' ELSE {_BODY} END")
+    valid, invalid = contract.validate_contract(contract.contract_of_json(t.listings.select("seq", body.alias("value"))))
+    image = lambda i: F.concat_ws(" ", i["position"].cast("string"), i["source_url"], F.coalesce(i["alt_text"], F.lit("-")))
+    shown = F.concat_ws("|", "title", F.array_join("location_texts", ","), F.array_join(F.transform("images", image), "|"))
+    return valid.select("seq", shown.alias("said")).unionByName(invalid.select("seq", F.col("error").alias("said")))
+
+
 @query("n6_storage_rows", f"""
     SELECT left(sha256(source_url), 32) AS id, lower(trim(platform)) AS platform, source_url, nullif(external_id, '') AS external_id,
            CAST(price AS INTEGER) AS price, array_to_string(location_texts, '|') AS location_texts, trim(seller_name) AS seller_name,

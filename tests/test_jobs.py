@@ -430,6 +430,37 @@ def test_contract_reports_every_error(spark):
     assert "price must be an integer or null" in error and "images[0] must be an object" in error
 
 
+def json_listing(**changes):
+    row = {"platform": "reddit", "sourceUrl": "https://e.example/1", "externalId": "x", "title": "T", "description": "d", "price": 5,
+           "locationTexts": ["A"], "status": "sold", "postedAt": None, "firstFetchedAt": "2024-01-01T00:00:00Z",
+           "lastFetchedAt": "2024-01-01T00:00:00", "images": []}
+    return json.dumps({k: v for k, v in {**row, **changes}.items() if v != "-"})
+
+
+@pytest.mark.parametrize("text, error", [
+    (json_listing(), None), (json_listing(price="5"), "x: price must be an integer or null"), (json_listing(price=-1), "x: price must be zero or greater"),
+    (json_listing(price=5.5), "x: price must be an integer or null"), (json_listing(price=False), "x: price must be an integer or null"),
+    (json_listing(price="-"), None), (json_listing(locationTexts="A"), "x: locationTexts must be a string array"),
+    (json_listing(locationTexts={"a": 1}), "x: locationTexts must be a string array"), (json_listing(locationTexts=None), None),
+    (json_listing(images={}), "x: images must be an array"), (json_listing(images=None), None), (json_listing(images=7), "x: images must be an array"),
+    (json_listing(images=[1]), "x: images[0] must be an object"), (json_listing(images=[{}]), "x: images[0].sourceUrl is required"),
+    (json_listing(images=[{"sourceUrl": "u"}]), None), (json_listing(images=[{"sourceUrl": "u", "position": None}]), "x: images[0].position must be an integer"),
+    (json_listing(images=[{"sourceUrl": "u", "position": True}]), "x: images[0].position must be an integer"),
+    (json_listing(images=[{"sourceUrl": "u", "position": 1.0}, [1]]), "x: images[0].position must be an integer; images[1] must be an object"),
+    (json_listing(postedAt=5), "x: postedAt must be an ISO datetime string or null"), (json_listing(postedAt=""), None),
+    (json_listing(firstFetchedAt=7), "x: firstFetchedAt must be an ISO datetime string or null"),
+    (json_listing(firstFetchedAt=None, externalId=None), "https://e.example/1: firstFetchedAt is required"),
+    (json_listing(title=True, externalId=3), None), ("[1]", "listing must be an object"), ("nope", "listing must be an object"),
+    ("null", "listing must be an object"), (None, "listing must be an object")])
+def test_contract_types_of_json(spark, text, error):
+    valid, invalid = contract.validate_contract(contract.contract_of_json(spark.createDataFrame([(1, text)], "seq int, value string")))
+    assert [r.error for r in invalid.collect()] == ([] if error is None else [error])
+    rows = valid.collect()
+    assert len(rows) == (error is None)
+    if text == json_listing(title=True, externalId=3):
+        assert (rows[0].title, rows[0].external_id, rows[0].location_texts) == ("True", "3", ["A"])
+
+
 # Extraction --------------------------------------------------------------------------------------------------------
 
 def payload(spark, *texts, page="p"):
