@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import html
+import html.entities
+import json
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
 
+from lapak.functions.once import let
 from lapak.functions.text import or_blank, strip
 
 # Query keys whose values are secrets, and words that mark a secret field.
@@ -33,10 +33,50 @@ MEDIA_FOLDERS = (
 _SPLIT = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)"
 
 
-@F.pandas_udf(StringType())
-def html_unescape(values: pd.Series) -> pd.Series:
-    """The full HTML entity table, Arrow batch by batch; Spark has no built-in for it."""
-    return values.map(html.unescape, na_action="ignore")
+# Names that HTML reads without a semicolon, longest first; only they may be followed by more letters.
+_BARE_NAMES = "|".join(sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+_NAME = r"^[^\t\n\f <&#;]{1,32};?"
+_NUMBER = r"^#(?:[xX]([0-9a-fA-F]+)|([0-9]+));?"
+
+
+def html_unescape(text: Column) -> Column:
+    """Text with named and numeric HTML references replaced, by the rules of HTML 5.
+
+    The table of names is a constant of the plan. What is no reference stays as it is.
+    """
+    names = F.from_json(F.lit(json.dumps(html.entities.html5)), "map<string, string>")
+    windows = F.from_json(F.lit(json.dumps({str(n): bytes([n]).decode("cp1252", "replace").replace("\ufffd", chr(n))
+                                            for n in range(0x80, 0xA0)})), "map<string, string>")
+    behind = lambda piece, part: F.substr(piece, F.length(part) + 1)
+
+    def sign(piece: Column) -> Column:
+        digits = F.regexp_replace(F.concat(F.regexp_extract(piece, _NUMBER, 1), F.regexp_extract(piece, _NUMBER, 2)), "^0+(?=.)", "")
+        base = F.when(F.regexp_extract(piece, _NUMBER, 1) != "", F.conv(digits, 16, 10)).otherwise(digits)
+        number = F.when(F.length(digits) <= 7, base.try_cast("int")).otherwise(F.lit(0x110000))
+        return let(number, lambda n: F.when(
+            (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("\ufffd")).when(
+            n.between(0x80, 0x9F), F.try_element_at(windows, n.cast("string"))).when(
+            n.between(1, 8) | n.isin(11, 127) | n.between(14, 31) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE),
+            F.lit("")).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
+
+    def read(piece: Column) -> Column:
+        number, name, bare = (F.regexp_extract(piece, p, 0) for p in (_NUMBER, _NAME, f"^(?:{_BARE_NAMES})"))
+        whole = F.try_element_at(names, name)
+        # The four names that make up nearly all references need no table.
+        usual = F.when(F.lit(False), F.lit(""))
+        for word, char in (("amp;", "&"), ("lt;", "<"), ("gt;", ">"), ("quot;", '"')):
+            usual = usual.when(piece.startswith(word), F.concat(F.lit(char), F.substr(piece, F.lit(len(word) + 1))))
+        return (usual.when(number != "", F.concat(sign(piece), behind(piece, number)))
+                .when(whole.isNotNull(), F.concat(whole, behind(piece, name)))
+                .when(bare != "", F.concat(F.try_element_at(names, bare), behind(piece, bare)))
+                .otherwise(F.concat(F.lit("&"), piece)))
+
+    def decoded(whole: Column) -> Column:
+        every = let(F.split(whole, "&"), lambda p: F.concat(
+            F.get(p, 0), F.array_join(F.transform(F.slice(p, F.lit(2), F.size(p)), read), "")))
+        return F.when(F.contains(whole, F.lit("&")), every).otherwise(whole)
+
+    return let(text, decoded)
 
 
 def url_scheme(url: Column) -> Column:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from lapak.functions.once import computed
 from lapak.functions.text import or_blank
 from lapak.functions.urls import group_permalink, html_unescape, is_reddit_image, reddit_image_url
 from lapak.operators.relevance import select_first
@@ -283,30 +284,37 @@ def extract_post_detail(payloads: DataFrame, shortcodes: DataFrame) -> DataFrame
 
 # Galleries ---------------------------------------------------------------------------------------------------------
 
-_URLS = T.StructType([T.StructField("url", T.StringType())])
+_IMAGE = "struct<status: string, m: string, s: struct<u: string, gif: string>, p: array<struct<x: string, y: string, u: string>>>"
+_POST = (f"struct<id: string, gallery_data: struct<items: array<struct<media_id: string>>>, media_metadata: map<string, {_IMAGE}>, "
+         "preview: struct<images: array<struct<source: struct<url: string>>>>, url_overridden_by_dest: string, url: string>")
+_POSTS = f"array<struct<data: struct<children: array<struct<data: {_POST}>>>>>"
 
 
-def _gallery(text: str):
-    """Image URLs of a post: gallery media in gallery order, previews, then the link of the post itself."""
-    payload = parsed(text)
-    while isinstance(payload, list) and payload:
-        payload = payload[0]
-    post = next((d for d in at(payload, "data.children.*.data") if isinstance(d, dict) and d.get("id")), {})
-    media = next((m for m in at(post, "media_metadata") if isinstance(m, dict)), {})
-    named = [str(i) for i in at(post, "gallery_data.items.*.media_id") if i]
-    for item in (media.get(name) for name in named or media):
-        if first_text(item, ("status",)) in (None, "valid") and (first_text(item, ("m",)) or "image/").startswith("image/"):
-            sizes = [p for p in at(item, "p.*") if isinstance(p, dict)]
-            area = lambda p: float(first_text(p, ("x",)) or 0) * float(first_text(p, ("y",)) or 0)
-            urls = [*at(item, "s.u"), *at(item, "s.gif"), *at(max(sizes, key=area, default={}), "u")]
-            yield from ({"url": u} for u in urls if isinstance(u, str))
-    links = [*at(post, "preview.images.*.source.url"), *at(post, "url_overridden_by_dest"), *at(post, "url")]
-    yield from ({"url": u} for u in links if isinstance(u, str))
+def _image_urls(image: Column) -> Column:
+    """URLs of one gallery image: the source, its animation, and the largest preview; none if it is not a valid image."""
+    usable = (or_blank(image["status"]).isin("", "valid")) & ((or_blank(image["m"]) == "") | image["m"].startswith("image/"))
+    size = lambda p, c: F.coalesce(p[c].try_cast("double"), F.lit(0.0))
+    largest = F.array_max(F.transform(image["p"], lambda p, i: F.struct(size(p, "x") * size(p, "y"), -i, p["u"].alias("u"))))
+    none = F.array().cast("array<string>")
+    return F.when(usable, F.array_compact(F.array(image["s"]["u"], image["s"]["gif"], largest["u"]))).otherwise(none)
 
 
 def gallery_images(payloads: DataFrame) -> DataFrame:
-    """X11: image rows of each post payload: page_id, position, url. Gallery order, distinct by canonical URL."""
-    found = _emit(payloads, _gallery, _URLS)
+    """X11: image rows of each post payload: page_id, position, url. Gallery order, distinct by canonical URL.
+
+    Gallery media come in gallery order, or as the metadata lists them, then previews, then the link of the post.
+    """
+    posts = computed(payloads.select("page_id", "script_index", "text"), _p=F.from_json(F.col("text"), _POSTS)).select(
+        "page_id", "script_index", F.get(F.filter(F.transform(F.get("_p", 0)["data"]["children"], lambda c: c["data"]),
+                                                  lambda d: or_blank(d["id"]) != ""), 0).alias("post"))
+    post, none = F.col("post"), F.array().cast("array<string>")
+    listed = F.filter(F.transform(post["gallery_data"]["items"], lambda i: i["media_id"]), lambda m: or_blank(m) != "")
+    names = F.when(F.size(F.coalesce(listed, none)) > 0, listed).otherwise(F.map_keys(post["media_metadata"]))
+    media = F.flatten(F.transform(names, lambda n: F.coalesce(_image_urls(F.try_element_at(post["media_metadata"], n)), none)))
+    previews = F.array_compact(F.transform(post["preview"]["images"], lambda i: i["source"]["url"]))
+    urls = F.concat(*[F.coalesce(c, none) for c in (media, previews)],
+                    F.array_compact(F.array(post["url_overridden_by_dest"], post["url"])))
+    found = posts.select("page_id", "script_index", F.posexplode(urls).alias("place", "url"))
     rows = found.withColumn("url", reddit_image_url(html_unescape(F.col("url")), unescaped=True))
     usable = rows.filter((F.col("url") != "") & is_reddit_image(F.col("url")))
     first = usable.groupBy("page_id", "url").agg(F.min(F.struct("script_index", "place")).alias("_at"))

@@ -1,6 +1,8 @@
 """Expected values of the public contract: shape, cursors, inputs, facets, revisions, buckets."""
 
 import datetime as dt
+import html
+import random
 
 import pytest
 from pyspark.sql import Row, functions as F
@@ -253,3 +255,14 @@ def test_relevance_by_target(spark):
     assert {r.target_id: r.matched for r in metrics.collect()} == {"a": 2, "b": 2, "c": 0, "d": 2, "e": 0}
     report = {r.target_id: (r.selected, r.sample_ids) for r in relevance.calibration(selected, metrics).collect()}
     assert report == {"a": (2, ["1", "2"]), "b": (2, ["5", "6"]), "c": (0, []), "d": (2, ["8", "9"]), "e": (0, [])}
+
+
+def test_html_unescape_follows_the_standard_library(spark):
+    rng = random.Random(8)
+    names = ["amp;", "amp", "lt", "gt;", "notit;", "not", "notin;", "copy", "copyx", "eacute;", "eacutex", "AMP", "bogus;", "CounterClockwiseContourIntegral;",
+             "#38;", "#x26;", "#X26", "#0;", "#128;", "#129;", "#55296;", "#1114112;", "#99999999999999999999999;", "#x1F642;", "#11;", "#64976;", "#65534;",
+             "#", "#x", "#;", "", " amp;", "a" * 40, "ngE;", "acE;", "#13;", "#0000000000065;", "sup2", "sup2;3"]
+    texts = ["".join(rng.choice(["&", "&", "x", " ", ";", "<", "🙂"]) + rng.choice(names) for _ in range(rng.randrange(1, 7))) for _ in range(3000)]
+    frame = spark.createDataFrame([(t,) for t in texts] + [(None,), ("",)], "t string")
+    for row in frame.select("t", urls.html_unescape(F.col("t")).alias("u")).collect():
+        assert row.u == (None if row.t is None else html.unescape(row.t)), row.t
