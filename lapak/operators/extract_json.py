@@ -7,13 +7,14 @@ the tasks. It yields texts; types, clean-up and everything across payloads (firs
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lapak.functions.once import computed
 from lapak.functions.text import or_blank
-from lapak.functions.urls import group_permalink, html_unescape, is_reddit_image, reddit_image_url
+from lapak.functions.urls import group_permalink, html_unescape, is_reddit_image, reddit_image_url, url_host
 from lapak.operators.relevance import select_first
 from lapak.schemas import CARD, COMMERCE_FIELDS, GROUP_RECORD, PROFILE_RECORD
 from lapak.sources.payloads import at, first_text, parsed, parsed_all, record, walk
@@ -117,65 +118,83 @@ def extract_marketplace(payloads: DataFrame, limit: int | None = None) -> DataFr
 
 # Group posts -------------------------------------------------------------------------------------------------------
 
-def _own(story) -> list[dict]:
-    """Objects of a story without those of the story attached to it."""
-    return list(walk(story, skip=("attached_story",)))
+# What a story may consist of, as the reader meets it. ``inner`` marks what stands in the attached story, ``depth`` is 0
+# for the story object itself; ``urls`` are the addresses of a photo where they belong, ``nested`` those further inside.
+_PART = T.StructType(
+    [T.StructField("inner", T.BooleanType()), T.StructField("kind", T.StringType()), T.StructField("depth", T.IntegerType())]
+    + [T.StructField(n, T.StringType()) for n in ("text", "name")]
+    + [T.StructField(n, T.ArrayType(T.StringType())) for n in ("urls", "nested")]
+    + [T.StructField(n, T.StringType()) for n in COMMERCE_FIELDS])
+_STORY = T.StructType([T.StructField("post_id", T.StringType()), T.StructField("group_id", T.StringType()),
+                       T.StructField("parts", T.ArrayType(_PART))])
+_TEXTS = (("message", MESSAGE, (str,)), ("link", LINKS, (str,)), ("time", TIMES, (str, int, float)))
+
+
+def _parts(story: Any, inner: bool) -> Iterator[dict]:
+    """Everything in a story that a rule may choose from, in the order of the walk and without the attached story."""
+    for depth, found in enumerate(walk(story, skip=("attached_story",))):
+        part = {**dict.fromkeys(_PART.fieldNames()), "inner": inner, "depth": min(depth, 1)}
+        for kind, paths, kinds in _TEXTS:
+            texts = (first_text(found, (path,), kinds) for path in paths)
+            yield from ({**part, "kind": kind, "text": t} for t in texts if t)
+        for actor in at(found, "actors.*"):
+            yield {**part, "kind": "actor", "text": first_text(actor, ("id",)), "name": first_text(actor, ("name",))}
+        for media in at(found, "attachments"):
+            for photo in (p for p in walk(media) if p.get("__typename") == "Photo"):
+                urls = [first_text(photo, (path,), (str,)) for path in PHOTO]
+                yield {**part, "kind": "photo", "name": first_text(photo, ("accessibility_caption",)),
+                       "urls": [u for u in urls if u], "nested": [u for u in (first_text(p, ("uri",), (str,)) for p in walk(photo)) if u]}
+        if found.get("__typename") == "GroupCommerceProductItem":
+            yield {**part, "kind": "product", **record(found, COMMERCE)}
 
 
-def _over(objects: list[dict], *paths: str, **options) -> str:
-    """The first usable text of any of the objects."""
-    return next(filter(None, (first_text(o, paths, **options) for o in objects)), "")
-
-
-def _pictures(objects: list[dict]) -> list[dict]:
-    """Photos attached to the objects, each URL once."""
-    shown: dict[str, str] = {}
-    for photo in (p for o in objects for a in at(o, "attachments") for p in walk(a) if p.get("__typename") == "Photo"):
-        url = first_text(photo, PHOTO, (str,), lambda u: u.startswith("https://")) or _over(
-            list(walk(photo)), "uri", kinds=(str,), test=lambda u: u.startswith("https://") and "fbcdn" in u.split("/")[2].lower())
-        if url:
-            shown.setdefault(url, first_text(photo, ("accessibility_caption",)) or "")
-    return [{"url": u, "alt": a} for u, a in shown.items()]
-
-
-def _person(objects: list[dict]) -> dict:
-    actors = (a for o in objects for a in at(o, "actors.*") if isinstance(a, dict))
-    return next((a for a in actors if a.get("id") or a.get("name")), {})
-
-
-def _product(objects: list[dict]) -> dict:
-    products = (o for o in objects if o.get("__typename") == "GroupCommerceProductItem")
-    return next(({k: v or "" for k, v in record(o, COMMERCE).items()} for o in products), {})
+def _stories(text: str):
+    """Stories of a payload with their parts. An attached story is no story of its own."""
+    for story in (s for payload in parsed_all(text) for s in walk(payload, skip=("attached_story",))):
+        names = {name: first_text(story, (path,)) for name, path in (("post_id", "post_id"), ("group_id", "target_group.id"))}
+        if all(names.values()) and any(mark in story for mark in STORY_MARKS):
+            attached = next((o["attached_story"] for o in walk(story) if isinstance(o.get("attached_story"), dict)), None)
+            yield {**names, "parts": [*_parts(story, False), *(_parts(attached, True) if attached else ())]}
 
 
-def _stories(text: str):
-    in_group = lambda u: u.startswith("https://") and "/groups/" in u
-    of_post = lambda u: in_group(u) and "/posts/" in u
-    for story in (s for payload in parsed_all(text) for s in _own(payload)):
-        post, group = (first_text(story, (p,)) for p in ("post_id", "target_group.id"))
-        if not post or not group or not any(mark in story for mark in STORY_MARKS):
-            continue
-        own = _own(story)
-        attached = (v["attached_story"] for v in walk(story) if isinstance(v.get("attached_story"), dict))
-        inner = _own(next(attached, {}))
-        message, pictures = _over(own, *MESSAGE, kinds=(str,)), _pictures(own)
-        borrowed = (_over(inner, *MESSAGE, kinds=(str,)) if not message else "", _pictures(inner) if not pictures else [])
-        person = _person(own) or _person(inner)
-        yield {
-            "post_id": post, "group_id": group,
-            "permalink": first_text(story, LINKS, (str,), in_group) or _over(own, *LINKS, kinds=(str,), test=of_post),
-            "message": message or borrowed[0], "images": pictures or borrowed[1],
-            "seller_id": first_text(person, ("id",)), "seller_name": first_text(person, ("name",)),
-            "published_timestamp": _over([story, *own], *TIMES, test=lambda x: x.isdigit() and int(x) > 0) or "0",
-            "commerce": {f: {**_product(inner), **_product(own)}.get(f) for f in COMMERCE_FIELDS},
-            "used_attached_story": str(any(map(bool, borrowed))),
-        }
+def _photo(part: Column) -> Column:
+    """Address and caption of a photo part: the first safe one in place, else the first of the image servers."""
+    safe = F.filter(part["urls"], lambda u: u.startswith("https://"))
+    hosted = F.filter(part["nested"], lambda u: u.startswith("https://") & F.contains(url_host(u), F.lit("fbcdn")))
+    return F.struct(or_blank(F.coalesce(F.get(safe, 0), F.get(hosted, 0))).alias("url"), or_blank(part["name"]).alias("alt"))
 
 
 def group_records(payloads: DataFrame) -> DataFrame:
-    """X2 first half: every story of the payloads as a flat record with its place."""
-    found = _emit(payloads, _stories, GROUP_RECORD)
-    return found.withColumn("permalink", group_permalink(F.col("permalink")))
+    """X2 first half: every story of the payloads as a flat record with its place.
+
+    The reader lists the parts of a story; which of them counts is decided here. The attached story stands in where the
+    story itself has no message, photo, actor or product.
+    """
+    found = _emit(payloads, _stories, _STORY)
+    parts = lambda kind, inner: F.filter("parts", lambda p: (p["kind"] == kind) & (p["inner"] == inner))
+    first = lambda rows: F.get(rows, 0)
+    split = computed(found, **{f"_{kind}{int(inner)}": parts(kind, inner) for kind in ("message", "photo", "actor", "product")
+                               for inner in (False, True)}, _link=parts("link", False), _time=parts("time", False))
+    named = lambda kind: F.filter(kind, lambda p: F.coalesce(p["text"], p["name"]).isNotNull())
+    photos = lambda c: F.filter(F.transform(c, _photo), lambda p: p["url"] != "")
+    ready = computed(split, _own=photos("_photo0"), _far=photos("_photo1"), _person=F.coalesce(
+        first(named("_actor0")), first(named("_actor1"))), _sold=F.coalesce(first("_product0"), first("_product1")))
+    in_group = lambda p: p["text"].startswith("https://") & F.contains(p["text"], F.lit("/groups/"))
+    link = F.coalesce(first(F.filter("_link", lambda p: (p["depth"] == 0) & in_group(p))),
+                      first(F.filter("_link", lambda p: in_group(p) & F.contains(p["text"], F.lit("/posts/")))))
+    time = F.filter(F.transform("_time", lambda p: F.when(p["text"].rlike("^[0-9]+$"), p["text"].try_cast("bigint"))), lambda n: n > 0)
+    borrows = lambda own, far: (F.size(own) == 0) & (F.size(far) > 0)
+    images = F.when(F.size("_own") > 0, F.col("_own")).otherwise(F.col("_far"))
+    distinct = F.filter(images, lambda p, k: F.array_position(F.transform(images, lambda q: q["url"]), p["url"]) == k + 1)
+    columns = {
+        "permalink": group_permalink(or_blank(link["text"])),
+        "message": or_blank(F.coalesce(first("_message0"), first("_message1"))["text"]),
+        "seller_id": or_blank(F.col("_person.text")), "seller_name": or_blank(F.col("_person.name")),
+        "published_timestamp": F.coalesce(first(time), F.lit(0).cast("bigint")), "images": distinct,
+        "commerce": F.struct(*[F.when(F.col("_sold").isNotNull(), or_blank(F.col(f"_sold.{f}"))).alias(f) for f in COMMERCE_FIELDS]),
+        "used_attached_story": borrows("_message0", "_message1") | borrows("_own", "_far"),
+    }
+    return computed(ready, **columns).select("page_id", "script_index", "place", *GROUP_RECORD.fieldNames())
 
 
 def _first_filled(column: str, seq: Column) -> Column:
