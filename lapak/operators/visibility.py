@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lapak.functions.text import normalize_listing_content, normalize_seller_name
 from lapak.functions.values import effective_seller
@@ -20,15 +20,32 @@ def with_moderation(listings: DataFrame, moderation: DataFrame, controls: DataFr
     return listings.join(F.broadcast(switches), "platform", "left").join(marks, "id", "left")
 
 
+def content_key(platform: Column, text: Column) -> list[Column]:
+    """128 bits that stand for a platform and a normalized text. A missing text has no key."""
+    value = normalize_listing_content(text)
+    return [F.when(value.isNotNull(), F.xxhash64(F.lit(k), platform, value)) for k in (1, 2)]
+
+
+def with_content_keys(rows: DataFrame) -> DataFrame:
+    """Rows with the keys of their title and description. Made before the first join, so no text is shuffled for it."""
+    made = {f"_{field}{k}": key for field in ("title", "description")
+            for k, key in enumerate(content_key(F.col("platform"), F.col(field)))}
+    return rows.withColumns(made)
+
+
 def without_blocked_content(rows: DataFrame, blocks: DataFrame, field: str) -> DataFrame:
     """Drop rows whose title or description is blocked on their platform.
 
-    The block list is joined by size: Spark broadcasts it below the size threshold and otherwise sorts and merges,
-    where adaptive execution splits a hot title into several tasks.
+    Texts are compared by 128-bit keys, so what is sorted and sent is narrow however long a text is. The block list is
+    joined by size: Spark broadcasts it below the size threshold and otherwise sorts and merges, where adaptive
+    execution splits a hot title into several tasks.
     """
-    listed = blocks.filter(F.col("field") == field).select("platform", F.col("normalized_value").alias("_value")).distinct()
-    keyed = rows.withColumn("_value", normalize_listing_content(F.col(field)))
-    return keyed.join(listed, ["platform", "_value"], "left_anti").drop("_value")
+    keys = [f"_{field}0", f"_{field}1"]
+    value = F.col("normalized_value")
+    listed = blocks.filter(F.col("field") == field).select(
+        *[F.xxhash64(F.lit(k + 1), F.col("platform"), value).alias(name) for k, name in enumerate(keys)]).distinct()
+    own = rows if keys[0] in rows.columns else with_content_keys(rows)
+    return own.join(listed, keys, "left_anti").select(*[c for c in rows.columns])
 
 
 def without_blocked_sellers(rows: DataFrame, flags: DataFrame) -> DataFrame:
@@ -51,12 +68,12 @@ def visible_listings(listings: DataFrame, moderation: DataFrame, controls: DataF
 
     ``check_sellers=False`` gives the variant of the reconciliation job that has no seller rule.
     """
-    rows = with_moderation(listings, moderation, controls)
+    rows = with_moderation(with_content_keys(listings), moderation, controls)
     rows = rows.filter(
         F.coalesce(F.col("public_visible"), F.lit(True)) & ~F.coalesce(F.col("hidden"), F.lit(False))
     ).drop("public_visible", "hidden")
     rows = without_blocked_content(rows, blocks, "title")
-    rows = without_blocked_content(rows, blocks, "description")
+    rows = without_blocked_content(rows, blocks, "description").drop(*[f"_{c}{k}" for c in ("title", "description") for k in (0, 1)])
     return without_blocked_sellers(rows, flags) if check_sellers else rows
 
 

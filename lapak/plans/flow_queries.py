@@ -225,18 +225,19 @@ def _(t):
     return shaped[0].union(shaped[1]).union(shaped[2])
 
 
-def _fake_model(request: str) -> str:
-    """Deterministic stand-in for a model: a listing with an even description length is accepted."""
-    out = [{"external_id": i["externalId"], "is_listing": len(i["description"]) % 2 == 0, "title": i["title"].upper()}
-           for i in json.loads(request)]
-    return json.dumps(out)
+def _measured(request: str) -> str:
+    """A plain function in the place where users put a model: measures of each listing of a request."""
+    return json.dumps([{"external_id": i["externalId"], "is_long": len(i["description"]) > 40, "title": i["title"].upper(),
+                        "n_words": len(i["description"].split())} for i in json.loads(request)])
 
 
-@query("n13_enrich", "SELECT external_id, length(description) % 2 = 0 AS is_listing, upper(title) AS title FROM v_listings")
+@query("n13_enrich", r"""
+    SELECT external_id, length(description) > 40 AS is_long, upper(title) AS title,
+           len(regexp_extract_all(description, '\S+')) AS n_words FROM v_listings""")
 def _(t):
     rows = t.listings.withColumn("source_facts", F.create_map(F.lit("kind"), F.col("status")))
     packed = review.pack_review_batches(rows, [F.col("id")], 20)
-    return review.enrich(packed, _fake_model, "external_id string, is_listing boolean, title string").drop("batch")
+    return review.enrich(packed, _measured, "external_id string, is_long boolean, title string, n_words bigint").drop("batch")
 
 
 # Relevance ---------------------------------------------------------------------------------------------------------

@@ -461,6 +461,26 @@ def test_contract_types_of_json(spark, text, error):
         assert (rows[0].title, rows[0].external_id, rows[0].location_texts) == ("True", "3", ["A"])
 
 
+def test_no_description_is_shuffled_to_decide_visibility(spark):
+    """Without broadcasts, an exchange carries keys of the texts and never the texts."""
+    from lapak.operators import visibility
+    from lapak.plans.views import Tables
+
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = Tables(spark, "/root/testdata/sf0.001")
+        rows = t.listings.withColumnRenamed("description", "_d").withColumn("description", F.concat("_d", F.lit("")).alias("description")).drop("_d")
+        seen = visibility.visible_listings(rows, t.moderation, t.controls, t.blocks, t.flags).select("id")
+        physical = seen._jdf.queryExecution().sparkPlan().toString()
+        plan = seen._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "xxhash64" in physical and plan.count("Exchange hashpartitioning") >= 4
+    joins = [line for line in plan.split("\n") if "SortMergeJoin" in line or "Exchange" in line]
+    assert joins and not any("description#" in line for line in joins if "normalized_value#" not in line)  # the block list names its field
+
+
 # Extraction --------------------------------------------------------------------------------------------------------
 
 def payload(spark, *texts, page="p"):
