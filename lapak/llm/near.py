@@ -5,12 +5,13 @@ arrivals come at rates of its weight, and each arrival draws one of SLOTS slots.
 first; a shingle stops as soon as its next arrival is later than all slots. Two signatures agree in a slot with the
 probability Jaccard similarity of the texts. Eight slots make a band, and texts that share a band are candidates.
 
-Candidates are verified by the exact probability Jaccard similarity. In a band bucket only links to one member are
-verified at first; what falls into one component needs no further comparison. While more pairs of different components
-share a bucket than a few per member, and a fair share of the tested ones are links, rounds go on with random small
-groups of each bucket. For what is left, buckets are compared in blocks by their slots inside the tasks, and pairs that
-come within six standard errors of the threshold are verified: a link falls out with less than 1e-9. So every two texts that share a bucket either are in one
-component, or were verified, or are unlike by their slots; no bucket is expanded into all its pairs.
+Candidates are verified by the exact probability Jaccard similarity. In a band bucket every member is verified against
+one member first, and then against one of a random small group; what falls into one component needs no comparison any
+more. For what is left, the members outside a bucket's largest component meet all others in blocks inside the tasks: pairs
+of different components that come within six standard errors of the threshold by their slots are verified there, the most
+alike first, and a component found in a task is not compared again. So a task returns links of a forest, never the pairs
+it has looked at, and a pair is looked at only in the first band that both texts share. Every two texts that share a
+bucket either are in one component, or were verified, or are unlike by their slots; a link falls out with less than 1e-9.
 """
 
 from __future__ import annotations
@@ -34,10 +35,9 @@ SLOTS = BANDS * ROWS
 SLICE_BYTES = 1 << 19
 SLICE_ROWS = 400
 CELLS = 1 << 14
-OPEN_PER_MEMBER = 4
 STAR = 8
-FEW_LINKS = 0.02
-BLOCK = 128
+BLOCK = 1024
+BLOCK_CHARS = 8 << 20
 # Six standard errors of the estimate from the slots, below which a pair is taken for unlike.
 MARGIN = 6 * (SIMILAR * (1 - SIMILAR) / SLOTS) ** 0.5
 
@@ -188,13 +188,6 @@ def _rooted(rows: DataFrame, node: str, roots: DataFrame, out: str) -> DataFrame
         "_of", "_root_of")
 
 
-def _open_count(placed: DataFrame) -> int:
-    """Number of pairs of different components in all buckets, from counts."""
-    sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    keys = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-    return int(keys.agg(F.sum((F.col("n").cast("decimal(38,0)") * F.col("n") - F.col("same")) / 2)).first()[0] or 0)
-
-
 def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One row per document: doc_id, md5 (of its text), text_id and class_id.
 
@@ -217,20 +210,12 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     pairs = members.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     known = written(_verified(pairs, texts), "checked")
-    links = known.filter(F.col("similarity") >= similar).select("a", "b")
-    roots, turn, total = _merged(None, links), 0, members.count()
-    while True:
-        placed = written(_rooted(members, "node", roots, "root"), "placed")
-        if _open_count(placed) <= OPEN_PER_MEMBER * total or links.count() < FEW_LINKS * known.count():
-            break
-        turn += 1
-        pairs = _stars(placed, turn).join(known, ["a", "b"], "left_anti")
-        checked = written(_verified(pairs, texts), "checked")
-        known = known.unionByName(checked)
-        links = checked.filter(F.col("similarity") >= similar).select("a", "b")
-        roots = _merged(roots, links)
-    rest = written(_verified(_open_pairs(placed, nodes, known, similar), texts), "rest")
-    links = rest.filter(F.col("similarity") >= similar).select("a", "b")
+    roots = _merged(None, known.filter(F.col("similarity") >= similar).select("a", "b"))
+    placed = written(_rooted(members, "node", roots, "root"), "placed")
+    checked = written(_verified(_stars(placed, 1).join(known, ["a", "b"], "left_anti"), texts), "checked")
+    roots = _merged(roots, checked.filter(F.col("similarity") >= similar).select("a", "b"))
+    placed = written(_rooted(members, "node", roots, "root"), "placed")
+    links = written(_open_links(placed, nodes, texts, similar), "rest")
     if not links.isEmpty():
         roots = _merged(roots, links)
 
@@ -240,51 +225,83 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return rows.select("doc_id", "md5").join(classes, "md5").select("doc_id", "md5", "text_id", "class_id")
 
 
-def _open_pairs(placed: DataFrame, nodes: DataFrame, known: DataFrame, similar: float) -> DataFrame:
-    """Pairs of different components that share a bucket, are not verified yet and look similar by their slots.
+def _open_links(placed: DataFrame, nodes: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """Links (a, b) that join different components of a bucket: a forest for every two blocks that meet.
 
-    Buckets are dealt into blocks, and every two blocks of a bucket meet in a task of bounded size, which compares the
-    slots and passes on only pairs within the margin. So pairs are compared, but not made into rows.
+    A bucket's largest component and the rest are dealt into blocks of bounded number and length. Blocks of the rest meet
+    each other and those of the component, which need not meet each other. So a member is sent as often as there are
+    blocks of the rest, which is once for all but very large buckets.
     """
-    mixed = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    held = placed.join(mixed.select("key"), "key").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
+    sized = placed.join(texts.select("node", F.length("text").alias("chars")), "node")
+    parts_of = sized.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    mixed = parts_of.groupBy("key").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.max(F.struct("n", "root", "chars")).alias("m"),
+        F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    cut = lambda n, chars: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(chars / BLOCK_CHARS)).cast("int")
+    cuts = mixed.select("key", "main", cut(F.col("m.n"), F.col("m.chars")).alias("mains"),
+                        cut(F.col("n") - F.col("m.n"), F.col("chars") - F.col("m.chars")).alias("others"))
+    is_main = F.col("root") == F.col("main")
+    held = placed.join(cuts, "key").withColumn("own", F.when(is_main, F.pmod(F.xxhash64("node"), "mains")).otherwise(
+        F.col("mains") + F.pmod(F.xxhash64("node"), "others")).cast("int"))
+    meets = F.sequence(F.when(is_main, F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1)
+    dealt = held.withColumn("other", F.explode(meets)).select(
         "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root")
-    shown = dealt.join(nodes.select("node", "sketch"), "node")
+    shown = dealt.join(nodes.select("node", "sketch", "bands"), "node").join(texts, "node")
     parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     least = similar - MARGIN
 
-    def compare(rows: list[tuple], one: bool) -> tuple[np.ndarray, np.ndarray]:
-        """``one``: a block meets itself; otherwise only pairs across the two blocks are new."""
-        own, node, root, sketch = zip(*rows)
-        own, node, root = np.array(own), np.array(node), np.array(root)
+    def forest(key: int, one: bool, rows: list[tuple]) -> list[tuple[int, int]]:
+        """``one``: a block meets itself; otherwise only pairs across the two blocks count."""
+        own, node, root, sketch, bands, text = zip(*rows)
+        own, root, bands = np.array(own), np.array(root), np.array(bands)
         bits = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(rows), SLOTS)
-        found_a, found_b = [], []
+        found = []
         for i in range(len(rows) - 1):
-            near = np.flatnonzero((bits[i + 1:] == bits[i]).mean(1) >= least) + i + 1
-            near = near[(root[near] != root[i]) & (one | (own[near] != own[i]))]
-            found_a.append(np.minimum(node[near], node[i]))
-            found_b.append(np.maximum(node[near], node[i]))
-        none = [np.zeros(0, np.int64)]
-        return np.concatenate(found_a + none), np.concatenate(found_b + none)
+            open_ = np.flatnonzero((root[i + 1:] != root[i]) & (one | (own[i + 1:] != own[i]))) + i + 1
+            alike = (bits[open_] == bits[i]).mean(1)
+            near, alike = open_[alike >= least], alike[alike >= least]
+            shared = bands[near] == bands[i]
+            here = bands[i][shared.argmax(1)] == key
+            found += zip((-alike[here]).tolist(), [i] * int(here.sum()), near[here].tolist())
+        if not found:
+            return []
+        wanted = sorted({k for _, *pair in found for k in pair})
+        shingle, weight, row = weighted(pa.array([text[k] for k in wanted]))
+        cuts = np.searchsorted(row, np.arange(len(wanted) + 1))
+        sets = {k: (shingle[p:q], weight[p:q]) for k, p, q in zip(wanted, cuts[:-1], cuts[1:])}
+        up = {r: r for r in root.tolist()}
+
+        def top(r: int) -> int:
+            while up[r] != r:
+                up[r] = r = up[up[r]]
+            return r
+
+        links = []
+        for _, i, j in sorted(found):
+            p, q = top(int(root[i])), top(int(root[j]))
+            if p != q and probability_jaccard(*sets[i], *sets[j]) >= similar:
+                up[max(p, q)] = min(p, q)
+                links.append((min(node[i], node[j]), max(node[i], node[j])))
+        return links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(group: tuple, rows: list) -> Iterator[pa.RecordBatch]:
+            links = forest(group[0], group[1] == group[2], rows) if len(rows) > 1 else []
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
+
         group, rows = None, []
         for batch in batches:
             for key, low, high, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if (key, low, high) != group:
-                    if len(rows) > 1:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in compare(rows, group[1] == group[2])], ["a", "b"])
+                    yield from told(group, rows)
                     group, rows = (key, low, high), []
                 rows.append(row)
-        if len(rows) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in compare(rows, group[1] == group[2])], ["a", "b"])
+        yield from told(group, rows)
 
     order = ["key", "low", "high"]
-    pairs = shown.select(*order, "own", "node", "root", "sketch").repartition(parts, *order).sortWithinPartitions(
+    return shown.select(*order, "own", "node", "root", "sketch", "bands", "text").repartition(parts, *order).sortWithinPartitions(
         *order).mapInArrow(run, "a long, b long")
-    return pairs.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

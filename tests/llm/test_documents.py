@@ -211,19 +211,43 @@ def test_near_chains_and_large_groups(spark):
     assert Counter((r.doc_id, r.class_id) for r in near.near_classes(frame).collect()) == classes(docs)
 
 
-def test_open_pairs_lose_no_link_by_chance(spark):
-    """Every pair of a bucket of several blocks within six standard errors (0.106) of 0.8 by its slots is proposed."""
-    rng = np.random.default_rng(3)
-    base, n = rng.integers(0, 256, near.SLOTS), 3 * near.BLOCK
-    sketch = np.array([np.where(rng.random(near.SLOTS) < rng.uniform(0, 0.3), rng.integers(0, 256, near.SLOTS), base)
-                       for _ in range(n)], np.uint8)
-    nodes = spark.createDataFrame([(i, sketch[i].tobytes()) for i in range(n)], "node long, sketch binary")
-    placed = spark.createDataFrame([(7, i, i, n) for i in range(n)], "key long, node long, root long, size long")
-    known = spark.createDataFrame([], "a long, b long")
-    found = {tuple(r) for r in near._open_pairs(placed, nodes, known, 0.8).select("a", "b").collect()}
-    share = (sketch[:, None] == sketch[None]).mean(2)
-    pairs = lambda least: {(i, j) for i in range(n) for j in range(i + 1, n) if share[i, j] >= least}
-    assert pairs(0.6945) <= found <= pairs(0.6935) and pairs(0.75) < found
+@pytest.mark.parametrize("block", [4, 17, 1024])
+def test_open_links_lose_no_link(spark, monkeypatch, block):
+    """Blocks of a bucket, each member alone or in a component: what they join is what all verified pairs join."""
+    monkeypatch.setattr(near, "BLOCK", block)
+    rng = random.Random(block)
+    base = [f"w{rng.randrange(10 ** 6)}" for _ in range(120)]
+    texts = []
+    for i in range(90):
+        own = list(base) if i % 9 else [f"x{rng.randrange(10 ** 6)}" for _ in range(120)]
+        for _ in range(rng.randrange(5)):
+            own[rng.randrange(120)] = f"o{i}_{rng.random()}"
+        texts.append(" ".join(own))
+    signature, _ = near.signatures(pa.array(texts))
+    sketch = (near.mix(signature) & np.uint64(255)).astype(np.uint8)
+    bands = near.band_hashes(signature)
+    nodes = spark.createDataFrame([(i, sketch[i].tobytes(), bands[i].tolist()) for i in range(90)], "node long, sketch binary, bands array<long>")
+    frame = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    keys = Counter(k for row in bands.tolist() for k in row)
+    root = {i: 1 if i % 9 and i % 4 == 1 else i for i in range(90)}
+    placed = spark.createDataFrame([(k, i, keys[k], root[i]) for i in range(90) for k in bands[i].tolist() if keys[k] > 1],
+                                   "key long, node long, size long, root long")
+    links = [tuple(r) for r in near._open_links(placed, nodes, frame, 0.8).collect()]
+    up = {i: r for i, r in root.items()}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    whole = [weights(t) for t in texts]
+    assert all(a < b and root[a] != root[b] and exact(whole[a], whole[b]) >= 0.8 for a, b in links)
+    for a, b in links:
+        up[max(top(a), top(b))] = min(top(a), top(b))
+    for a in range(90):
+        for b in range(a):
+            if top(a) != top(b) and (bands[a] == bands[b]).any():
+                assert exact(whole[a], whole[b]) < 0.8
 
 
 def test_keep_one(odd_docs):
