@@ -9,30 +9,21 @@ from lapak.functions.urls import DEFAULT_MEDIA_ORIGIN, is_safe_cached_media_url,
 from lapak.functions.values import effective_at, effective_seller, normalize_public_price
 
 
-def public_image_url(platform: Column, source_url="source_url", cached_url="cached_url",
-                     origin: str = DEFAULT_MEDIA_ORIGIN) -> Column:
+def public_image_url(platform: Column, source_url: Column, cached_url: Column, origin: str = DEFAULT_MEDIA_ORIGIN) -> Column:
     """The cached copy when it is safe for the platform, else the source."""
-    cached = F.col(cached_url)
-    return F.when(cached.isNotNull() & is_safe_cached_media_url(cached, platform, origin), cached) \
-        .otherwise(F.col(source_url))
-
-
-def public_images(listings: DataFrame, images: DataFrame, origin: str = DEFAULT_MEDIA_ORIGIN) -> DataFrame:
-    """One row per safe image: listing_id, position, public_url, alt_text."""
-    owners = listings.select(F.col("id").alias("listing_id"), "platform")
-    urls = images.join(owners, "listing_id").select(
-        "listing_id", "position", public_image_url(F.col("platform"), origin=origin).alias("public_url"), "alt_text")
-    return urls.filter(is_safe_https_url(F.col("public_url")))
+    safe = cached_url.isNotNull() & is_safe_cached_media_url(cached_url, platform, origin)
+    return F.when(safe, cached_url).otherwise(source_url)
 
 
 def to_listing_dto(listings: DataFrame, images: DataFrame, moderation: DataFrame, on_unsafe: str = "error",
                    origin: str = DEFAULT_MEDIA_ORIGIN) -> DataFrame:
     """One row per listing. ``on_unsafe='quarantine'`` marks unsafe source URLs instead of failing.
 
-    Images are collected per listing, where the unique (listing, position) pair bounds the array.
+    Images are collected per listing, where the unique (listing, position) pair bounds the array, and meet the listing
+    once; which of them are public is decided inside the array.
     """
-    gallery = public_images(listings, images, origin).groupBy(F.col("listing_id").alias("id")).agg(
-        F.sort_array(F.collect_list(F.struct("position", "public_url", "alt_text"))).alias("_images"))
+    gallery = images.groupBy(F.col("listing_id").alias("id")).agg(
+        F.sort_array(F.collect_list(F.struct("position", "source_url", "cached_url", "alt_text"))).alias("_gallery"))
     marks = moderation.select(F.col("listing_id").alias("id"), "seller_name_override")
     rows = listings.join(marks, "id", "left").join(gallery, "id", "left")
     safe = is_safe_https_url(F.col("source_url"))
@@ -44,8 +35,10 @@ def to_listing_dto(listings: DataFrame, images: DataFrame, moderation: DataFrame
         source = F.col("source_url")
         extra = [(~safe).alias("unsafe")]
     places = F.filter(F.transform("location_texts", sanitize_public_location), lambda v: v.isNotNull())
-    shown = F.transform("_images", lambda i: F.struct(
-        i["public_url"].alias("source_url"), i["position"].alias("position"), i["alt_text"].alias("alt_text")))
+    public = F.transform("_gallery", lambda i: F.struct(
+        public_image_url(F.col("platform"), i["source_url"], i["cached_url"], origin).alias("source_url"),
+        i["position"].alias("position"), i["alt_text"].alias("alt_text")))
+    shown = F.filter(public, lambda i: is_safe_https_url(i["source_url"]))
     return rows.select(
         "id", "platform", source.alias("source_url"), "title", "description", "category", "brand",
         normalize_public_price(F.col("price")).alias("price"), F.lit("IDR").alias("currency"),

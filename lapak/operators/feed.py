@@ -58,10 +58,20 @@ def apply_feed_filters(visible: DataFrame, platforms=None, statuses=None, catego
 
 def scope_filter(rows: DataFrame, scope_type: str, slug: str) -> DataFrame:
     """A platform page pins the platform, a collection page its categories; 'all' keeps everything."""
+    return rows.filter(_in_scope(scope_type, slug))
+
+
+def _in_scope(scope_type: str, slug: str) -> Column:
     if scope_type == "platform":
-        return rows.filter(F.col("platform") == slug)
+        return F.col("platform") == slug
     categories = dict(COLLECTIONS).get(slug, ())
-    return rows.filter(F.col("category").isin(*categories)) if categories else rows
+    return F.col("category").isin(*categories) if categories else F.lit(True)
+
+
+def in_scopes(rows: DataFrame, scopes: dict[str, tuple[str, str]]) -> DataFrame:
+    """P11 for many pages in one pass: rows once per scope they belong to, with its label in ``scope``."""
+    labels = F.array_compact(F.array(*[F.when(_in_scope(kind, slug), F.lit(label)) for label, (kind, slug) in scopes.items()]))
+    return rows.withColumn("scope", F.explode(labels))
 
 
 # Input checks ------------------------------------------------------------------------------------------------------

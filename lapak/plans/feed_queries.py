@@ -207,11 +207,8 @@ def _(t):
         'Motherboard', 'Power Supply')
     UNION ALL SELECT id, 'all' FROM v_visible""")
 def _(t):
-    scoped = [("platform", "instagram", "platform"), ("collection", "gpu", "gpu"),
-              ("collection", "pc-build", "pc-build"), ("collection", "all", "all")]
-    parts = [feed.scope_filter(t.visible, kind, slug).select("id", F.lit(label).alias("scope"))
-             for kind, slug, label in scoped]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    scopes = {"platform": ("platform", "instagram"), **{c: ("collection", c) for c in ("gpu", "pc-build", "all")}}
+    return feed.in_scopes(t.visible, scopes).select("id", "scope")
 
 
 @query("p18_plausible_facets", f"""
