@@ -122,11 +122,13 @@ def _judged(docs: DataFrame, whole: bool, short: bool = False) -> DataFrame:
     return rows.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
-def judge(docs: DataFrame, short: bool = False) -> DataFrame:
+def judge(docs: DataFrame, short: bool = True) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     char_distance, word_distance (six decimals; null where not compared).
 
-    A null text has no words and fails the base rules. A document of a language without reference is judged by the base
+    Every text that passes the base rules is compared on its characters; on words only from 100 words and 500 characters
+    on, as shorter prose strays too far. ``short=False`` asks for that length on both. A null text has no words and fails
+    the base rules. A document of a language without reference is judged by the base
     rules alone. Repeated rows are judged each by itself; an empty table gives no rows.
     """
     return _judged(docs, False, short).select(
@@ -134,7 +136,7 @@ def judge(docs: DataFrame, short: bool = False) -> DataFrame:
         "char_distance", "word_distance")
 
 
-def keep_good(docs: DataFrame, short: bool = False) -> DataFrame:
+def keep_good(docs: DataFrame, short: bool = True) -> DataFrame:
     """The documents that ``judge`` keeps, with all their columns."""
     return _judged(docs, True, short).filter("kept").select("_doc.*")
 
@@ -194,7 +196,7 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
     AS kept, char_distance, word_distance FROM far"""
 
 
-@query("op5_quality_rules", _sql())
+@query("op5_quality_rules", _sql(short=True))
 def _(spark, sf_dir):
     return judge(table(spark, sf_dir, "documents"))
 
