@@ -2,14 +2,20 @@
 
 BENCH_SF_DIR names the data, BENCH_CPUS the local threads. Each query runs once to warm up and then RUNS times; the
 median counts. Results are written to the no-op sink, so every row and column is produced and nothing is collected.
+
+The driver tables are single files of one row group, which a scan cannot share out. They are first dealt into files of a
+temporary folder, a few per thread, as large tables lie in many row groups; that is not timed.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import shutil
 import statistics
+import tempfile
 import time
+from pathlib import Path
 
 from lapak.plans import load
 from lapak.plans.registry import QUERIES
@@ -25,6 +31,14 @@ HEADLINE = (
 RUNS = 2
 
 
+def dealt(spark, data: str, files: int) -> str:
+    """A copy of all tables, each in ``files`` files."""
+    base = tempfile.mkdtemp(prefix="spark-bench-")
+    for path in sorted(Path(data).glob("*.parquet")):
+        spark.read.parquet(str(path)).repartition(files).write.parquet(f"{base}/{path.name}")
+    return base
+
+
 def main() -> None:
     data = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -32,15 +46,17 @@ def main() -> None:
                           spark__ui__enabled="false", spark__driver__memory="12g")
     spark.sparkContext.setLogLevel("ERROR")
     load()
+    tables = dealt(spark, data, 2 * (int(cpus) if cpus.isdigit() else 8))
     seconds = {}
     for name in HEADLINE:
         taken = []
         for _ in range(RUNS + 1):
             start = time.perf_counter()
-            QUERIES[name](spark, data).write.format("noop").mode("overwrite").save()
+            QUERIES[name](spark, tables).write.format("noop").mode("overwrite").save()
             taken.append(time.perf_counter() - start)
         seconds[name] = round(statistics.median(taken[1:]), 3)
     spark.stop()
+    shutil.rmtree(tables, ignore_errors=True)
     print(json.dumps({"metric": "total seconds of headline queries (median, warm)", "value": round(sum(seconds.values()), 3),
                       "unit": "sec", "queries": seconds, "sf": data.rstrip("/").rsplit("sf", 1)[-1]}))
 
