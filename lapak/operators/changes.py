@@ -15,9 +15,11 @@ def classify_changes(observations: DataFrame, state: DataFrame, segment_size: in
     """Every observation with ``change`` new / changed / unchanged against the one before it.
 
     ``observations``: seq (unique arrival number), candidate_key, fingerprint and more; ``state`` gives the
-    fingerprint before the batch. Arrival order counts, not event time.
+    fingerprint before the batch. Arrival order counts, not event time. Where there is an observed_at, ``next_at`` is
+    that of the key's next observation.
     """
-    seeded = lag_by_key(observations, "candidate_key", "seq", "fingerprint", "_prev", segment_size)
+    ahead = ("observed_at", "next_at") if "observed_at" in observations.columns else None
+    seeded = lag_by_key(observations, "candidate_key", "seq", "fingerprint", "_prev", segment_size, ahead)
     before = state.select("candidate_key", F.col("fingerprint").alias("_stored"))
     rows = seeded.join(before, "candidate_key", "left")
     previous = F.when(F.col("_prev_exists"), F.col("_prev")).otherwise(F.col("_stored"))
@@ -80,68 +82,50 @@ def next_queue(changes: DataFrame, queue: DataFrame) -> DataFrame:
     """Queue snapshot after the batch (T1 versions, T2 payload refresh).
 
     Per key the version of the last change is the one that may be pending; every other version that was pending, or
-    entered in this batch, is closed. ``changes`` must carry platform, source_id, payload_json and observed_at.
+    entered in this batch, is closed. ``changes`` come from ``classify_changes`` and carry platform, source_id,
+    payload_json and observed_at. They are read once, into one mergeable row per version, which is rolled up per key:
+    what follows the last sight of a version is the change that closes it.
     """
-    enqueued = enqueued_versions(changes, queue)
     moved = F.col("change") != "unchanged"
-    # Per key: first and last move, and the move behind each version's last entry.
-    keys = enqueued.filter(moved).groupBy("candidate_key").agg(
-        F.max_by("fingerprint", "seq").alias("_current"), F.count(F.lit(1)).alias("_moves"),
-        F.min_by("observed_at", "seq").alias("_first_at"))
-    entries = enqueued.filter(moved).groupBy("candidate_key", "fingerprint").agg(
-        F.max_by("observed_at", F.when(F.col("enqueued") == 1, F.col("seq"))).alias("_entered"),
-        F.max("seq").alias("_moved_seq"))
-    sights = enqueued.groupBy("candidate_key", "fingerprint").agg(
+    at_move = F.when(moved, F.col("seq"))
+    sights = changes.groupBy("candidate_key", "fingerprint").agg(
         F.max_by(F.struct("platform", "source_id", "payload_json"), F.col("seq")).alias("_sight"),
-        F.max(F.when(~moved, F.col("seq"))).alias("_quiet_seq"))
-    # A version is closed by the first change behind the last change to itself.
-    followers = enqueued.filter(moved).select(
-        "candidate_key", F.col("seq").alias("_at_seq"), F.col("observed_at").alias("_at"))
-    closing = _next_move(entries, followers)
-
-    versions = queue.withColumn("_stored", F.col("status")).join(
-        entries.join(closing, ["candidate_key", "fingerprint"], "left"), ["candidate_key", "fingerprint"], "full_outer")
-    rows = versions.join(keys, "candidate_key", "left").join(sights, ["candidate_key", "fingerprint"], "left")
-
-    touched = F.col("_moves").isNotNull()
-    entered = F.col("_entered").isNotNull()
-    is_current = F.col("_current") == F.col("fingerprint")
-    leased = F.col("_stored") == "leased"
-    opens = touched & entered & is_current
-    closes = touched & ~F.coalesce(leased, F.lit(False)) & ~is_current & (entered | (F.col("_stored") == "pending"))
+        F.max(at_move).alias("_last"), F.max_by("observed_at", at_move).alias("_last_at"),
+        F.min(at_move).alias("_first"), F.min_by("observed_at", at_move).alias("_first_at"),
+        F.max_by("next_at", "seq").alias("_next_at"), F.count_if(~moved).alias("_quiet"))
+    keys = sights.groupBy("candidate_key").agg(
+        F.max_by("fingerprint", "_last").alias("_current"), F.min("_first").alias("_key_first"),
+        F.min_by("_first_at", "_first").alias("_key_at"))
+    rows = queue.withColumn("_stored", F.col("status")).join(sights, ["candidate_key", "fingerprint"], "full_outer").join(
+        keys, "candidate_key", "left").filter(F.col("_stored").isNotNull() | F.col("_last").isNotNull())
+
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    leased, pending = (sure(F.col("_stored") == s) for s in ("leased", "pending"))
+    # The first change of a batch finds a pending version of its own still pending, any later one finds it closed.
+    entered = F.col("_last").isNotNull() & ~leased & ~(pending & (F.col("_last") == F.col("_key_first")))
+    is_current = sure(F.col("_current") == F.col("fingerprint"))
+    opens = entered & is_current
+    closes = F.col("_current").isNotNull() & ~leased & ~is_current & (entered | pending)
+    closed_at = F.when(F.col("_last").isNotNull(), F.col("_next_at")).otherwise(F.col("_key_at"))
     # An unchanged sight refreshes a version while it is pending, also when a later change closes it.
-    refreshed = F.coalesce(entered | ((F.col("_stored") == "pending") & F.col("_quiet_seq").isNotNull()), F.lit(False))
+    refreshed = entered | (pending & sure(F.col("_quiet") > 0))
     pick = lambda name: F.when(refreshed, F.col(f"_sight.{name}")).otherwise(F.col(name))
-    opens, closes = F.coalesce(opens, F.lit(False)), F.coalesce(closes, F.lit(False))
+    nothing = F.lit(None)
+    since = lambda name: F.when(entered, F.col("_last_at")).otherwise(F.col(name))
     chosen = {
         "id": F.coalesce("id", record_id(F.concat_ws(":", "candidate_key", "fingerprint"))),
         "candidate_key": F.col("candidate_key"), "fingerprint": F.col("fingerprint"),
         "platform": pick("platform"), "source_id": pick("source_id"), "payload_json": pick("payload_json"),
         "status": F.when(opens, F.lit("pending")).when(closes, F.lit("done")).otherwise(F.col("status")),
         "attempts": F.when(entered, F.lit(0)).otherwise(F.col("attempts")),
-        "enqueued_at": F.coalesce("_entered", "enqueued_at"),
-        "available_at": F.coalesce("_entered", "available_at"),
-        "leased_at": F.when(opens | closes, F.lit(None)).otherwise(F.col("leased_at")),
-        "done_at": F.when(opens, F.lit(None)).when(closes, F.coalesce("_closed_at", "_first_at"))
-        .otherwise(F.col("done_at")),
-        "error": F.when(opens, F.lit(None)).when(closes, F.lit(SUPERSEDED)).otherwise(F.col("error")),
+        "enqueued_at": since("enqueued_at"), "available_at": since("available_at"),
+        "leased_at": F.when(opens | closes, nothing).otherwise(F.col("leased_at")),
+        "done_at": F.when(opens, nothing).when(closes, closed_at).otherwise(F.col("done_at")),
+        "error": F.when(opens, nothing).when(closes, F.lit(SUPERSEDED)).otherwise(F.col("error")),
     }
     return rows.select(*[chosen[c].alias(c) for c in QUEUE.fieldNames()])
 
 
-def _next_move(entries: DataFrame, moves: DataFrame) -> DataFrame:
-    """Time of the first move of the key behind each version's own last move.
-
-    Moves are paired with their successor by a segmented lag read backwards, so no version is compared with all moves
-    of its key.
-    """
-    backwards = moves.withColumn("_rev", -F.col("_at_seq"))
-    paired = lag_by_key(backwards, "candidate_key", "_rev", "_at", "_closed_at")
-    return entries.join(
-        paired.select("candidate_key", F.col("_at_seq").alias("_moved_seq"), "_closed_at"),
-        ["candidate_key", "_moved_seq"]).select("candidate_key", "fingerprint", "_closed_at")
-
-
 def detect_changes(observations: DataFrame, state: DataFrame, queue: DataFrame | None = None):
     """(changes, next state), and the next queue when a queue snapshot is given."""
     changes = classify_changes(observations, state)

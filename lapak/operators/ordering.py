@@ -53,26 +53,33 @@ def segmented(rows: DataFrame, seq: str, size: int = SEGMENT, out: str = "_seg")
     return cutter.transform(rows.withColumn("_number", F.col(seq).cast("double"))).drop("_number")
 
 
-def lag_by_key(rows: DataFrame, key: str, seq: str, value: str, out: str, segment_size: int = SEGMENT) -> DataFrame:
+def lag_by_key(rows: DataFrame, key: str, seq: str, value: str, out: str, segment_size: int = SEGMENT,
+               ahead: tuple[str, str] | None = None) -> DataFrame:
     """Previous value of a key in arrival order, safe for a key that owns a large share of all rows.
 
     Inside a segment a window gives the previous value. Only the first row of a segment needs the last value of an
-    earlier one, which comes from a summary with one row per key and segment.
+    earlier one, which comes from a summary with one row per key and segment. ``ahead`` names a column and the result
+    for its next value, which the same pass gives.
     """
     keyed = segmented(rows, seq, segment_size)
-    ordered = Window.partitionBy(key, "_seg").orderBy(seq)
+    ordered, above = Window.partitionBy(key, "_seg").orderBy(seq), Window.partitionBy(key).orderBy("_seg")
     # Wrapping the value keeps "previous value is null" apart from "no previous row".
-    near = F.lag(F.struct(F.col(value).alias("v"))).over(ordered)
-    within = keyed.withColumn("_near", near)
-    last = keyed.groupBy(key, "_seg").agg(F.max_by(F.struct(F.col(value).alias("v")), F.col(seq)).alias("_last"))
-    far = last.select(key, "_seg", F.lag("_last").over(Window.partitionBy(key).orderBy("_seg")).alias("_far"))
+    wrap = lambda c: F.struct(F.col(c).alias("v"))
+    sides = {"_near": F.lag(wrap(value)).over(ordered)}
+    ends = [F.max_by(wrap(value), F.col(seq)).alias("_last")]
+    far = [F.lag("_last").over(above).alias("_far")]
+    if ahead:
+        sides["_near_next"] = F.lead(wrap(ahead[0])).over(ordered)
+        ends.append(F.min_by(wrap(ahead[0]), F.col(seq)).alias("_first"))
+        far.append(F.lead("_first").over(above).alias("_far_next"))
+    within = keyed.withColumns(sides)
+    between = keyed.groupBy(key, "_seg").agg(*ends).select(key, "_seg", *far)
+    joined = within.join(between, [key, "_seg"], "left")
     previous = F.coalesce("_near", "_far")
-    return (
-        within.join(far, [key, "_seg"], "left")
-        .withColumn(out, previous["v"])
-        .withColumn(out + "_exists", previous.isNotNull())
-        .drop("_seg", "_near", "_far")
-    )
+    found = joined.withColumn(out, previous["v"]).withColumn(out + "_exists", previous.isNotNull())
+    if ahead:
+        found = found.withColumn(ahead[1], F.coalesce("_near_next", "_far_next")["v"])
+    return found.drop("_seg", "_near", "_far", "_near_next", "_far_next")
 
 
 def running_since_reset(rows: DataFrame, key: str, seq: str, reset: Column, counted: Column, out: str,
