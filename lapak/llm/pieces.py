@@ -28,13 +28,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from lapak.llm.batches import slices, worker_cache, written
 from lapak.llm.registry import query, table
-from lapak.llm.words import tokenizer_path
+from lapak.llm.words import GOLDEN, mix, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 CHUNK = 1 << 15
 SPACE = "▁"
 NEVER = -(1 << 60)
 TABLE_WORDS = 400_000
+TOGETHER, TOGETHER_WORDS = 64, 8192
+FILTER_BITS = 22
+FILTER = np.uint64((1 << FILTER_BITS) - 1)
 
 
 class Vocabulary:
@@ -60,8 +63,22 @@ class Vocabulary:
         raw = [bytes([b]) for b in range(256)]
         named = {i: p.encode() for p, i in self.pieces.items()} | {i: raw[b] for b, i in self.byte.items()}
         self.bytes_of = pa.array([named.get(i, b"") for i in ids], pa.large_binary())
+        order = sorted((self.hash_of(p), i) for p, i in self.pieces.items())
+        self.hashes = np.array([h for h, _ in order], np.uint64)
+        self.hashed = np.array([i for _, i in order], np.int64)
+        self.hashed_scores = np.array([self.scores[i] for _, i in order], np.int64)
+        self.seen = np.zeros(1 << FILTER_BITS, bool)
+        self.seen[self.hashes & FILTER] = True
         self.clear()
 
+    @staticmethod
+    def hash_of(piece: str) -> int:
+        """Polynomial hash of a text, the number of a character being mixed first. No two pieces share one."""
+        found = 0
+        for code in mix(np.array([ord(c) for c in piece], np.uint64) + GOLDEN).tolist():
+            found = (found * int(GOLDEN) + code) % (1 << 64)
+        return found
+
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.begin, self.length, self.score = (np.zeros(0, np.int64) for _ in range(3))
@@ -109,14 +126,77 @@ class Vocabulary:
                 ids += [self.byte[x] for x in text[a:b].encode()] if self.byte else [self.unknown]
         return ids, cuts[-1]
 
+    def cut_together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Best cuts of many words at once, as ``search`` and ``read`` give them: ids of all words one after another,
+        their number and the score of each word, and whether it holds a character without a piece.
+
+        Position by position, all words take the best piece that ends there; pieces are known by rolling hashes.
+        """
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        most, n = int(length.max()), len(words)
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        at = np.arange(len(codes)) - np.repeat(np.cumsum(length) - length, length)
+        chars = np.zeros((most, n), np.uint64)
+        chars[at, np.repeat(np.arange(n), length)] = mix(codes.astype(np.uint64) + GOLDEN)
+        begun, power = np.zeros((most + 1, n), np.uint64), [np.uint64(1)]
+        best, back, piece = (np.zeros((most + 1, n), np.int64) for _ in range(3))
+        with np.errstate(over="ignore"):
+            for k in range(most):
+                begun[k + 1] = begun[k] * GOLDEN + chars[k]
+                power.append(power[-1] * GOLDEN)
+            for end in range(1, most + 1):
+                value, start, chosen = np.full(n, NEVER), np.full(n, end - 1), np.full(n, -1)
+                for size in range(min(end, self.longest), 0, -1):
+                    hashed = begun[end] - begun[end - size] * power[size]
+                    rows = np.flatnonzero(self.seen[hashed & FILTER])
+                    place = np.minimum(np.searchsorted(self.hashes, hashed[rows]), len(self.hashes) - 1)
+                    hit = self.hashes[place] == hashed[rows]
+                    rows, place = rows[hit], place[hit]
+                    if size == 1:
+                        alone = np.ones(n, bool)
+                        alone[rows] = False
+                        alone &= best[end - 1] + self.unknown_score > value
+                        value[alone], start[alone], chosen[alone] = best[end - 1][alone] + self.unknown_score, end - 1, -1
+                    reached = best[end - size][rows] + self.hashed_scores[place]
+                    better = reached > value[rows]
+                    rows = rows[better]
+                    value[rows], start[rows], chosen[rows] = reached[better], end - size, self.hashed[place[better]]
+                best[end], back[end], piece[end] = value, start, chosen
+        word, place, path, owner = np.arange(n), length.copy(), [], []
+        while len(word):
+            path.append(piece[place, word])
+            owner.append(word)
+            place = back[place, word]
+            word, place = word[place > 0], place[place > 0]
+        step = np.repeat(np.arange(len(path)), list(map(len, path)))
+        path, owner = np.concatenate(path), np.concatenate(owner)
+        order = np.lexsort((-step, owner))
+        unknown = np.bincount(owner, path < 0, n) > 0
+        return path[order], np.bincount(owner, minlength=n), best[length, np.arange(n)], unknown
+
     def learn(self, words: list[str]) -> None:
-        """Best cuts of words that are not known yet."""
+        """Best cuts of words that are not known yet: short ones together, those of like length at once."""
         new = [w for w in dict.fromkeys(words) if w not in self.place]
-        found, scores = [], []
-        for w in new:
-            best, back = self.search(w, [0], len(w))
-            found.append(self.read(w, back, len(w))[0])
-            scores.append(best[-1])
+        found, scores, alone = [None] * len(new), [0] * len(new), []
+        by_size: dict[int, list[int]] = {}
+        for k, w in enumerate(new):
+            if 0 < len(w) <= TOGETHER:
+                by_size.setdefault((len(w) + 3) // 4, []).append(k)
+            else:
+                alone.append(k)
+        for same in by_size.values():
+            for first in range(0, len(same), TOGETHER_WORDS):
+                part = same[first:first + TOGETHER_WORDS]
+                ids, count, score, unknown = self.cut_together([new[k] for k in part])
+                ends = np.cumsum(count).tolist()
+                ids = ids.tolist()
+                for k, a, b, value, strange in zip(part, [0, *ends], ends, score.tolist(), unknown.tolist()):
+                    found[k], scores[k] = ids[a:b], value
+                    if strange:
+                        alone.append(k)
+        for k in alone:
+            best, back = self.search(new[k], [0], len(new[k]))
+            found[k], scores[k] = self.read(new[k], back, len(new[k]))[0], best[-1]
         size = np.fromiter(map(len, found), np.int64, len(found))
         self.place.update(zip(new, range(len(self.begin), len(self.begin) + len(new))))
         self.begin = np.concatenate((self.begin, len(self.pool) + np.cumsum(size) - size))

@@ -197,3 +197,18 @@ def test_sentencepiece_jobs(spark, odd_docs, no_docs, data, texts, vocabulary):
     odd = pieces.decode(pieces.encode(odd_docs, chunk=100)).collect()
     assert sorted(str((r.doc_id, r.text)) for r in odd) == sorted(str((r.doc_id, r.text or "")) for r in odd_docs.collect())
     assert pieces.encode(no_docs).collect() == []
+
+
+def test_words_cut_together_equal_words_cut_alone(texts):
+    """Ids and scores of many words at once, with characters without a piece, spaces inside, and long words."""
+    v = pieces.vocabulary(pieces.MODEL)
+    rng = random.Random(6)
+    words = sorted({pieces.SPACE + w for _, t in texts[:60] for w in t.split()})[:2000]
+    words += ["▁" + "".join(rng.choice("abeéü漢🙂▁ \x00x<") for _ in range(rng.randrange(30))) for _ in range(1000)]
+    words += ["", "▁", "🙂", "a" * 64, "ab" * 33, "the" * 400]
+    v.clear()
+    v.learn(words)
+    for w in words:
+        best, back = v.search(w, [0], len(w))
+        at = v.place[w]
+        assert v.pool[v.begin[at]:v.begin[at] + v.length[at]].tolist() == v.read(w, back, len(w))[0] and v.score[at] == best[-1]
