@@ -250,25 +250,27 @@ def _open_links(placed: DataFrame, nodes: DataFrame, texts: DataFrame, similar:
     parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     least = similar - MARGIN
 
-    def forest(key: int, one: bool, rows: list[tuple]) -> list[tuple[int, int]]:
+    def forest(key: int, one: bool, rows: pa.Table) -> list[tuple[int, int]]:
         """``one``: a block meets itself; otherwise only pairs across the two blocks count."""
-        own, node, root, sketch, bands, text = zip(*rows)
-        own, root, bands = np.array(own), np.array(root), np.array(bands)
-        bits = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(rows), SLOTS)
-        found = []
-        for i in range(len(rows) - 1):
+        own, node, root = (rows.column(c).to_numpy() for c in ("own", "node", "root"))
+        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        bits = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(own), SLOTS)
+        share, left, right = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(len(own) - 1):
             open_ = np.flatnonzero((root[i + 1:] != root[i]) & (one | (own[i + 1:] != own[i]))) + i + 1
             alike = (bits[open_] == bits[i]).mean(1)
             near, alike = open_[alike >= least], alike[alike >= least]
-            shared = bands[near] == bands[i]
-            here = bands[i][shared.argmax(1)] == key
-            found += zip((-alike[here]).tolist(), [i] * int(here.sum()), near[here].tolist())
-        if not found:
-            return []
-        wanted = sorted({k for _, *pair in found for k in pair})
-        shingle, weight, row = weighted(pa.array([text[k] for k in wanted]))
+            here = bands[i][(bands[near] == bands[i]).argmax(1)] == key
+            share.append(alike[here])
+            right.append(near[here])
+            left.append(np.full(len(right[-1]), i))
+        share, left, right = map(np.concatenate, (share, left, right))
+        order = np.lexsort((right, left, -share))
+        left, right = left[order], right[order]
+        wanted = np.unique(np.concatenate((left, right)))
+        shingle, weight, row = weighted(rows.column("text").combine_chunks().take(pa.array(wanted)))
         cuts = np.searchsorted(row, np.arange(len(wanted) + 1))
-        sets = {k: (shingle[p:q], weight[p:q]) for k, p, q in zip(wanted, cuts[:-1], cuts[1:])}
+        at = dict(zip(wanted.tolist(), zip(cuts[:-1].tolist(), cuts[1:].tolist())))
         up = {r: r for r in root.tolist()}
 
         def top(r: int) -> int:
@@ -277,27 +279,35 @@ def _open_links(placed: DataFrame, nodes: DataFrame, texts: DataFrame, similar:
             return r
 
         links = []
-        for _, i, j in sorted(found):
+        for i, j in zip(left, right):
             p, q = top(int(root[i])), top(int(root[j]))
-            if p != q and probability_jaccard(*sets[i], *sets[j]) >= similar:
-                up[max(p, q)] = min(p, q)
-                links.append((min(node[i], node[j]), max(node[i], node[j])))
+            if p != q:
+                (a, b), (c, d) = at[int(i)], at[int(j)]
+                if probability_jaccard(shingle[a:b], weight[a:b], shingle[c:d], weight[c:d]) >= similar:
+                    up[max(p, q)] = min(p, q)
+                    links.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
         return links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(group: tuple, rows: list) -> Iterator[pa.RecordBatch]:
+        def told(group: tuple, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
             links = forest(group[0], group[1] == group[2], rows) if len(rows) > 1 else []
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
 
-        group, rows = None, []
+        group, held = None, []
         for batch in batches:
-            for key, low, high, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (key, low, high) != group:
-                    yield from told(group, rows)
-                    group, rows = (key, low, high), []
-                rows.append(row)
-        yield from told(group, rows)
+            names = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "low", "high")], 1)
+            cuts = np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(names)]):
+                if b > a:
+                    if held and tuple(names[a].tolist()) != group:
+                        yield from told(group, held)
+                        held = []
+                    group = tuple(names[a].tolist())
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from told(group, held)
 
     order = ["key", "low", "high"]
     return shown.select(*order, "own", "node", "root", "sketch", "bands", "text").repartition(parts, *order).sortWithinPartitions(
