@@ -97,7 +97,10 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
 
 
 def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
-    """Exact probability Jaccard similarity of two weighted sets of sorted distinct elements."""
+    """Exact probability Jaccard similarity of two weighted sets of sorted distinct elements.
+
+    Rounded to ten digits, so that a pair at the threshold is on one side of it in whichever order the two come.
+    """
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
@@ -111,7 +114,7 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
     upto = np.searchsorted(ratio, ratio * (1 + 1e-12), "right")
     left = (1 - u.sum()) + np.concatenate(([0], np.cumsum(u)))[upto]
     right = (1 - v.sum()) + v.sum() - np.concatenate(([0], np.cumsum(v)))[upto]
-    return float((1 / (left / u + right / v)).sum())
+    return round(float((1 / (left / u + right / v)).sum()), 10)
 
 
 def _signed(docs: DataFrame) -> DataFrame:
