@@ -5,7 +5,7 @@ then of its first two, and so on, by sorting pairs of ranks; suffixes of one ran
 whose common prefix is at least that long. Only suffixes that share an interval go on to the next step, and doubling
 ends at the depth of ``min_lines``: sorting deeper could not change which lines lie in a repeated run. In each interval
 all suffixes but the first in document order start a later copy; overlapping ones together are the maximal runs.
-With ``min_words`` a shorter run counts too if its lines have that many words; its interval is that of a lower depth.
+A shorter run counts too if its lines have ``min_words`` words; its interval is that of a lower depth.
 """
 
 from __future__ import annotations
@@ -65,9 +65,9 @@ def _later(level: DataFrame, lines: int) -> DataFrame:
     return level.filter(place > F.col("first")).select("doc_id", "own", "at", F.lit(lines).alias("lines"))
 
 
-def repeated_starts(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
+def repeated_starts(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = MIN_WORDS) -> DataFrame:
     """doc_id, own, at of every line at which ``lines`` lines start that also start earlier: ``min_lines`` of them, or
-    fewer with at least ``min_words`` words, if given. A place may come with several lengths.
+    fewer with at least ``min_words`` words (None: never fewer). A place may come with several lengths.
 
     Earlier means a smaller doc_id (nulls first), then a smaller hash of the text, then a place further up.
     """
@@ -95,7 +95,7 @@ def repeated_starts(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int
     return starts
 
 
-def without_repeats(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = MIN_WORDS) -> DataFrame:
     """The documents as structs _doc, with _left, their text without later copies of repeated runs, and _n_lines,
     _n_removed, _n_runs and _longest_run. Lines are parted by line feeds; blank ones go and stay with the line above.
 
@@ -134,7 +134,7 @@ def without_repeats(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int
     return rows.select("_doc", "_left", "_n_lines", "_n_removed", "_n_runs", "_longest_run")
 
 
-def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
+def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = MIN_WORDS) -> DataFrame:
     """The documents with shortened texts and their own columns only; n_chars follows the text."""
     new = {"text": F.col("_left"), "n_chars": F.length("_left").cast("long")}
     found = without_repeats(docs, min_lines, min_words)
@@ -153,11 +153,18 @@ WITH raw AS (
 ), win AS (
   SELECT doc_id, k, line AS a, lead(line) OVER w AS b, lead(line, 2) OVER w AS c FROM unit WHERE word
   WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), long AS (
+  SELECT doc_id, k, a, b, c, len(regexp_extract_all(a, '[^ \t\n\x0B\x0C\r]+')) AS n,
+    len(regexp_extract_all(b, '[^ \t\n\x0B\x0C\r]+')) AS m FROM win
 ), later AS (
-  SELECT doc_id, k FROM (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, k) AS n FROM win
-  WHERE c IS NOT NULL) WHERE n > 1
+  SELECT doc_id, k, 1 AS lines FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY doc_id, k) AS r FROM long
+    WHERE n >= 50) WHERE r > 1
+  UNION ALL SELECT doc_id, k, 2 FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, k) AS r FROM long
+    WHERE b IS NOT NULL AND n + m >= 50) WHERE r > 1
+  UNION ALL SELECT doc_id, k, 3 FROM (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, k) AS r FROM long
+    WHERE c IS NOT NULL) WHERE r > 1
 ), gone AS (
-  SELECT DISTINCT doc_id, k + d AS k FROM later, (VALUES (0), (1), (2)) AS t(d)
+  SELECT DISTINCT doc_id, k + d AS k FROM later, (VALUES (0), (1), (2)) AS t(d) WHERE d < lines
 ), runs AS (
   SELECT doc_id, count(*) AS n_removed, sum((prev IS NULL OR prev < k - 1)::INT) AS n_runs
   FROM (SELECT *, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS prev FROM gone) GROUP BY doc_id
@@ -172,34 +179,12 @@ FROM left_over l LEFT JOIN runs r ON r.doc_id = l.doc_id
 """
 
 
-SIZED_SQL = SQL.replace("SELECT doc_id, k FROM (SELECT", "SELECT doc_id, k, 3 AS lines FROM (SELECT").replace("""
-), gone AS (
-  SELECT DISTINCT doc_id, k + d AS k FROM later, (VALUES (0), (1), (2)) AS t(d)
-""", rf"""
-), long AS (
-  SELECT doc_id, k, a, b, len(regexp_extract_all(a, '[^ \t\n\x0B\x0C\r]+')) AS n,
-    len(regexp_extract_all(b, '[^ \t\n\x0B\x0C\r]+')) AS m FROM win
-), every AS (
-  SELECT * FROM later
-  UNION ALL SELECT doc_id, k, 1 FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY doc_id, k) AS r FROM long
-    WHERE n >= {MIN_WORDS}) WHERE r > 1
-  UNION ALL SELECT doc_id, k, 2 FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, k) AS r FROM long
-    WHERE b IS NOT NULL AND n + m >= {MIN_WORDS}) WHERE r > 1
-), gone AS (
-  SELECT DISTINCT doc_id, k + d AS k FROM every, (VALUES (0), (1), (2)) AS t(d) WHERE d < lines
-""")
-
-
 def _figures(found: DataFrame) -> DataFrame:
     return found.select("_doc.doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"),
                         F.col("_n_runs").alias("n_runs"), F.sha2(F.coalesce("_left", F.lit("")), 256).alias("kept_sha256"))
 
 
+@query("op7_line_dedup_sized", SQL)  # the earlier name of the same query
 @query("op7_line_dedup", SQL)
 def _(spark, sf_dir):
     return _figures(without_repeats(table(spark, sf_dir, "documents")))
-
-
-@query("op7_line_dedup_sized", SIZED_SQL)
-def _(spark, sf_dir):
-    return _figures(without_repeats(table(spark, sf_dir, "documents"), min_words=MIN_WORDS))

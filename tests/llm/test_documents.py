@@ -111,6 +111,38 @@ def without_runs(rows, k):
     return out
 
 
+def without_sized_runs(rows, k, words):
+    """Every length on its own: of k lines, or of fewer with so many words."""
+    place = lambda row, i: ((row[0] is not None, row[0] or 0), row[2], i)
+    units = {row: re.split(r"\n(?=[^\n]*[^\x20\x09-\x0D])", row[1] or "") for row in rows}
+    first, runs = {}, []
+    for row, parts in units.items():
+        heads = [p.split("\n")[0] for p in parts]
+        for n in range(1, k + 1):
+            for i in range(len(heads) - n + 1):
+                run = tuple(heads[i:i + n])
+                if all(WORD.search(h) for h in run) and (n == k or sum(len(WORD.findall(h)) for h in run) >= words):
+                    first[run] = min(first.get(run, place(row, i)), place(row, i))
+                    runs.append((row, i, run))
+    gone = {row: set() for row in rows}
+    for row, i, run in runs:
+        if first[run] != place(row, i):
+            gone[row].update(range(i, i + len(run)))
+    return {row[:2]: "\n".join(p for i, p in enumerate(parts) if i not in gone[row]) if gone[row] else row[1]
+            for row, parts in units.items()}
+
+
+@pytest.mark.parametrize("min_lines, words", [(3, 4), (4, 3), (3, 1)])
+def test_sized_line_runs(spark, odd_docs, min_lines, words):
+    rng = random.Random(min_lines + words)
+    extra = [(100 + i % 9, "\n".join(rng.choice(["a", "b b", "", " ", "c c c", "d d d d"]) for _ in range(rng.randrange(12))))
+             for i in range(40)]
+    docs = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    rows = [tuple(r) for r in docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit("")))).collect()]
+    found = lines.without_repeats(docs, min_lines, words).select("_doc.*", "_left").collect()
+    assert {(r.doc_id, r.text): r._left for r in found} == without_sized_runs(rows, min_lines, words)
+
+
 @pytest.mark.parametrize("min_lines", [1, 2, 3, 5])
 def test_line_runs(spark, odd_docs, min_lines):
     rng = random.Random(min_lines)
@@ -118,7 +150,7 @@ def test_line_runs(spark, odd_docs, min_lines):
     docs = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
     rows = [tuple(r) for r in docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit("")))).collect()]
     expected = without_runs(rows, min_lines)
-    found = lines.without_repeats(docs, min_lines).select("_doc.*", "_left").collect()
+    found = lines.without_repeats(docs, min_lines, None).select("_doc.*", "_left").collect()
     assert len(found) == len(rows)
     assert {(r.doc_id, r.text): r._left for r in found} == expected
 
@@ -275,6 +307,15 @@ def test_signatures_estimate_the_similarity():
     assert abs(near.probability_jaccard(a[r == 0], x[r == 0], a[r == 1], x[r == 1]) - exact(*map(weights, flat[:2]))) < 1e-9
 
 
+def test_pairs_at_the_threshold():
+    """Eight of ten shingles shared: 0.8 in either order and under any weight common to all."""
+    for weight in (1, 3, 7):
+        for shift in range(20):
+            a, b = (np.arange(first, first + 9, dtype=np.uint64) + np.uint64(shift) for first in (0, 1))
+            x = np.full(9, weight)
+            assert near.probability_jaccard(a, x, b, x) == near.probability_jaccard(b, x, a, x) == 0.8
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(60) if i % 20] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)]
@@ -477,7 +518,7 @@ def test_pipeline(spark, data, odd_docs):
     assert {r.doc_id for r in good.collect()} == kept and good.columns == docs.columns
     short = stage["line_dedup"](spark, good, data).cache()
     rows = [tuple(r) for r in good.select("doc_id", "text", F.xxhash64("text")).collect()]
-    expected = without_runs(rows, 3)
+    expected = without_sized_runs(rows, 3, 50)
     assert {r.doc_id: r.text for r in short.collect()} == {d: t for (d, _), t in expected.items()}
     single = stage["near_dedup"](spark, short, data).cache()
     assert {r.doc_id for r in single.collect()} == {c for _, c in classes([(r.doc_id, r.text) for r in short.collect()])}
