@@ -32,6 +32,7 @@ PIECE = 20
 REACH = SPAN - PIECE
 WIDTH = REACH + SPAN
 SAMPLE = 20_000
+BUCKET = 64 << 20  # bytes of text for each task and bucket
 CHUNK = 1 << 18
 FLUSH = 8 << 20
 PART = 1 << 14
@@ -368,9 +369,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     judged on the input. Texts are UTF-8 bytes, a null text is empty. Rows of one id never remove from each other;
     rows with a null id neither remove nor lose anything. ``kept`` may end inside a character, so it is binary.
     """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    total, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    # Tasks and buckets follow the size of the texts, so what one of them holds does not grow with the table.
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
     hashed = rows.select("doc_id", F.md5("text").alias("m"), F.xxhash64("text").alias("text_hash"))
     first = hashed.groupBy("m").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     later = hashed.join(first, "m").filter("doc_id > first")
@@ -383,7 +385,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     repeated = pieces.repartitionById(n, F.col("bucket")).mapInArrow(_reduce_pieces, "doc_id long, at int")
     places = repeated.groupBy("doc_id").agg(F.collect_list("at").alias("at"))
     located = placed.join(places.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "text_hash", "at")
-    contexts = located.mapInArrow(_map_contexts(splitters(rows, n)), PACKED)
+    contexts = located.mapInArrow(_map_contexts(splitters(rows, total, n)), PACKED)
     spans = contexts.repartitionById(n, F.col("bucket")).mapInArrow(
         _reduce_contexts, "doc_id long, text_hash long, start int, end int")
     per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "start", "end")).alias("spans"))
@@ -393,9 +395,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def splitters(rows: DataFrame, buckets: int) -> np.ndarray:
+def splitters(rows: DataFrame, total: int, buckets: int) -> np.ndarray:
     """Ascending leading bytes that cut the suffixes into ``buckets`` ranges, from a sample of at most about SAMPLE."""
-    total = rows.count()
     at = F.pmod(F.xxhash64("text", F.lit(7)), F.greatest(F.length("text") - 8, F.lit(1))) + 1
     part = rows.sample(False, min(1.0, SAMPLE / max(total, 1)), 11).select(
         F.encode(F.substring("text", at.cast("int"), F.lit(8)), "utf-8").alias("lead"))
