@@ -237,6 +237,14 @@ def test_html_to_text_pieces(spark, html, body):
     assert frame.select(extract_text.html_to_text(F.col("html")).alias("b")).first().b == body
 
 
+def test_references_cut_before_their_semicolon_stay_in_page_texts(spark):
+    page = "<title>a&amp;&amp</title><style>p{}</style>b&am<i>p c &#38 &#38; &quot;&amp;lt;"
+    found = spark.createDataFrame([(page,)], "html string").select(
+        extract_text.html_to_text(F.col("html"), closed=True).alias("closed"), extract_text.html_to_text(F.col("html")).alias("open")).first()
+    assert found.closed == 'a&&ampp{}b&amp c &#38 & "<'
+    assert found.open == 'a&&p{}b& c & & "<'
+
+
 def test_relevance_by_target(spark):
     cards = spark.createDataFrame([
         (1, "a", "1", "Laptop with PC parts", None), (2, "a", "2", "a kulkas and a pc", ""), (3, "a", "3", "upcycled wood", ""),
