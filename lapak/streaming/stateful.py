@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lapak.functions.values import record_id
@@ -44,72 +46,145 @@ def _frames(rows: Iterator[tuple], columns: tuple[str, ...]) -> Iterator[pd.Data
         yield pd.DataFrame(chunk, columns=list(columns))
 
 
+SHARDS, PARTS = 256, 64
+NO_TIME = np.iinfo(np.int64).min  # how a missing time is held among whole microseconds
+
+
+def _shard(key: str, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard")
+
+
+def _name(*texts: str | None) -> str:
+    return "\0".join("" if t is None else "+" + t for t in texts)
+
+
+class Packed:
+    """Named JSON values of a shard in a fixed number of parts of its map state.
+
+    A call to the state store costs far more than the work on a row. So a part is read when one of its names is first
+    asked for, and written once, at the end, if it has changed: two calls per part and micro-batch, whatever the rows.
+    """
+
+    SCHEMA = ("part int", "entries string")
+
+    def __init__(self, state, parts: int = PARTS):
+        self._state, self._count, self._parts, self._changed = state, parts, {}, set()
+
+    def part(self, name: str) -> int:
+        return zlib.crc32(name.encode("utf-8", "surrogatepass")) % self._count
+
+    def entries(self, part: int) -> dict:
+        if part not in self._parts:
+            stored = self._state.getValue((part,))
+            self._parts[part] = json.loads(stored[0]) if stored else {}
+        return self._parts[part]
+
+    def get(self, name: str):
+        return self.entries(self.part(name)).get(name)
+
+    def put(self, name: str, value) -> int:
+        part = self.part(name)
+        self.entries(part)[name] = value
+        self._changed.add(part)
+        return part
+
+    def drop(self, name: str) -> int:
+        part = self.part(name)
+        if self.entries(part).pop(name, None) is not None:
+            self._changed.add(part)
+        return part
+
+    def write(self) -> None:
+        for part in self._changed:
+            if self._parts[part]:
+                self._state.updateValue((part,), (json.dumps(self._parts[part]),))
+            elif self._state.containsKey((part,)):
+                self._state.removeKey((part,))
+        self._changed.clear()
+
+
 class ChangeProcessor(StatefulProcessor):
-    """State per candidate: fingerprint, sights and pending versions; the status of each version it ever had.
+    """State per shard of candidates: fingerprint, first sight, sights and pending versions of each candidate, and the
+    status of each version it ever had.
 
     Frames are handled one by one: what is wide, the payload, goes out again at once as a ``sight``; only numbers and
-    fingerprints of a key's share of the micro-batch are kept to put them in arrival order.
+    fingerprints of a shard's share of the micro-batch are kept to put them in arrival order.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState(
-            "candidate", "fingerprint string, first_seen_at timestamp, seen_count bigint, pending array<string>")
-        self._versions = handle.getMapState("versions", "fingerprint string", "status string")
+        self._candidates = handle.getMapState("candidates", *Packed.SCHEMA)
+        self._versions = handle.getMapState("versions", *Packed.SCHEMA)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        pending, known = [], None
-        for fingerprint, status, first, count in initialState[
-                ["fingerprint", "status", "first_seen_at", "seen_count"]].itertuples(index=False):
-            if status is None or pd.isna(status):
-                known = (fingerprint, first, int(count))
-            else:
-                self._versions.updateValue((fingerprint,), (status,))
-                pending += [fingerprint] if status == "pending" else []
-        fingerprint, first, count = known or (None, None, 0)
-        self._state.update((fingerprint, None if pd.isna(first) else first, count, pending))
+        candidates, versions = Packed(self._candidates), Packed(self._versions)
+        firsts = initialState["first_seen_at"].to_numpy("datetime64[us]").astype(np.int64).tolist()
+        for candidate, fingerprint, status, first, count in zip(
+                *(initialState[c].tolist() for c in ("candidate_key", "fingerprint", "status")), firsts, initialState["seen_count"].tolist()):
+            name = _name(candidate)
+            entry = candidates.get(name) or [None, None, 0, []]
+            if not isinstance(status, str):
+                candidates.put(name, [fingerprint, first, int(count), entry[3]])
+                continue
+            versions.put(_name(candidate, fingerprint), status)
+            candidates.put(name, [*entry[:3], entry[3] + [fingerprint] if status == "pending" else entry[3]])
+        candidates.write()
+        versions.write()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         parts = []
         for frame in rows:
-            parts.append((frame["seq"].to_numpy(np.int64), frame["fingerprint"].to_numpy(object),
-                          frame["status"].to_numpy(object), frame["observed_at"].to_numpy("datetime64[us]")))
+            parts.append((frame["seq"].to_numpy(np.int64), frame["candidate_key"].to_numpy(object), frame["fingerprint"].to_numpy(object),
+                          frame["status"].to_numpy(object), frame["observed_at"].to_numpy("datetime64[us]").astype(np.int64)))
             seen = frame[frame["status"].isna()].drop(columns="status")
             yield seen.assign(effect=SIGHT, queued=None, seen_count=None, first_seen_at=None)[list(EVENT_COLUMNS)]
-        yield from _frames(self._effects(key[0], parts), EVENT_COLUMNS)
-
-    def _status(self, fingerprint: str) -> str | None:
-        return self._versions.getValue((fingerprint,))[0] if self._versions.containsKey((fingerprint,)) else None
-
-    def _set(self, pending: dict, fingerprint: str, status: str) -> None:
-        self._versions.updateValue((fingerprint,), (status,))
-        if status == "pending":
-            pending[fingerprint] = None
-        else:
-            pending.pop(fingerprint, None)
-
-    def _effects(self, key: str, parts: list) -> Iterator[tuple]:
-        current, first, count, waiting = self._state.get() if self._state.exists() else (None, None, 0, [])
-        pending = dict.fromkeys(waiting or [])
-        for seq, fingerprint, status, at in _in_order(parts):
-            at = pd.Timestamp(at)
+        effects = self._effects(parts)
+        while chunk := list(islice(effects, CHUNK)):
+            made = pd.DataFrame(dict(zip(("candidate_key", "seq", "fingerprint", "effect", "queued", "seen_count"),
+                                         ([row[k] for row in chunk] for k in (0, 1, 2, 3, 4, 6)))))
+            made["observed_at"], made["first_seen_at"] = (
+                np.array([row[k] for row in chunk], np.int64).view("datetime64[us]") for k in (5, 7))
+            yield made.assign(platform=None, source_id=None, payload_json=None)[list(EVENT_COLUMNS)]
+
+    def _effects(self, parts: list) -> Iterator[tuple]:
+        candidates, versions = Packed(self._candidates), Packed(self._versions)
+        known: dict[str, list] = {}  # what has been touched; pending versions as keys, which keep their order
+
+        def put(candidate: str, pending: dict, fingerprint: str, status: str) -> None:
+            versions.put(_name(candidate, fingerprint), status)
+            if status == "pending":
+                pending[fingerprint] = None
+            else:
+                pending.pop(fingerprint, None)
+
+        for seq, candidate, fingerprint, status, at in _in_order(parts):
+            seq, at, name = int(seq), int(at), _name(candidate)
+            if name not in known:
+                current, first, count, waiting = candidates.get(name) or (None, None, 0, [])
+                known[name] = [current, first, count, dict.fromkeys(waiting)]
+            entry = known[name]
+            current, pending = entry[0], entry[3]
             if isinstance(status, str):
-                self._set(pending, fingerprint, status)
+                put(candidate, pending, fingerprint, status)
                 continue
-            count += 1
-            first = at if first is None else first
+            entry[2] += 1
+            if entry[1] is None:
+                entry[1] = at
             change = "unchanged" if fingerprint == current else "new" if current is None else "changed"
-            queued, current = None, fingerprint
+            queued, entry[0] = None, fingerprint
             if change == "unchanged":
                 queued = "refresh" if fingerprint in pending else None
             else:
                 for other in [p for p in pending if change == "changed" and p != fingerprint]:
-                    self._set(pending, other, "done")
-                    yield (key, seq, other, SUPERSEDED, None, at, None, None, None, None, None)
-                if self._status(fingerprint) in (None, "done"):
-                    self._set(pending, fingerprint, "pending")
+                    put(candidate, pending, other, "done")
+                    yield (candidate, seq, other, SUPERSEDED, None, at, None, NO_TIME)
+                if versions.get(_name(candidate, fingerprint)) in (None, "done"):
+                    put(candidate, pending, fingerprint, "pending")
                     queued = "enter"
-            yield (key, seq, fingerprint, change, queued, at, None, None, None, count, first)
-        self._state.update((current, first, count, list(pending)))
+            yield (candidate, seq, fingerprint, change, queued, at, entry[2], entry[1])
+        for name, (current, first, count, pending) in known.items():
+            candidates.put(name, [current, first, count, list(pending)])
+        candidates.write()
+        versions.write()
 
     def close(self) -> None:
         pass
@@ -120,7 +195,7 @@ def queue_event_stream(observations: DataFrame, state: DataFrame | None = None,
 
     ``observations``: seq, candidate_key, fingerprint, observed_at, and where at hand platform, source_id, payload_json and
     status. A row with a status is no observation: it says that a version has been leased, done or given back as
-    pending. ``state`` and ``queue`` are what holds before the first micro-batch. Rows of a key are put in arrival
+    pending. ``state`` and ``queue`` are what holds before the first micro-batch. Rows of a shard are put in arrival
     order inside each micro-batch; bound the micro-batch at the source (maxFilesPerTrigger, maxOffsetsPerTrigger).
     """
     use_rocksdb(observations.sparkSession)
@@ -137,8 +212,8 @@ def queue_event_stream(observations: DataFrame, state: DataFrame | None = None,
         versions = none if queue is None else queue.select(
             "candidate_key", "fingerprint", "status", F.lit(None).cast("timestamp").alias("first_seen_at"),
             F.lit(None).cast("bigint").alias("seen_count"))
-        before = known.unionByName(versions).groupBy("candidate_key")
-    return rows.groupBy("candidate_key").transformWithStateInPandas(
+        before = known.unionByName(versions).select(_shard("candidate_key", SHARDS), "*").groupBy("shard")
+    return rows.select(_shard("candidate_key", SHARDS), "*").groupBy("shard").transformWithStateInPandas(
         statefulProcessor=ChangeProcessor(), outputStructType=QUEUE_EVENTS, outputMode="append", timeMode="none",
         initialState=before)
 
@@ -189,24 +264,24 @@ def queue_after(queue: DataFrame, events: DataFrame) -> DataFrame:
     return rows.select(*[chosen[c].alias(c) for c in QUEUE.fieldNames()])
 
 
-SHARDS = 256
 SHARD_TOTALS = "shard int, seq bigint, step bigint, visible bigint, latest timestamp"
 
 
 class VisibleProcessor(StatefulProcessor):
-    """State per shard of listings: which are visible, how many were first fetched when, their number and newest time.
+    """State per shard of listings: which are visible and when they were first fetched, in parts; the newest time of each
+    part; the number of visible listings and the newest time of all.
 
-    A listing that becomes hidden takes back what it gave; the newest time is looked up anew only when its last listing
-    goes.
+    A listing that becomes hidden takes back what it gave; the newest time is looked up anew only in the parts that lost
+    or gained a listing.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._listed = handle.getMapState("listed", "listing_id string", "at bigint")
-        self._times = handle.getMapState("times", "at bigint", "listings bigint")
-        self._totals = handle.getValueState("totals", "seq bigint, step bigint, visible bigint, latest bigint")
+        self._listed = handle.getMapState("listed", *Packed.SCHEMA)
+        self._totals = handle.getValueState("totals", "seq bigint, step bigint, visible bigint, newest binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seq, step, visible, latest = self._totals.get() if self._totals.exists() else (-1, 0, 0, None)
+        seq, step, visible, stored = self._totals.get() if self._totals.exists() else (-1, 0, 0, None)
+        newest = np.full(PARTS, NO_TIME) if stored is None else np.frombuffer(stored, np.int64).copy()
         last: dict[str, tuple] = {}
         for frame in rows:
             at = frame["at"].to_numpy("datetime64[us]").astype(np.int64)
@@ -214,31 +289,19 @@ class VisibleProcessor(StatefulProcessor):
                                                     frame["visible"].tolist(), at.tolist()):
                 if listing not in last or last[listing][0] <= number:
                     last[listing] = (number, shown, time)
-        gone = False
+        listed, touched = Packed(self._listed), set()
         for listing, (number, shown, time) in last.items():
-            seq, name = max(seq, number), (listing,)
-            if self._listed.containsKey(name):
-                gone |= self._count(self._listed.getValue(name)[0], -1) == 0
-                self._listed.removeKey(name)
-                visible -= 1
-            if shown:
-                self._listed.updateValue(name, (time,))
-                self._count(time, 1)
-                visible += 1
-                latest = time if latest is None else max(latest, time)
-        if gone and latest is not None and not self._times.containsKey((latest,)):
-            latest = max((at for (at,) in self._times.keys()), default=None)
-        self._totals.update((seq, step + 1, visible, latest))
+            name = _name(listing)
+            seq = max(seq, number)
+            visible += int(shown) - (listed.get(name) is not None)
+            touched.add(listed.put(name, time) if shown else listed.drop(name))
+        for part in touched:
+            newest[part] = max(listed.entries(part).values(), default=NO_TIME)
+        listed.write()
+        latest = int(newest.max())
+        self._totals.update((seq, step + 1, visible, newest.tobytes()))
         yield pd.DataFrame({"shard": [key[0]], "seq": [seq], "step": [step + 1], "visible": [visible],
-                            "latest": [None if latest is None else pd.Timestamp(latest, unit="us")]})
-
-    def _count(self, at: int, change: int) -> int:
-        left = (self._times.getValue((at,))[0] if self._times.containsKey((at,)) else 0) + change
-        if left:
-            self._times.updateValue((at,), (left,))
-        else:
-            self._times.removeKey((at,))
-        return left
+                            "latest": [None if latest == NO_TIME else pd.Timestamp(latest, unit="us")]})
 
     def close(self) -> None:
         pass
@@ -253,7 +316,7 @@ def revision_stream(listings: DataFrame, shards: int = SHARDS) -> DataFrame:
     """
     use_rocksdb(listings.sparkSession)
     rows = listings.select(
-        F.pmod(F.xxhash64("listing_id"), F.lit(shards)).cast("int").alias("shard"), "listing_id", "seq",
+        _shard("listing_id", shards), "listing_id", "seq",
         (F.coalesce("visible", F.lit(False)) & F.col("first_fetched_at").isNotNull()).alias("visible"),
         F.coalesce(F.col("first_fetched_at").cast("timestamp"), F.timestamp_seconds(F.lit(0))).alias("at"))
     return rows.groupBy("shard").transformWithStateInPandas(

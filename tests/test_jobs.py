@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -620,3 +621,81 @@ def test_rolling_window_has_no_cap(spark):
     load()
     found = QUERIES["t10_rolling_window"](spark, "/root/testdata/sf0.001")
     assert "Limit" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+class CountedState:
+    """Map state of one shard in a dict, with its calls counted."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.held[key] = value
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.held
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.held[key]
+
+
+def processor_with_states(processor):
+    states = []
+
+    class Handle:
+        def getMapState(self, *names):
+            states.append(CountedState())
+            return states[-1]
+
+        def getValueState(self, *names):
+            state = CountedState()
+            state.exists, state.get, state.update = (
+                lambda: () in state.held, lambda: state.held[()], lambda value: state.held.update({(): value}))
+            return state
+
+    processor.init(Handle())
+    return processor, states
+
+
+def test_change_state_is_called_per_part_and_not_per_row():
+    processor, states = processor_with_states(stateful.ChangeProcessor())
+    n = 30_000
+    frame = pd.DataFrame({"candidate_key": [f"K:{i % 5000}" for i in range(n)], "seq": range(n), "fingerprint": [f"v{i // 5000 % 2}" for i in range(n)],
+                          "observed_at": pd.Timestamp(T0), "platform": "x", "source_id": "y", "payload_json": "z", "status": None})
+    first = pd.concat(processor.handleInputRows((0,), iter([frame[: n // 2], frame[n // 2:]]), None))
+    assert (first["effect"] == "new").sum() == 5000 and (first["effect"] == "changed").sum() == n - 5000
+    assert sum(s.calls for s in states) <= 2 * 2 * stateful.PARTS
+    again = pd.concat(processor.handleInputRows((0,), iter([frame[-1:].assign(seq=n)]), None)).iloc[-1]
+    assert (again["effect"], again["queued"], again["seen_count"]) == ("unchanged", "refresh", 7)
+
+
+def test_initial_state_of_a_shard_may_come_in_frames():
+    processor, _ = processor_with_states(stateful.ChangeProcessor())
+    rows = [("K:1", "A", "pending", None, None), ("K:1", "B", None, pd.Timestamp(T0), 3), ("K:1", "C", "pending", None, None)]
+    for row in rows:
+        processor.handleInitialState((0,), pd.DataFrame([row], columns=["candidate_key", "fingerprint", "status", "first_seen_at", "seen_count"]), None)
+    frame = pd.DataFrame({"candidate_key": ["K:1"], "seq": [1], "fingerprint": ["D"], "observed_at": pd.Timestamp(T0), "platform": "x", "source_id": "y",
+                          "payload_json": "z", "status": None})
+    out = pd.concat(processor.handleInputRows((0,), iter([frame]), None))
+    assert [(r.fingerprint, r.effect) for r in out.itertuples() if r.effect != "sight"] == [("A", "superseded"), ("C", "superseded"), ("D", "changed")]
+    assert out.iloc[-1]["seen_count"] == 4
+
+
+def test_revision_state_is_called_per_part_and_takes_back_the_newest():
+    processor, states = processor_with_states(stateful.VisibleProcessor())
+    n, start = 20_000, pd.Timestamp(T0)
+    frame = pd.DataFrame({"listing_id": [str(i) for i in range(n)], "seq": 0, "visible": True, "at": [start + pd.Timedelta(seconds=i) for i in range(n)]})
+    (shown,) = processor.handleInputRows((7,), iter([frame]), None)
+    assert (shown["visible"][0], shown["latest"][0]) == (n, start + pd.Timedelta(seconds=n - 1))
+    (hidden,) = processor.handleInputRows((7,), iter([frame[10:].assign(seq=1, visible=False)]), None)
+    assert (hidden["visible"][0], hidden["latest"][0]) == (10, start + pd.Timedelta(seconds=9))
+    (none,) = processor.handleInputRows((7,), iter([frame[:10].assign(seq=2, visible=False)]), None)
+    assert (none["visible"][0], none["latest"][0]) == (0, None)
+    assert sum(s.calls for s in states) <= 8 * stateful.PARTS
