@@ -404,7 +404,7 @@ def _(t):
     step = lambda rows, k, shown: rows.select("listing_id", "first_fetched_at", F.lit(k).cast("bigint").alias("seq"), F.lit(shown).alias("visible"))
     rows = step(keys, 0, True).unionByName(step(keys.join(seen, "listing_id", "left_anti"), 1, False)).unionByName(
         step(keys.join(seen, "listing_id", "left_semi").filter(F.col("first_fetched_at") >= F.lit(_CUT).cast("timestamp_ntz")), 2, False))
-    totals = jobs.run_in_parts(rows, [F.col("seq") == k for k in range(3)], lambda s: stateful.revision_stream(s, 16), "revision")
+    totals = jobs.run_in_parts(rows, [F.col("seq") == k for k in range(3)], stateful.revision_stream, "revision")
     return stateful.revision_after(totals, [0, 1, 2])
 
 
