@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lapak.functions.once import computed
 from lapak.functions.text import or_blank
@@ -63,25 +64,41 @@ def _typed(name: str, kind: T.DataType) -> Column:
     return (or_blank(text) if isinstance(kind, T.StringType) else text).alias(name)
 
 
+PAYLOADS, RECORDS = 128, 1024  # payloads and records that a task holds as Python objects at once
+
+
 def _emit(payloads: DataFrame, reader, schema: T.StructType, columns=("page_id", "script_index", "text")) -> DataFrame:
-    """Run ``reader(text) -> records of texts`` over each payload; records keep their place inside the payload."""
+    """Run ``reader(text) -> records of texts`` over each payload; records keep their place inside the payload.
+
+    Texts stay in Arrow until their turn comes and records go back to Arrow in small batches, so what a task holds does
+    not follow the number of payloads in a batch.
+    """
     keys = [c for c in columns if c != "text"]
     scalar = (T.LongType, T.IntegerType, T.BooleanType)
     raw = T.StructType(
         [f for f in payloads.schema.fields if f.name in keys] + [T.StructField("place", T.IntegerType())]
         + [T.StructField(f.name, T.StringType() if isinstance(f.dataType, scalar) else f.dataType) for f in schema.fields])
-    names = [f.name for f in raw.fields]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for values in frame[list(columns)].itertuples(index=False, name=None):
-                given = dict(zip(columns, values))
-                for place, found in enumerate(reader(given["text"])):
-                    rows.append((*[given[k] for k in keys], place, *[found.get(f.name) for f in schema.fields]))
-            yield pd.DataFrame(rows, columns=names, dtype=object)
-
-    return payloads.select(*columns).mapInPandas(run, raw).select(
+    fields, arrow = schema.fieldNames(), to_arrow_schema(raw)
+    order = [f.name for f in raw.fields if f.name in keys]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for start in range(0, batch.num_rows, PAYLOADS):
+                part = batch.slice(start, PAYLOADS)
+                for *given, text in zip(*(part.column(c).to_pylist() for c in (*order, "text"))):
+                    for place, found in enumerate(reader(text)):
+                        rows.append((*given, place, *map(found.get, fields)))
+                        if len(rows) >= RECORDS:
+                            yield made(rows)
+                            rows.clear()
+        if rows:
+            yield made(rows)
+
+    return payloads.select(*columns).mapInArrow(run, raw).select(
         *keys, "place", *[_typed(f.name, f.dataType) for f in schema.fields])
 
 
@@ -105,9 +122,27 @@ def _complete_cards(found: DataFrame) -> DataFrame:
         "image_alt": F.col("title"), "raw_text": F.array_join(F.filter(lines, lambda x: x != ""), "\n")})
 
 
+def _first_cards(limit: int | None):
+    """Reader of the first card per item id of a payload, of its first ``limit`` items: no other can be among those of
+    its page, as each of these stands before it."""
+    def read(text: str):
+        seen: set[str] = set()
+        for card in _cards(text):
+            if card["item_id"] not in seen:
+                seen.add(card["item_id"])
+                yield card
+                if len(seen) == limit:
+                    return
+
+    return read
+
+
 def extract_marketplace(payloads: DataFrame, limit: int | None = None) -> DataFrame:
     """Search cards of each page, first card per item id, at most ``limit`` per page."""
-    found = _complete_cards(_emit(payloads, _cards, CARD))
+    found = _complete_cards(_emit(payloads, _first_cards(limit), CARD))
+    if limit is not None:
+        # A page has few cards now, so one shuffle serves both windows.
+        found = found.repartition("page_id")
     order = Window.partitionBy("page_id", "item_id").orderBy("script_index", "place")
     first = found.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
     if limit is None:

@@ -79,3 +79,44 @@ def test_group_fingerprint_has_sorted_keys(spark):
         F.create_map(F.lit("sourceType"), F.lit("facebook_group"))).alias("f")).first()
     text = '{"externalId":"7","platform":"FACEBOOK_GROUP","sourceType":"facebook_group","sourceUrl":"https://a.example/x"}'
     assert row.f == "v2:" + hashlib.sha256(text.encode()).hexdigest()
+
+
+def market_text(*ids):
+    import json
+
+    nodes = [{"node": {"id": i, "marketplace_listing_title": f"t{i}{k}"}} for k, i in enumerate(ids)]
+    return json.dumps({"marketplace_search": {"feed_units": {"edges": nodes}}})
+
+
+def test_a_limit_reads_no_more_cards_than_it_can_keep(spark):
+    text = market_text("a", "a", "b", "c", "d", "b")
+    assert [c["title"] for c in extract_json._first_cards(2)(text)] == ["ta0", "tb2"]
+    assert [c["title"] for c in extract_json._first_cards(None)(text)] == ["ta0", "tb2", "tc3", "td4"]
+    scripts = [["a", "a", "b", "c"], ["c", "d", "a"], ["e", "d", "c", "b"]]
+    rows = [("facebook", "t", "p", k, None, market_text(*ids)) for k, ids in enumerate(scripts)]
+    frame = spark.createDataFrame(rows, PAYLOAD_SCHEMA).repartition(3)
+    order = list(dict.fromkeys(i for ids in scripts for i in ids))
+    for limit in range(1, 7):
+        cards = extract_json.extract_marketplace(frame, limit).orderBy("place").collect()
+        assert [c.item_id for c in cards] == order[:limit]
+
+
+def test_the_reader_passes_small_batches_on(monkeypatch, spark):
+    sizes = []
+
+    class Payloads:
+        schema, columns = spark.createDataFrame([], PAYLOAD_SCHEMA).schema, ["page_id", "script_index", "text"]
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, raw):
+            import pyarrow as pa
+
+            batch = pa.RecordBatch.from_pydict({"page_id": ["p"] * 900, "script_index": pa.array([0] * 900, pa.int32()),
+                                                "text": [market_text(*map(str, range(9)))] * 900})
+            sizes.extend(b.num_rows for b in run(iter([batch])))
+            return self
+
+    extract_json._emit(Payloads(), extract_json._cards, extract_json.CARD)
+    assert sum(sizes) == 8100 and max(sizes) <= extract_json.RECORDS
