@@ -24,6 +24,12 @@ def _payload(rows, page, text, script=None):
         "script_index"), text.alias("text"))
 
 
+def _scripts(rows, page, *texts):
+    """Several scripts of a page, from one pass over ``rows``."""
+    each = F.array(*[F.struct(F.lit(k).alias("script_index"), text.alias("text")) for k, text in enumerate(texts)])
+    return rows.select(page.cast("string").alias("page_id"), F.inline(each))
+
+
 # Marketplace: one page per order, one edge per order line; parts repeat inside a page now and then.
 SQL_VIEWS["v_edges"] = """
     SELECT CAST(l_orderkey AS VARCHAR) AS page_id, l_partkey, l_linenumber, l_returnflag, l_linestatus, l_extendedprice,
@@ -37,17 +43,17 @@ SQL_VIEWS["v_market"] = """
 
 
 def market_payloads(t):
-    edge = F.struct(F.struct(F.struct(
-        F.col("l_partkey").cast("string").alias("id"), F.expr("concat('Part ', l_partkey, ' L', l_linenumber)").alias("marketplace_listing_title"),
-        F.struct(F.expr("concat('Rp', CAST(floor(l_extendedprice) AS BIGINT))").alias("formatted_amount"),
-                 F.expr("CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING)").alias("amount")).alias("listing_price"),
+    edge = lambda k: F.struct(F.struct(F.struct(
+        k["l_partkey"].cast("string").alias("id"),
+        F.concat(F.lit("Part "), k["l_partkey"].cast("string"), F.lit(" L"), k["l_linenumber"].cast("string")).alias("marketplace_listing_title"),
+        F.struct(F.concat(F.lit("Rp"), F.floor(k["l_extendedprice"]).cast("bigint").cast("string")).alias("formatted_amount"),
+                 F.floor(k["l_extendedprice"]).cast("bigint").cast("string").alias("amount")).alias("listing_price"),
         F.expr("named_struct('reverse_geocode', named_struct('city_page', named_struct('display_name', ' Kota A ')))").alias("location"),
-        F.expr("CASE l_returnflag WHEN 'R' THEN true WHEN 'A' THEN false END").alias("is_sold"),
-        F.expr("l_linestatus = 'O'").alias("is_live")).alias("listing")).alias("node"))
+        F.when(k["l_returnflag"] == "R", True).when(k["l_returnflag"] == "A", False).alias("is_sold"),
+        (k["l_linestatus"] == "O").alias("is_live")).alias("listing")).alias("node"))
     line = F.struct("l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag", "l_linestatus")
-    # An order has a handful of lines, so its page is small.
-    pages = t.table("lineitem").select("l_orderkey", line.alias("k"), edge.alias("e")).groupBy("l_orderkey").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("k", "e"))), lambda x: x["e"]).alias("edges"))
+    # An order has a handful of lines, so its page is small. Only the columns of a line are shuffled, not its JSON.
+    pages = t.table("lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(line)), edge).alias("edges"))
     body = F.to_json(F.struct(F.array(F.struct(F.struct(F.struct("edges").alias("feed_units")).alias("marketplace_search"))).alias("require")))
     return _payload(pages, F.col("l_orderkey"), body)
 
@@ -105,8 +111,7 @@ def story_payloads(t):
         F.col("seq").cast("string").alias("post_id"), group.alias("target_group"), F.concat("source_url", F.lit("?ref=x")).alias("permalink_url"),
         F.struct(F.lit("GroupCommerceProductItem").alias("__typename"), F.struct(F.lit("Rp5").alias("text")).alias("formatted_price"),
                  F.lit("Kota A").alias("location_text")).alias("comet_sections"))).alias("data")))
-    return _payload(rows, F.col("seq"), F.concat(F.lit("for (;;);"), first)).union(
-        _payload(rows, F.col("seq"), F.concat(second, F.lit("\n"), F.lit('{"other":1}')), F.lit(1)))
+    return _scripts(rows, F.col("seq"), F.concat(F.lit("for (;;);"), first), F.concat(second, F.lit("\n"), F.lit('{"other":1}')))
 
 
 def group_targets(t):
@@ -157,21 +162,20 @@ SQL_VIEWS["v_profile"] = """
 def profile_payloads(t):
     owners = t.table("orders").select(F.col("o_orderkey").alias("seq"), "o_custkey")
     rows = t.listings.filter("platform = 'instagram'").join(owners, "seq")
-    link = lambda p: F.concat(F.lit(f"https://cdn.example/{p}/"), "id", F.lit(".jpg"))
-    bare = F.struct(F.struct(
-        F.col("seq").cast("string").alias("code"), F.col("seq").cast("string").alias("pk"), F.unix_seconds(F.col("posted_at").cast("timestamp")).alias("taken_at"),
-        F.struct(F.array(F.struct(link("a").alias("url"))).alias("candidates")).alias("image_versions2"),
-        F.array(F.struct(link("a").alias("display_uri")), F.struct(link("b").alias("display_uri"))).alias("carousel_media")).alias("node"))
-    full = F.struct(F.struct(
-        F.col("seq").cast("string").alias("shortcode"), F.struct(F.concat("description", F.lit(" &amp; more")).alias("text")).alias("caption"),
-        F.lit(2).alias("carousel_media_count"), F.struct(F.array(F.struct(F.struct(link("c").alias("display_url")).alias("node"))).alias("edges"))
+    link = lambda x, p: F.concat(F.lit(f"https://cdn.example/{p}/"), x["id"], F.lit(".jpg"))
+    bare = lambda x: F.struct(F.struct(
+        x["seq"].cast("string").alias("code"), x["seq"].cast("string").alias("pk"), F.unix_seconds(x["posted_at"].cast("timestamp")).alias("taken_at"),
+        F.struct(F.array(F.struct(link(x, "a").alias("url"))).alias("candidates")).alias("image_versions2"),
+        F.array(F.struct(link(x, "a").alias("display_uri")), F.struct(link(x, "b").alias("display_uri"))).alias("carousel_media")).alias("node"))
+    full = lambda x: F.struct(F.struct(
+        x["seq"].cast("string").alias("shortcode"), F.struct(F.concat(x["description"], F.lit(" &amp; more")).alias("text")).alias("caption"),
+        F.lit(2).alias("carousel_media_count"), F.struct(F.array(F.struct(F.struct(link(x, "c").alias("display_url")).alias("node"))).alias("edges"))
         .alias("edge_sidecar_to_children")).alias("node"))
-    # A customer has a bounded number of orders per profile page.
-    pages = rows.select("o_custkey", "seq", bare.alias("bare"), full.alias("full")).groupBy("o_custkey").agg(
-        F.collect_list("bare").alias("bare"), F.collect_list("full").alias("full"))
-    first = F.to_json(F.struct(F.struct(F.struct(F.col("bare").alias("edges")).alias("polaris_ordered_timeline_connection")).alias("data")))
-    second = F.to_json(F.struct(F.struct(F.struct(F.struct(F.col("full").alias("edges")).alias("edge_owner_to_timeline_media")).alias("user")).alias("data")))
-    return _payload(pages, F.col("o_custkey"), first).union(_payload(pages, F.col("o_custkey"), second, F.lit(1)))
+    # A customer has a bounded number of orders per profile page. Only their columns are shuffled, not their JSON.
+    pages = rows.groupBy("o_custkey").agg(F.collect_list(F.struct("seq", "id", "posted_at", "description")).alias("posts"))
+    first = F.to_json(F.struct(F.struct(F.struct(F.transform("posts", bare).alias("edges")).alias("polaris_ordered_timeline_connection")).alias("data")))
+    second = F.to_json(F.struct(F.struct(F.struct(F.struct(F.transform("posts", full).alias("edges")).alias("edge_owner_to_timeline_media")).alias("user")).alias("data")))
+    return _scripts(pages, F.col("o_custkey"), first, second)
 
 
 @query("x4_extract_profile_posts", """
@@ -262,16 +266,17 @@ def _(t):
                 ORDER BY l_linenumber, l_partkey, l_returnflag) AS p FROM lineitem WHERE l_returnflag <> 'R'
             UNION ALL SELECT l_orderkey, concat('https://i.redd.it/post', l_orderkey, '.png'), 1000000 FROM lineitem) a GROUP BY 1, 3) b""")
 def _(t):
-    media = F.struct(
-        F.when(F.col("l_returnflag") == "R", F.lit("failed")).otherwise(F.lit("valid")).alias("status"), F.lit("image/jpg").alias("m"),
+    media = lambda x: F.struct(
+        F.when(x["l_returnflag"] == "R", F.lit("failed")).otherwise(F.lit("valid")).alias("status"), F.lit("image/jpg").alias("m"),
         F.array(F.struct(F.lit(10).alias("x"), F.lit(10).alias("y"), F.lit("https://preview.redd.it/small.gif").alias("u")),
-                F.struct(F.lit(20).alias("x"), F.lit(30).alias("y"), F.expr("concat('https://preview.redd.it/', l_partkey, '.jpg?w=1&amp;s=2')").alias("u"))).alias("p"))
-    key = F.expr("concat(l_orderkey, '_', row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag))")
-    order = F.expr("row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag)")
-    rows = t.table("lineitem").select("l_orderkey", order.alias("p"), key.alias("k"), media.alias("m"))
-    # An order has a handful of lines, so its gallery is small.
-    posts = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("p", "k"))).alias("ids"),
-                                           F.map_from_entries(F.collect_list(F.struct("k", "m"))).alias("media_metadata"))
+                F.struct(F.lit(20).alias("x"), F.lit(30).alias("y"), F.concat(
+                    F.lit("https://preview.redd.it/"), x["l_partkey"].cast("string"), F.lit(".jpg?w=1&amp;s=2")).alias("u"))).alias("p"))
+    key = lambda i: F.concat(F.col("l_orderkey").cast("string"), F.lit("_"), (i + 1).cast("string"))
+    # An order has a handful of lines, so its gallery is small. Only the columns of a line are shuffled, not its JSON.
+    lines = t.table("lineitem").groupBy("l_orderkey").agg(
+        F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag"))).alias("lines"))
+    posts = lines.select("l_orderkey", F.transform("lines", lambda x, i: F.struct(key(i).alias("k"))).alias("ids"), F.map_from_entries(
+        F.transform("lines", lambda x, i: F.struct(key(i).alias("k"), media(x).alias("m")))).alias("media_metadata"))
     data = F.struct(
         F.col("l_orderkey").cast("string").alias("id"),
         F.struct(F.transform("ids", lambda x: F.struct(x["k"].alias("media_id"))).alias("items")).alias("gallery_data"), "media_metadata",
@@ -443,15 +448,19 @@ def _(t):
 def _(t):
     base = scratch_path(t.spark, "store")
     t.listings.write.parquet(f"{base}/in")
-    stream = t.spark.readStream.schema(t.listings.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
-    owned = t.images.drop("id").withColumn("seq", F.lit(1))
+    # Every micro-batch touches all buckets of the store, so there are three whatever the size of the input; buckets grow
+    # in number with it. Images are numbered once, not for each micro-batch.
+    files = len(t.spark.read.schema(t.listings.schema).parquet(f"{base}/in").inputFiles())
+    stream = t.spark.readStream.schema(t.listings.schema).option("maxFilesPerTrigger", max(4, -(-files // 3))).parquet(f"{base}/in")
+    t.images.drop("id").withColumn("seq", F.lit(1)).write.parquet(f"{base}/images")
+    owned = t.spark.read.parquet(f"{base}/images")
 
     def split(batch):
         accepted, dropped = batch.filter("platform <> 'reddit'"), batch.filter("platform = 'reddit'")
         gallery = owned.join(accepted.select(F.col("id").alias("listing_id"), F.col("source_url").alias("listing_url")), "listing_id").drop("listing_id")
         return accepted, gallery, dropped.withColumn("reason_code", F.lit("OTHER"))
 
-    store = jobs.Store(f"{base}/tables", 16)
+    store = jobs.Store(f"{base}/tables", max(16, files))
     jobs.upsert_stream(stream, store, split, _FETCHED, f"{base}/checkpoint")
     part = lambda name, table, total: table.read(t.spark).agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("rows"), total.alias("total"))
     return part("listings", store.listings, F.sum("price")).union(part("images", store.images, F.sum("position"))).union(

@@ -699,3 +699,14 @@ def test_revision_state_is_called_per_part_and_takes_back_the_newest():
     (none,) = processor.handleInputRows((7,), iter([frame[:10].assign(seq=2, visible=False)]), None)
     assert (none["visible"][0], none["latest"][0]) == (0, None)
     assert sum(s.calls for s in states) <= 8 * stateful.PARTS
+
+
+def test_upsert_stream_takes_three_batches_however_many_files(spark, monkeypatch):
+    from lapak.plans.views import Tables
+
+    calls, listings_of, body = [], Tables.listings.func, jobs.apply_batch
+    monkeypatch.setattr(Tables, "listings", property(lambda t: listings_of(t).repartition(30)))
+    monkeypatch.setattr(jobs, "apply_batch", lambda *args: (calls.append(1), body(*args)))
+    load()
+    rows = {r.part: r.rows for r in QUERIES["t5_upsert_stream"](spark, "/root/testdata/sf0.001").collect()}
+    assert rows["listings"] + rows["rejections"] == 1500 and 1 <= len(calls) <= 3
