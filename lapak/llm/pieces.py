@@ -10,7 +10,9 @@ its entry scores; with them each chunk knows by itself which entry state leads t
 from the end gives the one path, and every chunk then reads off its own pieces.
 
 In most vocabularies no piece has a space behind another character. Then every word starts a piece, so inside a chunk
-words are encoded once each and only its first and last words depend on its neighbours.
+words are encoded once each and only its first and last words depend on its neighbours. Two neighbouring characters that
+no piece holds side by side, such as a letter and a full stop in most vocabularies, are always cut apart; so words are
+made of smaller units, which are searched once each.
 """
 
 from __future__ import annotations
@@ -60,6 +62,8 @@ class Vocabulary:
         self.longest = max(map(len, self.pieces))
         self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
         self.words_cut = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.pieces)
+        self.pairs = np.array(sorted({ord(p[k]) << 32 | ord(p[k + 1]) for p in self.pieces for k in range(len(p) - 1)} or {0}),
+                              np.uint64)
         raw = [bytes([b]) for b in range(256)]
         named = {i: p.encode() for p, i in self.pieces.items()} | {i: raw[b] for b, i in self.byte.items()}
         self.bytes_of = pa.array([named.get(i, b"") for i in ids], pa.large_binary())
@@ -174,35 +178,66 @@ class Vocabulary:
         unknown = np.bincount(owner, path < 0, n) > 0
         return path[order], np.bincount(owner, minlength=n), best[length, np.arange(n)], unknown
 
+    def units(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """Parts of all words, cut between characters that stand side by side in no piece, and where each word begins
+        among them. The best cuts of a word are those of its parts."""
+        text, length = "".join(words), np.fromiter(map(len, words), np.int64, len(words))
+        begin = np.concatenate(([0], np.cumsum(length)))
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        pair = codes[:-1] << np.uint64(32) | codes[1:]
+        place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        cut = np.ones(len(codes) + 1, bool)
+        cut[1:-1] = self.pairs[place] != pair
+        cut[begin] = True
+        at = np.flatnonzero(cut).tolist()
+        return [text[a:b] for a, b in zip(at, at[1:])], np.concatenate(([0], np.cumsum(cut[:-1])))[begin]
+
     def learn(self, words: list[str]) -> None:
-        """Best cuts of words that are not known yet: short ones together, those of like length at once."""
-        new = [w for w in dict.fromkeys(words) if w not in self.place]
-        found, scores, alone = [None] * len(new), [0] * len(new), []
-        by_size: dict[int, list[int]] = {}
-        for k, w in enumerate(new):
-            if 0 < len(w) <= TOGETHER:
-                by_size.setdefault((len(w) + 3) // 4, []).append(k)
-            else:
-                alone.append(k)
+        """Best cuts of words that are not known yet, put together from those of their units."""
+        new = list(dict.fromkeys([w for w in words if w not in self.place]))
+        if not new:
+            return
+        units, begin = self.units(new)
+        self.learn_units([u for u in dict.fromkeys(units) if u not in self.place])
+        row = np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
+        # A word that is one unit is known by now.
+        joined = np.diff(begin) != 1
+        row = row[np.repeat(joined, np.diff(begin))]
+        begin = np.concatenate(([0], np.cumsum(np.diff(begin)[joined])))
+        ids, size = self.words(row)
+        self.add([w for w, j in zip(new, joined.tolist()) if j], ids, np.diff(np.concatenate(([0], np.cumsum(size)))[begin]),
+                 np.diff(np.concatenate(([0], np.cumsum(self.score[row])))[begin]))
+
+    def learn_units(self, new: list[str]) -> None:
+        """Best cuts of new units: short ones together, those of like length at once."""
+        by_size: dict[int, list[str]] = {}
+        for w in new:
+            by_size.setdefault((len(w) + 3) // 4 if len(w) <= TOGETHER else TOGETHER, []).append(w)
+        alone, words, made = by_size.pop(TOGETHER, []), [], []
         for same in by_size.values():
             for first in range(0, len(same), TOGETHER_WORDS):
                 part = same[first:first + TOGETHER_WORDS]
-                ids, count, score, unknown = self.cut_together([new[k] for k in part])
-                ends = np.cumsum(count).tolist()
-                ids = ids.tolist()
-                for k, a, b, value, strange in zip(part, [0, *ends], ends, score.tolist(), unknown.tolist()):
-                    found[k], scores[k] = ids[a:b], value
-                    if strange:
-                        alone.append(k)
-        for k in alone:
-            best, back = self.search(new[k], [0], len(new[k]))
-            found[k], scores[k] = self.read(new[k], back, len(new[k]))[0], best[-1]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        self.place.update(zip(new, range(len(self.begin), len(self.begin) + len(new))))
+                ids, count, score, unknown = self.cut_together(part)
+                if unknown.any():
+                    alone += [w for w, strange in zip(part, unknown.tolist()) if strange]
+                    part = [w for w, strange in zip(part, unknown.tolist()) if not strange]
+                    ids, count, score = ids[np.repeat(~unknown, count)], count[~unknown], score[~unknown]
+                words += part
+                made.append((ids, count, score))
+        for w in alone:
+            best, back = self.search(w, [0], len(w))
+            ids = self.read(w, back, len(w))[0]
+            words.append(w)
+            made.append((np.array(ids, np.int64), np.array([len(ids)]), np.array([best[-1]])))
+        if words:
+            self.add(words, *map(np.concatenate, zip(*made)))
+
+    def add(self, words: list[str], ids: np.ndarray, size: np.ndarray, score: np.ndarray) -> None:
+        self.place.update(zip(words, range(len(self.begin), len(self.begin) + len(words))))
         self.begin = np.concatenate((self.begin, len(self.pool) + np.cumsum(size) - size))
         self.length = np.concatenate((self.length, size))
-        self.score = np.concatenate((self.score, np.array(scores, np.int64)))
-        self.pool = np.concatenate((self.pool, np.fromiter((i for ids in found for i in ids), np.int32, int(size.sum()))))
+        self.score = np.concatenate((self.score, score))
+        self.pool = np.concatenate((self.pool, ids.astype(np.int32)))
 
     def words(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of known words by their places, one after another, and their number per word."""
@@ -234,7 +269,9 @@ def encode_batch(v: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray
     # One space between words everywhere: words by Arrow, each distinct one looked up once.
     lists = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
     coded = lists.flatten().dictionary_encode()
-    plain = [SPACE + w for w in coded.dictionary.to_pylist()]
+    n = len(coded.dictionary)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), coded.dictionary), pa.scalar(" " + SPACE, pa.large_string()))
+    plain = (SPACE + joined[0].as_py()).split(" ") if n else []
     v.learn(plain)
     places = np.fromiter(map(v.place.__getitem__, plain), np.int64, len(plain))
     count = np.zeros(len(texts), np.int64)
@@ -267,15 +304,13 @@ def resets(v: Vocabulary, text: str) -> tuple[int, int] | None:
 
 
 def transfer(v: Vocabulary, text: str, ahead: str) -> np.ndarray:
-    """Max-plus matrix of a chunk: best score from each entry state to each exit state."""
+    """Max-plus matrix of a chunk: best score from each entry state to each exit state, less the score of its inner words,
+    which all paths share."""
     n, out = v.longest, np.full((v.longest, v.longest), NEVER, np.int64)
     at = resets(v, text)
     head = at[0] if at else None
     tail = None
     if at:
-        words = v.split(text[at[0]:at[1]])
-        v.learn(words)
-        inner = int(v.score[[v.place[w] for w in words]].sum()) if words else 0
         tail, _ = v.search(text[at[1]:] + ahead, [0], len(text) - at[1])
     for i in range(min(n, len(text) + 1) if head is None else min(n, head + 1)):
         if head is None:
@@ -283,7 +318,7 @@ def transfer(v: Vocabulary, text: str, ahead: str) -> np.ndarray:
             values = best[len(text):]
         else:
             best, _ = v.search(text[:head], [NEVER] * i + [0], head)
-            values = [best[head] + inner + x if x > NEVER and best[head] > NEVER else NEVER for x in tail[len(text) - at[1]:]]
+            values = [best[head] + x if x > NEVER and best[head] > NEVER else NEVER for x in tail[len(text) - at[1]:]]
         out[i, :len(values)] = values
     return out
 
@@ -341,9 +376,8 @@ def chunk_ids(v: Vocabulary, text: str, ahead: str, entry: list[int], exit_: int
     if at is None:
         return v.read(text + ahead, v.search(text + ahead, entry, len(text))[1], end)[0]
     head = v.read(text[:at[0]], v.search(text[:at[0]], entry[:at[0] + 1], at[0])[1], at[0])[0]
-    words = v.split(text[at[0]:at[1]])
-    v.learn(words)
-    inner = v.words(np.array([v.place[w] for w in words], np.int64))[0].tolist()
+    # The space that begins the inner words is the one that stands for the start of a text.
+    inner = encode_batch(v, pa.array([text[at[0] + 1:at[1]].replace(SPACE, " ")]))[0].tolist()
     last = text[at[1]:] + ahead
     return head + inner + v.read(last, v.search(last, [0], len(text) - at[1])[1], end - at[1])[0]
 

@@ -212,3 +212,20 @@ def test_words_cut_together_equal_words_cut_alone(texts):
         best, back = v.search(w, [0], len(w))
         at = v.place[w]
         assert v.pool[v.begin[at]:v.begin[at] + v.length[at]].tolist() == v.read(w, back, len(w))[0] and v.score[at] == best[-1]
+
+
+def test_words_are_searched_by_units(vocabulary, monkeypatch):
+    """Parts that no piece joins are searched once each, and a chunk's inner words only where its ids are made."""
+    v, searched = vocabulary, []
+    words = [f"▁{a}.\n{b},漢🙂" for a in ("the", "and", "of") for b in ("with", "from", "der")] + ["", "\n", "▁\n▁a", "the"]
+    expected = [(v.read(w, v.search(w, [0], len(w))[1], len(w))[0], v.search(w, [0], len(w))[0][-1]) for w in words]
+    v.clear()
+    search = v.search
+    monkeypatch.setattr(v, "search", lambda text, *more: searched.append(text) or search(text, *more))
+    v.learn(words)
+    assert len(searched) == len(set(searched)) and max(map(len, searched), default=0) <= 2
+    rows = [v.place[w] for w in words]
+    assert [(v.pool[v.begin[r]:v.begin[r] + v.length[r]].tolist(), v.score[r]) for r in rows] == expected
+    v.clear()
+    pieces.transfer(v, "▁the▁inner▁words▁of▁a▁chunk", "▁behind▁a▁chunk")
+    assert not v.place
