@@ -36,7 +36,7 @@ MODEL = "piece_bpe_32k.model"
 CHUNK = 1 << 15
 SPACE = "▁"
 NEVER = -(1 << 60)
-TABLE_WORDS = 400_000
+TABLE_WORDS = 250_000
 TOGETHER, TOGETHER_WORDS = 64, 8192
 FILTER_BITS = 22
 FILTER = np.uint64((1 << FILTER_BITS) - 1)
