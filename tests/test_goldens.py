@@ -274,3 +274,11 @@ def test_html_unescape_follows_the_standard_library(spark):
     frame = spark.createDataFrame([(t,) for t in texts] + [(None,), ("",)], "t string")
     for row in frame.select("t", urls.html_unescape(F.col("t")).alias("u")).collect():
         assert row.u == (None if row.t is None else html.unescape(row.t)), row.t
+
+
+def test_image_urls_of_a_fragment(spark):
+    """In order, distinct, with references resolved twice; a name that is in no table stays as it is."""
+    page = ('<a href="https://preview.redd.it/a.png?width=640&amp;amp;s=1">x</a> <img src="https://i.redd.it/a.png"> '
+            'https://a.example/x.jpg?a=1&amp;v=2, https://a.example/x.jpg?a=1&v=2 https://a.example/&eacute;.webp https://a.example/page')
+    row = spark.createDataFrame([(page,), (None,)], "t string").select(extract_text.extract_image_urls(F.col("t")).alias("u")).collect()
+    assert row[0].u == ["https://i.redd.it/a.png", "https://a.example/x.jpg?a=1&v=2", "https://a.example/é.webp"] and row[1].u == []
