@@ -65,7 +65,11 @@ def replace_images(current_images: DataFrame, batch_images: DataFrame, touched:
         filled.between(1, len(CACHE_FIELDS) - 1),
         F.raise_error(F.lit("cached image metadata must be complete or absent"))).otherwise(F.col("position")))
     newest = dedupe_last(checked.withColumn("_filled", filled > 0), ["listing_id", "position"], seq)
-    old = current_images.withColumn("_url", canonical_url(F.col("source_url"))).select(
+    # Only rows with something to carry are moved, and all three passes leave out null listings at the same place, so
+    # that one shuffle of the current images can serve them.
+    known, stray = (current_images.filter(c) for c in (F.col("listing_id").isNotNull(), F.col("listing_id").isNull()))
+    carries = F.greatest(*[F.col(c).isNotNull() for c in CACHE_FIELDS])
+    old = known.filter(carries).withColumn("_url", canonical_url(F.col("source_url"))).select(
         "listing_id", "position", "_url", *[F.col(c).alias("_" + c) for c in CACHE_FIELDS])
     carried = newest.withColumn("_url", canonical_url(F.col("source_url"))).join(
         old, ["listing_id", "position", "_url"], "left")
@@ -74,7 +78,7 @@ def replace_images(current_images: DataFrame, batch_images: DataFrame, touched:
         "listing_id", "source_url",
         *[F.when(F.col("_filled"), F.col(c)).otherwise(F.col("_" + c)).alias(c) for c in CACHE_FIELDS],
         "position", "alt_text")
-    kept = current_images.join(ids, "listing_id", "left_anti").select(*inserted.columns)
+    kept = known.join(ids, "listing_id", "left_anti").unionByName(stray).select(*inserted.columns)
     summary = image_summary(current_images, batch_images, ids)
     return kept.unionByName(inserted), summary
 

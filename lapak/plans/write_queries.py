@@ -220,7 +220,9 @@ def new_images(t):
     sold = t.listings.filter("status = 'sold'")
     none = {c: F.lit(None) for c in ("cached_url", "storage_key", "content_hash", "content_type", "byte_size", "cached_at")}
     tail = F.when(F.col("source_url").contains("?"), F.lit("&v=2")).otherwise(F.lit("?v=2"))
-    first = t.images.join(sold.select(F.col("id").alias("listing_id")), "listing_id", "left_semi").select(
+    # Filtered as replace_images filters, for the shuffle they share.
+    owned = t.images.filter("listing_id is not null")
+    first = owned.join(sold.select(F.col("id").alias("listing_id")), "listing_id", "left_semi").select(
         "listing_id", F.concat("source_url", tail).alias("source_url"), "position", "alt_text", F.lit(1).alias("seq"))
     again = sold.filter("brand is null").select(
         F.col("id").alias("listing_id"), F.concat(F.lit("https://a.example/"), "id", F.lit(".jpg")).alias("source_url"),

@@ -710,3 +710,35 @@ def test_upsert_stream_takes_three_batches_however_many_files(spark, monkeypatch
     load()
     rows = {r.part: r.rows for r in QUERIES["t5_upsert_stream"](spark, "/root/testdata/sf0.001").collect()}
     assert rows["listings"] + rows["rejections"] == 1500 and 1 <= len(calls) <= 3
+
+
+def _plain_plan(spark, make):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return make()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_images_are_shuffled_once_for_their_replacement(spark):
+    import __spark_entry__ as entry
+
+    plan = _plain_plan(spark, lambda: entry.queries()["snk2_replace_images"](spark, "/root/testdata/sf0.001"))
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "l_orderkey" in line and "[isnull(" not in line]
+    assert len(scans) == 1
+
+
+def test_replaced_images_carry_their_cache_and_spare_stray_rows(spark):
+    row = {f.name: None for f in IMAGE.fields}
+    cached = {"cached_url": "c", "storage_key": "k", "content_hash": "h", "content_type": "t", "byte_size": 1,
+              "cached_at": dt.datetime(2024, 1, 1)}
+    old = [row | {"id": "1", "listing_id": "a", "source_url": "https://x/1.jpg?s=1", "position": 0} | cached,
+           row | {"id": "2", "listing_id": "a", "source_url": "https://x/2.jpg", "position": 1},
+           row | {"id": "3", "listing_id": None, "source_url": "https://x/3.jpg", "position": 0},
+           row | {"id": "4", "listing_id": "b", "source_url": "https://x/4.jpg", "position": 0} | cached]
+    new = spark.createDataFrame([row | {"id": "n", "listing_id": "a", "source_url": f"https://x/{p + 1}.jpg?s=2", "position": p}
+                                 for p in (0, 1)], IMAGE).withColumn("seq", F.lit(1))
+    touched = spark.createDataFrame([("a",)], "listing_id string")
+    after = upsert.replace_images(spark.createDataFrame(old, IMAGE), new, touched)[0]
+    assert sorted((r.source_url, r.cached_url) for r in after.collect()) == [
+        ("https://x/1.jpg?s=2", "c"), ("https://x/2.jpg?s=2", None), ("https://x/3.jpg", None), ("https://x/4.jpg", "c")]
