@@ -48,11 +48,14 @@ def media_summary(downloads: DataFrame, images: DataFrame, stored: DataFrame) ->
     ``downloads``: id, storage_key (null when the download failed). An image cached meanwhile is skipped. A key that
     is already stored, or that an earlier image of the batch stored, counts as reused.
     """
+    # Keys are long texts and are only compared, so 128 bits of each are moved and sorted.
+    key = F.unhex(F.md5("storage_key")).alias("_key")
     state = images.select("id", F.col("cached_url").isNotNull().alias("_done"))
-    known = stored.select("storage_key", F.lit(True).alias("_known")).distinct()
-    first = downloads.filter(F.col("storage_key").isNotNull()).groupBy("storage_key").agg(F.min("id").alias("_first"))
-    rows = downloads.join(state, "id", "left").join(known, "storage_key", "left").join(first, "storage_key", "left")
-    failed = F.col("storage_key").isNull()
+    asked = downloads.select("id", key)
+    known = stored.select(key, F.lit(True).alias("_known")).distinct()
+    first = asked.filter(F.col("_key").isNotNull()).groupBy("_key").agg(F.min("id").alias("_first"))
+    rows = asked.join(state, "id", "left").join(known, "_key", "left").join(first, "_key", "left")
+    failed = F.col("_key").isNull()
     skipped = ~failed & F.coalesce("_done", F.lit(True))
     updated = ~failed & ~F.coalesce("_done", F.lit(True))
     reused = updated & (F.col("_known").isNotNull() | (F.col("id") != F.col("_first")))

@@ -742,3 +742,14 @@ def test_replaced_images_carry_their_cache_and_spare_stray_rows(spark):
     after = upsert.replace_images(spark.createDataFrame(old, IMAGE), new, touched)[0]
     assert sorted((r.source_url, r.cached_url) for r in after.collect()) == [
         ("https://x/1.jpg?s=2", "c"), ("https://x/2.jpg?s=2", None), ("https://x/3.jpg", None), ("https://x/4.jpg", "c")]
+
+
+def test_media_summary_moves_no_long_keys(spark):
+    from lapak.operators import media
+
+    downloads = spark.createDataFrame([("1", "k"), ("2", "k"), ("2", "k"), ("3", "s"), ("4", None), ("5", "m"), (None, "k"), ("9", "q")],
+                                      "id string, storage_key string")
+    images = spark.createDataFrame([("1", None), ("2", None), ("3", None), ("4", None), ("5", "done")], "id string, cached_url string")
+    stored = spark.createDataFrame([("s",), ("s",), (None,)], "storage_key string")
+    assert media.media_summary(downloads, images, stored).first() == (8, 4, 1, 3, 1, 3)
+    assert "hashpartitioning(storage_key" not in _plain_plan(spark, lambda: media.media_summary(downloads, images, stored))
