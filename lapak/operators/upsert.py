@@ -14,17 +14,19 @@ _OVERWRITTEN = [c for c in LISTING_COLUMNS
                 if c not in ("id", "source_url", "first_fetched_at", "created_at", "updated_at")]
 
 
-def upsert_listings(current: DataFrame, batch: DataFrame, as_of, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+def upsert_listings(current: DataFrame, batch: DataFrame, as_of, seq: str = "seq",
+                    near: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """SNK1: (next snapshot, one-row summary).
 
     Key is the source URL and the last row of a batch wins. A match keeps id, first fetch and creation time and
-    overwrites the rest, also with null. ``batch`` carries the listing columns and an arrival number.
+    overwrites the rest, also with null. ``batch`` carries the listing columns and an arrival number. ``near`` are columns
+    that follow from the key and by which the batch has been shuffled; it is not shuffled again for its last rows then.
     """
     now = F.lit(as_of).cast("timestamp_ntz")
     keyed = batch.withColumn("source_url", F.when(
         blank_to_null(F.col("source_url")).isNull(), F.raise_error(F.lit("cannot write a listing without source_url"))
     ).otherwise(blank_to_null(F.col("source_url"))))
-    fresh = dedupe_last(keyed, "source_url", seq).select(
+    fresh = dedupe_last(keyed, [*near, "source_url"], seq).select(
         "source_url", F.lit(True).alias("_new"), F.col("id").alias("_id"), F.col("first_fetched_at").alias("_first"),
         *[F.col(c).alias("_" + c) for c in _OVERWRITTEN])
     merged = current.withColumn("_old", F.lit(True)).join(fresh, "source_url", "full_outer")
@@ -51,20 +53,20 @@ def upsert_summary(current: DataFrame, batch: DataFrame) -> DataFrame:
         F.count_if(F.col("_old").isNull()).alias("inserted"), F.count_if(F.col("_old").isNotNull()).alias("updated"))
 
 
-def replace_images(current_images: DataFrame, batch_images: DataFrame, touched: DataFrame,
-                   seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+def replace_images(current_images: DataFrame, batch_images: DataFrame, touched: DataFrame, seq: str = "seq",
+                   near: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """SNK2: (next images, one-row summary of deleted and inserted rows).
 
     All images of a touched listing give way to the batch, last row per position. A new image without cache fields
     takes them from the old image at the same position with the same canonical URL; partly filled fields are an error.
-    ``touched`` has one column listing_id.
+    ``touched`` has one column listing_id; ``near`` as in ``upsert_listings``.
     """
     ids = touched.select("listing_id").distinct()
     filled = F.size(F.array_compact(F.array(*[F.col(c).cast("string") for c in CACHE_FIELDS])))
     checked = batch_images.withColumn("position", F.when(
         filled.between(1, len(CACHE_FIELDS) - 1),
         F.raise_error(F.lit("cached image metadata must be complete or absent"))).otherwise(F.col("position")))
-    newest = dedupe_last(checked.withColumn("_filled", filled > 0), ["listing_id", "position"], seq)
+    newest = dedupe_last(checked.withColumn("_filled", filled > 0), [*near, "listing_id", "position"], seq)
     # Only rows with something to carry are moved, and all three passes leave out null listings at the same place, so
     # that one shuffle of the current images can serve them.
     known, stray = (current_images.filter(c) for c in (F.col("listing_id").isNotNull(), F.col("listing_id").isNull()))

@@ -9,7 +9,7 @@ from lapak.operators import extract_json, extract_text, normalize, reconcile
 from lapak.plans.flow_queries import NEXT_QUEUE_SQL
 from lapak.plans.registry import query
 from lapak.plans.views import SQL_VIEWS
-from lapak.session import scratch_path
+from lapak.session import scratch_path, shuffles_removed
 from lapak.streaming import jobs, stateful
 
 _FETCHED = "2001-08-05 00:00:00"
@@ -447,18 +447,18 @@ def _(t):
     UNION ALL SELECT 'rejections', count(*), count(*) FROM v_listings WHERE platform = 'reddit'""")
 def _(t):
     base = scratch_path(t.spark, "store")
-    t.listings.write.parquet(f"{base}/in")
-    # Every micro-batch touches all buckets of the store, so there are three whatever the size of the input; buckets grow
-    # in number with it. Images are numbered once, not for each micro-batch.
-    files = len(t.spark.read.schema(t.listings.schema).parquet(f"{base}/in").inputFiles())
-    stream = t.spark.readStream.schema(t.listings.schema).option("maxFilesPerTrigger", max(4, -(-files // 3))).parquet(f"{base}/in")
-    t.images.drop("id").withColumn("seq", F.lit(1)).write.parquet(f"{base}/images")
-    owned = t.spark.read.parquet(f"{base}/images")
+    # A reviewed row carries its images, so that they are numbered once and no micro-batch reads those of the others.
+    gallery = t.images.groupBy("listing_id").agg(F.collect_list(F.struct(*[c for c in t.images.columns if c not in ("id", "listing_id")])).alias("images"))
+    with shuffles_removed(t.spark):
+        t.listings.join(gallery, F.col("id") == F.col("listing_id"), "left").drop("listing_id").write.option("compression", "zstd").parquet(f"{base}/in")
+    reviewed = t.spark.read.parquet(f"{base}/in")
+    # There are three micro-batches whatever the size of the input; buckets grow in number with it.
+    files = len(reviewed.inputFiles())
+    stream = t.spark.readStream.schema(reviewed.schema).option("maxFilesPerTrigger", max(4, -(-files // 3))).parquet(f"{base}/in")
 
     def split(batch):
         accepted, dropped = batch.filter("platform <> 'reddit'"), batch.filter("platform = 'reddit'")
-        gallery = owned.join(accepted.select(F.col("id").alias("listing_id"), F.col("source_url").alias("listing_url")), "listing_id").drop("listing_id")
-        return accepted, gallery, dropped.withColumn("reason_code", F.lit("OTHER"))
+        return accepted, None, dropped.withColumn("reason_code", F.lit("OTHER"))
 
     store = jobs.Store(f"{base}/tables", max(16, files))
     jobs.upsert_stream(stream, store, split, _FETCHED, f"{base}/checkpoint")

@@ -193,9 +193,9 @@ def _(t):
     """The same merge into a bucketed table: what is stored is staged and put in place, then the batch."""
     target = jobs.Store(scratch_path(t.spark, "buckets"), 16).listings
     for name, rows in (("stored", store(t)), ("batch", batch(t))):
-        touched = target.touched(rows.select("source_url"))
-        after = rows if name == "stored" else upsert.upsert_listings(target.read(t.spark, touched), rows, LISTING_AS_OF)[0]
-        apply_once(t.spark, f"{target.path}-batches", name, lambda folder: target.stage(after, touched, folder),  # noqa: B023
+        held, to = target.folders(t.spark, rows.select("source_url"))
+        after = rows if name == "stored" else upsert.upsert_listings(target.read(t.spark, held), rows, LISTING_AS_OF)[0]
+        apply_once(t.spark, f"{target.path}-batches", name, lambda folder: target.stage(after, held, to, folder),  # noqa: B023
              lambda folder: target.replace(t.spark, folder))
     return target.read(t.spark).select(*_UPSERTED)
 

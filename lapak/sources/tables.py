@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -32,15 +33,16 @@ def write_reports(quality: DataFrame, review: DataFrame, path: str, report_date:
     return paths
 
 
-MARK = "bucket"
+MARK, BUCKET, PARTS = "bucket", "_bucket", 8
 
 
 @dataclass(frozen=True)
 class BucketedTable:
-    """A parquet table in folders by a hash of its key, of which a batch rewrites only those it touches.
+    """A parquet table in folders by a hash of its key, of which a batch rewrites only those that hold its keys.
 
-    Folders are Hive partitions, so Spark prunes the untouched ones and replaces the others by dynamic partition
-    overwrite, all at once when every task has written. Choose ``buckets`` so that a folder is some hundred megabytes.
+    Rows with new keys go to a new folder of their bucket, so that a batch of new rows rewrites nothing. The folders of
+    bucket b are the Hive partitions b, b + buckets, b + 2 * buckets and so on; once there are ``PARTS`` of them, the next
+    batch for the bucket puts them together. Choose ``buckets`` so that a bucket is some hundred megabytes.
     """
 
     path: str
@@ -55,39 +57,74 @@ class BucketedTable:
         place = spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
-    def read(self, spark: SparkSession, touched: list[int] | None = None) -> DataFrame:
-        """All rows, or those of some buckets."""
-        if not self.exists(spark):
-            return spark.createDataFrame([], self.schema)
+    def _stored(self, spark: SparkSession) -> DataFrame:
         layout = T.StructType([*self.schema.fields, T.StructField(MARK, T.IntegerType())])
-        rows = spark.read.schema(layout).option("basePath", self.path).parquet(self.path)
-        if touched is not None:
-            rows = rows.filter(F.col(MARK).isin(*touched)) if touched else rows.limit(0)
-        return rows.filter(F.col(self.key).isNotNull()).drop(MARK)
-
-    def touched(self, *keys: DataFrame) -> list[int]:
-        """Buckets of the keys in one-column tables. At most ``buckets`` numbers reach the driver."""
-        found = None
-        for rows in keys:
-            own = rows.select(self.bucket(F.col(rows.columns[0])).alias(MARK))
-            found = own if found is None else found.unionByName(own)
-        return sorted(r[0] for r in found.distinct().collect())
-
-    def stage(self, rows: DataFrame, touched: list[int], path: str) -> None:
-        """Write the new content of the touched buckets beside the table, each with a row without key, so that a bucket
-        that has lost all its rows is replaced too."""
-        spark = rows.sparkSession
-        none = spark.createDataFrame([(b,) for b in touched], "bucket int").select(
-            *[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields], MARK)
-        # One shuffle by bucket, so that a folder is written by one task.
-        filled = rows.select(*self.schema.fieldNames(), self.bucket(F.col(self.key)).alias(MARK)).unionByName(none)
-        filled.repartition(MARK).write.mode("overwrite").partitionBy(MARK).parquet(path)
+        return spark.read.schema(layout).option("basePath", self.path).parquet(self.path).filter(F.col(self.key).isNotNull())
+
+    def read(self, spark: SparkSession, folders: list[int] | None = None) -> DataFrame:
+        """All rows, or those of some folders."""
+        if folders == [] or not self.exists(spark):
+            return spark.createDataFrame([], self.schema).limit(0)
+        rows = self._stored(spark)
+        return (rows if folders is None else rows.filter(F.col(MARK).isin(*folders))).drop(MARK)
+
+    def folders(self, spark: SparkSession, *keys: DataFrame) -> tuple[list[int], list[int]]:
+        """(folders that hold one of the keys in one-column tables, for each bucket the folder to write).
+
+        Only buckets of the keys are read. At most ``PARTS`` numbers a bucket reach the driver.
+        """
+        asked = reduce(DataFrame.unionByName, [k.toDF(self.key) for k in keys])
+        buckets = {r[0] for r in asked.select(self.bucket(F.col(self.key))).distinct().collect()}
+        live: dict[int, list] = {}
+        if buckets and self.exists(spark):
+            stored = self._stored(spark).filter(F.pmod(F.col(MARK), F.lit(self.buckets)).isin(*buckets)).select(self.key, MARK)
+            found = stored.join(asked.distinct().withColumn("_hit", F.lit(True)), self.key, "left")
+            for folder, hit in found.groupBy(MARK).agg(F.max("_hit")).collect():
+                live.setdefault(folder % self.buckets, []).append((folder, hit))
+        held, to = [], list(range(self.buckets))
+        for b, own in live.items():
+            mine = sorted(folder for folder, hit in own if hit or len(own) >= PARTS)
+            free = set(range(b, b + self.buckets * (PARTS + 1), self.buckets)) - {folder for folder, _ in own}
+            held += mine
+            to[b] = mine[0] if mine else min(free)
+        return sorted(held), to
+
+    def spread(self, rows: DataFrame, held: list[int]) -> tuple[DataFrame, tuple[str, ...]]:
+        """(rows of a batch, columns that they have been shuffled by).
+
+        A batch that rewrites no folder is shuffled once, by bucket, from here to its files; others meet stored rows first.
+        """
+        if held:
+            return rows, ()
+        return rows.withColumn(BUCKET, self.bucket(F.col(self.key))).repartition(BUCKET), (BUCKET,)
+
+    def stage(self, rows: DataFrame, held: list[int], to: list[int], path: str, near: tuple[str, ...] = ()) -> None:
+        """Write beside the table the rows of the folders ``held`` and new ones, each to the folder of its bucket.
+
+        Each held folder gets a row without key, so that one that has lost all its rows is replaced too. A folder is
+        written by one task; that takes one more shuffle unless the rows come from ``spread`` with columns ``near``.
+        """
+        spark, place = rows.sparkSession, F.element_at(F.lit(to), self.bucket(F.col(self.key)) + 1)
+        filled = rows.select(*self.schema.fieldNames(), place.alias(MARK))
+        if held:
+            none = spark.createDataFrame([(b,) for b in held], "bucket int").select(
+                *[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields], MARK)
+            filled = filled.unionByName(none)
+        if not near:
+            filled = filled.repartition(MARK)
+        filled.write.mode("overwrite").option("compression", "zstd").partitionBy(MARK).parquet(path)
 
     def replace(self, spark: SparkSession, staged: str) -> None:
-        """Put staged buckets in place of the old ones. Doing it again changes nothing."""
-        layout = T.StructType([*self.schema.fields, T.StructField(MARK, T.IntegerType())])
-        rows = spark.read.schema(layout).option("basePath", staged).parquet(staged)
-        rows.repartition(MARK).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MARK).parquet(self.path)
+        """Move staged folders to the place of the old ones. Doing it again moves those that are still staged."""
+        fs_path = spark._jvm.org.apache.hadoop.fs.Path
+        files = fs_path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(fs_path(self.path))
+        for folder in files.listStatus(fs_path(staged)):
+            place = fs_path(self.path, folder.getPath().getName())
+            if folder.isDirectory() and place.getName().startswith(f"{MARK}="):
+                files.delete(place, True)
+                if not files.rename(folder.getPath(), place):
+                    raise OSError(f"cannot move {folder.getPath()} to {place}")
 
 
 def apply_once(spark: SparkSession, folder: str, name: str, prepare: Callable[[str], None], apply: Callable[[str], None]) -> None:

@@ -7,11 +7,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from lapak.functions.text import blank_to_null
 from lapak.functions.values import unseen_count
 from lapak.operators.ordering import SEGMENT, segmented
 from lapak.operators.upsert import clear_rejections, replace_images, upsert_listings, upsert_rejections
 from lapak.schemas import IMAGE, LISTING, REJECTION
-from lapak.session import scratch_path
+from lapak.session import scratch_path, shuffles_removed
 from lapak.sources.tables import BucketedTable, apply_once
 
 
@@ -60,33 +61,55 @@ class Store:
         return BucketedTable(f"{self.base}/rejections", REJECTION, "source_url", self.buckets)
 
 
-def apply_batch(spark: SparkSession, store: Store, accepted: DataFrame, images: DataFrame, rejected: DataFrame, as_of,
+def galleries(accepted: DataFrame, ids: DataFrame, folder: str) -> DataFrame:
+    """Images of the ``images`` column of a batch, one row per listing: listing_id, images.
+
+    The last row per URL gives the gallery. Rows that are not the last or whose listing is stored under another id are
+    written apart; few as they are in most batches, they are joined without moving the galleries.
+    ``ids`` has listing_id and listing_url.
+    """
+    own = accepted.select("source_url", "seq", "id").withColumn("_last", F.max("seq").over(Window.partitionBy("source_url")))
+    last = F.col("seq") == F.col("_last")
+    own.join(ids.withColumnRenamed("listing_url", "source_url"), "source_url").filter(
+        ~last | ~F.col("id").eqNullSafe(F.col("listing_id"))).select("source_url", "seq", "listing_id", last.alias("_kept")) \
+        .write.mode("overwrite").parquet(folder)
+    moved = accepted.sparkSession.read.schema("source_url string, seq bigint, listing_id string, _kept boolean").parquet(folder)
+    found = accepted.withColumn("seq", F.col("seq").cast("bigint")).select("source_url", "seq", "id", "images").join(
+        moved, ["source_url", "seq"], "left").filter(F.coalesce("_kept", F.lit(True)))
+    return found.select(F.when(F.col("_kept").isNull(), F.col("id")).otherwise(F.col("listing_id")).alias("listing_id"), "images")
+
+
+def apply_batch(spark: SparkSession, store: Store, accepted: DataFrame, images: DataFrame | None, rejected: DataFrame, as_of,
                 batch_id: int, query_id: str = "") -> None:
-    """T5 body, SNK1 to SNK4: merge a batch into the buckets that it touches.
+    """T5 body, SNK1 to SNK4: merge a batch into the folders that hold its keys, and put what is new into new ones.
 
-    ``accepted``: listing columns and seq; ``images``: source_url of the listing as listing_url, image columns and seq;
-    ``rejected``: rejection columns and seq. Only touched buckets are read and written. The inputs of a micro-batch are
-    read several times, so they are kept until the new buckets are staged. A batch is known by query and number.
+    ``accepted``: listing columns and seq; ``images``: source_url of the listing as listing_url, image columns and seq, or
+    none if ``accepted`` has them as an array ``images``; ``rejected``: rejection columns and seq. The inputs of a
+    micro-batch are read several times and give the same rows each time, as the sources of streams do. A batch is known by
+    query and number.
     """
     def prepare(folder: str) -> None:
-        kept = [df.persist() for df in (accepted, images, rejected)]
-        try:
-            new, gallery, dropped = kept
-            touched = store.listings.touched(new.select("source_url"))
-            after, _ = upsert_listings(store.listings.read(spark, touched), new, as_of)
-            store.listings.stage(after, touched, f"{folder}/listings")
-            staged = spark.read.schema(LISTING).parquet(f"{folder}/listings")
-            ids = staged.join(new.select("source_url").distinct(), "source_url", "left_semi").select(
-                F.col("id").alias("listing_id"), F.col("source_url").alias("listing_url"))
-            touched = store.images.touched(ids.select("listing_id"))
-            owned = gallery.join(ids, "listing_url").drop("listing_url")
-            store.images.stage(replace_images(store.images.read(spark, touched), owned, ids)[0], touched, f"{folder}/images")
-            touched = store.rejections.touched(new.select("source_url"), dropped.select("source_url"))
-            ledger = upsert_rejections(store.rejections.read(spark, touched), dropped, as_of)
-            store.rejections.stage(clear_rejections(ledger, new), touched, f"{folder}/rejections")
-        finally:
-            for df in kept:
-                df.unpersist()
+        new = accepted.withColumn("source_url", blank_to_null(F.col("source_url")))
+        keys = new.select("source_url")
+        held, to = store.listings.folders(spark, keys)
+        batch, near = store.listings.spread(new, held)
+        after, _ = upsert_listings(store.listings.read(spark, held), batch, as_of, near=near)
+        store.listings.stage(after, held, to, f"{folder}/listings", near)
+        staged = spark.read.schema(LISTING).parquet(f"{folder}/listings").filter("source_url is not null")
+        # Without held folders only rows of the batch have been staged.
+        ids = (staged.join(keys.distinct(), "source_url", "left_semi") if held else staged).select(
+            F.col("id").alias("listing_id"), F.col("source_url").alias("listing_url"))
+        held, to = store.images.folders(spark, ids.select("listing_id"))
+        owned = galleries(new, ids, f"{folder}/moved") if images is None else images.withColumn(
+            "listing_url", blank_to_null(F.col("listing_url"))).join(ids, "listing_url").drop("listing_url")
+        batch, near = store.images.spread(owned, held)
+        if images is None:
+            batch = batch.select(*near, "listing_id", F.posexplode("images").alias("seq", "_i")).select(*near, "listing_id", "seq", "_i.*")
+        after, _ = replace_images(store.images.read(spark, held), batch, ids, near=near)
+        store.images.stage(after, held, to, f"{folder}/images", near)
+        held, to = store.rejections.folders(spark, keys, rejected.select("source_url"))
+        ledger = upsert_rejections(store.rejections.read(spark, held), rejected, as_of)
+        store.rejections.stage(clear_rejections(ledger, new), held, to, f"{folder}/rejections")
 
     def put(folder: str) -> None:
         store.listings.replace(spark, f"{folder}/listings")
@@ -96,15 +119,16 @@ def apply_batch(spark: SparkSession, store: Store, accepted: DataFrame, images:
     apply_once(spark, f"{store.base}/_batches", f"{query_id}-{batch_id}", prepare, put)
 
 
-def upsert_stream(stream: DataFrame, store: Store, split: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]],
+def upsert_stream(stream: DataFrame, store: Store, split: Callable[[DataFrame], tuple[DataFrame, DataFrame | None, DataFrame]],
                   as_of, checkpoint: str):
     """T5: run a stream of reviewed rows into the tables of ``store``; replays change nothing.
 
-    ``split`` turns a micro-batch into accepted listings, their images and rejections.
+    ``split`` turns a micro-batch into accepted listings, their images (none if they are a column) and rejections.
     """
     def body(batch: DataFrame, batch_id: int) -> None:
         own = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
-        apply_batch(batch.sparkSession, store, *split(batch), as_of, batch_id, own)
+        with shuffles_removed(batch.sparkSession):
+            apply_batch(batch.sparkSession, store, *split(batch), as_of, batch_id, own)
 
     query = stream.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()

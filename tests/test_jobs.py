@@ -3,10 +3,11 @@
 import datetime as dt
 import json
 import random
+import time
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from lapak.operators import (
     changes, contract, extract_json, extract_text, feed, media, moderation, normalize, ordering, queue, reconcile, runs,
@@ -386,6 +387,79 @@ def test_a_batch_that_is_lost_half_way_is_repeated_whole(spark, tmp_path, monkey
         assert {r.source_url[-3:]: r.rejection_count for r in store.rejections.read(spark).collect()} == {"900": 3}
 
 
+def with_images(rows, *galleries):
+    """Listings with the images of a gallery, which are (URL, position) each, by order of seq."""
+    fields = [f for f in IMAGE.fields if f.name not in ("id", "listing_id")]
+    image = lambda url, position: F.struct(*[F.lit({"source_url": url, "position": position}.get(f.name)).cast(f.dataType).alias(f.name) for f in fields])
+    given = F.when(F.lit(False), F.array().cast(T.ArrayType(T.StructType(fields))))
+    for seq, gallery in enumerate(galleries):
+        given = given.when(F.col("seq") == seq, F.array(*[image(*g) for g in gallery]).cast(T.ArrayType(T.StructType(fields))))
+    return rows.withColumn("images", given)
+
+
+def test_a_batch_of_new_rows_rewrites_nothing_and_folders_are_put_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "PARTS", 3)
+    rows = with_images(listings(spark, 120).withColumn("seq", F.col("id").cast("bigint") % 2), [("https://i.example/a", 0)], [("https://i.example/b", 0)])
+    store = jobs.Store(str(tmp_path / "store"), 2)
+    before = {}
+    for k in range(4):
+        some = rows.filter(F.col("id").cast("int").between(30 * k, 30 * k + 29))
+        jobs.apply_batch(spark, store, some, None, rejected(spark, *range(500 + 50 * k, 520 + 50 * k)), "2024-02-01", k)
+        after = files_of(tmp_path / "store")
+        if k < 3:  # the fourth batch puts the three folders of each bucket together
+            assert all(after[folder] == names for folder, names in before.items()) and len(after) == 6 * (k + 1)
+        before = after
+    assert len(after) == 18
+    live = [r.bucket for r in spark.read.parquet(store.listings.path).filter("source_url is not null").select("bucket").distinct().collect()]
+    assert sorted(live) == [0, 1]
+    assert sorted(r.id for r in store.listings.read(spark).collect()) == [f"{n:04d}" for n in range(120)]
+    assert sorted((r.listing_id, r.source_url[-1]) for r in store.images.read(spark).collect()) == [(f"{n:04d}", "ab"[n % 2]) for n in range(120)]
+    assert store.rejections.read(spark).count() == 80
+
+
+def test_reviewed_rows_bring_the_gallery_of_the_last_row(spark, tmp_path):
+    rows = listings(spark, 3).withColumn("seq", F.lit(0))
+    store = jobs.Store(str(tmp_path / "store"), 2)
+    old = [("https://i.example/old", 0), ("https://i.example/gone", 1)]
+    jobs.apply_batch(spark, store, with_images(rows, old), None, rejected(spark), "2024-02-01", 0)
+    one, two = rows.filter("id = '0000'"), rows.filter("id = '0001'")
+    fresh = two.withColumn("id", F.lit("n")).withColumn("source_url", F.lit("https://e.example/n"))
+    batch = one.withColumn("id", F.lit("other")).unionByName(one.withColumn("seq", F.lit(1))).unionByName(two.withColumn("seq", F.lit(2))) \
+        .unionByName(fresh).unionByName(fresh.withColumn("seq", F.lit(1)).withColumn("id", F.lit("m")))
+    batch = with_images(batch, [("https://i.example/first", 0), ("https://i.example/first", 5)], [("https://i.example/x", 0), ("https://i.example/y", 0)], [])
+    jobs.apply_batch(spark, store, batch, None, rejected(spark), "2024-02-02", 1)
+    assert sorted(r.id for r in store.listings.read(spark).collect()) == ["0000", "0001", "0002", "m"]
+    assert sorted((r.listing_id, r.position, r.source_url[18:]) for r in store.images.read(spark).collect()) == [
+        ("0000", 0, "y"), ("0002", 0, "old"), ("0002", 1, "gone"), ("m", 0, "y")]
+
+
+def test_padded_urls_of_a_batch_lose_no_stored_rows(spark, tmp_path):
+    rows = with_images(listings(spark, 60).withColumn("seq", F.lit(0)), [("https://i.example/a", 0)])
+    flat = lambda some: some.select(F.col("source_url").alias("listing_url"), F.explode("images").alias("i"), "seq").select("listing_url", "i.*", "seq")
+    store = jobs.Store(str(tmp_path / "store"), 16)
+    jobs.apply_batch(spark, store, rows.drop("images"), flat(rows), rejected(spark, 1000), "2024-02-01", 0)
+    padded = rows.limit(5).withColumn("source_url", F.concat(F.lit(" "), "source_url")).unionByName(
+        rows.limit(1).withColumn("source_url", F.lit("https://e.example/1000 ")).withColumn("id", F.lit("1000")))
+    jobs.apply_batch(spark, store, padded.drop("images"), flat(padded), rejected(spark), "2024-02-02", 1)
+    assert store.listings.read(spark).count() == 61 and store.images.read(spark).count() == 61 and store.rejections.read(spark).count() == 0
+
+
+def test_shuffle_files_go_when_their_query_ends(spark, tmp_path):
+    from lapak.session import shuffles_removed
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(k).getName() for k in range(found.size()) if found.apply(k).getName().startswith("shuffle_")}
+
+    before = files()
+    with shuffles_removed(spark):
+        spark.range(100_000).repartition(8, "id").write.parquet(str(tmp_path / "out"))
+    deadline = time.time() + 20
+    while files() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not files() - before
+
+
 def test_merge_errors(spark):
     rows = listings(spark, 3).withColumn("seq", F.lit(1))
     with pytest.raises(Exception, match="without source_url"):
