@@ -448,7 +448,8 @@ def _(t):
 def _(t):
     base = scratch_path(t.spark, "store")
     # A reviewed row carries its images, so that they are numbered once and no micro-batch reads those of the others.
-    gallery = t.images.groupBy("listing_id").agg(F.collect_list(F.struct(*[c for c in t.images.columns if c not in ("id", "listing_id")])).alias("images"))
+    image = F.struct(*[c for c in t.images.columns if c not in ("id", "listing_id")])
+    gallery = t.images.groupBy("listing_id").agg(F.collect_list(image).alias("images"))
     with shuffles_removed(t.spark):
         t.listings.join(gallery, F.col("id") == F.col("listing_id"), "left").drop("listing_id").write.option("compression", "zstd").parquet(f"{base}/in")
     reviewed = t.spark.read.parquet(f"{base}/in")

@@ -70,12 +70,12 @@ def galleries(accepted: DataFrame, ids: DataFrame, folder: str) -> DataFrame:
     """
     own = accepted.select("source_url", "seq", "id").withColumn("_last", F.max("seq").over(Window.partitionBy("source_url")))
     last = F.col("seq") == F.col("_last")
-    own.join(ids.withColumnRenamed("listing_url", "source_url"), "source_url").filter(
-        ~last | ~F.col("id").eqNullSafe(F.col("listing_id"))).select("source_url", "seq", "listing_id", last.alias("_kept")) \
-        .write.mode("overwrite").parquet(folder)
-    moved = accepted.sparkSession.read.schema("source_url string, seq bigint, listing_id string, _kept boolean").parquet(folder)
-    found = accepted.withColumn("seq", F.col("seq").cast("bigint")).select("source_url", "seq", "id", "images").join(
-        moved, ["source_url", "seq"], "left").filter(F.coalesce("_kept", F.lit(True)))
+    odd = own.join(ids.withColumnRenamed("listing_url", "source_url"), "source_url").filter(
+        ~last | ~F.col("id").eqNullSafe(F.col("listing_id"))).select("source_url", "seq", "listing_id", last.alias("_kept"))
+    odd.write.mode("overwrite").parquet(folder)
+    moved = accepted.sparkSession.read.schema(odd.schema).parquet(folder)
+    found = accepted.select("source_url", "seq", "id", "images").join(moved, ["source_url", "seq"], "left").filter(
+        F.coalesce("_kept", F.lit(True)))
     return found.select(F.when(F.col("_kept").isNull(), F.col("id")).otherwise(F.col("listing_id")).alias("listing_id"), "images")
 
 
